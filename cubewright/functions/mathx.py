@@ -20,9 +20,15 @@ def pct(num: Column, den: Column) -> Column:
     return ratio(num, den) * F.lit(100.0)
 
 
+def pct_of(num: Column, den: Column) -> Column:
+    """``100 * num / den`` (multiplication first; differs from :func:`pct`
+    in the last bit, and the reproduced reports use both orders)."""
+    return ratio(F.lit(100.0) * num.cast("double"), den)
+
+
 def pct_change(start: Column, end: Column) -> Column:
-    """``(end - start) / start * 100``."""
-    return ratio(end - start, start) * F.lit(100.0)
+    """``100 * (end - start) / start``."""
+    return pct_of(end - start, start)
 
 
 def round_even(x: Column, dp: int = 1) -> Column:
