@@ -74,9 +74,14 @@ def baseline_status(member: Column, baseline: str, num: Column, den: Column) ->
              .otherwise(F.lit("ratio")))
 
 
-def ols_fit(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
-    """Least-squares line y ~ x over the (small, grouped) frame, clipped at 0."""
+def ols_fit(df: DataFrame, x: str, y: str, out: str, dp: int | None = 4) -> DataFrame:
+    """Least-squares line y ~ x over the (small, grouped) frame, clipped at 0.
+
+    The fitted values are chart values; they are rounded half-even to
+    ``dp`` decimals so that engines summing in a different order agree.
+    """
     w = Window.partitionBy()
     b1 = F.regr_slope(F.col(y), F.col(x)).over(w)
     b0 = F.regr_intercept(F.col(y), F.col(x)).over(w)
-    return df.withColumn(out, M.clip0(b0 + b1 * F.col(x)))
+    fit = M.clip0(b0 + b1 * F.col(x))
+    return df.withColumn(out, M.round_even(fit, dp) if dp is not None else fit)

@@ -392,9 +392,9 @@ def compare_windows(ctx: ReportCtx, start: tuple[str, str], end: tuple[str, str]
         j = j.withColumn(f"_key_{c}", pct_change_key(F.col(f"{c}_start"), F.col(f"{c}_end")))
         j = j.withColumn(f"pct_change_{c}", M.pct_change(F.col(f"{c}_start"), F.col(f"{c}_end")))
     j = j.withColumn(f"ranked_{increase_col}_increase",
-                     RK.rank_min_desc(F.col(f"_key_{increase_col}")))
+                     RK.rank_min_desc(F.col(f"_key_{increase_col}")).cast("long"))
     j = j.withColumn(f"ranked_{decrease_col}_decrease",
-                     RK.rank_max_asc(F.col(f"_key_{decrease_col}")))
+                     RK.rank_max_asc(F.col(f"_key_{decrease_col}")).cast("long"))
     j = j.withColumn("is_top_5_decrease",
                      F.coalesce(F.col(f"ranked_{decrease_col}_decrease") <= 5, F.lit(False)))
     j = j.withColumn("is_top_5_increase",
