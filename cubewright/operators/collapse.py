@@ -25,14 +25,21 @@ DEFAULT_STOP_KEY = ("source_year", "datetimeoccur", "location")
 
 def collapse_stops(persons: DataFrame, order_cols: Sequence[str],
                    stop_key: Sequence[str] = DEFAULT_STOP_KEY,
-                   district_col: str = "districtoccur", psa_col: str = "psa") -> DataFrame:
+                   district_col: str = "districtoccur", psa_col: str = "psa",
+                   cluster_keys: Sequence[str] = ()) -> DataFrame:
     """One row per vehicle stop.
 
     ``order_cols`` is the person order inside a stop (file order); the first
     person is the driver.  Persons without a timestamp or location never form
     a stop; pedestrians are ignored.
+
+    ``cluster_keys`` are extra grouping columns that are functionally
+    dependent on the stop key (they never split a stop) and by which the
+    input is already hash-partitioned, e.g. the join key of an upstream
+    join.  Grouping on them too lets the planner reuse that partitioning
+    instead of shuffling the person rows a second time.
     """
-    keys = list(stop_key)
+    keys = list(cluster_keys) + list(stop_key)
     ordinal = F.struct(*[F.col(c) for c in order_cols])
     driver = F.struct("race", "gender", "age")
     s = lambda c: F.sum(F.col(c))  # noqa: E731  (null when all inputs null)

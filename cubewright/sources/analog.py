@@ -87,10 +87,13 @@ def _case_index(idx: Column, labels: list[str]) -> Column:
     return expr.otherwise(F.lit(labels[-1]))
 
 
-def brand_codes(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("p_brand", T.StringType()),
-                           T.StructField("mvc_code", T.StringType())])
-    return spark.createDataFrame(BRAND_CODES, schema)
+def brand_code(brand: Column) -> Column:
+    """The fixed brand -> code list as one CASE expression (no join)."""
+    expr = None
+    for b, code in BRAND_CODES:
+        v = F.lit(code).cast("string")
+        expr = F.when(brand == b, v) if expr is None else expr.when(brand == b, v)
+    return expr
 
 
 def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,15 +115,17 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
-    part_codes = (table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-                  .join(F.broadcast(brand_codes(spark)), "p_brand", "left")
-                  .select("p_partkey", "mvc_code"))
+    part_codes = (table(spark, sf_dir, "part")
+                  .select("p_partkey", brand_code(F.col("p_brand")).alias("mvc_code")))
     places = order_places(spark, sf_dir)
     j = (li.join(part_codes, li.l_partkey == part_codes.p_partkey)
            .join(places, li.l_orderkey == places.o_orderkey))
     q = F.col("l_quantity")
     sk = F.col("l_suppkey")
     return j.select(
+        # the raw order key: the join output is partitioned by it, and a stop
+        # (one order date + one location) never spans two orders
+        "l_orderkey",
         F.year("o_orderdate").alias("source_year"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
         F.col("o_orderdate").alias("datetimeoccur"),
@@ -156,6 +161,9 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERSON_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+# grouping column functionally dependent on the stop key, which the person
+# rows are already hash-partitioned by after the order join
+STOP_CLUSTER_KEYS = ["l_orderkey"]
 
 
 def shootings(spark: SparkSession, sf_dir: str) -> DataFrame:
