@@ -26,15 +26,19 @@ from ..functions import geo as G
 MAX_BROADCAST_SHAPE_ROWS = 2_000_000
 
 
-def polygon_edges(polygons: DataFrame, ring_col: str = "ring") -> DataFrame:
-    """(pos, label, ring array<struct<x,y>>) -> one row per edge."""
-    e = polygons.select("pos", "label", F.posexplode(ring_col).alias("i", "p"))
-    nxt = polygons.select(F.col("pos").alias("_pos"),
-                          F.posexplode(ring_col).alias("_i", "q"))
-    # closed ring: edge i goes from vertex i to vertex i+1
-    j = e.join(nxt, (F.col("pos") == F.col("_pos")) & (F.col("_i") == F.col("i") + 1))
-    return j.select("pos", "label", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"),
-                    F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+def polygon_edges(polys: DataFrame, rings_col: str = "rings") -> DataFrame:
+    """(pos, label, rings array<array<array<double>>>) -> one row per edge.
+
+    All rings of a feature (outer ring, holes, parts of a multipolygon) keep
+    the feature's ``pos``; the even-odd test over all of them is exact.
+    Edges come from zipping each ring with itself shifted by one (no join).
+    """
+    r = polys.select("pos", "label", F.explode(rings_col).alias("ring"))
+    n = F.size("ring") - 1
+    pairs = F.arrays_zip(F.slice("ring", 1, n).alias("a"), F.slice("ring", 2, n).alias("b"))
+    e = r.select("pos", "label", F.explode(pairs).alias("e"))
+    return e.select("pos", "label", F.col("e.a")[0].alias("x1"), F.col("e.a")[1].alias("y1"),
+                    F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
 def _checked_broadcast(shapes: DataFrame) -> DataFrame:

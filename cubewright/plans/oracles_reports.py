@@ -12,7 +12,8 @@ from ..functions import timeq as TQ
 from ..operators.filters import window_quarters
 from ..sources import analog as A
 from . import oracle_base as B
-from .queries_reports import AN, CHOICES, COHORT1, COHORT2, COMPARE, LAST4, SPINE, YEAR
+from .queries_reports import (AN, BASELINE_SLICES, CHOICES, COHORT1, COHORT2, COMPARE, LAST4,
+                              SPINE, YEAR)
 
 _W = B.with_blocks
 
@@ -266,8 +267,8 @@ def _baseline(cat, baseline, start, end, location="*", label_only=False) -> str:
             cols.append(f"{ratio(f'100.0 * ({col} - {b})', b)} AS percentage_diff")
     sel = ",\n  ".join(cols)
     if label_only:
-        outer = ("member, percentage, multiplier, status, no_contraband, nc_multiplier, nc_status, "
-                 "percentage_found, found_multiplier, found_status")
+        outer = (f"'{location}' AS slice, member, percentage, multiplier, status, no_contraband, "
+                 "nc_multiplier, nc_status, percentage_found, found_multiplier, found_status")
     else:
         outer = "*"
     return W() + f"""
@@ -703,3 +704,11 @@ _add("before_after", W() + f"""
 SELECT *, {r1(ratio('100.0 * (n_after - n_before)', 'n_before'))} AS pct_change FROM g""")
 _add("kpi_rows", _time_slice("1997-Q1", "1997-Q4", "EUROPE"))
 _add("chart_rows", _num_stops("ASIA", "quarter"))
+_add("baseline_label", "\nUNION ALL\n".join(
+    f"SELECT * FROM ({_baseline('gender', 'Female', q, q, location=loc_, label_only=True)})"
+    for loc_, q in BASELINE_SLICES))
+
+SCAN_OVERRIDE = _W(B.A_PERSONS) + """
+SELECT source_year, stoptype, count(*) AS n_people FROM a_persons
+WHERE NOT (source_year = 1997 AND stoptype <> 'vehicle')
+GROUP BY source_year, stoptype"""

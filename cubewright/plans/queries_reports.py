@@ -313,13 +313,22 @@ def q_baseline_ratio(spark, sf_dir):
                          location="ASIA")
 
 
+BASELINE_SLICES = [("00-0", "2000-Q3"), ("00-1", "1996-Q4")]
+
+
 def q_baseline_label(spark, sf_dir):
-    """Baseline status labels where the baseline has zero intrusions or is absent."""
-    r = RP.r_baseline(ctx(spark, sf_dir), "gender", "Female", "1999-Q1", "1999-Q1",
-                      location="03-2")
-    return r.select("member", "percentage", "multiplier", "status", "no_contraband",
-                    "nc_multiplier", "nc_status", "percentage_found", "found_multiplier",
-                    "found_status")
+    """Baseline statuses where the baseline member has no intrusions: one
+    slice where the other member has some (above) and one where neither has
+    any (zero)."""
+    c = ctx(spark, sf_dir)
+    out = None
+    for location, q in BASELINE_SLICES:
+        r = RP.r_baseline(c, "gender", "Female", q, q, location=location).select(
+            F.lit(location).alias("slice"), "member", "percentage", "multiplier", "status",
+            "no_contraband", "nc_multiplier", "nc_status", "percentage_found",
+            "found_multiplier", "found_status")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def q_enum_sort(spark, sf_dir):

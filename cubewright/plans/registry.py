@@ -18,20 +18,25 @@ def all_queries() -> dict:
     out = {}
     for mod in (queries_etl,):
         out.update({k: _utc(v) for k, v in mod.QUERIES.items()})
-    try:
-        from . import queries_reports
-        out.update({k: _utc(v) for k, v in queries_reports.QUERIES.items()})
-    except ImportError:
-        pass
+    from . import queries_reports, queries_sources
+    for mod in (queries_reports, queries_sources):
+        out.update({k: _utc(v) for k, v in mod.QUERIES.items()})
     return out
 
 
 def all_oracles() -> dict:
     from . import oracles_etl
     out = dict(oracles_etl.ORACLES)
-    try:
-        from . import oracles_reports
-        out.update(oracles_reports.ORACLES)
-    except ImportError:
-        pass
+    from . import oracles_reports
+    out.update(oracles_reports.ORACLES)
+    e = oracles_etl.ORACLES
+    # the file-source keys must give what the parquet path gives
+    csv_nulls = oracles_etl.csv_variant
+    out.update({
+        "scan_typed": csv_nulls(e["stop_cube_reason"]),
+        "row_ordinal": csv_nulls(e["stop_driver"]),
+        "sink_roundtrip": e["stop_cube_reason"],
+        "dim_population_csv": oracles_reports.ORACLES["dim_population"],
+        "scan_override": oracles_reports.SCAN_OVERRIDE,
+    })
     return out

@@ -58,6 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def scratch_dir(spark: SparkSession, tag: str = "scratch") -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local
+    on a cluster: the checkpoint folder is the one the cluster names)."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives the
     loss of an executor, unlike a local checkpoint)."""

@@ -224,15 +224,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygons(spark: SparkSession) -> DataFrame:
-    """(pos, label, ring array<struct<x,y>>) in feature order."""
-    rows = [(i, lab, [(float(x), float(y)) for x, y in ring])
+    """(pos, label, rings) in feature order; one closed ring per polygon."""
+    rows = [(i, lab, [[[float(x), float(y)] for x, y in ring]])
             for i, (lab, ring) in enumerate(POLYGONS)]
-    schema = T.StructType([
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("ring", T.ArrayType(T.StructType([
-            T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
-    ])
+    schema = "pos int, label string, rings array<array<array<double>>>"
     return spark.createDataFrame(rows, schema)
 
 
