@@ -42,7 +42,10 @@ def collapse_stops(persons: DataFrame, order_cols: Sequence[str],
     keys = list(cluster_keys) + list(stop_key)
     ordinal = F.struct(*[F.col(c) for c in order_cols])
     driver = F.struct("race", "gender", "age")
-    s = lambda c: F.sum(F.col(c))  # noqa: E731  (null when all inputs null)
+    have = set(persons.columns)
+
+    def s(c):  # a flag column the input lacks counts as all-null (sum -> null)
+        return F.sum(F.col(c)) if c in have else F.sum(F.lit(None).cast("double"))
     return (persons
             .where(F.col("stoptype") == "vehicle")
             .na.drop(subset=keys)
