@@ -21,12 +21,13 @@ from ..sources import files as FS
 from ..sources import sinks as SK
 
 TABLE = "car_ped_stops"
-FILE_ORDER = ["source_year", "datetimeoccur", "location", *A.PERSON_ORDER]
+STOP_KEY = ["source_year", "datetimeoccur", "location"]
+FILE_ORDER = [*STOP_KEY, *A.PERSON_ORDER]
 
 
 def _persons_text(spark: SparkSession, sf_dir: str, root: str) -> tuple[str, object]:
     p = A.persons(spark, sf_dir).drop("l_orderkey")
-    path = FS.write_member_csvs(p, root, TABLE, "source_year", FILE_ORDER)
+    path = FS.write_member_csvs(p, root, TABLE, "source_year", FILE_ORDER, group_cols=STOP_KEY)
     return path, FS.schema_of(p)
 
 
@@ -74,7 +75,8 @@ def q_scan_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     base_path, schema = _persons_text(spark, sf_dir, f"{root}/base")
     p = A.persons(spark, sf_dir).drop("l_orderkey")
     repl = p.where((F.col("source_year") == OVERRIDE_YEAR) & (F.col("stoptype") == "vehicle"))
-    over_path = FS.write_member_csvs(repl, f"{root}/override", TABLE, "source_year", FILE_ORDER)
+    over_path = FS.write_member_csvs(repl, f"{root}/override", TABLE, "source_year", FILE_ORDER,
+                                     group_cols=STOP_KEY)
 
     def members(path):
         files = spark.read.text(path).inputFiles()
@@ -106,10 +108,25 @@ def q_dim_population_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "american_indian", "unknown"])
 
 
+def q_incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly person files folded into the cube one file per micro-batch
+    (Structured Streaming, A4); equals the one-pass build."""
+    from ..streaming import fold as SF
+    root = scratch_dir(spark, "fold")
+    path, schema = _persons_text(spark, sf_dir, f"{root}/landing")
+    q = SF.start_fold(spark, f"{path}/*", f"{root}/cube", f"{root}/_checkpoint", schema,
+                      C.ANALOG["most_recent_quarter"], stop_key=("source_year", "datetimeoccur", "location"),
+                      files_per_batch=1, available_now=True)
+    q.awaitTermination()
+    cube = SF.final_cube(spark, f"{root}/cube")
+    return cube.select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
+
+
 QUERIES = {
     "scan_typed": q_scan_typed,
     "row_ordinal": q_row_ordinal,
     "scan_override": q_scan_override,
     "sink_roundtrip": q_sink_roundtrip,
     "dim_population_csv": q_dim_population_csv,
+    "incremental_fold": q_incremental_fold,
 }

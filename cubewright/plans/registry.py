@@ -35,6 +35,7 @@ def all_oracles() -> dict:
     out.update({
         "scan_typed": csv_nulls(e["stop_cube_reason"]),
         "row_ordinal": csv_nulls(e["stop_driver"]),
+        "incremental_fold": csv_nulls(e["stop_cube_reason"]),
         "sink_roundtrip": e["stop_cube_reason"],
         "dim_population_csv": oracles_reports.ORACLES["dim_population"],
         "scan_override": oracles_reports.SCAN_OVERRIDE,

@@ -206,18 +206,22 @@ def read_geojson(spark: SparkSession, path: str, label_prop: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
-                      order_cols: Sequence[str], n_parts: int = 8) -> str:
+                      order_cols: Sequence[str], n_parts: int = 8,
+                      group_cols: Sequence[str] | None = None) -> str:
     """Write ``df`` as yearly CSV members ``<root>/<table>/member=<table>_year_<Y>/``.
 
-    Rows are range-partitioned and sorted by ``order_cols`` so that the file
-    order on disk *is* that order (part files are numbered in range order).
+    Rows are range-partitioned by ``group_cols`` (a prefix of ``order_cols``,
+    e.g. the stop key: equal keys always land in the same part file, so no
+    stop spans two files) and sorted by ``order_cols`` within each file, so
+    the file order on disk *is* that order (part files are numbered in range
+    order).
     """
     out = f"{root}/{table}"
     member = F.concat(F.lit(f"{table}_year_"), F.col(year_col).cast("string"))
     # sorted by member first: the partitioned writer then keeps this order
     # (otherwise it re-sorts each task by member and loses the row order)
     (df.withColumn("member", member)
-       .repartitionByRange(n_parts, *order_cols)
+       .repartitionByRange(n_parts, *(group_cols or order_cols))
        .sortWithinPartitions("member", *order_cols)
        .write.mode("overwrite").option("header", True)
        .partitionBy("member").csv(out))
