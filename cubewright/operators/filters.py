@@ -77,7 +77,11 @@ def filter_quarters(df: DataFrame, spine: Sequence[str], start=None, end=None,
     qs = window_quarters(spine, start, end)
     if qs is None:
         return df
-    return df.where(F.col(quarter_col).isin(qs))
+    cond = F.col(quarter_col).isin(qs)
+    if "year" in df.columns:
+        # implied by the quarter list; lets a year-partitioned table prune
+        cond = F.col("year").isin(sorted({int(q[:4]) for q in qs})) & cond
+    return df.where(cond)
 
 
 def require_rows(df: DataFrame) -> DataFrame:

@@ -187,7 +187,8 @@ def _snapshot(only_race=False) -> str:
     def share(c):
         return r1(f"{ratio(c, f'sum({c}) OVER ()')} * 100.0")
     body = f"""
-, by_race AS (SELECT race, {s(last)} AS n_last, {s(b)} AS n_b, {s(a)} AS n_a FROM o_cube GROUP BY race),
+, by_race AS (SELECT race, {s(last)} AS n_last, {s(b)} AS n_b, {s(a)} AS n_a FROM o_cube
+              WHERE {last} OR {b} OR {a} GROUP BY race),
   pop_tot AS (SELECT sum(white) AS white, sum(black) AS black, sum(asian) AS asian,
                      sum(hispanic_or_latino) AS latino, sum(american_indian) + sum(unknown) AS other
               FROM o_pop),

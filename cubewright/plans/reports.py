@@ -60,6 +60,16 @@ class ReportCtx:
         qs = FL.window_quarters(self.spine, start, end)
         return F.lit(True) if qs is None else F.col("quarter").isin(qs)
 
+    def window_years(self, *windows) -> list[int] | None:
+        """Years touched by the given windows (None when one is unbounded)."""
+        ys = set()
+        for s, e in windows:
+            qs = FL.window_quarters(self.spine, s, e)
+            if qs is None:
+                return None
+            ys |= {int(q[:4]) for q in qs}
+        return sorted(ys)
+
     def n_quarters(self, start, end) -> int:
         qs = FL.window_quarters(self.spine, start, end)
         return len(self.spine) if qs is None else len(qs)
@@ -186,7 +196,12 @@ def r_snapshot(ctx: ReportCtx, last_n: int = 4, before=C.BEFORE_WINDOW,
     last = ctx.spine[-last_n:]
     in_last = F.col("quarter").isin(list(last))
     in_b, in_a = ctx.in_window(*before), ctx.in_window(*after)
-    cube = ctx.cube
+    # only rows of the three windows matter (a race seen in none of them has
+    # no stop row); naming their years lets a year-partitioned cube prune
+    years = ctx.window_years((last[0], last[-1]), before, after)
+    cube = ctx.cube.where(in_last | in_b | in_a)
+    if years is not None:
+        cube = cube.where(F.col("year").isin(years))
     k = kpi(cube, {
         "n_total": _sum_if(in_last, "n_stopped"),
         "avg_monthly": ME.avg_monthly_expr(_sum_if(in_last, "n_stopped"), _quarters_if(in_last)),
