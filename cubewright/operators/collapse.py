@@ -68,16 +68,19 @@ def collapse_stops(persons: DataFrame, order_cols: Sequence[str],
 def classify_stops(stops: DataFrame, ts_col: str = "datetimeoccur",
                    tz: str = C.LOCAL_TZ) -> DataFrame:
     """Local time, quarter, model race, age band and violation category."""
-    local = TQ.to_local(F.col(ts_col), tz)
-    return stops.select(
-        "*",
-        local.alias("local_ts"),
-        TQ.quarter_label(local).alias("quarter"),
+    # local time and the cleaned code are computed once in their own
+    # projection: the rule table and the quarter label test them many times
+    s = stops.withColumns({"local_ts": TQ.to_local(F.col(ts_col), tz),
+                           "_code": R.clean_code(F.col("mvc_code_max"))})
+    return s.select(
+        *[c for c in stops.columns if c != "driver"],
+        "local_ts",
+        TQ.quarter_label(F.col("local_ts")).alias("quarter"),
         R.recode_race(F.col("driver.race")).alias("race"),
         F.col("driver.gender").alias("gender"),
         R.age_band(F.col("driver.age")).alias("age_range"),
-        R.violation_category(R.clean_code(F.col("mvc_code_max"))).alias("violation_category"),
-    ).drop("driver")
+        R.violation_category(F.col("_code")).alias("violation_category"),
+    )
 
 
 def before_quarter_end(df: DataFrame, most_recent_quarter: str,

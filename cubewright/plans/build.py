@@ -62,6 +62,7 @@ def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter:
     if gate:
         QU.check_quarter({k: v for k, v in back.items() if k in ("stop_cube", "shootings_cube")},
                          most_recent_quarter)
+    back = {k: v for k, v in back.items()}
     settings = spark.range(1).select(F.lit(most_recent_quarter).alias("most_recent_quarter"))
     settings.write.mode("overwrite").parquet(f"{path}/settings")
     return back
@@ -73,3 +74,53 @@ def build_analog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return build_all(persons, A.PERSON_ORDER, C.ANALOG["most_recent_quarter"],
                      persons_on_hin=persons, shootings=A.shootings(spark, sf_dir),
                      cluster_keys=A.STOP_CLUSTER_KEYS)
+
+
+def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str | None = None,
+                     most_recent_quarter: str | None = None,
+                     overrides: Mapping[str, str] | None = None, gate: bool = True,
+                     psa_label: str = "PSA_NUM") -> dict[str, DataFrame]:
+    """The batch build over the real file layout (lifecycle A).
+
+    ``csv_root`` holds ``<table>/<table>_year_<YYYY>.csv`` files and a
+    ``summary.json`` per table folder.  ``overrides`` maps a file's base name
+    to a replacement file (S3).  ``psa_map`` is the PSA GeoJSON used to merge
+    districts 06/09 and re-derive their PSA (C5); without it no remap is done.
+    """
+    from ..functions.wkb import with_point
+    from ..operators import spatial as SP
+    from ..sources import files as FS
+    from ..sources import schemas as SC
+
+    if most_recent_quarter is None:
+        most_recent_quarter = FS.check_latest_full_quarter(
+            FS.read_summaries(spark, f"{csv_root}/*/summary.json"))
+    files = spark.read.text(f"{csv_root}/*/*.csv").inputFiles()
+    routed = FS.route_files(files, list(SC.TABLES))
+    if overrides:
+        for t, lst in routed.items():
+            routed[t] = [overrides.get(f.rsplit("/", 1)[-1], f) for f in lst]
+    edges = None
+    if psa_map is not None:
+        edges = SP.polygon_edges(FS.read_geojson(spark, psa_map, psa_label))
+
+    def scan(table):
+        schema = SC.TABLES[table][0]
+        df = FS.scan_typed(spark, routed[table], schema)
+        return with_point(df) if "the_geom" in df.columns else df
+
+    stop_key = ("_file", "datetimeoccur", "location")
+    tables = {}
+    if routed["car_ped_stops"]:
+        tables.update(build_all(scan("car_ped_stops"), ["_ordinal"], most_recent_quarter,
+                                psa_edges=edges, stop_key=stop_key))
+    if routed["car_ped_stops_on_hin"]:
+        h = scan("car_ped_stops_on_hin")
+        h = remap_districts(h, edges) if edges is not None else h
+        tables["hin_cube"] = CU.hin_cube(h, most_recent_quarter)
+    if routed["shootings"]:
+        s = scan("shootings")
+        if edges is not None:
+            s = remap_districts(s, edges, district_col="dist", psa_col=None)
+        tables["shootings_cube"] = CU.shootings_cube(s, most_recent_quarter)
+    return write_build(tables, out, most_recent_quarter, gate=gate)
