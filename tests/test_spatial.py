@@ -97,3 +97,16 @@ def test_geojson_scan_to_edges(spark, tmp):
                                 "vec_id long, x double, y double")
     got = {r["vec_id"]: r["polygon_label"] for r in SP.point_in_polygon(pts, edges, band=0.5).collect()}
     assert got == {1: "991", 2: None, 3: "991", 4: "091"}
+
+
+def test_geojson_point_features(spark):
+    from __spark_entry__ import queries
+    df = queries()["geojson_points"](spark, "/root/testdata/sf0.001")
+    rows = df.collect()
+    assert rows
+    for r in rows:
+        f = json.loads(r["feature"])
+        assert f["type"] == "Feature" and f["geometry"]["type"] == "Point"
+        assert len(f["geometry"]["coordinates"]) == 2
+        assert f["properties"]["vec_id"] == r["vec_id"]
+        assert f["properties"]["on_hin"] == ("stname" in f["properties"])
