@@ -116,3 +116,12 @@ def test_shootings_cube_padding(spark):
     got = {r["districtoccur"]: (r["n_shootings"], r["n_outside"])
            for r in CU.shootings_cube(df, "2022-Q4").collect()}
     assert got == {"00": (1, 1), "09": (2, 0)}
+
+
+def test_seed_total_gate(spark):
+    import pytest
+    c = cube(spark, [person(0, location="a"), person(0, location="b")])
+    CU_check = __import__("cubewright.operators.quality", fromlist=["check_total"]).check_total
+    CU_check(c, "n_stopped", 2)
+    with pytest.raises(ValueError):
+        CU_check(c, "n_stopped", 3, where=F.col("year") < 2024)
