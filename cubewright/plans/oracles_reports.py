@@ -413,7 +413,7 @@ SELECT * FROM (SELECT {cols}, 'most_increased' AS source FROM f
 POLY_VALUES = ", ".join(f"({i}, '{lab}')" for i, (lab, _) in enumerate(A.POLYGONS))
 
 
-def _top5_flags() -> str:
+def _topk_flags() -> str:
     (s, e), = AN["map_windows"]
     a = _window_map(s, e, "n_shootings", "n_stopped")
     b = _window_map(AN["before"], AN["after"], "n_stopped", "n_shootings")
@@ -529,7 +529,7 @@ def _hin_points() -> str:
 # ---------------------------------------------------------------------------
 
 (_S, _E), = AN["map_windows"]
-_T5 = _top5_flags()
+_T5 = _topk_flags()
 
 ORACLES = {
     "r_num_stops": _num_stops("*", "year"),
@@ -577,7 +577,7 @@ SELECT CASE WHEN p.districtoccur IN ('06', '09') THEN '09' ELSE p.districtoccur
   count(*) AS n_people
 FROM o_pp p LEFT JOIN o_in i ON p.pid = i.pid
 GROUP BY 1, 2""",
-    "top5_flags": "\nUNION ALL\n".join(_T5),
+    "topk_flags": "\nUNION ALL\n".join(_T5),
 }
 
 

@@ -281,7 +281,7 @@ def q_pct_change_rank(spark, sf_dir):
     return j.drop(*[c for c in j.columns if c.startswith("_key_")])
 
 
-def q_top5_flags(spark, sf_dir):
+def q_topk_flags(spark, sf_dir):
     """Attribute join of the top-5 rows of both maps to polygon features by
     district (J11): the first row per district wins (most decreased first)."""
     (s, e), = AN["map_windows"]
@@ -533,7 +533,7 @@ QUERIES = {
     "majority_split": q_majority_split,
     "ols_trend": q_ols_trend,
     "pct_change_rank": q_pct_change_rank,
-    "top5_flags": q_top5_flags,
+    "topk_flags": q_topk_flags,
     "share_within_group": q_share_within_group,
     "baseline_ratio": q_baseline_ratio,
     "baseline_label": q_baseline_label,
