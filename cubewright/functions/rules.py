@@ -66,8 +66,10 @@ def any_positive(*sums: Column) -> Column:
 
 
 def pad_district(dist: Column) -> Column:
-    """``printf('%02d', dist)``: non-numeric or null -> ``'00'``."""
-    return F.format_string("%02d", F.coalesce(dist.try_cast("int"), F.lit(0)))
+    """``printf('%02d', dist)``: ``'9'`` and ``'9.0'`` -> ``'09'``; non-numeric or
+    null -> ``'00'``."""
+    as_int = F.coalesce(dist.try_cast("int"), dist.try_cast("double").try_cast("int"), F.lit(0))
+    return F.format_string("%02d", as_int)
 
 
 def remap_district(dist: Column) -> Column:

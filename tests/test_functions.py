@@ -55,6 +55,8 @@ def test_pad_and_remap(spark):
     assert one(spark, R.pad_district(F.lit("9"))) == "09"
     assert one(spark, R.pad_district(F.lit(None).cast("string"))) == "00"
     assert one(spark, R.pad_district(F.lit("123"))) == "123"
+    assert one(spark, R.pad_district(F.lit("9.0"))) == "09"
+    assert one(spark, R.pad_district(F.lit("x"))) == "00"
     assert one(spark, R.remap_district(F.lit("06"))) == "09"
     assert one(spark, R.remap_district(F.lit("6"))) == "9"
     assert one(spark, R.remap_district(F.lit("22"))) == "22"
