@@ -34,11 +34,14 @@ class ReportCtx:
     """
 
     def __init__(self, tables: Mapping[str, object],
-                 divisions: Mapping[str, Sequence[str]] | DataFrame, spine: Sequence[str]):
+                 divisions: Mapping[str, Sequence[str]] | DataFrame, spine: Sequence[str],
+                 strict: bool = False):
         self._tables = dict(tables)
         self._built: dict[str, DataFrame] = {}
         self.divisions = divisions
         self.spine = list(spine)
+        # strict: a quarter window that selects no rows is an error (one-row probe)
+        self.strict = strict
 
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("_tables", {})
@@ -54,7 +57,10 @@ class ReportCtx:
         return FL.filter_location(df, location, self.divisions)
 
     def window(self, df: DataFrame, start=None, end=None) -> DataFrame:
-        return FL.filter_quarters(df, self.spine, start, end)
+        out = FL.filter_quarters(df, self.spine, start, end)
+        if self.strict and (start or end):
+            FL.require_rows(out)
+        return out
 
     def in_window(self, start, end) -> Column:
         qs = FL.window_quarters(self.spine, start, end)

@@ -46,19 +46,30 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set one only if none is named."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder; set one only if none is named.
+
+    Reads ``spark.checkpoint.dir`` from the session.  Without one, a
+    temporary folder is used on a ``local[...]`` master (tests); any other
+    master must name a folder the cluster shares.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote session: no SparkContext)
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         # tests / single machine only
         conf_dir = tempfile.mkdtemp(prefix="cubewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    return conf_dir
 
 
 def scratch_dir(spark: SparkSession, tag: str = "scratch") -> str:

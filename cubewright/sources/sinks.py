@@ -35,6 +35,13 @@ def write_rows(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def export_report(frames: Mapping[str, DataFrame], path: str) -> None:
+    """Write every part of a report (chart rows, KPI rows, features) as JSON
+    lines under ``path/<part>`` (the response body, without the figures)."""
+    for name, df in frames.items():
+        write_rows(df, f"{path}/{name}")
+
+
 def point_features(df: DataFrame, x: str, y: str, props: Sequence[str]) -> DataFrame:
     """One GeoJSON Feature (a JSON string) per row."""
     geom = F.struct(F.lit("Point").alias("type"), F.array(F.col(x), F.col(y)).alias("coordinates"))

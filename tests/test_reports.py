@@ -117,3 +117,28 @@ def test_whiteness_ols_and_majority(spark):
     assert w["22"]["fit_intrusion_rate"] == 60.0 and w["12"]["fit_intrusion_rate"] == 20.0
     ms = {r["district"]: r["majority_district"] for r in RP.majority_split(c.population).collect()}
     assert ms == {"12": "Majority white", "22": "Majority non-white"}
+
+
+def test_strict_window_raises_on_empty(spark):
+    c = ctx(spark, [("12", "1", "2020-Q1", "Black", "Male", "25-34", 5)])
+    c.strict = True
+    with pytest.raises(ValueError):
+        RP.r_time_slice(c, "2021-Q1", "2021-Q2")
+    assert RP.r_time_slice(c, "2020-Q1", "2020-Q1").count() == 2
+
+
+def test_cli_report_roundtrip(spark, tmp):
+    import json as _json
+    from cubewright.plans import run
+    from cubewright.sources import sinks as SK
+    c = cube(spark, [("12", "1", "2020-Q1", "Black", "Male", "25-34", 5)])
+    r = c.withColumn("violation_category", F.lit("Lights"))
+    SK.write_tables({"stop_cube": c, "stop_cube_reason": r, "hin_cube": c, "shootings_cube": c}, f"{tmp}/t")
+    spark.range(1).select(F.lit("2021-Q4").alias("most_recent_quarter")).write.parquet(f"{tmp}/t/settings")
+    with open(f"{tmp}/pop.csv", "w") as fh:
+        fh.write("district,total,white,black,asian,hispanic_or_latino,american_indian,unknown\n12,10,5,5,0,0,0,0\n")
+    run.main(["report", "--tables", f"{tmp}/t", "--population", f"{tmp}/pop.csv", "--name", "r_time_slice",
+              "--params", _json.dumps({"start": "2020-Q1", "end": "2020-Q4"}),
+              "--first-quarter", "2020-Q1", "--out", f"{tmp}/o"])
+    got = {r["metric"]: r["value"] for r in spark.read.json(f"{tmp}/o/r_time_slice").collect()}
+    assert got == {"total": 5.0, "avg_monthly": 2.0}
