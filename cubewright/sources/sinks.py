@@ -35,6 +35,47 @@ def write_rows(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def chart_rows(df: DataFrame, figure: str, x: str, y: str, group: str | None = None,
+               annotation: str | None = None, extra: Sequence[str] = (),
+               trend: str | None = None) -> DataFrame:
+    """A figure as tidy rows ``(figure, kind, group, x, y, annotation, ...)``.
+
+    ``kind`` is ``'data'`` for the bars/points and ``'trendline'`` for the
+    fitted values in column ``trend`` (kept apart, as in the response body).
+    Ratios are already null where the reproduced system had NaN/Inf.
+    """
+    base = [F.lit(figure).alias("figure"),
+            (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("group"),
+            F.col(x).cast("string").alias("x")]
+    ann = (F.col(annotation).cast("string") if annotation else F.lit(None).cast("string")).alias("annotation")
+    data = df.select(*base, F.lit("data").alias("kind"), F.col(y).cast("double").alias("y"), ann,
+                     *[F.col(c) for c in extra])
+    if trend is None:
+        return data
+    tl = df.select(*base, F.lit("trendline").alias("kind"), F.col(trend).cast("double").alias("y"),
+                   F.lit(None).cast("string").alias("annotation"),
+                   *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in extra])
+    return data.unionByName(tl)
+
+
+def figure_documents(rows: DataFrame, titles: Mapping[str, str] | None = None) -> DataFrame:
+    """One JSON document per figure: ``{"figure", "data": [...], "trendlines": [...]}``.
+
+    A figure's rows are bounded by its categories x time points, so they are
+    gathered per figure (one group per figure, never the whole table).
+    """
+    item = F.struct("group", "x", "y", "annotation")
+    g = rows.groupBy("figure").agg(
+        F.collect_list(F.when(F.col("kind") == "data", item)).alias("data"),
+        F.collect_list(F.when(F.col("kind") == "trendline", F.struct("x", "y"))).alias("trendlines"))
+    if titles:
+        t = None
+        for k, v in titles.items():
+            t = F.when(F.col("figure") == k, F.lit(v)) if t is None else t.when(F.col("figure") == k, F.lit(v))
+        g = g.withColumn("title", t)
+    return g.select("figure", F.to_json(F.struct(*g.columns)).alias("document"))
+
+
 def export_report(frames: Mapping[str, DataFrame], path: str) -> None:
     """Write every part of a report (chart rows, KPI rows, features) as JSON
     lines under ``path/<part>`` (the response body, without the figures)."""

@@ -142,3 +142,17 @@ def test_cli_report_roundtrip(spark, tmp):
               "--first-quarter", "2020-Q1", "--out", f"{tmp}/o"])
     got = {r["metric"]: r["value"] for r in spark.read.json(f"{tmp}/o/r_time_slice").collect()}
     assert got == {"total": 5.0, "avg_monthly": 2.0}
+
+
+def test_chart_rows_and_documents(spark):
+    import json as _json
+    from cubewright.sources import sinks as SK
+    c = ctx(spark, [("12", "1", "2020-Q1", "Black", "Male", "25-34", 10, 0, 0, 0, 1, 0, 2),
+                    ("22", "1", "2020-Q1", "Black", "Male", "25-34", 10, 0, 0, 0, 3, 0, 6)])
+    w = RP.r_whiteness(c, "n_stopped")
+    rows = SK.chart_rows(w, "intrusion_rate", "districtoccur", "intrusion_rate", trend="fit_intrusion_rate",
+                         extra=["whiteness"])
+    got = sorted((r["kind"], r["x"], r["y"]) for r in rows.collect())
+    assert got == [("data", "12", 20.0), ("data", "22", 60.0), ("trendline", "12", 20.0), ("trendline", "22", 60.0)]
+    doc = _json.loads(SK.figure_documents(rows, {"intrusion_rate": "Intrusion rate"}).collect()[0]["document"])
+    assert doc["title"] == "Intrusion rate" and len(doc["data"]) == 2 and len(doc["trendlines"]) == 2
