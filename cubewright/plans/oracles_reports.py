@@ -8,7 +8,6 @@ Spark side uses ``try_divide``), half-even rounding uses ``round_even``.
 from __future__ import annotations
 
 from .. import config as C
-from ..functions import timeq as TQ
 from ..operators.filters import window_quarters
 from ..sources import analog as A
 from . import oracle_base as B

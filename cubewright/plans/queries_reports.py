@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import mathx as M
-from ..functions import rules as R
 from ..functions import timeq as TQ
 from ..operators import filters as FL
 from ..operators import metrics as ME
