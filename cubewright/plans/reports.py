@@ -396,19 +396,33 @@ def r_hin(ctx: ReportCtx, location: str = "*", grain: str = "year", before=C.BEF
 def compare_windows(ctx: ReportCtx, start: tuple[str, str], end: tuple[str, str],
                     decrease_col: str, increase_col: str) -> DataFrame:
     """Per district: stops and shootings in two windows, percent changes,
-    ranks and top-5 flags (J3, J4, C9, W1-W3)."""
+    ranks and top-5 flags (J3, J4, C9, W1-W3).
+
+    Both windows come from one pass: stops of either window are summed per
+    (quarter, district), joined once to the shooting cube, then summed per
+    district with one conditional sum per window.  A district counts only if
+    it has stops in the start window (the start-to-end left join); shootings
+    of a window are 0 when the district has stops but no shootings there and
+    null when it has no stops in that window.
+    """
     sh = ctx.shootings_cube.select("quarter", "districtoccur", "n_shootings")
-
-    def side(win, tag):
-        s = ctx.window(ctx.cube, *win).groupBy("quarter", "districtoccur") \
-            .agg(F.sum("n_stopped").alias("n_stopped"))
-        j = s.join(sh, ["quarter", "districtoccur"], "left")
-        return j.groupBy("districtoccur").agg(
-            F.sum("n_stopped").cast("long").alias(f"n_stopped_{tag}"),
-            F.coalesce(F.sum("n_shootings"), F.lit(0)).cast("long").alias(f"n_shootings_{tag}"))
-
-    j = side(start, "start").join(side(end, "end"), "districtoccur", "left") \
-        .where(F.col("districtoccur") != C.AIRPORT_DISTRICT)
+    in_s, in_e = ctx.in_window(*start), ctx.in_window(*end)
+    years = ctx.window_years(start, end)
+    cube = ctx.cube.where(in_s | in_e)
+    if years is not None:
+        cube = cube.where(F.col("year").isin(years))
+    q = cube.groupBy("quarter", "districtoccur").agg(F.sum("n_stopped").alias("n_stopped"))
+    q = q.join(sh, ["quarter", "districtoccur"], "left")
+
+    def part(cond, tag):
+        has = F.max(cond.cast("int")) == 1
+        return [F.sum(F.when(cond, F.col("n_stopped"))).cast("long").alias(f"n_stopped_{tag}"),
+                F.when(has, F.coalesce(F.sum(F.when(cond, F.col("n_shootings"))), F.lit(0)))
+                 .cast("long").alias(f"n_shootings_{tag}")]
+
+    j = (q.groupBy("districtoccur").agg(*part(in_s, "start"), *part(in_e, "end"))
+          .where(F.col("n_stopped_start").isNotNull())
+          .where(F.col("districtoccur") != C.AIRPORT_DISTRICT))
     for c in ("n_stopped", "n_shootings"):
         j = j.withColumn(f"_key_{c}", pct_change_key(F.col(f"{c}_start"), F.col(f"{c}_end")))
         j = j.withColumn(f"pct_change_{c}", M.pct_change(F.col(f"{c}_start"), F.col(f"{c}_end")))
