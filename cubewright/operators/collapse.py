@@ -26,7 +26,7 @@ DEFAULT_STOP_KEY = ("source_year", "datetimeoccur", "location")
 def collapse_stops(persons: DataFrame, order_cols: Sequence[str],
                    stop_key: Sequence[str] = DEFAULT_STOP_KEY,
                    district_col: str = "districtoccur", psa_col: str = "psa",
-                   cluster_keys: Sequence[str] = ()) -> DataFrame:
+                   cluster_keys: Sequence[str] = (), key_determined: bool = False) -> DataFrame:
     """One row per vehicle stop.
 
     ``order_cols`` is the person order inside a stop (file order); the first
@@ -38,8 +38,18 @@ def collapse_stops(persons: DataFrame, order_cols: Sequence[str],
     input is already hash-partitioned, e.g. the join key of an upstream
     join.  Grouping on them too lets the planner reuse that partitioning
     instead of shuffling the person rows a second time.
+
+    ``key_determined=True`` states that the cluster keys alone identify a
+    stop (every stop-key column is a function of them once rows with a null
+    stop key are dropped).  The aggregate then groups by the cluster keys
+    only and carries the stop-key columns, so an input that is already sorted
+    by them (a sort-merge join's output) needs no second sort either.
     """
+    if key_determined and not cluster_keys:
+        raise ValueError("key_determined needs cluster_keys")
     keys = list(cluster_keys) + list(stop_key)
+    group_keys = list(cluster_keys) if key_determined else keys
+    carried = [F.min(k).alias(k) for k in stop_key] if key_determined else []
     ordinal = F.struct(*[F.col(c) for c in order_cols])
     driver = F.struct("race", "gender", "age")
     have = set(persons.columns)
@@ -49,8 +59,9 @@ def collapse_stops(persons: DataFrame, order_cols: Sequence[str],
     return (persons
             .where(F.col("stoptype") == "vehicle")
             .na.drop(subset=keys)
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n_people_in_car"),
+            .groupBy(*group_keys)
+            .agg(*carried,
+                 F.count(F.lit(1)).alias("n_people_in_car"),
                  F.min(district_col).alias("districtoccur"),
                  F.min(psa_col).alias("psa"),
                  F.max("mvc_code").alias("mvc_code_max"),

@@ -36,7 +36,8 @@ class AnalogTables:
     def stops(self) -> DataFrame:
         return self._get("stops", lambda: CO.classify_stops(
             CO.collapse_stops(self.persons(), A.PERSON_ORDER,
-                              cluster_keys=A.STOP_CLUSTER_KEYS)))
+                              cluster_keys=A.STOP_CLUSTER_KEYS,
+                              key_determined=True)))
 
     def reason_cube(self) -> DataFrame:
         return self._get("reason_cube", lambda: CU.stop_cube_reason(

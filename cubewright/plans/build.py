@@ -24,14 +24,15 @@ from ..sources import sinks as SK
 def build_all(persons: DataFrame, order_cols: Sequence[str], most_recent_quarter: str,
               persons_on_hin: DataFrame | None = None, shootings: DataFrame | None = None,
               psa_edges: DataFrame | None = None, stop_key=CO.DEFAULT_STOP_KEY,
-              cluster_keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+              cluster_keys: Sequence[str] = (), key_determined: bool = False) -> dict[str, DataFrame]:
     """All cubes as lazy DataFrames.
 
     ``psa_edges`` (polygon edges of the PSA map) turns on the district merge
     and PSA re-derivation for all three inputs, as in the reproduced build.
     """
     p = remap_districts(persons, psa_edges) if psa_edges is not None else persons
-    stops = CO.classify_stops(CO.collapse_stops(p, order_cols, stop_key, cluster_keys=cluster_keys))
+    stops = CO.classify_stops(CO.collapse_stops(p, order_cols, stop_key, cluster_keys=cluster_keys,
+                                                key_determined=key_determined))
     reason = CU.stop_cube_reason(stops, most_recent_quarter)
     out = {"stop_cube_reason": reason, "stop_cube": CU.stop_cube(reason)}
     if persons_on_hin is not None:
@@ -73,7 +74,7 @@ def build_analog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     persons = A.persons(spark, sf_dir)
     return build_all(persons, A.PERSON_ORDER, C.ANALOG["most_recent_quarter"],
                      persons_on_hin=persons, shootings=A.shootings(spark, sf_dir),
-                     cluster_keys=A.STOP_CLUSTER_KEYS)
+                     cluster_keys=A.STOP_CLUSTER_KEYS, key_determined=True)
 
 
 def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str | None = None,

@@ -25,9 +25,15 @@ def _t(spark, sf_dir) -> AnalogTables:
     return AnalogTables(spark, sf_dir)
 
 
+def _stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unclassified stops of the analog (grouped by the order key, see
+    ``collapse_stops(key_determined=True)``)."""
+    return CO.collapse_stops(A.persons(spark, sf_dir), A.PERSON_ORDER,
+                             cluster_keys=A.STOP_CLUSTER_KEYS, key_determined=True)
+
+
 def q_stop_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = CO.collapse_stops(A.persons(spark, sf_dir), A.PERSON_ORDER,
-                          cluster_keys=A.STOP_CLUSTER_KEYS)
+    s = _stops(spark, sf_dir)
     return s.select("source_year", F.date_format("datetimeoccur", TS_FMT).alias("datetimeoccur"),
                     "location", "n_people_in_car", "districtoccur", "psa", "mvc_code_max",
                     "was_searched", "was_arrested", "was_found_with_contraband",
@@ -35,8 +41,7 @@ def q_stop_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stop_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = CO.collapse_stops(A.persons(spark, sf_dir), A.PERSON_ORDER,
-                          cluster_keys=A.STOP_CLUSTER_KEYS)
+    s = _stops(spark, sf_dir)
     return s.select("source_year", "location",
                     F.col("driver.race").alias("driver_race"),
                     F.col("driver.gender").alias("driver_gender"),
@@ -44,8 +49,7 @@ def q_stop_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_any_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = CO.collapse_stops(A.persons(spark, sf_dir), A.PERSON_ORDER,
-                          cluster_keys=A.STOP_CLUSTER_KEYS)
+    s = _stops(spark, sf_dir)
     flags = ["was_searched", "was_arrested", "was_found_with_contraband", "was_frisked",
              "was_intruded"]
     return s.groupBy("source_year").agg(

@@ -160,8 +160,9 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERSON_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-# grouping column functionally dependent on the stop key, which the person
-# rows are already hash-partitioned by after the order join
+# grouping column by which the person rows are hash-partitioned and sorted
+# after the order join; once rows without a location are dropped it alone
+# identifies a stop (location = order key, date and year come from the order)
 STOP_CLUSTER_KEYS = ["l_orderkey"]
 
 
