@@ -77,10 +77,27 @@ def build_analog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                      cluster_keys=A.STOP_CLUSTER_KEYS, key_determined=True)
 
 
+def hin_sample(persons: DataFrame, segments: DataFrame, year: int, n: int = 1000,
+               d: float = C.HIN_DISTANCE, seed: int = 42) -> DataFrame:
+    """Seeded sample of ``n`` locatable stops of one year, left-joined to the
+    network segments within ``d`` (a stop near two roads appears twice)."""
+    from ..operators import rank as RK
+    from ..operators import spatial as SP
+    p = persons.where((F.year("datetimeoccur") == year) & (F.col("point_y") < C.LOCATABLE_MAX_Y))
+    s = RK.sample_n(p, n, ["cartodb_id", "objectid", "datetimeoccur", "location"], seed)
+    j = SP.points_near_lines(s, segments, d, x="point_x", y="point_y", mode="all")
+    return j.select(F.col("point_y").alias("lat"), F.col("point_x").alias("lng"),
+                    F.lit(year).alias("year"), F.col("line_name").isNotNull().alias("on_hin"),
+                    F.col("objectid").cast("string").alias("stops_objectid"), "location",
+                    F.col("line_name").alias("stname"))
+
+
 def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str | None = None,
                      most_recent_quarter: str | None = None,
                      overrides: Mapping[str, str] | None = None, gate: bool = True,
-                     psa_label: str = "PSA_NUM") -> dict[str, DataFrame]:
+                     psa_label: str = "PSA_NUM", hin_lines: str | None = None,
+                     hin_line_name: str = "street_name", sample_year: int | None = None,
+                     sample_rows: int = 1000) -> dict[str, DataFrame]:
     """The batch build over the real file layout (lifecycle A).
 
     ``csv_root`` holds ``<table>/<table>_year_<YYYY>.csv`` files and a
@@ -113,8 +130,12 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
     stop_key = ("_file", "datetimeoccur", "location")
     tables = {}
     if routed["car_ped_stops"]:
-        tables.update(build_all(scan("car_ped_stops"), ["_ordinal"], most_recent_quarter,
+        persons = scan("car_ped_stops")
+        tables.update(build_all(persons, ["_ordinal"], most_recent_quarter,
                                 psa_edges=edges, stop_key=stop_key))
+        if hin_lines is not None and sample_year is not None:
+            segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name)
+            tables["hin_sample"] = hin_sample(persons, segs, sample_year, sample_rows)
     if routed["car_ped_stops_on_hin"]:
         h = scan("car_ped_stops_on_hin")
         h = remap_districts(h, edges) if edges is not None else h

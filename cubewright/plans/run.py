@@ -1,6 +1,7 @@
 """Command line: run the batch build or a report on a cluster.
 
     spark-submit -m cubewright.plans.run build  --csv-root R --out O [--psa-map M] [--quarter 2024-Q3]
+                                                [--hin-lines L --sample-year 2023]
     spark-submit -m cubewright.plans.run report --tables O --population P --name r_num_stops --out J
     spark-submit -m cubewright.plans.run analog --sf-dir D --out O
 
@@ -44,6 +45,8 @@ def main(argv=None) -> None:
     b.add_argument("--psa-map")
     b.add_argument("--quarter")
     b.add_argument("--override", action="append", default=[], help="base_name=path")
+    b.add_argument("--hin-lines", help="GeoJSON of the high-injury network lines")
+    b.add_argument("--sample-year", type=int, help="year of the network sample table")
     r = sub.add_parser("report")
     r.add_argument("--tables", required=True)
     r.add_argument("--population", required=True, help="CSV: district,total,white,black,...")
@@ -61,7 +64,8 @@ def main(argv=None) -> None:
     if args.cmd == "build":
         overrides = dict(o.split("=", 1) for o in args.override)
         BL.build_from_files(spark, args.csv_root, args.out, psa_map=args.psa_map,
-                            most_recent_quarter=args.quarter, overrides=overrides)
+                            most_recent_quarter=args.quarter, overrides=overrides,
+                            hin_lines=args.hin_lines, sample_year=args.sample_year)
     elif args.cmd == "analog":
         BL.write_build(BL.build_analog(spark, args.sf_dir), args.out, C.ANALOG["most_recent_quarter"])
     else:

@@ -201,6 +201,28 @@ def read_geojson(spark: SparkSession, path: str, label_prop: str) -> DataFrame:
                     rings.alias("rings"))
 
 
+def read_geojson_lines(spark: SparkSession, path: str, name_prop: str) -> DataFrame:
+    """LineString / MultiLineString features -> one row per segment
+    ``(name, x1, y1, x2, y2)`` (the network lines of J10)."""
+    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
+        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("geometry", T.StringType())])))])
+    fc = spark.read.schema(schema).option("multiLine", True).json(path)
+    f = fc.select(F.explode("features").alias("f"))
+    g = F.from_json(F.col("f.geometry"), _GEOM)
+    lines = (F.when(g["type"] == "LineString",
+                    F.array(F.from_json(g["coordinates"], "array<array<double>>")))
+              .when(g["type"] == "MultiLineString",
+                    F.from_json(g["coordinates"], "array<array<array<double>>>")))
+    ln = f.select(F.col("f.properties").getItem(name_prop).alias("name"),
+                  F.explode(lines).alias("line"))
+    n = F.size("line") - 1
+    seg = ln.select("name", F.explode(F.arrays_zip(F.slice("line", 1, n).alias("a"),
+                                                   F.slice("line", 2, n).alias("b"))).alias("s"))
+    return seg.select("name", F.col("s.a")[0].alias("x1"), F.col("s.a")[1].alias("y1"),
+                      F.col("s.b")[0].alias("x2"), F.col("s.b")[1].alias("y2"))
+
+
 # ---------------------------------------------------------------------------
 # writing person files (fixture side: derived from the tables)
 # ---------------------------------------------------------------------------

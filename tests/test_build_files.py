@@ -104,3 +104,21 @@ def test_gate_rejects_stale_quarter(spark, tmp, layout):
     root, _ = layout
     with pytest.raises(ValueError):
         BL.build_from_files(spark, root, f"{tmp}/out4", most_recent_quarter="2023-Q1")
+
+
+def test_hin_sample_table(spark, tmp, layout):
+    root, psa_map = layout
+    lines = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"street_name": "MAIN"},
+         "geometry": {"type": "LineString", "coordinates": [[0.0, 0.0], [0.2, 0.2]]}},
+        {"type": "Feature", "properties": {"street_name": "BROAD"},
+         "geometry": {"type": "MultiLineString", "coordinates": [[[0.1, 0.0], [0.1, 0.3]]]}}]}
+    with open(f"{tmp}/hin.geojson", "w") as fh:
+        json.dump(lines, fh)
+    t = BL.build_from_files(spark, root, f"{tmp}/out5", psa_map=psa_map, hin_lines=f"{tmp}/hin.geojson",
+                            sample_year=2022, sample_rows=10)
+    rows = t["hin_sample"].collect()
+    # 'b' at (0.1, 0.1) is on both roads (two rows); 'd' at (5, 5) is on none; 'c' has no point
+    got = sorted((r["location"], r["stname"]) for r in rows)
+    assert got == [("b", "BROAD"), ("b", "MAIN"), ("d", None)]
+    assert {r["on_hin"] for r in rows if r["location"] == "b"} == {True}
