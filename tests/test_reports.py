@@ -156,3 +156,30 @@ def test_chart_rows_and_documents(spark):
     assert got == [("data", "12", 20.0), ("data", "22", 60.0), ("trendline", "12", 20.0), ("trendline", "22", 60.0)]
     doc = _json.loads(SK.figure_documents(rows, {"intrusion_rate": "Intrusion rate"}).collect()[0]["document"])
     assert doc["title"] == "Intrusion rate" and len(doc["data"]) == 2 and len(doc["trendlines"]) == 2
+
+
+def test_compare_windows_edges(spark):
+    rows = [("12", "1", "2020-Q1", "Black", "Male", "25-34", 10),   # start and end
+            ("12", "1", "2021-Q1", "Black", "Male", "25-34", 20),
+            ("22", "1", "2020-Q1", "Black", "Male", "25-34", 5),    # start only
+            ("25", "1", "2021-Q1", "Black", "Male", "25-34", 7),    # end only -> lost
+            ("77", "1", "2020-Q1", "Black", "Male", "25-34", 9),    # airport -> dropped
+            ("77", "1", "2021-Q1", "Black", "Male", "25-34", 9)]
+    sh = spark.createDataFrame([("2021-Q1", "12", 3), ("2020-Q1", "22", 0)],
+                               "quarter string, districtoccur string, n_shootings long")
+    c = ctx(spark, rows)
+    c._built["shootings_cube"] = sh
+    j = RP.compare_windows(c, ("2020-01-01", "2020-12-31"), ("2021-01-01", "2021-12-31"),
+                           "n_shootings", "n_stopped")
+    got = {r["districtoccur"]: r for r in j.collect()}
+    assert set(got) == {"12", "22"}
+    a, b = got["12"], got["22"]
+    assert (a["n_stopped_start"], a["n_stopped_end"], a["pct_change_n_stopped"]) == (10, 20, 100.0)
+    # shootings grew from 0 to 3: change is null (+Inf) but ranks first for an increase
+    assert a["n_shootings_start"] == 0 and a["n_shootings_end"] == 3
+    assert a["pct_change_n_shootings"] is None
+    assert b["n_stopped_end"] is None and b["n_shootings_end"] is None
+    assert a["ranked_n_stopped_increase"] == 1 and b["ranked_n_stopped_increase"] is None
+    # decrease ranking (max method, ascending) on shootings: 12 is +inf -> rank 1 of 1
+    assert a["ranked_n_shootings_decrease"] == 1 and b["ranked_n_shootings_decrease"] is None
+    assert a["is_top_5_increase"] and not b["is_top_5_increase"]
