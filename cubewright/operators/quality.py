@@ -58,3 +58,14 @@ def null_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.selectExpr("n_rows", f"stack({len(cols)}, {stack}) as (column_name, pct_null)")
+
+
+def unknown_geometry(remapped: DataFrame, table: str, district_col: str = "districtoccur",
+                     psa_col: str = "psa", merged: Sequence[str] = ("09", "9")) -> DataFrame:
+    """Rows of the merged district whose PSA could not be derived (no point),
+    as a percentage of all rows (C6): one row ``(table, n_unknown, n_rows, pct)``."""
+    unknown = F.col(district_col).isin(list(merged)) & F.col(psa_col).isNull()
+    return remapped.agg(F.sum(unknown.cast("long")).alias("n_unknown"),
+                        F.count(F.lit(1)).alias("n_rows")) \
+        .select(F.lit(table).alias("table"), "n_unknown", "n_rows",
+                (F.col("n_unknown") / F.col("n_rows") * F.lit(100.0)).alias("pct_unknown"))

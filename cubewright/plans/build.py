@@ -140,6 +140,9 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
         h = scan("car_ped_stops_on_hin")
         h = remap_districts(h, edges) if edges is not None else h
         tables["hin_cube"] = CU.hin_cube(h, most_recent_quarter)
+    if edges is not None and routed["car_ped_stops"]:
+        tables["quality_unknown_geometry"] = QU.unknown_geometry(
+            remap_districts(scan("car_ped_stops"), edges), "car_ped_stops")
     if routed["shootings"]:
         s = scan("shootings")
         if edges is not None:

@@ -80,6 +80,8 @@ def test_build_from_files(spark, tmp, layout):
     assert s == {"09": 1, "00": 1}
     assert t["hin_cube"].agg(F.sum("n_stopped_locatable_on_hin")).collect()[0][0] == 1
     assert spark.read.parquet(f"{tmp}/out/settings").collect()[0][0] == "2022-Q4"
+    q = t["quality_unknown_geometry"].collect()[0]
+    assert (q["n_unknown"], q["n_rows"]) == (1, 9)          # "c": district 06 without a point
 
 
 def test_unknown_file_fails(spark, tmp, layout):
