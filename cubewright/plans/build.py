@@ -72,9 +72,12 @@ def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter:
 def build_analog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from ..sources import analog as A
     persons = A.persons(spark, sf_dir)
-    return build_all(persons, A.PERSON_ORDER, C.ANALOG["most_recent_quarter"],
-                     persons_on_hin=persons, shootings=A.shootings(spark, sf_dir),
-                     cluster_keys=A.STOP_CLUSTER_KEYS, key_determined=True)
+    out = build_all(persons, A.PERSON_ORDER, C.ANALOG["most_recent_quarter"],
+                    persons_on_hin=persons, shootings=A.shootings(spark, sf_dir),
+                    cluster_keys=A.STOP_CLUSTER_KEYS, key_determined=True)
+    # the population dimension (one row per district) is written with the cubes
+    out["population"] = A.population(spark, sf_dir)
+    return out
 
 
 def hin_sample(persons: DataFrame, segments: DataFrame, year: int, n: int = 1000,

@@ -63,7 +63,7 @@ def main():
     t = BL.write_build(BL.build_analog(spark, sf), f"{out}/cubes", C.ANALOG["most_recent_quarter"])
     ctx = RP.ReportCtx({"cube": t["stop_cube"], "reason_cube": t["stop_cube_reason"],
                         "hin_cube": t["hin_cube"], "shootings_cube": t["shootings_cube"],
-                        "population": A.population(spark, sf)}, A.division_map(spark, sf), QR.SPINE)
+                        "population": t["population"]}, A.division_map(spark, sf), QR.SPINE)
     (ms, me), = C.ANALOG["map_windows"]
     edges = SP.polygon_edges(A.polygons(spark))
     jobs = {
