@@ -13,9 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import mathx as M
 
 
+def measure_of(action_or_column: str) -> str:
+    """A police action (``stop``, ``frisk``, ``search``, ``intrusion``) or a
+    measure column name -> the cube measure column (C16)."""
+    return C.ACTIONS.get(action_or_column, action_or_column)
+
+
 def sums(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Group by ``keys`` and sum ``measures``."""
     return df.groupBy(*keys).agg(*[F.sum(m).cast("long").alias(m) for m in measures])

@@ -142,6 +142,7 @@ def r_time_slice(ctx: ReportCtx, start: str, end: str, location: str = "*") -> D
 def r_seasonal(ctx: ReportCtx, quarters: Sequence[str], location: str = "*",
                measure: str = "n_stopped") -> DataFrame:
     """Per-year sum over the chosen quarters, only for years that have all of them."""
+    measure = ME.measure_of(measure)
     d = ctx.loc(ctx.cube, location).where(F.col("q_str").isin(list(quarters)))
     return (d.groupBy("year").agg(F.sum(measure).cast("long").alias(measure),
                                    F.countDistinct("q_str").alias("_nq"))
@@ -151,6 +152,7 @@ def r_seasonal(ctx: ReportCtx, quarters: Sequence[str], location: str = "*",
 def r_share_by_demo(ctx: ReportCtx, category: str, start=None, end=None,
                     location: str = "*", measure: str = "n_stopped") -> DataFrame:
     """Share of stops by one demographic category, enum-ordered."""
+    measure = ME.measure_of(measure)
     d = ctx.window(ctx.loc(ctx.cube, location), start, end)
     g = ME.sums(d, [category], [measure])
     g = ME.share_of_total(g, measure, "percentage")
@@ -163,6 +165,7 @@ def r_share_by_demo(ctx: ReportCtx, category: str, start=None, end=None,
 def r_most_frequent(ctx: ReportCtx, start=None, end=None, location: str = "*",
                     measure: str = "n_stopped") -> DataFrame:
     """Ranked race x gender x age shares (rounded, > 0) and the top group."""
+    measure = ME.measure_of(measure)
     d = ctx.window(ctx.loc(ctx.cube, location), start, end)
     keys = ["race", "gender", "age_range"]
     g = ME.sums(d, keys, [measure])
@@ -340,6 +343,7 @@ def majority_split(population: DataFrame) -> DataFrame:
 
 def r_whiteness(ctx: ReportCtx, measure: str = "n_stopped", start=None, end=None) -> DataFrame:
     """Per district, ordered by whiteness, a measure and two rates with OLS lines."""
+    measure = ME.measure_of(measure)
     d = ctx.window(ctx.cube, start, end)
     g = ME.sums(d, ["districtoccur"], FL.measure_columns(d)).where(
         F.col("districtoccur") != C.AIRPORT_DISTRICT)
@@ -360,6 +364,7 @@ def r_whiteness(ctx: ReportCtx, measure: str = "n_stopped", start=None, end=None
 def r_compare_districts(ctx: ReportCtx, districts: Sequence[str], measure: str = "n_stopped",
                         start=None, end=None) -> DataFrame:
     """One value per requested district, request order kept, missing -> 0."""
+    measure = ME.measure_of(measure)
     spark = ctx.cube.sparkSession
     req = [(i, FL.parse_location(x, [])[1]) for i, x in enumerate(districts)]
     req_df = spark.createDataFrame(req, "pos int, district string")

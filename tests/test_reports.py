@@ -183,3 +183,9 @@ def test_compare_windows_edges(spark):
     # decrease ranking (max method, ascending) on shootings: 12 is +inf -> rank 1 of 1
     assert a["ranked_n_shootings_decrease"] == 1 and b["ranked_n_shootings_decrease"] is None
     assert a["is_top_5_increase"] and not b["is_top_5_increase"]
+
+
+def test_action_names_select_measures(spark):
+    c = ctx(spark, [("12", "1", "2020-Q1", "Black", "Male", "25-34", 5, 0, 0, 0, 0, 3, 0)])
+    a = RP.r_compare_districts(c, ["12"], "frisk", "2020-Q1", "2020-Q4").collect()[0]
+    assert a["n_frisked"] == 3
