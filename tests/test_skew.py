@@ -42,3 +42,20 @@ def test_hot_shootings_district(spark):
     df = spark.createDataFrame(rows, "date_ timestamp, dist string, inside double").repartition(8)
     got = {r["districtoccur"]: r["n_shootings"] for r in CU.shootings_cube(df, "2022-Q4").collect()}
     assert sum(got.values()) == 3000 and got["09"] >= 1000
+
+
+def test_bucketed_persons_need_no_shuffle_for_stops(spark):
+    rows = [person(i, location=f"L{i % 50}", age=float(20 + i % 40)) for i in range(500)]
+    name = "persons_bucketed_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (frame(spark, rows).write.bucketBy(4, "datetimeoccur", "location").sortBy("datetimeoccur", "location")
+     .mode("overwrite").saveAsTable(name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        s = CO.collapse_stops(spark.table(name), ORDER, STOP_KEY)
+        plan = s._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert s.count() == 50
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
