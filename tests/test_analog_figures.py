@@ -37,3 +37,21 @@ def test_spatial_figures(spark):
     near = SP.points_near_lines(pts, A.segments(spark), A.SEGMENT_DISTANCE, mode="all")
     got = {r[0]: r[1] for r in near.groupBy("line_name").count().collect() if r[0]}
     assert got == {"A": 68, "B": 63, "C": 59, "D": 5}
+
+
+def test_collapse_check_figures(spark):
+    from cubewright.functions import timeq as TQ
+    from cubewright.operators import collapse as CO
+    s = CO.collapse_stops(A.persons(spark, SF), A.PERSON_ORDER, cluster_keys=A.STOP_CLUSTER_KEYS,
+                          key_determined=True)
+    s = (s.withColumn("local_ts", TQ.to_local(F.col("datetimeoccur")))
+          .withColumn("quarter", TQ.quarter_label(F.col("local_ts"))))
+    s = CO.before_quarter_end(s, "2000-Q4").select(
+        "quarter", "districtoccur", "psa", "mvc_code_max", "n_people_in_car", "was_searched", "was_frisked",
+        F.col("driver.race").alias("race"), F.col("driver.gender").alias("gender"))
+    d = s.na.drop(subset=["districtoccur", "psa", "race", "gender"])
+    keys = ["quarter", "districtoccur", "psa", "race", "gender", "mvc_code_max"]
+    assert d.groupBy(*keys).count().count() == 11258
+    r = d.agg(F.count("*"), F.sum("n_people_in_car"), F.sum("was_searched"), F.sum("was_frisked")).collect()[0]
+    assert list(r) == [11500, 41223, 5007, 4714]
+    assert d.where(F.col("quarter") == "1994-Q4").count() == 1
