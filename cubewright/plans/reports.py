@@ -190,6 +190,19 @@ def r_cohorts(ctx: ReportCtx, group1: Mapping[str, Sequence[str]], group2: Mappi
 # snapshot
 # ---------------------------------------------------------------------------
 
+POP_COUNTS = ["total", "white", "black", "asian", "hispanic_or_latino", "american_indian", "unknown"]
+
+
+def population_rollup(pop_psa: DataFrame, geographies: DataFrame, level: str = "district",
+                      psa_key: str = "PSA_NUM") -> DataFrame:
+    """Population per PSA joined to the PSA -> district -> division geography
+    and summed per ``level`` (J7).  Both inputs are dimension tables (one row
+    per PSA); the geography is broadcast."""
+    g = F.broadcast(geographies.select(F.col("full_psa_num").alias("_psa"), F.col(level).alias(level)))
+    j = pop_psa.join(g, pop_psa[psa_key] == g["_psa"], "left")
+    return j.groupBy(level).agg(*[F.sum(c).cast("long").alias(c) for c in POP_COUNTS])
+
+
 def population_by_race(population: DataFrame) -> DataFrame:
     """City population per model race (U5): other = american_indian + unknown."""
     tot = population.agg(*[F.sum(c).cast("long").alias(c) for c in

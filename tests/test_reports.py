@@ -189,3 +189,22 @@ def test_action_names_select_measures(spark):
     c = ctx(spark, [("12", "1", "2020-Q1", "Black", "Male", "25-34", 5, 0, 0, 0, 0, 3, 0)])
     a = RP.r_compare_districts(c, ["12"], "frisk", "2020-Q1", "2020-Q4").collect()[0]
     assert a["n_frisked"] == 3
+
+
+def test_population_rollup_and_races(spark):
+    pop = spark.createDataFrame(
+        [("011", 100, 10, 50, 5, 20, 3, 2, 10), ("012", 50, 5, 20, 5, 10, 1, 1, 8),
+         ("221", 80, 30, 20, 10, 10, 0, 0, 10), ("077", 0, 0, 0, 0, 0, 0, 0, 0)],
+        "PSA_NUM string, total long, hispanic_or_latino long, white long, black long, american_indian long, "
+        "asian long, unknown long, x long").drop("x")
+    geo = spark.createDataFrame([("011", "1", "01", "SPD"), ("012", "2", "01", "SPD"), ("221", "1", "22", "CPD"),
+                                 ("077", "7", "77", "SWPD")], "full_psa_num string, psa string, district string, division string")
+    d = {r["district"]: (r["total"], r["white"]) for r in RP.population_rollup(pop, geo, "district").collect()}
+    assert d == {"01": (150, 70), "22": (80, 20), "77": (0, 0)}
+    v = {r["division"]: r["total"] for r in RP.population_rollup(pop, geo, "division").collect()}
+    assert v == {"SPD": 150, "CPD": 80, "SWPD": 0}
+    races = {r["race"]: r["n_population"] for r in RP.population_by_race(
+        RP.population_rollup(pop, geo, "district")).collect()}
+    assert races == {"White": 90, "Black": 20, "Asian": 4, "Latino": 45, "All Other Races": 43}
+    w = {r["district"]: r["whiteness"] for r in RP.whiteness(RP.population_rollup(pop, geo)).collect()}
+    assert w == {"01": 46.7, "22": 25.0, "77": None}     # zero population -> no share
