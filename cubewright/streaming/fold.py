@@ -7,9 +7,10 @@ files, turned into a cube and merged into the cube table:
 
     new version = merge_cubes(previous version, batch cube)
 
-Every batch writes ``<table>/v=<batch_id>`` from ``v=<batch_id - 1>`` only,
-so a replayed batch (after a failure, from the streaming checkpoint)
-rewrites the same version: exactly-once without a transactional sink.  The
+Every batch writes ``<table>/v=<batch_id>`` from the newest version older
+than itself, so a replayed batch (after a failure, from the streaming
+checkpoint) rewrites the same version: exactly-once without a transactional
+sink.  The
 cube is small (bounded by its keys), so the merge is cheap; the person rows
 are touched once, by the batch that brings them.
 """
@@ -33,12 +34,16 @@ def _version_path(table: str, batch_id: int) -> str:
     return f"{table}/v={batch_id}"
 
 
-def latest_version(spark: SparkSession, table: str) -> DataFrame | None:
-    """The newest written version of the cube table (None before the first)."""
+def latest_version(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The newest written version of the cube table (optionally older than
+    batch ``before``); None before the first.  A replayed batch therefore
+    always folds into the state its first attempt saw."""
     try:
         df = spark.read.parquet(table)
     except Exception:  # noqa: BLE001  (no version written yet)
         return None
+    if before is not None:
+        df = df.where(F.col("v") < before)
     last = df.agg(F.max("v")).collect()[0][0]
     return None if last is None else df.where(F.col("v") == last).drop("v")
 
@@ -54,11 +59,9 @@ def fold_batch(batch: DataFrame, batch_id: int, table: str, schema: T.StructType
     stops = CO.classify_stops(CO.collapse_stops(typed, ["_ordinal"], ["_file", *stop_key]))
     cube = CU.stop_cube_reason(stops, most_recent_quarter).select(*C.REASON_KEYS, *C.STOP_MEASURES)
     parts = [cube]
-    if batch_id > 0:
-        try:
-            parts.append(spark.read.parquet(_version_path(table, batch_id - 1)))
-        except Exception:  # noqa: BLE001  (previous batch had no files)
-            pass
+    prev = latest_version(spark, table, before=batch_id)
+    if prev is not None:
+        parts.append(prev)
     merged = CU.merge_cubes(parts, C.REASON_KEYS, C.STOP_MEASURES)
     merged.write.mode("overwrite").parquet(_version_path(table, batch_id))
 
