@@ -116,7 +116,7 @@ def q_incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, schema = _persons_text(spark, sf_dir, f"{root}/landing")
     q = SF.start_fold(spark, f"{path}/*", f"{root}/cube", f"{root}/_checkpoint", schema,
                       C.ANALOG["most_recent_quarter"], stop_key=("source_year", "datetimeoccur", "location"),
-                      files_per_batch=1, available_now=True)
+                      files_per_batch=8, available_now=True)
     q.awaitTermination()
     cube = SF.final_cube(spark, f"{root}/cube")
     return cube.select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")

@@ -37,15 +37,19 @@ def _version_path(table: str, batch_id: int) -> str:
 def latest_version(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
     """The newest written version of the cube table (optionally older than
     batch ``before``); None before the first.  A replayed batch therefore
-    always folds into the state its first attempt saw."""
+    always folds into the state its first attempt saw.  The version is found
+    from the file listing (names only); then only that version is read."""
+    import re
     try:
-        df = spark.read.parquet(table)
+        files = spark.read.parquet(table).inputFiles()
     except Exception:  # noqa: BLE001  (no version written yet)
         return None
+    versions = {int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m}
     if before is not None:
-        df = df.where(F.col("v") < before)
-    last = df.agg(F.max("v")).collect()[0][0]
-    return None if last is None else df.where(F.col("v") == last).drop("v")
+        versions = {v for v in versions if v < before}
+    if not versions:
+        return None
+    return spark.read.parquet(_version_path(table, max(versions)))
 
 
 def fold_batch(batch: DataFrame, batch_id: int, table: str, schema: T.StructType,
