@@ -109,7 +109,7 @@ def q_dim_population_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly person files folded into the cube one file per micro-batch
+    """Yearly person files folded into the cube a few files per micro-batch
     (Structured Streaming, A4); equals the one-pass build."""
     from ..streaming import fold as SF
     root = scratch_dir(spark, "fold")
