@@ -1,9 +1,9 @@
 """Command line: run the batch build or a report on a cluster.
 
-    spark-submit -m cubewright.plans.run build  --csv-root R --out O [--psa-map M] [--quarter 2024-Q3]
-                                                [--hin-lines L --sample-year 2023]
-    spark-submit -m cubewright.plans.run report --tables O --population P --name r_num_stops --out J
-    spark-submit -m cubewright.plans.run analog --sf-dir D --out O
+    spark-submit --py-files cubewright.zip run_job.py build  --csv-root R --out O [--psa-map M]
+                 [--quarter 2024-Q3] [--hin-lines L --sample-year 2023]
+    spark-submit --py-files cubewright.zip run_job.py report --tables O --population P --name r_num_stops --out J
+    spark-submit --py-files cubewright.zip run_job.py analog --sf-dir D --out O
 
 The session comes from the launcher; only its settings are read.
 """
@@ -27,9 +27,11 @@ def _report_ctx(spark, tables: str, population: str, first: str) -> RP.ReportCtx
     settings = spark.read.parquet(f"{tables}/settings").select("most_recent_quarter").first()[0]
     t = {n: SK.read_table(spark, tables, n)
          for n in ("stop_cube", "stop_cube_reason", "hin_cube", "shootings_cube")}
-    pop = FS.scan_dim_csv(spark, population, ["district"],
-                          ["total", "white", "black", "asian", "hispanic_or_latino", "american_indian",
-                           "unknown"])
+    counts = ["total", "white", "black", "asian", "hispanic_or_latino", "american_indian", "unknown"]
+    if population.endswith(".csv"):
+        pop = FS.scan_dim_csv(spark, population, ["district"], counts)
+    else:                                   # a written population table
+        pop = spark.read.parquet(population).select("district", *counts)
     return RP.ReportCtx({"cube": t["stop_cube"], "reason_cube": t["stop_cube_reason"],
                          "hin_cube": t["hin_cube"], "shootings_cube": t["shootings_cube"],
                          "population": pop},
@@ -49,7 +51,8 @@ def main(argv=None) -> None:
     b.add_argument("--sample-year", type=int, help="year of the network sample table")
     r = sub.add_parser("report")
     r.add_argument("--tables", required=True)
-    r.add_argument("--population", required=True, help="CSV: district,total,white,black,...")
+    r.add_argument("--population", required=True,
+                   help="district population: CSV (district,total,white,...) or a written table")
     r.add_argument("--name", required=True)
     r.add_argument("--params", default="{}", help="JSON keyword arguments")
     r.add_argument("--first-quarter", default=C.FIRST_QUARTER)
