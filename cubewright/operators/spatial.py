@@ -48,6 +48,20 @@ def _checked_broadcast(shapes: DataFrame) -> DataFrame:
     return shapes
 
 
+TARGET_CELLS = 2048       # auto sizing: bands / cells across the map's extent
+
+
+def _auto_size(shapes: DataFrame, lo_cols, hi_cols, minimum: float = 0.0) -> float:
+    """Extent of the (small) shape table / TARGET_CELLS: a real map's band
+    then holds a few hundred edges, so each point tests a few hundred edges."""
+    r = shapes.agg(F.least(*[F.min(c) for c in lo_cols]).alias("lo"),
+                   F.greatest(*[F.max(c) for c in hi_cols]).alias("hi")).collect()[0]
+    if r["lo"] is None:
+        return max(minimum, 1.0)
+    size = (r["hi"] - r["lo"]) / TARGET_CELLS
+    return max(size, minimum, 1e-9)
+
+
 def _bands(edges: DataFrame, band: float) -> DataFrame:
     """Edge replicated into every horizontal band its y-range touches."""
     lo = F.floor(F.least("y1", "y2") / F.lit(band)).cast("long")
@@ -59,7 +73,7 @@ def _bands(edges: DataFrame, band: float) -> DataFrame:
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y",
-                     band: float = 0.05, out: str = "polygon_label",
+                     band: float | None = None, out: str = "polygon_label",
                      default: str | None = None, only=None) -> DataFrame:
     """Label of the first polygon (by ``pos``) that strictly contains each point.
 
@@ -68,6 +82,8 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
     Column) restricts the lookup to some rows; the others get null and cost
     one failed hash probe.
     """
+    if band is None:
+        band = _auto_size(edges, ["y1", "y2"], ["y1", "y2"])
     bands = _checked_broadcast(_bands(edges, band))
     key = F.floor(F.col(y) / F.lit(band)).cast("long")
     pts = points.withColumn("_band", key if only is None else F.when(only, key))
@@ -101,7 +117,7 @@ def _cells(segments: DataFrame, cell: float, d: float) -> DataFrame:
 
 
 def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str = "x",
-                      y: str = "y", cell: float = 0.05, mode: str = "any") -> DataFrame:
+                      y: str = "y", cell: float | None = None, mode: str = "any") -> DataFrame:
     """Points within distance ``d`` of any line segment.
 
     ``mode='any'``: every point once, with ``on_line`` (bool), ``n_lines`` and
@@ -109,6 +125,9 @@ def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str =
     row per (point, matching segment); points with no match keep one row with
     a null ``line_name`` (so rows multiply where lines cross).
     """
+    if cell is None:
+        # never below 4 d, so a segment's grown box spans few cells
+        cell = _auto_size(segments, ["x1", "x2", "y1", "y2"], ["x1", "x2", "y1", "y2"], 4 * d)
     cells = _checked_broadcast(_cells(segments, cell, d))
     pts = (points.withColumn("_cx", F.floor(F.col(x) / F.lit(cell)).cast("long"))
                  .withColumn("_cy", F.floor(F.col(y) / F.lit(cell)).cast("long")))

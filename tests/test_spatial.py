@@ -48,7 +48,7 @@ def points(spark, n=3000, seed=7):
 def test_pip_matches_brute_force(spark):
     df, rows = points(spark)
     edges = SP.polygon_edges(A.polygons(spark))
-    for band in (0.05, 0.013):
+    for band in (0.05, 0.013, None):          # None: auto sizing
         got = {r["vec_id"]: r["polygon_label"]
                for r in SP.point_in_polygon(df.repartition(5), edges, band=band).collect()}
         want = brute_pip([r[1] for r in rows], [r[2] for r in rows], A.POLYGONS)
@@ -67,7 +67,7 @@ def test_near_lines_matches_brute_force(spark):
     df, rows = points(spark)
     d = A.SEGMENT_DISTANCE
     want_all = sorted((r[0], s[0]) for r in rows for s in A.SEGMENTS if seg_dist(r[1], r[2], s) <= d)
-    for cell in (0.05, 0.021):
+    for cell in (0.05, 0.021, None):
         got = SP.points_near_lines(df, A.segments(spark), d, cell=cell, mode="all")
         pairs = sorted((r["vec_id"], r["line_name"]) for r in got.collect() if r["line_name"])
         assert pairs == want_all
