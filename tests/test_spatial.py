@@ -110,3 +110,30 @@ def test_geojson_point_features(spark):
         assert len(f["geometry"]["coordinates"]) == 2
         assert f["properties"]["vec_id"] == r["vec_id"]
         assert f["properties"]["on_hin"] == ("stname" in f["properties"])
+
+
+def star_polygon(rng, cx, cy, n):
+    ang = np.sort(rng.uniform(0, 2 * np.pi, n))
+    rad = rng.uniform(0.05, 0.2, n)
+    pts = [(round(cx + r * np.cos(a), 2), round(cy + r * np.sin(a), 2)) for a, r in zip(ang, rad)]
+    return pts + [pts[0]]
+
+
+def test_pip_random_polygons_vs_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for trial in range(4):
+        polys = [(f"P{i}", star_polygon(rng, rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5), int(rng.integers(3, 12))))
+                 for i in range(4)]
+        rows = [(i, pos, lab, [[[float(x), float(y)] for x, y in ring]]) for i, (pos, (lab, ring)) in
+                enumerate(zip(range(len(polys)), polys))]
+        pdf = spark.createDataFrame([(r[1], r[2], r[3]) for r in rows],
+                                    "pos int, label string, rings array<array<array<double>>>")
+        verts = [v for _, ring in polys for v in ring]
+        xy = list(map(tuple, rng.uniform(-0.75, 0.75, size=(400, 2)).round(2))) + verts
+        pts_rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+        pts = spark.createDataFrame(pts_rows, "vec_id long, x double, y double")
+        band = [None, 0.01, 0.1, 0.37][trial]
+        got = {r["vec_id"]: r["polygon_label"] for r in
+               SP.point_in_polygon(pts, SP.polygon_edges(pdf), band=band).collect()}
+        want = brute_pip([r[1] for r in pts_rows], [r[2] for r in pts_rows], polys)
+        assert [got[r[0]] for r in pts_rows] == want, trial
