@@ -155,6 +155,40 @@ def read_summaries(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return df.select(folder.alias("table"), F.col("last_dt").cast("string").alias("last_dt"))
 
 
+def read_archive_summaries(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
+    """``csvs/<table>/summary.json`` members of zip archives -> (table, last_dt).
+
+    The driver lists member names; the executors read the (small) JSON
+    members.  A table folder without a summary gets a row with a null date,
+    which :func:`check_latest_full_quarter` rejects.
+    """
+    import pandas as pd
+
+    rows = []
+    for a in archives:
+        with zipfile.ZipFile(a) as z:
+            names = z.namelist()
+        folders = sorted({n.split("/")[1] for n in names if n.startswith("csvs/") and n.count("/") >= 2})
+        for t in folders:
+            member = f"csvs/{t}/summary.json"
+            rows.append((a, t, member if member in names else None))
+    listing = spark.createDataFrame(rows, "archive string, table string, member string")
+
+    def read(batches):
+        import json as _json
+        for pdf in batches:
+            out = []
+            for a, t, m in zip(pdf["archive"], pdf["table"], pdf["member"]):
+                last = None
+                if m is not None:
+                    with zipfile.ZipFile(a) as z:
+                        last = _json.loads(z.read(m)).get("last_dt")
+                out.append((t, None if last is None else str(last)))
+            yield pd.DataFrame(out, columns=["table", "last_dt"])
+
+    return listing.mapInPandas(read, "table string, last_dt string")
+
+
 def check_latest_full_quarter(summaries: DataFrame) -> str:
     """Raise unless every table has a date and all agree; return the quarter."""
     r = (summaries.select("table", "last_dt",

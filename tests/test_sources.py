@@ -110,3 +110,18 @@ def test_dim_csv_keeps_leading_zeros(spark, tmp):
     d = {r["PSA_NUM"]: r["total"] for r in FS.scan_dim_csv(spark, p, ["PSA_NUM"], ["total", "white"]).collect()}
     assert d == {"077": 0, "012": 100}
     assert isinstance(list(d.values())[0], int)
+
+
+def test_archive_summaries(spark, tmp):
+    a = f"{tmp}/backup.zip"
+    with zipfile.ZipFile(a, "w") as z:
+        z.writestr("csvs/car_ped_stops/summary.json", json.dumps({"last_dt": "2024-12-05"}))
+        z.writestr("csvs/car_ped_stops/car_ped_stops_year_2024.csv", HEADER + "\n")
+        z.writestr("csvs/shootings/summary.json", json.dumps({"last_dt": "2024-10-01T00:00:00"}))
+    assert FS.check_latest_full_quarter(FS.read_archive_summaries(spark, [a])) == "2024-Q3"
+    b = f"{tmp}/broken.zip"
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("csvs/car_ped_stops/summary.json", json.dumps({"last_dt": "2024-12-05"}))
+        z.writestr("csvs/shootings/shootings_year_2024.csv", HEADER + "\n")      # no summary
+    with pytest.raises(ValueError):
+        FS.check_latest_full_quarter(FS.read_archive_summaries(spark, [b]))
