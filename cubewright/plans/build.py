@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators import collapse as CO
@@ -21,6 +22,12 @@ from ..operators.remap import remap_districts
 from ..sources import sinks as SK
 
 
+SAMPLE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
+    ("lat", T.DoubleType()), ("lng", T.DoubleType()), ("year", T.IntegerType()),
+    ("on_hin", T.BooleanType()), ("stops_objectid", T.StringType()), ("location", T.StringType()),
+    ("stname", T.StringType())]])
+
+
 def build_all(persons: DataFrame, order_cols: Sequence[str], most_recent_quarter: str,
               persons_on_hin: DataFrame | None = None, shootings: DataFrame | None = None,
               psa_edges: DataFrame | None = None, stop_key=CO.DEFAULT_STOP_KEY,
@@ -95,6 +102,44 @@ def hin_sample(persons: DataFrame, segments: DataFrame, year: int, n: int = 1000
                     F.col("line_name").alias("stname"))
 
 
+def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], out: str,
+                      most_recent_quarter: str, psa_map: str | None, gate: bool, psa_label: str,
+                      hin_lines: str | None, hin_line_name: str, sample_year: int | None,
+                      sample_rows: int, sample_table: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Shared tail of the folder and archive builds: ``scan(table)`` returns
+    the typed person / shooting rows with ``_ordinal`` and ``_file``."""
+    from ..operators import spatial as SP
+    from ..sources import files as FS
+
+    edges = None
+    if psa_map is not None:
+        edges = SP.polygon_edges(FS.read_geojson(spark, psa_map, psa_label))
+    stop_key = ("_file", "datetimeoccur", "location")
+    tables = {}
+    if present["car_ped_stops"]:
+        persons = scan("car_ped_stops")
+        tables.update(build_all(persons, ["_ordinal"], most_recent_quarter,
+                                psa_edges=edges, stop_key=stop_key))
+        if hin_lines is not None and sample_year is not None:
+            segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name)
+            tables["hin_sample"] = hin_sample(persons, segs, sample_year, sample_rows)
+        if edges is not None:
+            tables["quality_unknown_geometry"] = QU.unknown_geometry(
+                remap_districts(persons, edges), "car_ped_stops")
+    if sample_table is not None:
+        tables["hin_sample"] = sample_table
+    if present["car_ped_stops_on_hin"]:
+        h = scan("car_ped_stops_on_hin")
+        h = remap_districts(h, edges) if edges is not None else h
+        tables["hin_cube"] = CU.hin_cube(h, most_recent_quarter)
+    if present["shootings"]:
+        sh = scan("shootings")
+        if edges is not None:
+            sh = remap_districts(sh, edges, district_col="dist", psa_col=None)
+        tables["shootings_cube"] = CU.shootings_cube(sh, most_recent_quarter)
+    return write_build(tables, out, most_recent_quarter, gate=gate)
+
+
 def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str | None = None,
                      most_recent_quarter: str | None = None,
                      overrides: Mapping[str, str] | None = None, gate: bool = True,
@@ -109,7 +154,6 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
     districts 06/09 and re-derive their PSA (C5); without it no remap is done.
     """
     from ..functions.wkb import with_point
-    from ..operators import spatial as SP
     from ..sources import files as FS
     from ..sources import schemas as SC
 
@@ -121,34 +165,59 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
     if overrides:
         for t, lst in routed.items():
             routed[t] = [overrides.get(f.rsplit("/", 1)[-1], f) for f in lst]
-    edges = None
-    if psa_map is not None:
-        edges = SP.polygon_edges(FS.read_geojson(spark, psa_map, psa_label))
 
     def scan(table):
-        schema = SC.TABLES[table][0]
-        df = FS.scan_typed(spark, routed[table], schema)
+        df = FS.scan_typed(spark, routed[table], SC.TABLES[table][0])
         return with_point(df) if "the_geom" in df.columns else df
 
-    stop_key = ("_file", "datetimeoccur", "location")
-    tables = {}
-    if routed["car_ped_stops"]:
-        persons = scan("car_ped_stops")
-        tables.update(build_all(persons, ["_ordinal"], most_recent_quarter,
-                                psa_edges=edges, stop_key=stop_key))
-        if hin_lines is not None and sample_year is not None:
-            segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name)
-            tables["hin_sample"] = hin_sample(persons, segs, sample_year, sample_rows)
-    if routed["car_ped_stops_on_hin"]:
-        h = scan("car_ped_stops_on_hin")
-        h = remap_districts(h, edges) if edges is not None else h
-        tables["hin_cube"] = CU.hin_cube(h, most_recent_quarter)
-    if edges is not None and routed["car_ped_stops"]:
-        tables["quality_unknown_geometry"] = QU.unknown_geometry(
-            remap_districts(scan("car_ped_stops"), edges), "car_ped_stops")
-    if routed["shootings"]:
-        s = scan("shootings")
-        if edges is not None:
-            s = remap_districts(s, edges, district_col="dist", psa_col=None)
-        tables["shootings_cube"] = CU.shootings_cube(s, most_recent_quarter)
-    return write_build(tables, out, most_recent_quarter, gate=gate)
+    return _build_from_scans(spark, scan, {t: bool(v) for t, v in routed.items()}, out,
+                             most_recent_quarter, psa_map, gate, psa_label, hin_lines,
+                             hin_line_name, sample_year, sample_rows)
+
+
+SAMPLE_MEMBER = "car_ped_stops_hin_random_sample"
+
+
+def build_from_archive(spark: SparkSession, archive: str, out: str, psa_map: str | None = None,
+                       most_recent_quarter: str | None = None,
+                       overrides: Mapping[str, str] | None = None, gate: bool = True,
+                       psa_label: str = "PSA_NUM", hin_lines: str | None = None,
+                       hin_line_name: str = "street_name", sample_year: int | None = None,
+                       sample_rows: int = 1000) -> dict[str, DataFrame]:
+    """The batch build straight from a zip backup of ``csvs/<table>/...`` members.
+
+    Members are routed to tables by name (an unknown CSV fails the build), a
+    member named in ``overrides`` (base name -> other archive) is taken from
+    that archive instead (S3), the quarter comes from the summaries inside
+    the archive (S6) unless given, and a network sample member, if present,
+    is kept as the sample table.  The executors read the members (S2).
+    """
+    from ..functions.wkb import with_point
+    from ..sources import files as FS
+    from ..sources import schemas as SC
+
+    if most_recent_quarter is None:
+        most_recent_quarter = FS.check_latest_full_quarter(FS.read_archive_summaries(spark, [archive]))
+    members = FS.archive_members(spark, [archive])
+    if overrides:
+        other = None
+        for base, other_archive in overrides.items():
+            o = FS.archive_members(spark, [other_archive]).where(F.col("base") == base)
+            other = o if other is None else other.unionByName(o)
+        members = FS.override_members(members, other)
+    names = [r["member"] for r in members.select("member").collect()]   # names only
+    sample_names = [n for n in names if SAMPLE_MEMBER in n]
+    routed = FS.route_files([n for n in names if SAMPLE_MEMBER not in n], list(SC.TABLES))
+
+    def scan(table):
+        m = members.where(F.col("member").isin(routed[table]))
+        df = FS.read_members(m, SC.TABLES[table][0])
+        return with_point(df) if "the_geom" in df.columns else df
+
+    sample = None
+    if sample_names:
+        sample = FS.read_members(members.where(F.col("member").isin(sample_names)), SAMPLE_SCHEMA) \
+            .drop("_ordinal", "_file")
+    return _build_from_scans(spark, scan, {t: bool(v) for t, v in routed.items()}, out,
+                             most_recent_quarter, psa_map, gate, psa_label, hin_lines,
+                             hin_line_name, sample_year, sample_rows, sample_table=sample)

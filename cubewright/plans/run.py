@@ -42,11 +42,14 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="cubewright")
     sub = ap.add_subparsers(dest="cmd", required=True)
     b = sub.add_parser("build")
-    b.add_argument("--csv-root", required=True)
+    src = b.add_mutually_exclusive_group(required=True)
+    src.add_argument("--csv-root", help="folder of <table>/<table>_year_<YYYY>.csv + summary.json")
+    src.add_argument("--archive", help="zip backup of csvs/<table>/... members")
     b.add_argument("--out", required=True)
     b.add_argument("--psa-map")
     b.add_argument("--quarter")
-    b.add_argument("--override", action="append", default=[], help="base_name=path")
+    b.add_argument("--override", action="append", default=[],
+                   help="base_name=path (a file, or another zip for --archive)")
     b.add_argument("--hin-lines", help="GeoJSON of the high-injury network lines")
     b.add_argument("--sample-year", type=int, help="year of the network sample table")
     r = sub.add_parser("report")
@@ -66,9 +69,10 @@ def main(argv=None) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if args.cmd == "build":
         overrides = dict(o.split("=", 1) for o in args.override)
-        BL.build_from_files(spark, args.csv_root, args.out, psa_map=args.psa_map,
-                            most_recent_quarter=args.quarter, overrides=overrides,
-                            hin_lines=args.hin_lines, sample_year=args.sample_year)
+        build = BL.build_from_archive if args.archive else BL.build_from_files
+        build(spark, args.archive or args.csv_root, args.out, psa_map=args.psa_map,
+              most_recent_quarter=args.quarter, overrides=overrides,
+              hin_lines=args.hin_lines, sample_year=args.sample_year)
     elif args.cmd == "analog":
         BL.write_build(BL.build_analog(spark, args.sf_dir), args.out, C.ANALOG["most_recent_quarter"])
     else:

@@ -124,3 +124,45 @@ def test_hin_sample_table(spark, tmp, layout):
     got = sorted((r["location"], r["stname"]) for r in rows)
     assert got == [("b", "BROAD"), ("b", "MAIN"), ("d", None)]
     assert {r["on_hin"] for r in rows if r["location"] == "b"} == {True}
+
+
+def _zip_folder(root, path, extra=None):
+    import zipfile
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                full = os.path.join(dirpath, f)
+                z.write(full, "csvs/" + os.path.relpath(full, root))
+        for name, text in (extra or {}).items():
+            z.writestr(name, text)
+
+
+def test_build_from_archive_equals_folder_build(spark, tmp, layout):
+    root, psa_map = layout
+    sample_csv = "lat,lng,year,on_hin,stops_objectid,location,stname\n39.9,-75.1,2023,True,7,X,MAIN\n"
+    _zip_folder(root, f"{tmp}/backup.zip",
+                {"csvs/car_ped_stops_hin_random_sample/car_ped_stops_hin_random_sample.csv": sample_csv,
+                 "csvs/car_ped_stops_hin_random_sample/summary.json": json.dumps({"last_dt": "2023-01-05"})})
+    a = BL.build_from_archive(spark, f"{tmp}/backup.zip", f"{tmp}/outz", psa_map=psa_map)
+    f = BL.build_from_files(spark, root, f"{tmp}/outf", psa_map=psa_map)
+    for name in ("stop_cube_reason", "stop_cube", "hin_cube", "shootings_cube"):
+        cols = [c for c in f[name].columns]
+        assert sorted(a[name].select(cols).collect()) == sorted(f[name].select(cols).collect()), name
+    s = a["hin_sample"].collect()
+    assert [(r["stname"], r["on_hin"], r["year"]) for r in s] == [("MAIN", True, 2023)]
+
+
+def test_archive_override_and_unknown_member(spark, tmp, layout):
+    import zipfile
+    root, _ = layout
+    _zip_folder(root, f"{tmp}/backup.zip")
+    with zipfile.ZipFile(f"{tmp}/older.zip", "w") as z:
+        z.writestr("csvs/car_ped_stops/car_ped_stops_year_2021.csv", ",".join(PCOLS) + "\n" + "\n".join(
+            prow(PCOLS, **person(location=l, datetimeoccur="2021-05-01T12:00:00Z")) for l in "xyz") + "\n")
+    t = BL.build_from_archive(spark, f"{tmp}/backup.zip", f"{tmp}/o1",
+                              overrides={"car_ped_stops_year_2021.csv": f"{tmp}/older.zip"})
+    q = {x["quarter"]: x["n"] for x in t["stop_cube"].groupBy("quarter").agg(F.sum("n_stopped").alias("n")).collect()}
+    assert q["2021-Q2"] == 3 and "2020-Q4" not in q
+    _zip_folder(root, f"{tmp}/bad.zip", {"csvs/car_ped_stops/parking_2022.csv": ",".join(PCOLS) + "\n"})
+    with pytest.raises(ValueError):
+        BL.build_from_archive(spark, f"{tmp}/bad.zip", f"{tmp}/o2")
