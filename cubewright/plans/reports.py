@@ -241,7 +241,13 @@ def r_snapshot(ctx: ReportCtx, last_n: int = 4, before=C.BEFORE_WINDOW,
         _sum_if(in_b, "n_stopped").alias("n_b"),
         _sum_if(in_a, "n_stopped").alias("n_a"))
     pop = population_by_race(ctx.population)
-    j = by_race.join(F.broadcast(pop), "race", "full")
+    # full alignment of stops and population by race (J5) as a union + one
+    # aggregate: a full outer join cannot be broadcast and would sort-merge
+    nul = F.lit(None).cast("long")
+    u = by_race.select("race", "n_last", "n_b", "n_a", nul.alias("n_population")).unionByName(
+        pop.select("race", nul.alias("n_last"), nul.alias("n_b"), nul.alias("n_a"),
+                   F.col("n_population").cast("long")))
+    j = u.groupBy("race").agg(*[F.max(c).alias(c) for c in ("n_last", "n_b", "n_a", "n_population")])
     w = Window.partitionBy()
 
     def share(c):
