@@ -2,8 +2,9 @@
 
 Both joins keep the big side (points) streaming and never shuffle it:
 
-* the shapes (polygon edges / line segments) are cut into a grid and each
-  grid key gets one row holding the array of shapes that touch it;
+* the shapes are cut up by a key — polygon edges by horizontal band (the
+  crossing test casts a horizontal ray), line segments by grid cell — and
+  each key gets one row holding the array of shapes that touch it;
 * that table is broadcast (its size is checked first: it depends on the
   map, not on the data), points find their grid row by an equi-join, and
   the exact test (even-odd crossing count / point-segment distance) runs as
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 
-# the shape table is broadcast only below this many (grid key, shape) rows
+# the shape table is broadcast only below this many (key, shape) entries
 MAX_BROADCAST_SHAPE_ROWS = 2_000_000
 
 
@@ -41,8 +42,10 @@ def polygon_edges(polys: DataFrame, rings_col: str = "rings") -> DataFrame:
                     F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
-def _checked_broadcast(shapes: DataFrame) -> DataFrame:
-    n = shapes.count()
+def _checked_broadcast(shapes: DataFrame, array_col: str) -> DataFrame:
+    """Broadcast the keyed shape table only if its (key, shape) entries are
+    within the bound (one small aggregate over the shape table)."""
+    n = shapes.agg(F.sum(F.size(array_col))).collect()[0][0] or 0
     if n <= MAX_BROADCAST_SHAPE_ROWS:
         return F.broadcast(shapes)
     return shapes
@@ -84,7 +87,7 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
     """
     if band is None:
         band = _auto_size(edges, ["y1", "y2"], ["y1", "y2"])
-    bands = _checked_broadcast(_bands(edges, band))
+    bands = _checked_broadcast(_bands(edges, band), "edges")
     key = F.floor(F.col(y) / F.lit(band)).cast("long")
     pts = points.withColumn("_band", key if only is None else F.when(only, key))
     j = pts.join(bands, pts["_band"] == bands["band"], "left")
@@ -128,7 +131,7 @@ def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str =
     if cell is None:
         # never below 4 d, so a segment's grown box spans few cells
         cell = _auto_size(segments, ["x1", "x2", "y1", "y2"], ["x1", "x2", "y1", "y2"], 4 * d)
-    cells = _checked_broadcast(_cells(segments, cell, d))
+    cells = _checked_broadcast(_cells(segments, cell, d), "segs")
     pts = (points.withColumn("_cx", F.floor(F.col(x) / F.lit(cell)).cast("long"))
                  .withColumn("_cy", F.floor(F.col(y) / F.lit(cell)).cast("long")))
     j = pts.join(cells, (pts["_cx"] == cells["cx"]) & (pts["_cy"] == cells["cy"]), "left")

@@ -137,3 +137,24 @@ def test_pip_random_polygons_vs_brute_force(spark):
                SP.point_in_polygon(pts, SP.polygon_edges(pdf), band=band).collect()}
         want = brute_pip([r[1] for r in pts_rows], [r[2] for r in pts_rows], polys)
         assert [got[r[0]] for r in pts_rows] == want, trial
+
+
+def test_shuffled_fallback_when_shapes_exceed_bound(spark, monkeypatch):
+    df, rows = points(spark, n=800)
+    monkeypatch.setattr(SP, "MAX_BROADCAST_SHAPE_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = SP.point_in_polygon(df, SP.polygon_edges(A.polygons(spark)))
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        got = {x["vec_id"]: x["polygon_label"] for x in r.collect()}
+        near = SP.points_near_lines(df, A.segments(spark), A.SEGMENT_DISTANCE, mode="all")
+        pairs = sorted((x["vec_id"], x["line_name"]) for x in near.collect() if x["line_name"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
+    assert [got[r_[0]] for r_ in rows] == brute_pip([r_[1] for r_ in rows], [r_[2] for r_ in rows], A.POLYGONS)
+    want = sorted((r_[0], s[0]) for r_ in rows for s in A.SEGMENTS
+                  if seg_dist(r_[1], r_[2], s) <= A.SEGMENT_DISTANCE)
+    assert pairs == want
