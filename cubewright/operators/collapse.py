@@ -82,15 +82,16 @@ def classify_stops(stops: DataFrame, ts_col: str = "datetimeoccur",
     # local time and the cleaned code are computed once in their own
     # projection: the rule table and the quarter label test them many times
     s = stops.withColumns({"local_ts": TQ.to_local(F.col(ts_col), tz),
-                           "_code": R.clean_code(F.col("mvc_code_max"))})
+                           "_code": R.clean_code(F.col("mvc_code_max")),
+                           "_race": F.col("driver.race"), "_age": F.col("driver.age")})
     return s.select(
         *[c for c in stops.columns if c != "driver"],
         "local_ts",
         TQ.quarter_label(F.col("local_ts")).alias("quarter"),
-        R.recode_race(F.col("driver.race")).alias("race"),
+        R.lookup_of("_race", C.RACE_RECODE.items(), keep=True).alias("race"),
         F.col("driver.gender").alias("gender"),
-        R.age_band(F.col("driver.age")).alias("age_range"),
-        R.violation_category(F.col("_code")).alias("violation_category"),
+        R.age_band_of("_age").alias("age_range"),
+        R.violation_category_of("_code").alias("violation_category"),
     )
 
 

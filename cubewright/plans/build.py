@@ -54,23 +54,40 @@ def build_all(persons: DataFrame, order_cols: Sequence[str], most_recent_quarter
 
 
 def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter: str,
-                gate: bool = True) -> dict[str, DataFrame]:
+                gate: bool = True, parallel: int = 4) -> dict[str, DataFrame]:
     """Write every cube (partitioned by year), read them back and gate them (Q1).
 
     The reason cube is written first and the stop cube is rolled up from the
-    written table, so the person-level plan runs once for both.
+    written table, so the person-level plan runs once for both.  The other
+    tables do not depend on each other; their writes are submitted together
+    (up to ``parallel`` concurrent Spark jobs sharing the executors), so the
+    small jobs fill cores the big ones leave idle.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = next(iter(tables.values())).sparkSession
     rest = dict(tables)
+
+    def write_one(name, df):
+        SK.write_tables({name: df}, path)
+
+    def reason_then_cube():
+        write_one("stop_cube_reason", rest_reason)
+        write_one("stop_cube", CU.stop_cube(SK.read_table(spark, path, "stop_cube_reason")))
+
+    jobs = []
     if "stop_cube_reason" in rest and "stop_cube" in rest:
-        SK.write_tables({"stop_cube_reason": rest.pop("stop_cube_reason")}, path)
-        rest["stop_cube"] = CU.stop_cube(SK.read_table(spark, path, "stop_cube_reason"))
-    SK.write_tables(rest, path)
+        rest_reason = rest.pop("stop_cube_reason")
+        rest.pop("stop_cube")
+        jobs.append(reason_then_cube)
+    jobs += [lambda n=n, d=d: write_one(n, d) for n, d in rest.items()]
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        for f in [pool.submit(j) for j in jobs]:
+            f.result()                                  # re-raise any failure
     back = {name: SK.read_table(spark, path, name) for name in tables}
     if gate:
         QU.check_quarter({k: v for k, v in back.items() if k in ("stop_cube", "shootings_cube")},
                          most_recent_quarter)
-    back = {k: v for k, v in back.items()}
     settings = spark.range(1).select(F.lit(most_recent_quarter).alias("most_recent_quarter"))
     settings.write.mode("overwrite").parquet(f"{path}/settings")
     return back

@@ -75,24 +75,29 @@ SEGMENT_DISTANCE = 0.02
 # ---------------------------------------------------------------------------
 
 
+_READS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table.  The test tables are immutable, so a session reuses the
+    DataFrame of a path instead of listing and reading its footer again."""
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(key[1])
+    return df
 
 
-def _case_index(idx: Column, labels: list[str]) -> Column:
-    expr = None
-    for i, lab in enumerate(labels[:-1]):
-        expr = F.when(idx == i, F.lit(lab)) if expr is None else expr.when(idx == i, F.lit(lab))
-    return expr.otherwise(F.lit(labels[-1]))
+def _case_index(idx_sql: str, labels: list[str]) -> Column:
+    """label[idx] for idx in 0..n-2, else the last label (one SQL CASE)."""
+    whens = " ".join(f"WHEN {i} THEN '{lab}'" for i, lab in enumerate(labels[:-1]))
+    return F.expr(f"CASE {idx_sql} {whens} ELSE '{labels[-1]}' END")
 
 
-def brand_code(brand: Column) -> Column:
+def brand_code(brand_col: str = "p_brand") -> Column:
     """The fixed brand -> code list as one CASE expression (no join)."""
-    expr = None
-    for b, code in BRAND_CODES:
-        v = F.lit(code).cast("string")
-        expr = F.when(brand == b, v) if expr is None else expr.when(brand == b, v)
-    return expr
+    from ..functions.rules import lookup_of
+    return lookup_of(brand_col, BRAND_CODES)
 
 
 def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
     part_codes = (table(spark, sf_dir, "part")
-                  .select("p_partkey", brand_code(F.col("p_brand")).alias("mvc_code")))
+                  .select("p_partkey", brand_code("p_brand").alias("mvc_code")))
     places = order_places(spark, sf_dir)
     j = (li.join(part_codes, li.l_partkey == part_codes.p_partkey)
            .join(places, li.l_orderkey == places.o_orderkey))
@@ -136,7 +141,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         "division",
         F.when(sk % 11 == 0, F.lit(None).cast("string"))
          .otherwise((sk % 4).cast("string")).alias("psa"),
-        _case_index((F.col("c_custkey") + F.col("l_partkey")) % 8, RAW_RACES).alias("race"),
+        _case_index("(c_custkey + l_partkey) % 8", RAW_RACES).alias("race"),
         F.when(sk % 9 <= 4, F.lit("Male")).when(sk % 9 <= 7, F.lit("Female"))
          .alias("gender"),
         F.when(q == 50, F.lit(None).cast("double")).otherwise(q + 17).alias("age"),
