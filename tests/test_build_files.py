@@ -166,3 +166,10 @@ def test_archive_override_and_unknown_member(spark, tmp, layout):
     _zip_folder(root, f"{tmp}/bad.zip", {"csvs/car_ped_stops/parking_2022.csv": ",".join(PCOLS) + "\n"})
     with pytest.raises(ValueError):
         BL.build_from_archive(spark, f"{tmp}/bad.zip", f"{tmp}/o2")
+
+
+def test_write_build_propagates_a_failing_write(spark, tmp):
+    good = spark.range(3).select(F.col("id").alias("x"))
+    bad = spark.range(3).select(F.lit("not a number").cast("int").alias("x"))
+    with pytest.raises(Exception):
+        BL.write_build({"good": good, "bad": bad}, f"{tmp}/wb", "2022-Q4", gate=False)
