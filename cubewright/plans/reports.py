@@ -53,6 +53,25 @@ class ReportCtx:
             built[name] = v() if callable(v) else v
         return built[name]
 
+    @classmethod
+    def from_tables(cls, spark, path: str, population: DataFrame | None = None,
+                    divisions: Mapping[str, Sequence[str]] | DataFrame = C.DIVISION_DISTRICTS,
+                    first_quarter: str = C.FIRST_QUARTER, cache: bool = False,
+                    strict: bool = False) -> "ReportCtx":
+        """Open a written build: the cubes, its ``settings`` (most recent
+        quarter -> spine) and, unless given, its ``population`` table.
+        ``cache=True`` keeps the (small) cubes in memory for a report server,
+        the way the reproduced system memoises its tables."""
+        from ..sources import sinks as SK
+        mrq = spark.read.parquet(f"{path}/settings").select("most_recent_quarter").first()[0]
+        names = {"cube": "stop_cube", "reason_cube": "stop_cube_reason", "hin_cube": "hin_cube",
+                 "shootings_cube": "shootings_cube"}
+        tables = {k: SK.read_table(spark, path, v) for k, v in names.items()}
+        if cache:
+            tables = {k: v.cache() for k, v in tables.items()}
+        tables["population"] = population if population is not None else SK.read_table(spark, path, "population")
+        return cls(tables, divisions, TQ.quarters_between_py(first_quarter, mrq), strict=strict)
+
     def loc(self, df: DataFrame, location: str) -> DataFrame:
         return FL.filter_location(df, location, self.divisions)
 

@@ -24,18 +24,12 @@ from . import reports as RP
 
 
 def _report_ctx(spark, tables: str, population: str, first: str) -> RP.ReportCtx:
-    settings = spark.read.parquet(f"{tables}/settings").select("most_recent_quarter").first()[0]
-    t = {n: SK.read_table(spark, tables, n)
-         for n in ("stop_cube", "stop_cube_reason", "hin_cube", "shootings_cube")}
     counts = ["total", "white", "black", "asian", "hispanic_or_latino", "american_indian", "unknown"]
     if population.endswith(".csv"):
         pop = FS.scan_dim_csv(spark, population, ["district"], counts)
     else:                                   # a written population table
         pop = spark.read.parquet(population).select("district", *counts)
-    return RP.ReportCtx({"cube": t["stop_cube"], "reason_cube": t["stop_cube_reason"],
-                         "hin_cube": t["hin_cube"], "shootings_cube": t["shootings_cube"],
-                         "population": pop},
-                        C.DIVISION_DISTRICTS, TQ.quarters_between_py(first, settings), strict=True)
+    return RP.ReportCtx.from_tables(spark, tables, population=pop, first_quarter=first, strict=True)
 
 
 def main(argv=None) -> None:

@@ -208,3 +208,14 @@ def test_population_rollup_and_races(spark):
     assert races == {"White": 90, "Black": 20, "Asian": 4, "Latino": 45, "All Other Races": 43}
     w = {r["district"]: r["whiteness"] for r in RP.whiteness(RP.population_rollup(pop, geo)).collect()}
     assert w == {"01": 46.7, "22": 25.0, "77": None}     # zero population -> no share
+
+
+def test_ctx_from_written_build(spark, tmp):
+    from cubewright.plans import build as BL
+    sf = "/root/testdata/sf0.001"
+    BL.write_build(BL.build_analog(spark, sf), f"{tmp}/b", "2000-Q4", gate=False)
+    from cubewright.sources import analog as A
+    c = RP.ReportCtx.from_tables(spark, f"{tmp}/b", divisions=A.division_map(spark, sf),
+                                 first_quarter="1995-Q1", cache=True)
+    assert c.spine[0] == "1995-Q1" and c.spine[-1] == "2000-Q4"
+    assert RP.r_time_slice(c, "1997-Q1", "1997-Q4", location="ASIA").count() == 2
