@@ -16,7 +16,6 @@ import json
 from pyspark.sql import SparkSession
 
 from .. import config as C
-from ..functions import timeq as TQ
 from ..sources import files as FS
 from ..sources import sinks as SK
 from . import build as BL
