@@ -34,7 +34,8 @@ def test_null_markers_and_types(spark, tmp):
     p = f"{tmp}/csvs/car_ped_stops/car_ped_stops_year_2021.csv"
     write(p, ["2021-01-01T03:00:00Z,A,vehicle,09,1,Asian,NA,40,1,None",
               "2021-01-01 03:00:00+00:00,B,vehicle,9,,Asian,N/A,,0,",
-              "2021-01-01 03:00:00,C,vehicle,09,2,null,Male,20.0,NULL,3111"])
+              "2021-01-01 03:00:00,C,vehicle,09,2,null,Male,20.0,NULL,3111",
+              "2021-01-01 03:00:00+00,D,vehicle,09,2,Asian,Male,20,0,3111"])
     df = FS.scan_typed(spark, p, SCHEMA)
     rows = {r["location"]: r for r in df.collect()}
     assert rows["A"]["gender"] is None and rows["A"]["mvc_code"] is None
