@@ -91,6 +91,15 @@ def point_features(df: DataFrame, x: str, y: str, props: Sequence[str]) -> DataF
     return df.withColumn("feature", F.to_json(feat))
 
 
+def polygon_features(polys: DataFrame, props: Sequence[str], rings_col: str = "rings") -> DataFrame:
+    """One GeoJSON Polygon Feature per row of ``(…, rings)`` — e.g. district
+    shapes joined to their report attributes (S13, the map of R15)."""
+    geom = F.struct(F.lit("Polygon").alias("type"), F.col(rings_col).alias("coordinates"))
+    feat = F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"),
+                    geom.alias("geometry"))
+    return polys.withColumn("feature", F.to_json(feat))
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """Newline-delimited GeoJSON features, written by the tasks."""
     features.select("feature").write.mode("overwrite").text(path)

@@ -158,3 +158,17 @@ def test_shuffled_fallback_when_shapes_exceed_bound(spark, monkeypatch):
     want = sorted((r_[0], s[0]) for r_ in rows for s in A.SEGMENTS
                   if seg_dist(r_[1], r_[2], s) <= A.SEGMENT_DISTANCE)
     assert pairs == want
+
+
+def test_polygon_features_with_flags(spark):
+    from cubewright.sources import sinks as SK
+    polys = A.polygons(spark)
+    flags = spark.createDataFrame([("09", True), ("22", False)], "districtoccur string, is_top_5_increase boolean")
+    j = polys.withColumn("district", F.substring("label", 1, 2)).join(
+        flags, F.col("district") == F.col("districtoccur"))
+    feats = SK.polygon_features(j, ["label", "is_top_5_increase"]).collect()
+    docs = {json.loads(r["feature"])["properties"]["label"]: json.loads(r["feature"]) for r in feats}
+    assert set(docs) == {"091", "092", "093", "221"}
+    assert docs["221"]["properties"]["is_top_5_increase"] is False
+    assert docs["092"]["geometry"]["type"] == "Polygon"
+    assert docs["092"]["geometry"]["coordinates"][0][1] == [0.25, 0.0]
