@@ -62,3 +62,18 @@ def test_query_matches_oracle(spark, duck, key):
     ocols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(ocols)
     assert srows == rows_of(ocols, rel.fetchall())
+
+
+@pytest.mark.parametrize("key", ["stop_cube_reason", "r_most_frequent", "r_surge_map", "r_baseline",
+                                 "point_in_polygon", "sample_n", "row_ordinal"])
+def test_result_independent_of_partition_count(spark, key):
+    def run(n):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            df = E.queries()[key](spark, SF)
+            return rows_of(df.columns, [tuple(r) for r in df.collect()])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert run(1) == run(13)
