@@ -18,7 +18,7 @@ grid key, where AQE's skew handling splits a hot cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -42,27 +42,43 @@ def polygon_edges(polys: DataFrame, rings_col: str = "rings") -> DataFrame:
                     F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
-def _checked_broadcast(shapes: DataFrame, array_col: str) -> DataFrame:
+def _maybe_broadcast(shapes: DataFrame, entries: int) -> DataFrame:
     """Broadcast the keyed shape table only if its (key, shape) entries are
-    within the bound (one small aggregate over the shape table)."""
-    n = shapes.agg(F.sum(F.size(array_col))).collect()[0][0] or 0
-    if n <= MAX_BROADCAST_SHAPE_ROWS:
-        return F.broadcast(shapes)
-    return shapes
+    within the bound."""
+    return F.broadcast(shapes) if entries <= MAX_BROADCAST_SHAPE_ROWS else shapes
 
 
 TARGET_CELLS = 2048       # auto sizing: bands / cells across the map's extent
 
 
-def _auto_size(shapes: DataFrame, lo_cols, hi_cols, minimum: float = 0.0) -> float:
-    """Extent of the (small) shape table / TARGET_CELLS: a real map's band
-    then holds a few hundred edges, so each point tests a few hundred edges."""
-    r = shapes.agg(F.least(*[F.min(c) for c in lo_cols]).alias("lo"),
-                   F.greatest(*[F.max(c) for c in hi_cols]).alias("hi")).collect()[0]
-    if r["lo"] is None:
-        return max(minimum, 1.0)
-    size = (r["hi"] - r["lo"]) / TARGET_CELLS
-    return max(size, minimum, 1e-9)
+def _plan_keys(shapes: DataFrame, axes: list[tuple[str, str]], size: float | None,
+               grow: float = 0.0, minimum: float = 0.0) -> tuple[float, int]:
+    """Key size and the exact number of (key, shape) entries, in one small job.
+
+    ``axes`` are (low column, high column) pairs per dimension (one for
+    bands, two for grid cells); each shape spans
+    ``floor((hi + grow) / size) - floor((lo - grow) / size) + 1`` keys per
+    axis.  Without ``size`` it is the largest axis extent / TARGET_CELLS
+    (never below ``minimum``), so a real map's band holds a few hundred
+    edges.
+    """
+    w = Window.partitionBy()
+    if size is None:
+        exts = [F.max(F.greatest(lo, hi)).over(w) - F.min(F.least(lo, hi)).over(w) for lo, hi in axes]
+        ext = exts[0] if len(exts) == 1 else F.greatest(*exts)
+        size_col = F.greatest(ext / F.lit(float(TARGET_CELLS)), F.lit(float(minimum)), F.lit(1e-9))
+    else:
+        size_col = F.lit(float(size))
+    df = shapes.withColumn("_size", size_col)
+    span = None
+    for lo, hi in axes:
+        n = (F.floor((F.greatest(lo, hi) + F.lit(float(grow))) / F.col("_size"))
+             - F.floor((F.least(lo, hi) - F.lit(float(grow))) / F.col("_size")) + F.lit(1))
+        span = n if span is None else span * n
+    r = df.agg(F.max("_size").alias("size"), F.sum(span).alias("entries")).collect()[0]
+    if r["size"] is None:
+        return (float(size) if size else max(minimum, 1.0)), 0
+    return float(r["size"]), int(r["entries"] or 0)
 
 
 def _bands(edges: DataFrame, band: float) -> DataFrame:
@@ -85,9 +101,8 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
     Column) restricts the lookup to some rows; the others get null and cost
     one failed hash probe.
     """
-    if band is None:
-        band = _auto_size(edges, ["y1", "y2"], ["y1", "y2"])
-    bands = _checked_broadcast(_bands(edges, band), "edges")
+    band, entries = _plan_keys(edges, [("y1", "y2")], band)
+    bands = _maybe_broadcast(_bands(edges, band), entries)
     key = F.floor(F.col(y) / F.lit(band)).cast("long")
     pts = points.withColumn("_band", key if only is None else F.when(only, key))
     j = pts.join(bands, pts["_band"] == bands["band"], "left")
@@ -128,10 +143,9 @@ def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str =
     row per (point, matching segment); points with no match keep one row with
     a null ``line_name`` (so rows multiply where lines cross).
     """
-    if cell is None:
-        # never below 4 d, so a segment's grown box spans few cells
-        cell = _auto_size(segments, ["x1", "x2", "y1", "y2"], ["x1", "x2", "y1", "y2"], 4 * d)
-    cells = _checked_broadcast(_cells(segments, cell, d), "segs")
+    # cells never below 4 d, so a segment's grown box spans few cells
+    cell, entries = _plan_keys(segments, [("x1", "x2"), ("y1", "y2")], cell, grow=d, minimum=4 * d)
+    cells = _maybe_broadcast(_cells(segments, cell, d), entries)
     pts = (points.withColumn("_cx", F.floor(F.col(x) / F.lit(cell)).cast("long"))
                  .withColumn("_cy", F.floor(F.col(y) / F.lit(cell)).cast("long")))
     j = pts.join(cells, (pts["_cx"] == cells["cx"]) & (pts["_cy"] == cells["cy"]), "left")

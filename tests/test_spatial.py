@@ -172,3 +172,16 @@ def test_polygon_features_with_flags(spark):
     assert docs["221"]["properties"]["is_top_5_increase"] is False
     assert docs["092"]["geometry"]["type"] == "Polygon"
     assert docs["092"]["geometry"]["coordinates"][0][1] == [0.25, 0.0]
+
+
+def test_planned_entries_are_exact(spark):
+    edges = SP.polygon_edges(A.polygons(spark))
+    for band in (None, 0.05, 0.013):
+        size, entries = SP._plan_keys(edges, [("y1", "y2")], band)
+        built = SP._bands(edges, size).agg(F.sum(F.size("edges"))).collect()[0][0]
+        assert entries == built
+    segs = A.segments(spark)
+    for cell in (None, 0.05):
+        size, entries = SP._plan_keys(segs, [("x1", "x2"), ("y1", "y2")], cell, grow=0.02, minimum=0.08)
+        built = SP._cells(segs, size, 0.02).agg(F.sum(F.size("segs"))).collect()[0][0]
+        assert entries == built
