@@ -331,10 +331,13 @@ def r_search_frisk(ctx: ReportCtx, location: str = "*", grain: str = "year") ->
                       "frisk_rate"], ["# of searches", "# of frisks"], "group", "total_count")
 
 
-def r_baseline(ctx: ReportCtx, category: str, baseline: str, start=None, end=None,
+def r_baseline(ctx: ReportCtx, category: str, baseline: str | None = None, start=None, end=None,
                location: str = "*") -> DataFrame:
     """Intrusion rate, intrusions without contraband and hit rate per
-    member, each against the baseline member; empty when it is absent."""
+    member, each against the baseline member (default per category:
+    ``config.BASELINE_DEFAULTS``); empty when it is absent."""
+    if baseline is None:
+        baseline = C.BASELINE_DEFAULTS[category]
     d = ctx.window(ctx.loc(ctx.cube, location), start, end)
     g = ME.sums(d, [category], ["n_stopped", "n_intruded", "n_contraband"])
     m = F.col(category)

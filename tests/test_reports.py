@@ -219,3 +219,10 @@ def test_ctx_from_written_build(spark, tmp):
                                  first_quarter="1995-Q1", cache=True)
     assert c.spine[0] == "1995-Q1" and c.spine[-1] == "2000-Q4"
     assert RP.r_time_slice(c, "1997-Q1", "1997-Q4", location="ASIA").count() == 2
+
+
+def test_baseline_default_member(spark):
+    c = ctx(spark, [("12", "1", "2020-Q1", "Black", "Male", "25-34", 5, 0, 0, 0, 0, 0, 2),
+                    ("12", "1", "2020-Q1", "Black", "Female", "25-34", 5, 0, 0, 0, 0, 0, 1)])
+    got = {r["member"]: r["status"] for r in RP.r_baseline(c, "gender").collect()}
+    assert got == {"Female": "Baseline", "Male": "ratio"}
