@@ -130,7 +130,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the raw order key: the join output is partitioned by it, and a stop
         # (one order date + one location) never spans two orders
         "l_orderkey",
-        F.year("o_orderdate").alias("source_year"),
+        F.year("o_orderdate").cast("long").alias("source_year"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
         F.col("o_orderdate").alias("datetimeoccur"),
         F.when(F.col("l_orderkey") % 97 == 0, F.lit(None).cast("long"))

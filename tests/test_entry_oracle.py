@@ -62,6 +62,12 @@ def test_query_matches_oracle(spark, duck, key):
     ocols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(ocols)
     assert srows == rows_of(ocols, rel.fetchall())
+    # same column types as the oracle (Spark type -> DuckDB type name)
+    types = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+             "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "DateType()": "DATE"}
+    got = {f.name: types.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    want = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {sql}").fetchall()}
+    assert got == want
 
 
 @pytest.mark.parametrize("key", ["stop_cube_reason", "r_most_frequent", "r_surge_map", "r_baseline",
