@@ -173,3 +173,15 @@ def test_write_build_propagates_a_failing_write(spark, tmp):
     bad = spark.range(3).select(F.lit("not a number").cast("int").alias("x"))
     with pytest.raises(Exception):
         BL.write_build({"good": good, "bad": bad}, f"{tmp}/wb", "2022-Q4", gate=False)
+
+
+def test_cli_build_folder_and_archive(spark, tmp, layout):
+    from cubewright.plans import run
+    root, psa_map = layout
+    run.main(["build", "--csv-root", root, "--out", f"{tmp}/cli_f", "--psa-map", psa_map])
+    _zip_folder(root, f"{tmp}/cli.zip")
+    run.main(["build", "--archive", f"{tmp}/cli.zip", "--out", f"{tmp}/cli_a", "--psa-map", psa_map])
+    a = sorted(spark.read.parquet(f"{tmp}/cli_a/stop_cube").select("districtoccur", "psa", "n_stopped").collect())
+    f = sorted(spark.read.parquet(f"{tmp}/cli_f/stop_cube").select("districtoccur", "psa", "n_stopped").collect())
+    assert a == f and len(a) == 5
+    assert spark.read.parquet(f"{tmp}/cli_a/settings").collect()[0][0] == "2022-Q4"
