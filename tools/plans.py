@@ -66,8 +66,17 @@ def main():
                         "population": t["population"]}, A.division_map(spark, sf), QR.SPINE)
     (ms, me), = C.ANALOG["map_windows"]
     edges = SP.polygon_edges(A.polygons(spark))
+    # the real-file layout: yearly person CSVs (derived from the tables at sf0.01)
+    from cubewright.plans import queries_sources as QS
+    from cubewright.sources import files as FS
+    csv_path, schema = QS._persons_text(spark, sf.replace("sf0.1", "sf0.01"), f"{out}/csv")
+    csv_persons = FS.scan_typed(spark, f"{csv_path}/*/*.csv", schema)
+    csv_reason = CU.stop_cube_reason(
+        CO.classify_stops(CO.collapse_stops(csv_persons, ["_ordinal"], ("_file", "datetimeoccur", "location"))),
+        C.ANALOG["most_recent_quarter"])
     jobs = {
         "build: persons -> stops -> reason cube": reason,
+        "build (real layout): person CSVs -> stops -> reason cube": csv_reason,
         "build: hin cube": CU.hin_cube(persons, C.ANALOG["most_recent_quarter"]),
         "report r_reason_by_race (written cube)": RP.r_reason_by_race(ctx, C.ANALOG["report_year"]),
         "report r_snapshot (written cube)": RP.r_snapshot(ctx, 4, C.ANALOG["before"], C.ANALOG["after"]),
