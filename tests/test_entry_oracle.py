@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CUBEWRIGHT_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
