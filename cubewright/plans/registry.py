@@ -1,4 +1,4 @@
-"""Collects every registered query and oracle."""
+"""Collects every registered query and its oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from functools import wraps
 
 
 def _utc(fn):
+    """Queries run with the session time zone set to UTC (timestamps are UTC
+    instants; local time is derived explicitly)."""
     @wraps(fn)
     def run(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -14,23 +16,19 @@ def _utc(fn):
 
 
 def all_queries() -> dict:
-    from . import queries_etl
+    from . import queries_etl, queries_reports, queries_sources
     out = {}
-    for mod in (queries_etl,):
-        out.update({k: _utc(v) for k, v in mod.QUERIES.items()})
-    from . import queries_reports, queries_sources
-    for mod in (queries_reports, queries_sources):
+    for mod in (queries_etl, queries_reports, queries_sources):
         out.update({k: _utc(v) for k, v in mod.QUERIES.items()})
     return out
 
 
 def all_oracles() -> dict:
-    from . import oracles_etl
-    out = dict(oracles_etl.ORACLES)
-    from . import oracles_reports
-    out.update(oracles_reports.ORACLES)
+    from . import oracles_etl, oracles_reports
     e = oracles_etl.ORACLES
-    # the file-source keys must give what the parquet path gives
+    out = {**e, **oracles_reports.ORACLES}
+    # the file-source keys must give what the parquet path gives (through a
+    # CSV file an empty text field reads back as null)
     csv_nulls = oracles_etl.csv_variant
     out.update({
         "scan_typed": csv_nulls(e["stop_cube_reason"]),
