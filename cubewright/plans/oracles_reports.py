@@ -435,7 +435,9 @@ def _reason_by_race(year) -> str:
 , g AS (SELECT race, violation_category, CAST(sum(n_stopped) AS BIGINT) AS n_stopped FROM o_reason_cube
         WHERE {year_in(year)} AND violation_category NOT IN ('Other', 'None')
         GROUP BY race, violation_category)
-SELECT *, {r1(f"100.0 * {ratio('n_stopped', 'sum(n_stopped) OVER (PARTITION BY race)')}")} AS pct_stopped
+SELECT *, {r1(f"100.0 * {ratio('n_stopped', 'sum(n_stopped) OVER (PARTITION BY race)')}")} AS pct_stopped,
+  CAST(row_number() OVER (ORDER BY CASE WHEN race = 'Black' THEN 0 ELSE 1 END, n_stopped DESC, race,
+                          violation_category) AS INTEGER) AS display_order
 FROM g WHERE race IN ('White', 'Black')"""
 
 
@@ -448,7 +450,9 @@ def _reason_by_area(year) -> str:
         FROM o_reason_cube r JOIN ms ON r.districtoccur = ms.district
         WHERE {year_in(year)} AND violation_category NOT IN ('Other', 'None') AND ms.majority_district IS NOT NULL
         GROUP BY violation_category, ms.majority_district)
-SELECT *, {r1(f"100.0 * {ratio('n_stopped', 'sum(n_stopped) OVER (PARTITION BY majority_district)')}")} AS pct_stopped
+SELECT *, {r1(f"100.0 * {ratio('n_stopped', 'sum(n_stopped) OVER (PARTITION BY majority_district)')}")} AS pct_stopped,
+  CAST(row_number() OVER (ORDER BY CASE WHEN majority_district = 'Majority non-white' THEN 0 ELSE 1 END,
+                          n_stopped DESC, majority_district, violation_category) AS INTEGER) AS display_order
 FROM g"""
 
 

@@ -506,20 +506,29 @@ def _year_window(year: int) -> tuple[str, str]:
     return (f"{year}-01-01", f"{year}-12-31")
 
 
-def r_reason_by_race(ctx: ReportCtx, year: int, races=("White", "Black")) -> DataFrame:
+def _display_order(group_col: str, first: str) -> Column:
+    """O2: the chosen group first, then the largest counts (ties by reason)."""
+    return F.row_number().over(Window.orderBy(
+        F.when(F.col(group_col) == F.lit(first), 0).otherwise(1), F.col("n_stopped").desc(),
+        F.col(group_col), F.col("violation_category")))
+
+
+def r_reason_by_race(ctx: ReportCtx, year: int, races=("White", "Black"),
+                     first: str = "Black") -> DataFrame:
     """Reason shares for two races (Other/None excluded)."""
     d = FL.exclude_categories(ctx.window(ctx.reason_cube, *_year_window(year)), ["Other", "None"])
     g = ME.sums(d, ["race", "violation_category"], ["n_stopped"]).where(F.col("race").isin(list(races)))
-    return ME.share_within(g, "n_stopped", "race")
+    return ME.share_within(g, "n_stopped", "race").withColumn("display_order", _display_order("race", first))
 
 
-def r_reason_by_area(ctx: ReportCtx, year: int) -> DataFrame:
+def r_reason_by_area(ctx: ReportCtx, year: int, first: str = "Majority non-white") -> DataFrame:
     """Reason shares in majority-white vs other districts."""
     d = FL.exclude_categories(ctx.window(ctx.reason_cube, *_year_window(year)), ["Other", "None"])
     ms = F.broadcast(majority_split(ctx.population).where(F.col("majority_district").isNotNull()))
     j = d.join(ms, d.districtoccur == ms.district)
     g = ME.sums(j, ["violation_category", "majority_district"], ["n_stopped"])
-    return ME.share_within(g, "n_stopped", "majority_district")
+    return ME.share_within(g, "n_stopped", "majority_district").withColumn(
+        "display_order", _display_order("majority_district", first))
 
 
 def r_covered_reasons(ctx: ReportCtx, start, end, grain: str = "quarter") -> DataFrame:
