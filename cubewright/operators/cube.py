@@ -46,9 +46,10 @@ def stop_cube_reason(classified_stops: DataFrame, most_recent_quarter: str,
 
 
 def roll_up(cube: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Drop dimensions: re-aggregate ``measures`` over ``keys`` (A5)."""
-    return TQ.add_calendar(cube.groupBy(*keys).agg(*_sums(measures))) if "quarter" in keys \
-        else cube.groupBy(*keys).agg(*_sums(measures))
+    """Drop dimensions: re-aggregate ``measures`` over ``keys`` (A5); the
+    calendar columns are re-derived when the quarter is kept."""
+    out = cube.groupBy(*keys).agg(*_sums(measures))
+    return TQ.add_calendar(out) if "quarter" in keys else out
 
 
 def stop_cube(reason_cube: DataFrame) -> DataFrame:
