@@ -1,6 +1,6 @@
 """The test tables read as incident data (the "analog", FIXTURES.md §3-4).
 
-persons   = lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region ⋈ part (+ code list)
+persons   = lineitem ⋈ part ⋈ (orders ⋈ customer ⋈ nation ⋈ region) (+ code list)
 shootings = urgent orders ⋈ customer
 population= customers per nation
 points    = first two embedding dimensions
@@ -8,8 +8,10 @@ polygons / segments = small fixed shapes (a map, not data)
 
 Join plan: the big sides (lineitem, orders, customer, part) are joined on
 their keys and left to the planner (sort-merge or, when AQE sees a small
-side at run time, broadcast).  Only the fixed-size dimensions (nation,
-region, the 25-row code list, the shapes) are broadcast explicitly.
+side at run time, broadcast); lineitem joins part first and the order side
+last, so the person rows come out partitioned and sorted by order key.
+Only the fixed-size dimensions (nation, region, the shapes) are broadcast
+explicitly; the 25-entry brand -> code list is a CASE expression, no join.
 """
 
 from __future__ import annotations
