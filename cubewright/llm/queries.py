@@ -8,8 +8,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
-from .common import documents, small_batches
+from . import fingerprints, langid, mixing, packing
+from .common import documents
+
+#: Folder-independent place of the public tokenizer files.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 tokens along the curve."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of all documents from profiles learned from those
+    that are not held out."""
+    docs = documents(spark, sf_dir)
+    return (langid.predict(docs, langid.profiles(docs))
+            .select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +45,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": op3_fingerprints,
+    "op6_packing": op6_packing,
+    "op8_langid": op8_langid,
     "op10_mixing": op10_mixing,
 }
 
