@@ -172,3 +172,40 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         last = tuple(now)
     return (e.select(F.col("u").alias("id"), F.col("v").alias("component"))
             .unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of whole groups of rows sorted by whole-number keys: (batch, start
+    of every group and the end).  A run has about ``rows`` rows, or one group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def merged() -> pa.RecordBatch:
+        return pa.concat_batches(held) if len(held) > 1 else held[0]
+
+    def starts(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(len(b), dtype=bool)
+        new[:1] = True
+        for k in keys:
+            v = b.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            whole = merged()
+            at = starts(whole)
+            if len(at) > 1:
+                yield whole.slice(0, at[-1]), at
+                held = [whole.slice(at[-1])]
+            else:
+                held = [whole]
+            # a large group is looked at again only once it has doubled
+            n = len(held[0]) if len(held[0]) < rows else 0 if len(at) > 1 else rows - len(held[0])
+    if held:
+        whole = merged()
+        yield whole, np.append(starts(whole), len(whole))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing
+from . import embed_dedup, fingerprints, langid, mixing, packing
 from .common import documents
 
 #: Folder-independent place of the public tokenizer files.
@@ -38,6 +38,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score"))
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors among all embeddings."""
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: every source's target, every document's words taken."""
     return mixing.mix(documents(spark, sf_dir)).select(
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op6_packing": op6_packing,
     "op8_langid": op8_langid,
+    "op9_embed_dedup": op9_embed_dedup,
     "op10_mixing": op10_mixing,
 }
 
