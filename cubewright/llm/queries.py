@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprints, langid, mixing, packing
+from . import chat, embed_dedup, fingerprints, langid, mixing, packing
 from .common import documents
 
 #: Folder-independent place of the public tokenizer files.
@@ -25,6 +25,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one of control strings; digests of what is
+    read back from the output."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return chat.read_back(chat.windows(turns.unionByName(probe))).select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens along the curve."""
     return packing.pack(documents(spark, sf_dir), tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -51,10 +63,42 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
+    "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op8_langid": op8_langid,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: The template's control strings as DuckDB's regular expression.
+_ESC = r"""regexp_replace(replace({0}, '\', '\\'), '([<\[])(""" + "|".join(
+    c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROL) + r""")', '\1\\\2', 'g')"""
+
+ORACLES: dict[str, str] = {
+    "op5_chat": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (
+  SELECT *, row_number() OVER w AS i, 23 + length({_ESC.format("r")}) + length({_ESC.format("x")}) AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)),
+b AS (SELECT *, i = 1 AND r = 'system' AS sys, CAST(ceil(chars / 4.0) AS BIGINT) AS n FROM a),
+c AS (
+  SELECT *, coalesce(sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
+         NOT sys AND n > 768 AS big FROM b),
+d AS (
+  SELECT *, CASE WHEN sys THEN 0
+                 WHEN coalesce(lag(sys) OVER w, true) THEN 1
+                 WHEN big OR lag(big) OVER w OR floor(p / 768) <> floor(lag(p) OVER w / 768) THEN 1 ELSE 0 END AS begins
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+e AS (
+  SELECT *, (CASE WHEN NOT sys AND lead(begins, 1) OVER w = 1 AND lead(p, 1) OVER w - p <= 256 THEN 1 ELSE 0 END
+             + CASE WHEN NOT sys AND lead(begins, 2) OVER w = 1 AND lead(p, 2) OVER w - p <= 256 THEN 1 ELSE 0 END) AS again,
+         greatest(sum(begins) OVER (PARTITION BY conv_id), 1) AS spans
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars * CASE WHEN sys THEN spans ELSE 1 + again END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+}
