@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, fingerprints, langid, mixing, packing
+from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, packing
 from .common import documents
 
 #: Folder-independent place of the public tokenizer files.
@@ -42,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents by the log-bilinear model and by word counts."""
+    return lblm.score(documents(spark, sf_dir))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of all documents from profiles learned from those
     that are not held out."""
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_langid": op8_langid,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_mixing": op10_mixing,
