@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, packing
+from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, ngram_join, packing
 from .common import documents
 
 #: Folder-independent place of the public tokenizer files.
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard >= 0.85 of 4-word shingles."""
+    return ngram_join.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
@@ -67,6 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_fingerprints": op3_fingerprints,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
