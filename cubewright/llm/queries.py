@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, ngram_join, packing
+from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, ngram_join, packing, suffix_dedup
 from .common import documents
 
 #: Folder-independent place of the public tokenizer files.
@@ -25,6 +25,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents in strings of 400 bytes that occur elsewhere."""
+    return suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), length=400)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
@@ -73,6 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
