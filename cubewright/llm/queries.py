@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, ngram_join, packing, suffix_dedup
+from . import chat, embed_dedup, fingerprints, langid, lblm, mixing, ngram_join, packing, suffix_dedup, warc
 from .common import documents
 
 #: Folder-independent place of the public tokenizer files.
@@ -35,6 +35,16 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives of all pages' response records: links between the records,
+    digests and figures of the text."""
+    pages = warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.derive(pages, ("page_id",)).select(
+        "page_id", F.col("source_id").alias("refers_to"), "metadata_id", "conversion_id", "target", "payload_digest", "digest_agrees", "title",
+        F.size("links").cast("long").alias("n_links"), F.length("text").cast("long").alias("text_chars"), F.sha2("text", 256).alias("text_sha256"),
+        F.sha2("metadata", 256).alias("metadata_sha256"), F.sha2("conversion", 256).alias("conversion_sha256"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one of control strings; digests of what is
     read back from the output."""
@@ -80,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_warc": op4_warc,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_lm_scoring": op7_lm_scoring,
@@ -93,6 +104,7 @@ _ESC = r"""regexp_replace(replace({0}, '\', '\\'), '([<\[])(""" + "|".join(
     c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROL) + r""")', '\1\\\2', 'g')"""
 
 ORACLES: dict[str, str] = {
+    "op4_warc": op4_warc,
     "op5_chat": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
