@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gram_prefix, n_parts, small_batches, span_hashes, stage, string_slices, words_of
@@ -261,7 +261,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     n_train = train.count()
     size = words.agg(F.count("*"), F.sum("c")).first()
     total, distinct = (size[1] or 0) + n_train, size[0] + (n_train > 0)
-    best = words.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    # the least count of which no more than FREQUENT words have as many; the
+    # table of counts grows with their root, and the driver gets those words only
+    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
+    least = words.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= FREQUENT).agg(F.min("c")).first()[0]
+    best = words.where(F.col("c") >= (least or 2**62)).toPandas().sort_values("h")
     order = np.lexsort((best.h.values, -best.c.values))[:TOP]
     chosen = np.sort(order)  # by hash, as best is
     top, top_class = best.h.values[chosen], np.arange(len(chosen))
