@@ -21,6 +21,7 @@ WORDS, PERCENT, PASSAGE, GRAM = 5, 80, 200, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or with n-grams of no known language, go."""
+    docs = docs.select(*COLUMNS)
     found = langid.predict(docs, langid.profiles(docs), keep=tuple(COLUMNS))
     return found.where((F.col("lang_pred") != "und") & (F.col("distance") < FAR)).select(*COLUMNS)
 
@@ -28,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays, that of least
     id; of rows that share an id, one.  Rows of null id stay."""
+    docs = docs.select(*COLUMNS)
     comps = stage(ngram_join.jaccard_components(docs, k=WORDS, percent=PERCENT), "pipeline-components")
     ids = comps.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
         F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
@@ -43,7 +45,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out, whole characters at a time;
     documents of which nothing but white space is left go."""
-    cut = suffix_dedup.dedup(docs.select(*COLUMNS), length=PASSAGE, gram=GRAM, texts=True)
+    cut = suffix_dedup.dedup(docs, tuple(COLUMNS), length=PASSAGE, gram=GRAM, texts=True)
     left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return (cut.where((F.col("n_removed") == 0) | (F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", "") != ""))
             .select("doc_id", left.alias("text"), "lang", "source",
@@ -53,6 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it; those taken
     no time go."""
+    docs = docs.select(*COLUMNS)
     times = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"))
     return (docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).where("copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS))

@@ -266,16 +266,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     upto = F.sum("n").over(Window.orderBy(F.desc("c")))
     least = words.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= FREQUENT).agg(F.min("c")).first()[0]
     best = words.where(F.col("c") >= (least or 2**62)).toPandas().sort_values("h")
-    order = np.lexsort((best.h.values, -best.c.values))[:TOP]
-    chosen = np.sort(order)  # by hash, as best is
-    top, top_class = best.h.values[chosen], np.arange(len(chosen))
+    best_h, best_c = best.h.values.astype(np.int64), best.c.values.astype(np.int64)
+    chosen = np.sort(np.lexsort((best_h, -best_c))[:TOP])  # by hash, as best is
+    top, top_class = best_h[chosen], np.arange(len(chosen))
     is_top = F.col("h").isin([int(x) for x in top]) if len(top) else F.lit(False)
     rare = words.where(~is_top).groupBy("rc").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
     mass, once, frequency = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
     for r in rare:
         mass[r["rc"]], once[r["rc"]] = r["n"], r["once"]
     frequency[:] = mass
-    frequency[:len(top)] = best.c.values[chosen]
+    frequency[:len(top)] = best_c[chosen]
     frequency[END] = n_train
     unknown = np.where(mass > 0, (once + 0.5) / (mass + once + 1), 1.0)
     # of a word within its class: known ones count / mass * (1 - unknown)
@@ -284,7 +284,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     model = train_model(triples(train, top, top_class), frequency)
     logz = model.normalisers().astype(np.float32)
     params = model.blob()
-    shared = spark.sparkContext.broadcast((best.h.values, best.c.values, top, top_class, logz, params, model.noise))
+    shared = spark.sparkContext.broadcast((best_h, best_c, top, top_class, logz, params, model.noise))
 
     def run(batches):
         fh, fc, top, top_class, logz, params, noise = shared.value

@@ -27,7 +27,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents in strings of 400 bytes that occur elsewhere."""
-    return suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), length=400)
+    return suffix_dedup.dedup(documents(spark, sf_dir), length=400)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,11 +313,11 @@ def kept_text(data: bytes, runs: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def dedup(docs: DataFrame, text: str = "text", length: int = 400, gram: int = GRAM, texts: bool = False,
-          big_rows: int = BIG) -> DataFrame:
-    """The rows of docs with n_bytes, n_removed, n_spans and kept_sha256, and
-    with ``texts`` kept_text, what is left of whole characters; without, the
-    text column itself is left out."""
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", length: int = 400, gram: int = GRAM,
+          texts: bool = False, big_rows: int = BIG) -> DataFrame:
+    """The columns of ``keep`` of every row, n_bytes, n_removed, n_spans and
+    kept_sha256, and with ``texts`` kept_text, what is left in whole
+    characters."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     t = F.coalesce(F.col(text), F.lit(""))
@@ -339,8 +339,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 400, gram: int = GR
 
     changed = stage(some.join(runs, "cid").select("cid", "text", "runs").mapInArrow(
         finish, "cid long, n_removed long, n_spans long, kept string, left string"), "suffix-changed")
-    keep = [c for c in docs.columns if texts or c != text]
-    rows = docs.select(*[F.col(c) for c in keep], F.xxhash64(t).alias("_cid"), F.octet_length(t).cast("long").alias("_bytes"), F.sha2(t, 256).alias("_sha"))
+    rows = docs.select(*keep, *([t.alias("_text")] if texts else []), F.xxhash64(t).alias("_cid"), F.octet_length(t).cast("long").alias("_bytes"), F.sha2(t, 256).alias("_sha"))
     if not texts:
         rows = stage(rows, "suffix-rows")
     copies = (rows if not texts else stage(rows.select("_cid", "_bytes"), "suffix-ids")).where(F.col("_bytes") >= length).groupBy("_cid").agg(F.count("*").alias("n")).where("n > 1")
@@ -353,5 +352,5 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 400, gram: int = GR
                      F.when(whole, F.col("_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).cast("long").alias("n_removed"),
                      F.when(whole, 1).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("long").alias("n_spans"),
                      F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept", "_sha")).alias("kept_sha256"),
-                     *([F.when(whole, F.lit("")).otherwise(F.coalesce("_left", t)).alias("kept_text")] if texts else []))
+                     *([F.when(whole, F.lit("")).otherwise(F.coalesce("_left", "_text")).alias("kept_text")] if texts else []))
     return out
