@@ -26,7 +26,8 @@ def quarter_gate_report(cubes: Mapping[str, DataFrame], most_recent_quarter: str
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("ok", F.col("max_quarter") == F.lit(most_recent_quarter))
+    # an empty cube has no latest quarter and does not pass
+    return out.withColumn("ok", F.col("max_quarter").eqNullSafe(F.lit(most_recent_quarter)))
 
 
 def check_quarter(cubes: Mapping[str, DataFrame], most_recent_quarter: str) -> None:
@@ -37,19 +38,27 @@ def check_quarter(cubes: Mapping[str, DataFrame], most_recent_quarter: str) -> N
 
 
 def agree_report(quarters: DataFrame, col: str = "quarter") -> DataFrame:
-    """One row: number of distinct quarters across tables (Q2); ok when 1."""
+    """One row: number of distinct quarters across tables (Q2); ok when 1 and
+    no table lacks its quarter."""
     return quarters.agg(F.countDistinct(col).alias("n_distinct"),
-                        F.count(F.lit(1)).alias("n_tables"),
+                        F.count(F.lit(1)).alias("n_tables"), F.count(col).alias("n_present"),
                         F.min(col).alias("quarter")) \
-        .withColumn("ok", F.col("n_distinct") == 1)
+        .withColumn("ok", (F.col("n_distinct") == 1) & (F.col("n_present") == F.col("n_tables"))).drop("n_present")
 
 
-def check_total(cube: DataFrame, measure: str, expected: int, where=None) -> None:
-    """Seed check: a known total (Q3)."""
+def total_report(cube: DataFrame, measure: str, expected: int, where=None) -> DataFrame:
+    """One row ``(measure, total, expected, ok)``: a known total (Q3)."""
     c = cube.where(where) if where is not None else cube
-    got = c.agg(F.sum(measure).alias("t")).collect()[0]["t"]
-    if got != expected:
-        raise ValueError(f"{measure} total {got} != expected {expected}")
+    return c.agg(F.sum(measure).cast("long").alias("total")).select(
+        F.lit(measure).alias("measure"), "total", F.lit(int(expected)).cast("long").alias("expected"),
+        F.col("total").eqNullSafe(F.lit(int(expected)).cast("long")).alias("ok"))
+
+
+def check_total(cube: DataFrame, measure: str, expected: int, where=None) -> None:
+    """Seed check: raise unless the known total is met (Q3)."""
+    got = total_report(cube, measure, expected, where).first()
+    if not got["ok"]:
+        raise ValueError(f"{measure} total {got['total']} != expected {expected}")
 
 
 def null_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -60,12 +69,10 @@ def null_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.selectExpr("n_rows", f"stack({len(cols)}, {stack}) as (column_name, pct_null)")
 
 
-def unknown_geometry(remapped: DataFrame, table: str, district_col: str = "districtoccur",
-                     psa_col: str = "psa", merged: Sequence[str] = ("09", "9")) -> DataFrame:
-    """Rows of the merged district whose PSA could not be derived (no point),
-    as a percentage of all rows (C6): one row ``(table, n_unknown, n_rows, pct)``."""
-    unknown = F.col(district_col).isin(list(merged)) & F.col(psa_col).isNull()
-    return remapped.agg(F.sum(unknown.cast("long")).alias("n_unknown"),
+def unknown_geometry(remapped: DataFrame, table: str, psa_col: str = "psa") -> DataFrame:
+    """Rows whose PSA is unknown after the remap, as a percentage of all rows
+    of the file (C6): one row ``(table, n_unknown, n_rows, pct)``."""
+    return remapped.agg(F.sum(F.col(psa_col).isNull().cast("long")).alias("n_unknown"),
                         F.count(F.lit(1)).alias("n_rows")) \
         .select(F.lit(table).alias("table"), "n_unknown", "n_rows",
                 (F.col("n_unknown") / F.col("n_rows") * F.lit(100.0)).alias("pct_unknown"))

@@ -8,6 +8,7 @@ Tables are written once, partitioned by year, and read back by the reports.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,12 @@ def build_all(persons: DataFrame, order_cols: Sequence[str], most_recent_quarter
 
 
 def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter: str,
-                gate: bool = True, parallel: int = 4) -> dict[str, DataFrame]:
-    """Write every cube (partitioned by year), read them back and gate them (Q1).
+                gate: bool = True, parallel: int = 4,
+                seed_total: tuple[int, int] | None = None) -> dict[str, DataFrame]:
+    """Write every cube (partitioned by year) to a folder of its own, read them
+    back, gate them (Q1, Q3), and only then publish the build; a failed gate
+    leaves the build before as it was.  ``seed_total`` is (year, stops known
+    before that year).
 
     The reason cube is written first and the stop cube is rolled up from the
     written table, so the person-level plan runs once for both.  The other
@@ -68,12 +73,15 @@ def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter:
     spark = next(iter(tables.values())).sparkSession
     rest = dict(tables)
 
+    name = f"builds/{uuid.uuid4().hex}"
+    folder = f"{path}/{name}"
+
     def write_one(name, df):
-        SK.write_tables({name: df}, path)
+        SK.write_tables({name: df}, folder)
 
     def reason_then_cube():
         write_one("stop_cube_reason", rest_reason)
-        write_one("stop_cube", CU.stop_cube(SK.read_table(spark, path, "stop_cube_reason")))
+        write_one("stop_cube", CU.stop_cube(spark.read.parquet(f"{folder}/stop_cube_reason")))
 
     jobs = []
     if "stop_cube_reason" in rest and "stop_cube" in rest:
@@ -84,12 +92,13 @@ def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter:
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         for f in [pool.submit(j) for j in jobs]:
             f.result()                                  # re-raise any failure
-    back = {name: SK.read_table(spark, path, name) for name in tables}
+    back = {t: spark.read.parquet(f"{folder}/{t}") for t in tables}
     if gate:
         QU.check_quarter({k: v for k, v in back.items() if k in ("stop_cube", "shootings_cube")},
                          most_recent_quarter)
-    settings = spark.range(1).select(F.lit(most_recent_quarter).alias("most_recent_quarter"))
-    settings.write.mode("overwrite").parquet(f"{path}/settings")
+    if seed_total is not None:
+        QU.check_total(back["stop_cube"], "n_stopped", seed_total[1], F.col("year") < seed_total[0])
+    SK.publish(spark, path, name, most_recent_quarter)
     return back
 
 
@@ -122,7 +131,8 @@ def hin_sample(persons: DataFrame, segments: DataFrame, year: int, n: int = 1000
 def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], out: str,
                       most_recent_quarter: str, psa_map: str | None, gate: bool, psa_label: str,
                       hin_lines: str | None, hin_line_name: str, sample_year: int | None,
-                      sample_rows: int, sample_table: DataFrame | None = None) -> dict[str, DataFrame]:
+                      sample_rows: int, sample_table: DataFrame | None = None,
+                      seed_total: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """Shared tail of the folder and archive builds: ``scan(table)`` returns
     the typed person / shooting rows with ``_ordinal`` and ``_file``."""
     from ..operators import spatial as SP
@@ -154,7 +164,7 @@ def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], ou
         if edges is not None:
             sh = remap_districts(sh, edges, district_col="dist", psa_col=None)
         tables["shootings_cube"] = CU.shootings_cube(sh, most_recent_quarter)
-    return write_build(tables, out, most_recent_quarter, gate=gate)
+    return write_build(tables, out, most_recent_quarter, gate=gate, seed_total=seed_total)
 
 
 def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str | None = None,
@@ -162,7 +172,7 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
                      overrides: Mapping[str, str] | None = None, gate: bool = True,
                      psa_label: str = "PSA_NUM", hin_lines: str | None = None,
                      hin_line_name: str = "street_name", sample_year: int | None = None,
-                     sample_rows: int = 1000) -> dict[str, DataFrame]:
+                     sample_rows: int = 1000, seed_total: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """The batch build over the real file layout (lifecycle A).
 
     ``csv_root`` holds ``<table>/<table>_year_<YYYY>.csv`` files and a
@@ -180,6 +190,9 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
     files = spark.read.text(f"{csv_root}/*/*.csv").inputFiles()
     routed = FS.route_files(files, list(SC.TABLES))
     if overrides:
+        astray = set(overrides) - {f.rsplit("/", 1)[-1] for lst in routed.values() for f in lst}
+        if astray:
+            raise ValueError(f"overrides that match no file: {sorted(astray)}")
         for t, lst in routed.items():
             routed[t] = [overrides.get(f.rsplit("/", 1)[-1], f) for f in lst]
 
@@ -189,7 +202,7 @@ def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str
 
     return _build_from_scans(spark, scan, {t: bool(v) for t, v in routed.items()}, out,
                              most_recent_quarter, psa_map, gate, psa_label, hin_lines,
-                             hin_line_name, sample_year, sample_rows)
+                             hin_line_name, sample_year, sample_rows, seed_total=seed_total)
 
 
 SAMPLE_MEMBER = "car_ped_stops_hin_random_sample"
@@ -200,7 +213,7 @@ def build_from_archive(spark: SparkSession, archive: str, out: str, psa_map: str
                        overrides: Mapping[str, str] | None = None, gate: bool = True,
                        psa_label: str = "PSA_NUM", hin_lines: str | None = None,
                        hin_line_name: str = "street_name", sample_year: int | None = None,
-                       sample_rows: int = 1000) -> dict[str, DataFrame]:
+                       sample_rows: int = 1000, seed_total: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """The batch build straight from a zip backup of ``csvs/<table>/...`` members.
 
     Members are routed to tables by name (an unknown CSV fails the build), a
@@ -220,6 +233,8 @@ def build_from_archive(spark: SparkSession, archive: str, out: str, psa_map: str
         other = None
         for base, other_archive in overrides.items():
             o = FS.archive_members(spark, [other_archive]).where(F.col("base") == base)
+            if o.isEmpty():
+                raise ValueError(f"{other_archive} has no member {base}")
             other = o if other is None else other.unionByName(o)
         members = FS.override_members(members, other)
     names = [r["member"] for r in members.select("member").collect()]   # names only
@@ -237,4 +252,4 @@ def build_from_archive(spark: SparkSession, archive: str, out: str, psa_map: str
             .drop("_ordinal", "_file")
     return _build_from_scans(spark, scan, {t: bool(v) for t, v in routed.items()}, out,
                              most_recent_quarter, psa_map, gate, psa_label, hin_lines,
-                             hin_line_name, sample_year, sample_rows, sample_table=sample)
+                             hin_line_name, sample_year, sample_rows, sample_table=sample, seed_total=seed_total)

@@ -27,7 +27,10 @@ FILE_ORDER = [*STOP_KEY, *A.PERSON_ORDER]
 
 def _persons_text(spark: SparkSession, sf_dir: str, root: str) -> tuple[str, object]:
     p = A.persons(spark, sf_dir).drop("l_orderkey")
-    path = FS.write_member_csvs(p, root, TABLE, "source_year", FILE_ORDER, group_cols=STOP_KEY)
+    # the files' columns stand in another order than the schema's: a scan binds
+    # them by name
+    path = FS.write_member_csvs(p, root, TABLE, "source_year", FILE_ORDER, group_cols=STOP_KEY,
+                                columns=sorted(p.columns, reverse=True))
     return path, FS.schema_of(p)
 
 

@@ -63,13 +63,14 @@ class ReportCtx:
         ``cache=True`` keeps the (small) cubes in memory for a report server,
         the way the reproduced system memoises its tables."""
         from ..sources import sinks as SK
-        mrq = spark.read.parquet(f"{path}/settings").select("most_recent_quarter").first()[0]
+        mrq = SK.most_recent_quarter(spark, path)
+        path = SK.published(spark, path)
         names = {"cube": "stop_cube", "reason_cube": "stop_cube_reason", "hin_cube": "hin_cube",
                  "shootings_cube": "shootings_cube"}
-        tables = {k: SK.read_table(spark, path, v) for k, v in names.items()}
+        tables = {k: spark.read.parquet(f"{path}/{v}") for k, v in names.items()}
         if cache:
             tables = {k: v.cache() for k, v in tables.items()}
-        tables["population"] = population if population is not None else SK.read_table(spark, path, "population")
+        tables["population"] = population if population is not None else spark.read.parquet(f"{path}/population")
         return cls(tables, divisions, TQ.quarters_between_py(first_quarter, mrq), strict=strict)
 
     def loc(self, df: DataFrame, location: str) -> DataFrame:

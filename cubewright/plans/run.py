@@ -45,6 +45,7 @@ def main(argv=None) -> None:
                    help="base_name=path (a file, or another zip for --archive)")
     b.add_argument("--hin-lines", help="GeoJSON of the high-injury network lines")
     b.add_argument("--sample-year", type=int, help="year of the network sample table")
+    b.add_argument("--seed-total", help="YEAR=N: stops known before the year; another total fails the build")
     r = sub.add_parser("report")
     r.add_argument("--tables", required=True)
     r.add_argument("--population", required=True,
@@ -62,10 +63,11 @@ def main(argv=None) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if args.cmd == "build":
         overrides = dict(o.split("=", 1) for o in args.override)
+        seed = tuple(int(x) for x in args.seed_total.split("=")) if args.seed_total else None
         build = BL.build_from_archive if args.archive else BL.build_from_files
         build(spark, args.archive or args.csv_root, args.out, psa_map=args.psa_map,
               most_recent_quarter=args.quarter, overrides=overrides,
-              hin_lines=args.hin_lines, sample_year=args.sample_year)
+              hin_lines=args.hin_lines, sample_year=args.sample_year, seed_total=seed)
     elif args.cmd == "analog":
         BL.write_build(BL.build_analog(spark, args.sf_dir), args.out, C.ANALOG["most_recent_quarter"])
     else:

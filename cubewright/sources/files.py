@@ -1,9 +1,12 @@
 """File sources: typed CSV scans, file-order ordinals, archives, overrides,
 summary files, dimension CSVs and GeoJSON maps (S1-S4, S6-S8).
 
-* CSVs are read with every column as text, the null markers of the
-  reproduced reader are mapped to null, and only then are columns cast to
-  their declared types (a bad value fails the job: ANSI casts).
+* CSVs are read with every column as text and bound by the names in each
+  file's own header (absent columns are null, further ones are ignored), with
+  RFC-4180 quotes; the null markers of the reproduced reader are mapped to
+  null, and only then are columns cast to their declared types (a bad value
+  fails the job: ANSI casts).  A line end inside quotes needs ``multi_line``,
+  which reads a file in one task; without it such a file fails the job.
 * The file-order ordinal is taken *at the scan*: (file path, split start,
   monotonically increasing id).  Within one split the id follows the file;
   splits of one file are ordered by their start; so the tuple orders all
@@ -14,9 +17,12 @@ summary files, dimension CSVs and GeoJSON maps (S1-S4, S6-S8).
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,23 +55,58 @@ def _typed(c: Column, dt: T.DataType) -> Column:
     return c.cast(dt)
 
 
+CSV_OPTIONS = {"header": True, "mode": "FAILFAST", "quote": '"', "escape": '"'}
+
+
+def csv_headers(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> the files that have them, in that order.  Each file's
+    first line is read by Spark; the driver holds names only."""
+    files = sorted(set(spark.read.text(paths).inputFiles()))
+
+    def names(f: str) -> tuple[str, ...]:
+        reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        first = reader.csv(f, header=False).head(1) if multi_line else spark.read.text(f).head(1)
+        if not first:
+            return ()
+        return tuple(first[0]) if multi_line else tuple(next(csv.reader([first[0][0]]), ()))
+
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for f, n in zip(files, pool.map(names, files), strict=True):
+            if n:
+                out.setdefault(tuple(x or "" for x in n), []).append(f)
+    return out
+
+
 def scan_typed(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType,
-               with_ordinal: bool = True, extra_cols: Sequence[str] = ()) -> DataFrame:
+               with_ordinal: bool = True, multi_line: bool = False) -> DataFrame:
     """Typed CSV scan with header (S1) plus the file-order ordinal.
 
-    Columns missing from a file are null; the ``_ordinal`` struct orders rows
-    by their position on disk.
+    Columns are bound by name; those missing from a file are null.  The
+    ``_ordinal`` struct orders rows by their position on disk.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", True).option("mode", "FAILFAST").csv(paths)
-    cols = [_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields]
+    def one(names: tuple[str, ...], files: list[str]) -> DataFrame:
+        own = [f"c{i}" for i in range(len(names))]
+        text = T.StructType([T.StructField(c, T.StringType()) for c in own])
+        raw = spark.read.schema(text).options(**CSV_OPTIONS).option("multiLine", multi_line).csv(files)
+        at = {n: c for n, c in reversed(list(zip(names, own, strict=True)))}
+        cols = [_typed(F.col(at[f.name]) if f.name in at else F.lit(None).cast("string"), f.dataType).alias(f.name)
+                for f in schema.fields]
+        if with_ordinal:
+            cols.append(F.struct(F.col("_metadata.file_path").alias("file"),
+                                 F.col("_metadata.file_block_start").alias("start"),
+                                 F.monotonically_increasing_id().alias("row")).alias("_ordinal"))
+            cols.append(F.col("_metadata.file_path").alias("_file"))
+        return raw.select(*cols)
+
+    parts = [one(n, f) for n, f in csv_headers(spark, paths, multi_line).items()]
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    none = spark.createDataFrame([], schema)
     if with_ordinal:
-        cols.append(F.struct(F.col("_metadata.file_path").alias("file"),
-                             F.col("_metadata.file_block_start").alias("start"),
-                             F.monotonically_increasing_id().alias("row")).alias("_ordinal"))
-        cols.append(F.col("_metadata.file_path").alias("_file"))
-    cols += [F.col(c) for c in extra_cols]
-    return raw.select(*cols)
+        none = none.select("*", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"),
+                                         F.lit(0).cast("long").alias("row")).alias("_ordinal"), F.lit("").alias("_file"))
+    return none
 
 
 def route_files(files: Iterable[str], tables: Sequence[str]) -> dict[str, list[str]]:
@@ -103,13 +144,19 @@ def archive_members(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
 
 
 def override_members(members: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Members replaced by same-named members of another archive (S3)."""
+    """Members replaced by same-named members of another archive (S3).  An
+    override that replaces nothing is an error."""
+    astray = [r["base"] for r in overrides.join(members.select("base"), "base", "left_anti").select("base").collect()]
+    if astray:                                          # member names only
+        raise ValueError(f"overrides that match no member: {astray}")
     keep = members.join(overrides.select("base"), "base", "left_anti")
     return keep.unionByName(overrides.join(members.select("base"), "base", "left_semi"))
 
 
 def read_members(members: DataFrame, schema: T.StructType, chunk_rows: int = 200_000) -> DataFrame:
-    """Executors read the listed archive members (one task per member).
+    """Executors read the listed archive members, by Python's zipfile and so
+    from a mount that all nodes share (one task per member: members are dealt
+    by their number).
 
     Each member is streamed in chunks of ``chunk_rows`` rows; every row gets
     ``_member`` and ``_row`` (its position in the member, i.e. file order).
@@ -128,14 +175,16 @@ def read_members(members: DataFrame, schema: T.StructType, chunk_rows: int = 200
                     pos = 0
                     for chunk in pd.read_csv(io.TextIOWrapper(fh, encoding="utf-8"), dtype=str,
                                              keep_default_na=False, chunksize=chunk_rows):
-                        chunk = chunk.reindex(columns=names)
+                        chunk = chunk.reindex(columns=names).astype(object)
+                        chunk = chunk.where(chunk.notna(), None)      # absent columns are null
                         chunk["_member"] = member
                         chunk["_row"] = range(pos, pos + len(chunk))
                         pos += len(chunk)
                         yield chunk
 
-    n = max(1, members.count())
-    raw = members.repartition(n, "archive", "member").mapInPandas(read, out_schema)
+    names_only = [tuple(r) for r in members.select("archive", "member").sort("archive", "member").collect()]
+    dealt = members.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(names_only)], "part int, archive string, member string")
+    raw = dealt.repartitionById(max(1, len(names_only)), "part").select("archive", "member").mapInPandas(read, out_schema)
     cols = [_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields]
     return raw.select(*cols, F.struct(F.col("_member").alias("file"),
                                       F.col("_row").alias("row")).alias("_ordinal"),
@@ -262,24 +311,26 @@ def read_geojson_lines(spark: SparkSession, path: str, name_prop: str) -> DataFr
 # ---------------------------------------------------------------------------
 
 def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
-                      order_cols: Sequence[str], n_parts: int = 8,
-                      group_cols: Sequence[str] | None = None) -> str:
+                      order_cols: Sequence[str], group_cols: Sequence[str] | None = None,
+                      columns: Sequence[str] | None = None) -> str:
     """Write ``df`` as yearly CSV members ``<root>/<table>/member=<table>_year_<Y>/``.
 
     Rows are range-partitioned by ``group_cols`` (a prefix of ``order_cols``,
     e.g. the stop key: equal keys always land in the same part file, so no
     stop spans two files) and sorted by ``order_cols`` within each file, so
     the file order on disk *is* that order (part files are numbered in range
-    order).
+    order).  The session decides on the number of ranges.  ``columns`` is the
+    order of the columns in the files.
     """
     out = f"{root}/{table}"
     member = F.concat(F.lit(f"{table}_year_"), F.col(year_col).cast("string"))
     # sorted by member first: the partitioned writer then keeps this order
     # (otherwise it re-sorts each task by member and loses the row order)
-    (df.withColumn("member", member)
-       .repartitionByRange(n_parts, *(group_cols or order_cols))
-       .sortWithinPartitions("member", *order_cols)
-       .write.mode("overwrite").option("header", True)
+    rows = (df.withColumn("member", member)
+              .repartitionByRange(*(group_cols or order_cols))
+              .sortWithinPartitions("member", *order_cols))
+    (rows.select(*(columns or df.columns), "member")
+       .write.mode("overwrite").option("header", True).option("escape", '"')
        .partitionBy("member").csv(out))
     return out
 

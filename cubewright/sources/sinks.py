@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,37 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, partition_by: str |
         w.parquet(f"{path}/{name}")
 
 
+def published(spark, path: str) -> str:
+    """The folder of the newest published build under ``path``; ``path``
+    itself where tables were written to it directly."""
+    try:
+        settings = spark.read.parquet(f"{path}/settings")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return path
+    if "build" not in settings.columns:
+        return path
+    return f"{path}/{settings.agg(F.max_by('build', 'published_at')).first()[0]}"
+
+
+def publish(spark, path: str, build: str, most_recent_quarter: str) -> None:
+    """Make a written build the one that readers get: one row more in
+    ``settings``.  Readers of the build before keep its tables."""
+    (spark.range(1).select(F.lit(most_recent_quarter).alias("most_recent_quarter"), F.lit(build).alias("build"),
+                           F.current_timestamp().alias("published_at"))
+     .write.mode("append").parquet(f"{path}/settings"))
+
+
+def most_recent_quarter(spark, path: str) -> str:
+    settings = spark.read.parquet(f"{path}/settings")
+    if "build" not in settings.columns:
+        return settings.select("most_recent_quarter").first()[0]
+    return settings.agg(F.max_by("most_recent_quarter", "published_at")).first()[0]
+
+
 def read_table(spark, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{published(spark, path)}/{name}")
 
 
 def write_rows(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -17,10 +17,11 @@ are touched once, by the batch that brings them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
@@ -36,13 +37,17 @@ def _version_path(table: str, batch_id: int) -> str:
 
 def latest_version(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
     """The newest written version of the cube table (optionally older than
-    batch ``before``); None before the first.  A replayed batch therefore
-    always folds into the state its first attempt saw.  The version is found
-    from the file listing (names only); then only that version is read."""
-    import re
+    batch ``before``); None only where the folder holds none.  A replayed
+    batch therefore always folds into the state its first attempt saw.  The
+    version is found from the file listing (names only); then only that
+    version is read, and any error in reading it is raised."""
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+               .option("pathGlobFilter", "*.parquet"))
     try:
-        files = spark.read.parquet(table).inputFiles()
-    except Exception:  # noqa: BLE001  (no version written yet)
+        files = listing.load(table).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     versions = {int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m}
     if before is not None:
@@ -52,14 +57,13 @@ def latest_version(spark: SparkSession, table: str, before: int | None = None) -
     return spark.read.parquet(_version_path(table, max(versions)))
 
 
-def fold_batch(batch: DataFrame, batch_id: int, table: str, schema: T.StructType,
+def fold_batch(files: DataFrame, batch_id: int, table: str, schema: T.StructType,
                most_recent_quarter: str, stop_key: Sequence[str]) -> None:
-    """foreachBatch body: typed rows -> stops (within file) -> cube -> merge."""
-    spark = batch.sparkSession
-    typed = batch.select(*[FS._typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields],
-                         F.struct(F.col("_file").alias("file"), F.col("_start").alias("start"),
-                                  F.monotonically_increasing_id().alias("row")).alias("_ordinal"),
-                         "_file")
+    """foreachBatch body: the batch's files (``path``) -> typed rows, by the
+    same scan as the one-pass build -> stops (within file) -> cube -> merge."""
+    spark = files.sparkSession
+    paths = [r["path"] for r in files.select("path").collect()]   # names of the batch's files
+    typed = FS.scan_typed(spark, paths, schema)
     stops = CO.classify_stops(CO.collapse_stops(typed, ["_ordinal"], ["_file", *stop_key]))
     cube = CU.stop_cube_reason(stops, most_recent_quarter).select(*C.REASON_KEYS, *C.STOP_MEASURES)
     parts = [cube]
@@ -74,13 +78,12 @@ def start_fold(spark: SparkSession, landing: str, table: str, checkpoint: str,
                schema: T.StructType, most_recent_quarter: str,
                stop_key: Sequence[str] = ("datetimeoccur", "location"),
                files_per_batch: int = 1, available_now: bool = True):
-    """Start the fold stream; returns the StreamingQuery."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    stream = (spark.readStream.schema(text).option("header", True)
-              .option("maxFilesPerTrigger", files_per_batch)
-              .csv(landing)
-              .withColumn("_file", F.col("_metadata.file_path"))
-              .withColumn("_start", F.col("_metadata.file_block_start")))
+    """Start the fold stream over the CSV files that land in a folder; returns
+    the StreamingQuery.  The stream itself carries file names only."""
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    stream = (spark.readStream.format("binaryFile").schema(shape)
+              .option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv*")
+              .load(landing).select("path"))
     w = (stream.writeStream
          .foreachBatch(lambda df, bid: fold_batch(df, bid, table, schema, most_recent_quarter, stop_key))
          .option("checkpointLocation", checkpoint))

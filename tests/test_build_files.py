@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cubewright.plans import build as BL
 from cubewright.sources import schemas as SC
+from cubewright.sources import sinks as SK
 
 PCOLS = [f.name for f in SC.PERSONS.fields]
 HCOLS = [f.name for f in SC.PERSONS_ON_HIN.fields]
@@ -81,7 +82,7 @@ def test_build_from_files(spark, tmp, layout):
     assert t["hin_cube"].agg(F.sum("n_stopped_locatable_on_hin")).collect()[0][0] == 1
     assert spark.read.parquet(f"{tmp}/out/settings").collect()[0][0] == "2022-Q4"
     q = t["quality_unknown_geometry"].collect()[0]
-    assert (q["n_unknown"], q["n_rows"]) == (1, 9)          # "c": district 06 without a point
+    assert (q["n_unknown"], q["n_rows"]) == (1, 9)          # "c": the only row without a PSA
 
 
 def test_unknown_file_fails(spark, tmp, layout):
@@ -181,7 +182,49 @@ def test_cli_build_folder_and_archive(spark, tmp, layout):
     run.main(["build", "--csv-root", root, "--out", f"{tmp}/cli_f", "--psa-map", psa_map])
     _zip_folder(root, f"{tmp}/cli.zip")
     run.main(["build", "--archive", f"{tmp}/cli.zip", "--out", f"{tmp}/cli_a", "--psa-map", psa_map])
-    a = sorted(spark.read.parquet(f"{tmp}/cli_a/stop_cube").select("districtoccur", "psa", "n_stopped").collect())
-    f = sorted(spark.read.parquet(f"{tmp}/cli_f/stop_cube").select("districtoccur", "psa", "n_stopped").collect())
+    a = sorted(SK.read_table(spark, f"{tmp}/cli_a", "stop_cube").select("districtoccur", "psa", "n_stopped").collect())
+    f = sorted(SK.read_table(spark, f"{tmp}/cli_f", "stop_cube").select("districtoccur", "psa", "n_stopped").collect())
     assert a == f and len(a) == 5
     assert spark.read.parquet(f"{tmp}/cli_a/settings").collect()[0][0] == "2022-Q4"
+
+
+def test_failed_gate_keeps_the_published_build(spark, tmp, layout):
+    root, _ = layout
+    out = f"{tmp}/kept"
+    BL.build_from_files(spark, root, out, seed_total=(2022, 1))
+    before = sorted(SK.read_table(spark, out, "stop_cube").collect())
+    write_csv(f"{root}/car_ped_stops/car_ped_stops_year_2020.csv", PCOLS,
+              [prow(PCOLS, **person(location="n", datetimeoccur="2020-05-01T12:00:00Z"))])
+    with pytest.raises(ValueError):
+        BL.build_from_files(spark, root, out, most_recent_quarter="2023-Q1")
+    with pytest.raises(ValueError):
+        BL.build_from_files(spark, root, out, seed_total=(2022, 1))
+    assert sorted(SK.read_table(spark, out, "stop_cube").collect()) == before
+    BL.build_from_files(spark, root, out, seed_total=(2022, 2))
+    assert SK.read_table(spark, out, "stop_cube").count() == len(before) + 1
+    assert SK.most_recent_quarter(spark, out) == "2022-Q4"
+
+
+def test_unresolved_overrides_fail(spark, tmp, layout):
+    root, _ = layout
+    with pytest.raises(ValueError):
+        BL.build_from_files(spark, root, f"{tmp}/u1", overrides={"car_ped_stops_year_1999.csv": f"{tmp}/x.csv"})
+    _zip_folder(root, f"{tmp}/a.zip")
+    for base in ("car_ped_stops_year_1999.csv", "car_ped_stops_year_2021.csv"):
+        with pytest.raises(ValueError):
+            import zipfile
+            with zipfile.ZipFile(f"{tmp}/none-{base}.zip", "w") as z:
+                z.writestr("csvs/car_ped_stops/car_ped_stops_year_1999.csv" if base.endswith("1999.csv") else "readme.txt", "x")
+            BL.build_from_archive(spark, f"{tmp}/a.zip", f"{tmp}/u2", overrides={base: f"{tmp}/none-{base}.zip"})
+
+
+def test_folder_and_archive_agree_on_any_header(spark, tmp, layout):
+    root, _ = layout
+    cols = [c for c in sorted(PCOLS) if c != "weekday"] + ["unheard_of"]
+    rows = [person(location='"MAIN ""X"", ST"', age=50), person(location='"MAIN ""X"", ST"', age=20), person(location="q")]
+    write_csv(f"{root}/car_ped_stops/car_ped_stops_year_2019.csv", cols, [prow(cols, **r) for r in rows])
+    _zip_folder(root, f"{tmp}/h.zip")
+    f = BL.build_from_files(spark, root, f"{tmp}/hf")["stop_cube_reason"]
+    a = BL.build_from_archive(spark, f"{tmp}/h.zip", f"{tmp}/ha")["stop_cube_reason"]
+    assert sorted(a.select(f.columns).collect()) == sorted(f.collect())
+    assert f.where("age_range = '45-54'").count() == 1        # the driver of the quoted place

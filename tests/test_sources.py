@@ -126,3 +126,27 @@ def test_archive_summaries(spark, tmp):
         z.writestr("csvs/shootings/shootings_year_2024.csv", HEADER + "\n")      # no summary
     with pytest.raises(ValueError):
         FS.check_latest_full_quarter(FS.read_archive_summaries(spark, [b]))
+
+
+def test_scan_binds_by_name_with_quotes(spark, tmp):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in "abc"])
+    os.makedirs(f"{tmp}/n")
+    for name, text in (("1", 'b,a\n1,"x ""y"", z"\n'), ("2", "a,other,c\np,q,r\n"), ("3", "c,b,a\n")):
+        with open(f"{tmp}/n/{name}.csv", "w") as fh:
+            fh.write(text)
+    got = sorted(((r["a"], r["b"], r["c"]) for r in FS.scan_typed(spark, f"{tmp}/n/*.csv", schema).collect()), key=str)
+    assert got == [("p", None, "r"), ('x "y", z', "1", None)]
+    with open(f"{tmp}/n/4.csv", "w") as fh:
+        fh.write('a,b,c\n"two\nlines",1,2\n')
+    with pytest.raises(Exception):
+        FS.scan_typed(spark, f"{tmp}/n/4.csv", schema).collect()
+    assert FS.scan_typed(spark, f"{tmp}/n/4.csv", schema, multi_line=True).first()["a"] == "two\nlines"
+    with open(f"{tmp}/n/5.csv", "w"):
+        pass
+    assert FS.scan_typed(spark, f"{tmp}/n/5.csv", schema).count() == 0
+
+
+def test_override_that_matches_nothing_fails(spark):
+    m = spark.createDataFrame([("a.zip", "x/y.csv", "y.csv")], "archive string, member string, base string")
+    with pytest.raises(ValueError):
+        FS.override_members(m, spark.createDataFrame([("b.zip", "x/z.csv", "z.csv")], m.schema))

@@ -2,6 +2,7 @@
 the result equals a one-pass build."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,3 +53,14 @@ def test_fold_restart(spark, tmp):
     got = sorted(SF.final_cube(spark, table).select(*C.REASON_KEYS, *C.STOP_MEASURES).collect())
     want = sorted(one_pass(spark, f"{land}/*.csv").collect())
     assert got == want and sum(r["n_stopped"] for r in got) == 7 * 3
+
+
+def test_damaged_version_raises(spark, tmp):
+    assert SF.latest_version(spark, f"{tmp}/none") is None
+    os.makedirs(f"{tmp}/cube/v=0")
+    assert SF.latest_version(spark, f"{tmp}/cube") is None
+    with open(f"{tmp}/cube/v=0/part-0.parquet", "wb") as fh:
+        fh.write(b"damaged")
+    with pytest.raises(Exception):
+        SF.latest_version(spark, f"{tmp}/cube").collect()
+    assert SF.latest_version(spark, f"{tmp}/cube", before=0) is None
