@@ -81,11 +81,10 @@ def baseline_status(member: Column, baseline: str, num: Column, den: Column) ->
              .otherwise(F.lit("ratio")))
 
 
-def ols_fit(df: DataFrame, x: str, y: str, out: str, dp: int | None = 4) -> DataFrame:
+def ols_fit(df: DataFrame, x: str, y: str, out: str, dp: int | None = None) -> DataFrame:
     """Least-squares line y ~ x over the (small, grouped) frame, clipped at 0.
 
-    The fitted values are chart values; they are rounded half-even to
-    ``dp`` decimals so that engines summing in a different order agree.
+    ``dp`` rounds the fitted values half-even.
     """
     w = Window.partitionBy()
     b1 = F.regr_slope(F.col(y), F.col(x)).over(w)

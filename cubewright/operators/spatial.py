@@ -18,7 +18,9 @@ grid key, where AQE's skew handling splits a hot cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -53,7 +55,8 @@ TARGET_CELLS = 2048       # auto sizing: bands / cells across the map's extent
 
 def _plan_keys(shapes: DataFrame, axes: list[tuple[str, str]], size: float | None,
                grow: float = 0.0, minimum: float = 0.0) -> tuple[float, int]:
-    """Key size and the exact number of (key, shape) entries, in one small job.
+    """Key size and a bound of the number of (key, shape) entries: one
+    aggregate for the extent, one for the count.
 
     ``axes`` are (low column, high column) pairs per dimension (one for
     bands, two for grid cells); each shape spans
@@ -62,23 +65,24 @@ def _plan_keys(shapes: DataFrame, axes: list[tuple[str, str]], size: float | Non
     (never below ``minimum``), so a real map's band holds a few hundred
     edges.
     """
-    w = Window.partitionBy()
     if size is None:
-        exts = [F.max(F.greatest(lo, hi)).over(w) - F.min(F.least(lo, hi)).over(w) for lo, hi in axes]
-        ext = exts[0] if len(exts) == 1 else F.greatest(*exts)
-        size_col = F.greatest(ext / F.lit(float(TARGET_CELLS)), F.lit(float(minimum)), F.lit(1e-9))
-    else:
-        size_col = F.lit(float(size))
-    df = shapes.withColumn("_size", size_col)
+        exts = shapes.agg(*[(F.max(F.greatest(lo, hi)) - F.min(F.least(lo, hi))).alias(f"e{i}")
+                            for i, (lo, hi) in enumerate(axes)]).first()
+        if exts[0] is None:
+            return max(minimum, 1.0), 0
+        size = max(max(exts) / TARGET_CELLS, minimum, 1e-9)
+    size = float(size)
     span = None
     for lo, hi in axes:
-        n = (F.floor((F.greatest(lo, hi) + F.lit(float(grow))) / F.col("_size"))
-             - F.floor((F.least(lo, hi) - F.lit(float(grow))) / F.col("_size")) + F.lit(1))
+        n = (F.floor((F.greatest(lo, hi) + F.lit(float(grow))) / F.lit(size))
+             - F.floor((F.least(lo, hi) - F.lit(float(grow))) / F.lit(size)) + F.lit(1))
         span = n if span is None else span * n
-    r = df.agg(F.max("_size").alias("size"), F.sum(span).alias("entries")).collect()[0]
-    if r["size"] is None:
-        return (float(size) if size else max(minimum, 1.0)), 0
-    return float(r["size"]), int(r["entries"] or 0)
+    # a long segment is cut into pieces of about a cell, so its entries follow
+    # its length: as many pieces, each in a few cells
+    if len(axes) == 2:
+        side = F.greatest(*[F.abs(F.col(hi) - F.col(lo)) for lo, hi in axes])
+        span = F.least(span, F.ceil(side / F.lit(size) + F.lit(1)) * F.lit((2 + math.ceil(2 * grow / size)) ** 2))
+    return size, int(shapes.agg(F.sum(span)).first()[0] or 0)
 
 
 def _bands(edges: DataFrame, band: float) -> DataFrame:
@@ -104,7 +108,8 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
     band, entries = _plan_keys(edges, [("y1", "y2")], band)
     bands = _maybe_broadcast(_bands(edges, band), entries)
     key = F.floor(F.col(y) / F.lit(band)).cast("long")
-    pts = points.withColumn("_band", key if only is None else F.when(only, key))
+    salt = [c for c, t in points.dtypes if not t.startswith("map")]
+    pts = points.withColumn("_band", _spread(key if only is None else F.when(only, key), *salt))
     j = pts.join(bands, pts["_band"] == bands["band"], "left")
     px, py = f"`{x}`", f"`{y}`"
     crossing = G.crossing_sql(px, py, "e")
@@ -123,15 +128,31 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
 
 
 def _cells(segments: DataFrame, cell: float, d: float) -> DataFrame:
-    """Segment replicated into every grid cell of its bounding box grown by d."""
+    """Segment replicated into the grid cells near it: it is cut into pieces
+    no longer than a cell, and each goes to the cells of its box grown by d."""
     def rng(a, b):
         lo = F.floor((F.least(a, b) - F.lit(d)) / F.lit(cell)).cast("long")
         hi = F.floor((F.greatest(a, b) + F.lit(d)) / F.lit(cell)).cast("long")
         return F.sequence(lo, hi)
-    return (segments.withColumn("cx", F.explode(rng(F.col("x1"), F.col("x2"))))
-                    .withColumn("cy", F.explode(rng(F.col("y1"), F.col("y2"))))
-                    .groupBy("cx", "cy")
-                    .agg(F.collect_list(F.struct("name", "x1", "y1", "x2", "y2")).alias("segs")))
+
+    def at(a, b, k):  # the piece's end; the last is the segment's own
+        return F.when(k == F.col("_n"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n"))
+    side = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    pieces = (segments.withColumn("_id", F.monotonically_increasing_id())
+              .withColumn("_n", F.greatest(F.ceil(side / F.lit(cell)), F.lit(1)).cast("int"))
+              .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))))
+    k = F.col("_k")
+    boxes = (pieces.withColumn("cx", F.explode(rng(at("x1", "x2", k), at("x1", "x2", k + 1))))
+                   .withColumn("cy", F.explode(rng(at("y1", "y2", k), at("y1", "y2", k + 1)))))
+    return (boxes.select("cx", "cy", "_id", "name", "x1", "y1", "x2", "y2").distinct()
+                 .groupBy("cx", "cy")
+                 .agg(F.collect_list(F.struct("name", "x1", "y1", "x2", "y2")).alias("segs")))
+
+
+def _spread(key: Column, *salt: str) -> Column:
+    """A row without a key gets one far out of range, by a hash, so that such
+    rows do not meet in one partition of a shuffled join."""
+    return F.coalesce(key, F.lit(-(1 << 60)) + F.pmod(F.xxhash64(*salt), F.lit(1 << 20)))
 
 
 def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str = "x",
@@ -146,8 +167,9 @@ def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str =
     # cells never below 4 d, so a segment's grown box spans few cells
     cell, entries = _plan_keys(segments, [("x1", "x2"), ("y1", "y2")], cell, grow=d, minimum=4 * d)
     cells = _maybe_broadcast(_cells(segments, cell, d), entries)
-    pts = (points.withColumn("_cx", F.floor(F.col(x) / F.lit(cell)).cast("long"))
-                 .withColumn("_cy", F.floor(F.col(y) / F.lit(cell)).cast("long")))
+    salt = [c for c, t in points.dtypes if not t.startswith("map")]
+    pts = (points.withColumn("_cx", _spread(F.floor(F.col(x) / F.lit(cell)).cast("long"), *salt))
+                 .withColumn("_cy", _spread(F.floor(F.col(y) / F.lit(cell)).cast("long"), *salt)))
     j = pts.join(cells, (pts["_cx"] == cells["cx"]) & (pts["_cy"] == cells["cy"]), "left")
     dist = G.seg_distance_sql(f"`{x}`", f"`{y}`", "s")
     near = F.expr(f"filter(coalesce(segs, array()), s -> {dist} <= {d!r})")
@@ -162,3 +184,15 @@ def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str =
                  .withColumn("line_name", F.col("_m.name"))
                  .drop("_near", "_m"))
     raise ValueError(f"mode must be 'any' or 'all', not {mode!r}")
+
+
+def network_flags(persons: DataFrame, segments: DataFrame, d: float, max_y: float, x: str = "point_x",
+                  y: str = "point_y") -> DataFrame:
+    """``n_stopped_locatable`` and ``n_stopped_locatable_on_hin`` of every person
+    (P13): 1 where the point is known and lies below ``max_y``, and where such a
+    point is within ``d`` of the network; else 0."""
+    known = F.coalesce(F.col(x).isNotNull() & (F.col(y) < F.lit(max_y)), F.lit(False))
+    j = points_near_lines(persons, segments, d, x, y, mode="any")
+    return (j.withColumn("n_stopped_locatable", known.cast("int"))
+             .withColumn("n_stopped_locatable_on_hin", (known & F.col("on_line")).cast("int"))
+             .drop("on_line", "n_lines", "line_name"))

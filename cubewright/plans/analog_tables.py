@@ -47,7 +47,8 @@ class AnalogTables:
         return self._get("cube", lambda: CU.stop_cube(self.reason_cube()))
 
     def hin_cube(self) -> DataFrame:
-        return self._get("hin_cube", lambda: CU.hin_cube(self.persons(), self.most_recent_quarter))
+        return self._get("hin_cube", lambda: CU.hin_cube(
+            A.persons_on_network(self.spark, self.sf_dir), self.most_recent_quarter))
 
     def shootings_cube(self) -> DataFrame:
         return self._get("shootings_cube", lambda: CU.shootings_cube(

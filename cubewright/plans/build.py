@@ -106,7 +106,7 @@ def build_analog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from ..sources import analog as A
     persons = A.persons(spark, sf_dir)
     out = build_all(persons, A.PERSON_ORDER, C.ANALOG["most_recent_quarter"],
-                    persons_on_hin=persons, shootings=A.shootings(spark, sf_dir),
+                    persons_on_hin=A.persons_on_network(spark, sf_dir), shootings=A.shootings(spark, sf_dir),
                     cluster_keys=A.STOP_CLUSTER_KEYS, key_determined=True)
     # the population dimension (one row per district) is written with the cubes
     out["population"] = A.population(spark, sf_dir)
@@ -155,6 +155,12 @@ def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], ou
                 remap_districts(persons, edges), "car_ped_stops")
     if sample_table is not None:
         tables["hin_sample"] = sample_table
+    if hin_lines is not None and present["car_ped_stops"] and not present["car_ped_stops_on_hin"]:
+        # no flagged files: the flags follow from the points and the network
+        segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name)
+        h = SP.network_flags(scan("car_ped_stops"), segs, C.HIN_DISTANCE, C.LOCATABLE_MAX_Y)
+        h = remap_districts(h, edges) if edges is not None else h
+        tables["hin_cube"] = CU.hin_cube(h, most_recent_quarter)
     if present["car_ped_stops_on_hin"]:
         h = scan("car_ped_stops_on_hin")
         h = remap_districts(h, edges) if edges is not None else h

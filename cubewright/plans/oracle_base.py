@@ -29,6 +29,19 @@ def _race_case(idx: str) -> str:
     return f"CASE {idx} {whens} ELSE {_lit(A.RAW_RACES[-1])} END"
 
 
+def seg_distance(px, py, x1, y1, x2, y2) -> str:
+    """Distance of a point to a segment: to the nearest end, or, where the
+    foot of the perpendicular lies between the ends, to the line."""
+    dot = f"(({px} - {x1}) * ({x2} - {x1}) + ({py} - {y1}) * ({y2} - {y1}))"
+    len2 = f"(pow({x2} - {x1}, 2) + pow({y2} - {y1}, 2))"
+    return (f"CASE WHEN {dot} <= 0 THEN sqrt(pow({px} - {x1}, 2) + pow({py} - {y1}, 2)) "
+            f"WHEN {dot} >= {len2} THEN sqrt(pow({px} - {x2}, 2) + pow({py} - {y2}, 2)) "
+            f"ELSE abs(({px} - {x1}) * ({y2} - {y1}) - ({py} - {y1}) * ({x2} - {x1})) / sqrt({len2}) END")
+
+
+_NEAR = " OR ".join(f"{seg_distance('point_x', 'point_y', *map(repr, map(float, s[1:])))} <= {A.SEGMENT_DISTANCE!r}"
+                    for s in A.SEGMENTS)
+
 A_PERSONS = f"""
 a_codes AS (SELECT * FROM {_codes_values()}),
 a_persons AS (
@@ -52,10 +65,10 @@ a_persons AS (
     CASE WHEN l.l_linestatus = 'F' AND l.l_quantity > 42 THEN 1.0 ELSE 0.0 END AS individual_contraband,
     CAST(NULL AS DOUBLE) AS vehicle_contraband,
     k.mvc_code,
-    CASE WHEN l.l_suppkey % 7 <> 0 THEN 1 ELSE 0 END AS n_stopped_locatable,
-    CASE WHEN l.l_suppkey % 7 <> 0 AND l.l_partkey % 3 = 0 THEN 1 ELSE 0 END AS n_stopped_locatable_on_hin,
     CAST((l.l_partkey * 7 + l.l_suppkey) % 800 - 400 AS DOUBLE) / 1000.0 AS point_x,
-    CAST((l.l_orderkey * 13 + l.l_linenumber) % 800 - 400 AS DOUBLE) / 1000.0 AS point_y
+    CAST((l.l_orderkey * 13 + l.l_linenumber) % 800 - 400 AS DOUBLE) / 1000.0 AS point_y,
+    CASE WHEN point_y < {A.NETWORK_MAX_Y} THEN 1 ELSE 0 END AS n_stopped_locatable,
+    CASE WHEN point_y < {A.NETWORK_MAX_Y} AND ({_NEAR}) THEN 1 ELSE 0 END AS n_stopped_locatable_on_hin
   FROM lineitem l
   JOIN orders o   ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey

@@ -308,13 +308,19 @@ SELECT *, {fit(measure)}, {fit('intrusion_rate')}, {fit('contraband_hit_rate')}
 
 
 def _compare(districts, measure, start, end) -> str:
-    vals = ", ".join(f"({i}, '{d.rstrip('*').split('-')[0]}')" for i, d in enumerate(districts))
-    return W() + f"""
-, req AS (SELECT * FROM (VALUES {vals}) t(pos, district)),
-  g AS (SELECT districtoccur, sum({measure}) AS v FROM o_cube
-        WHERE {qin(start, end)} GROUP BY districtoccur)
-SELECT CAST(req.pos AS INTEGER) AS pos, req.district, CAST(coalesce(g.v, 0) AS BIGINT) AS {measure}
-FROM req LEFT JOIN g ON req.district = g.districtoccur"""
+    one = []
+    for i, d in enumerate(districts):
+        head, _, psa = d.rstrip("*").partition("-")
+        if d == "*":
+            label, cond = "CAST(NULL AS VARCHAR)", "true"
+        elif d.isalpha() and d.isupper():
+            label = "CAST(NULL AS VARCHAR)"
+            cond = f"districtoccur IN (SELECT district FROM o_divmap WHERE division = '{d}')"
+        else:
+            label, cond = f"'{head}'", f"districtoccur = '{head}'" + (f" AND psa = '{psa}'" if psa else "")
+        one.append(f"SELECT {i} AS pos, {label} AS district, CAST(coalesce(sum({measure}), 0) AS BIGINT) AS {measure} "
+                   f"FROM o_cube WHERE {qin(start, end)} AND {cond}")
+    return W() + "\n" + "\nUNION ALL\n".join(one)
 
 
 # ---------------------------------------------------------------------------
@@ -497,9 +503,11 @@ PTS = "o_pts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embeddin
 
 
 def _pip(points="o_pts", x="x", y="y", key="vec_id") -> str:
-    from ..functions import geo as G
-    cross = G.crossing_sql(f"p.{x}", f"p.{y}", "e", dialect="duckdb")
-    onedge = G.on_edge_sql(f"p.{x}", f"p.{y}", "e")
+    # the side of the edge that the point lies on, no division
+    turn = f"((e.x2 - e.x1) * (p.{y} - e.y1) - (p.{x} - e.x1) * (e.y2 - e.y1))"
+    cross = f"((e.y1 > p.{y}) <> (e.y2 > p.{y}) AND CASE WHEN e.y2 > e.y1 THEN {turn} > 0 ELSE {turn} < 0 END)"
+    onedge = (f"({turn} = 0 AND p.{x} >= least(e.x1, e.x2) AND p.{x} <= greatest(e.x1, e.x2) "
+              f"AND p.{y} >= least(e.y1, e.y2) AND p.{y} <= greatest(e.y1, e.y2))")
     return f"""
   o_edges AS (SELECT * FROM {_edges_values()}),
   o_par AS (SELECT p.{key}, e.pos, e.label,
@@ -512,8 +520,7 @@ def _pip(points="o_pts", x="x", y="y", key="vec_id") -> str:
 
 
 def _dist(px, py) -> str:
-    from ..functions import geo as G
-    return G.seg_distance_sql(px, py, "s", dialect="duckdb")
+    return B.seg_distance(px, py, "s.x1", "s.y1", "s.x2", "s.y2")
 
 
 def _sample(n=100) -> str:
@@ -563,7 +570,7 @@ SELECT quantile_cont(lat, 0.5) AS median_lat, quantile_cont(lng, 0.5) AS median_
   CAST(sum(CASE WHEN stname IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_on_hin FROM o_j""",
     "sample_n": f"WITH {PTS}, {_sample()} SELECT vec_id, x, y FROM o_sample",
     "point_in_polygon": f"WITH {PTS}, {_pip()}" + f"""
-SELECT p.vec_id, i.label AS psa_num, coalesce(substr(i.label, 3, 1), '{C.UNKNOWN_PSA}') AS psa
+SELECT p.vec_id, i.label AS psa_num, coalesce(right(i.label, 1), '{C.UNKNOWN_PSA}') AS psa
 FROM o_pts p LEFT JOIN o_in i ON p.vec_id = i.vec_id""",
     "points_near_lines": f"WITH {PTS}, o_segs AS (SELECT * FROM {_segs_values()})" + f"""
 SELECT p.vec_id, s.name AS line_name
@@ -644,7 +651,7 @@ _add("operational_share", _operational(1997))
 _add("miss_rate", W() + _kpi([("pct_not_found",
                                 f"(1.0 - {ratio('sum(n_contraband)', 'sum(n_intruded)')}) * 100.0")], "o_cube"))
 _add("seasonal_complete", _seasonal(["Q4", "Q1"], "*"))
-_add("compare_list", _compare(["24", "zz", "01"], "n_stopped", "1997-01-01", "1997-12-31"))
+_add("compare_list", _compare(["24", "zz", "01-2", "ASIA", "01"], "n_stopped", "1997-01-01", "1997-12-31"))
 _add("cohort_compare", _cohorts())
 _add("majority_split", _W(O_POP) + f"""
 SELECT district, CASE WHEN {ratio('white', 'total')} > 0.5 THEN 'Majority white'
@@ -707,7 +714,15 @@ _add("before_after", W() + f"""
         FROM o_cube GROUP BY districtoccur)
 SELECT *, {r1(ratio('100.0 * (n_after - n_before)', 'n_before'))} AS pct_change FROM g""")
 _add("kpi_rows", _time_slice("1997-Q1", "1997-Q4", "EUROPE"))
-_add("chart_rows", _num_stops("ASIA", "quarter"))
+_W_ROWS = _whiteness("n_frisked", SPINE[0], SPINE[-1])
+_add("chart_rows", f"""
+SELECT 'whiteness' AS figure, 'data' AS kind, districtoccur AS district, CAST(n_frisked AS DOUBLE) AS y,
+  CAST(intrusion_rate AS VARCHAR) AS annotation FROM ({_W_ROWS})
+UNION ALL SELECT 'whiteness', 'trendline', districtoccur, fit_n_frisked, NULL FROM ({_W_ROWS})""")
+_add("geojson_points", _hin_points() + """
+SELECT 'Feature' AS type, vec_id, stname IS NOT NULL AS on_hin, stname,
+  CASE WHEN stname IS NOT NULL THEN 'Traffic stop on the HIN' ELSE 'Traffic stop not on the HIN' END AS hover_text,
+  'Point' AS geometry, lng, lat FROM o_j""")
 _add("baseline_label", "\nUNION ALL\n".join(
     f"SELECT * FROM ({_baseline('gender', 'Female', q, q, location=loc_, label_only=True)})"
     for loc_, q in BASELINE_SLICES))

@@ -132,8 +132,8 @@ def q_hin_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_hin_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locatable / on-network person counts per source year."""
-    p = A.persons(spark, sf_dir)
+    """Locatable / on-network person counts per source year (P13), from the points."""
+    p = A.persons_on_network(spark, sf_dir)
     return p.groupBy("source_year").agg(
         F.count(F.lit(1)).alias("n_people"),
         F.sum("n_stopped_locatable").cast("long").alias("n_stopped_locatable"),

@@ -98,11 +98,16 @@ def q_r_baseline(spark, sf_dir):
     return RP.r_baseline(ctx(spark, sf_dir), "age_range", "35-44", SPINE[0], SPINE[-1])
 
 
+def _round_fits(df):
+    """Fitted values to 4 decimals, as in the oracle: engines add up in other orders."""
+    return df.withColumns({c: M.round_even(F.col(c), 4) for c in df.columns if c.startswith("fit_")})
+
+
 def q_r_whiteness(spark, sf_dir):
-    return RP.r_whiteness(ctx(spark, sf_dir), "n_frisked", SPINE[0], SPINE[-1])
+    return _round_fits(RP.r_whiteness(ctx(spark, sf_dir), "n_frisked", SPINE[0], SPINE[-1]))
 
 
-COMPARE = ["12", "03*", "zz", "07"]
+COMPARE = ["12", "12-3", "03*", "EUROPE", "zz", "*", "07"]
 
 
 def q_r_compare_districts(spark, sf_dir):
@@ -256,7 +261,7 @@ def q_seasonal_complete(spark, sf_dir):
 
 
 def q_compare_list(spark, sf_dir):
-    return RP.r_compare_districts(ctx(spark, sf_dir, materialize=False), ["24", "zz", "01"],
+    return RP.r_compare_districts(ctx(spark, sf_dir, materialize=False), ["24", "zz", "01-2", "ASIA", "01"],
                                   "n_stopped", "1997-01-01", "1997-12-31")
 
 
@@ -270,8 +275,8 @@ def q_majority_split(spark, sf_dir):
 
 def q_ols_trend(spark, sf_dir):
     c = ctx(spark, sf_dir, materialize=False)
-    return RP.r_whiteness(c, "n_stopped").select("districtoccur", "whiteness", "n_stopped",
-                                                 "fit_n_stopped")
+    return _round_fits(RP.r_whiteness(c, "n_stopped").select("districtoccur", "whiteness", "n_stopped",
+                                                             "fit_n_stopped"))
 
 
 def q_pct_change_rank(spark, sf_dir):
@@ -364,16 +369,14 @@ def q_dim_population(spark, sf_dir):
 
 
 def q_dim_rollup(spark, sf_dir):
-    """Population summed by division through the (division, district) map."""
+    """Population summed by division through the geography table."""
     p = A.population(spark, sf_dir)
-    dm = F.broadcast(A.division_map(spark, sf_dir))
-    j = p.join(dm, "district", "left")
-    return j.groupBy("division").agg(F.sum("total").cast("long").alias("total"),
-                                     F.sum("white").cast("long").alias("white"))
+    geo = A.division_map(spark, sf_dir).withColumnRenamed("district", "full_psa_num")
+    return RP.population_rollup(p, geo, "division", "district").select("division", "total", "white")
 
 
 def q_rate_by_whiteness(spark, sf_dir):
-    return RP.r_whiteness(ctx(spark, sf_dir), "n_intruded", "1997-Q1", "1999-Q4")
+    return _round_fits(RP.r_whiteness(ctx(spark, sf_dir), "n_intruded", "1997-Q1", "1999-Q4"))
 
 
 def q_parse_quarter(spark, sf_dir):
@@ -429,7 +432,12 @@ def q_kpi_rows(spark, sf_dir):
 
 
 def q_chart_rows(spark, sf_dir):
-    return RP.r_num_stops(ctx(spark, sf_dir), "ASIA", "quarter", AN["eras"])
+    """A figure's tidy rows: bars of one measure and the fitted line."""
+    from ..sources.sinks import chart_rows
+    w = _round_fits(RP.r_whiteness(ctx(spark, sf_dir), "n_frisked", SPINE[0], SPINE[-1]))
+    return chart_rows(w, "whiteness", "whiteness", "n_frisked", group="districtoccur",
+                      annotation="intrusion_rate", trend="fit_n_frisked").drop("x") \
+        .withColumnRenamed("group", "district")
 
 
 # ---------------------------------------------------------------------------
@@ -441,7 +449,7 @@ def q_point_in_polygon(spark, sf_dir):
     edges = SP.polygon_edges(A.polygons(spark))
     r = SP.point_in_polygon(pts, edges, "x", "y", out="psa_num", default=None)
     return r.select("vec_id", "psa_num",
-                    F.coalesce(F.substring("psa_num", 3, 1), F.lit(C.UNKNOWN_PSA)).alias("psa"))
+                    F.coalesce(F.substring("psa_num", -1, 1), F.lit(C.UNKNOWN_PSA)).alias("psa"))
 
 
 def q_points_near_lines(spark, sf_dir):
@@ -486,8 +494,13 @@ def q_map_extent(spark, sf_dir):
 def q_geojson_points(spark, sf_dir):
     from ..sources.sinks import hin_points, point_features
     s = hin_points(A.points(spark, sf_dir), A.segments(spark), 100, A.SEGMENT_DISTANCE)
-    return point_features(s, "lng", "lat", ["vec_id", "on_hin", "stname", "hover_text"]) \
-        .select("vec_id", "feature")
+    f = point_features(s, "lng", "lat", ["vec_id", "on_hin", "stname", "hover_text"])
+    # the features as a reader parses them
+    shape = ("type string, properties struct<vec_id: long, on_hin: boolean, stname: string, hover_text: string>, "
+             "geometry struct<type: string, coordinates: array<double>>")
+    g = f.select(F.from_json("feature", shape).alias("g"))
+    return g.select("g.type", "g.properties.*", F.col("g.geometry.type").alias("geometry"),
+                    F.col("g.geometry.coordinates")[0].alias("lng"), F.col("g.geometry.coordinates")[1].alias("lat"))
 
 
 QUERIES = {

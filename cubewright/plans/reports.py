@@ -405,15 +405,31 @@ def r_whiteness(ctx: ReportCtx, measure: str = "n_stopped", start=None, end=None
 
 def r_compare_districts(ctx: ReportCtx, districts: Sequence[str], measure: str = "n_stopped",
                         start=None, end=None) -> DataFrame:
-    """One value per requested district, request order kept, missing -> 0."""
+    """One value per requested location (district, PSA, division or ``*``),
+    request order kept, missing -> 0; ``district`` is null where the location
+    is none.  A window without rows is no error here."""
     measure = ME.measure_of(measure)
     spark = ctx.cube.sparkSession
-    req = [(i, FL.parse_location(x, [])[1]) for i, x in enumerate(districts)]
-    req_df = spark.createDataFrame(req, "pos int, district string")
-    d = ctx.window(ctx.cube, start, end).where(F.col("districtoccur").isin([r[1] for r in req]))
-    g = d.groupBy("districtoccur").agg(F.sum(measure).cast("long").alias("_v"))
-    j = F.broadcast(req_df).join(g, req_df.district == g.districtoccur, "left")
-    return j.select("pos", "district", F.coalesce("_v", F.lit(0)).cast("long").alias(measure))
+    if isinstance(ctx.divisions, DataFrame):             # a dimension of a few rows
+        members: dict[str, list[str]] = {}
+        for r in ctx.divisions.select("division", "district").distinct().collect():
+            members.setdefault(r["division"], []).append(r["district"])
+    else:
+        members = {k: list(v) for k, v in ctx.divisions.items()}
+    req = []
+    for i, x in enumerate(districts):
+        kind, a, b = FL.parse_location(x, members)
+        label = a if kind == "district" else None
+        inside = sorted(set(members[a])) if kind == "division" else [a]
+        req += [(i, label, m, b) for m in inside]
+    req_df = spark.createDataFrame(req, "pos int, district string, _d string, _p string")
+    # at most one row per (district, PSA) from here on
+    g = (FL.filter_quarters(ctx.cube, ctx.spine, start, end).groupBy("districtoccur", "psa")
+         .agg(F.sum(measure).cast("long").alias("_v")))
+    hit = (F.col("_d").isNull() | (F.col("_d") == F.col("districtoccur"))) & (F.col("_p").isNull() | (F.col("_p") == F.col("psa")))
+    got = g.join(F.broadcast(req_df), hit).groupBy("pos").agg(F.sum("_v").alias("_v"))
+    return (req_df.select("pos", "district").distinct().join(F.broadcast(got), "pos", "left")
+            .select("pos", "district", F.coalesce("_v", F.lit(0)).cast("long").alias(measure)))
 
 
 # ---------------------------------------------------------------------------

@@ -73,6 +73,7 @@ SEGMENTS = [
     ("D", 0.1, 0.1, 0.1, 0.1),
 ]
 SEGMENT_DISTANCE = 0.02
+NETWORK_MAX_Y = 0.3     # the guard of locatable points, in the test points' units
 
 # ---------------------------------------------------------------------------
 
@@ -156,6 +157,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("individual_contraband"),
         F.lit(None).cast("double").alias("vehicle_contraband"),
         "mvc_code",
+        # flags as a flagged file brings them; persons_on_network derives them
         F.when(sk % 7 != 0, 1).otherwise(0).alias("n_stopped_locatable"),
         F.when((sk % 7 != 0) & (F.col("l_partkey") % 3 == 0), 1).otherwise(0)
          .alias("n_stopped_locatable_on_hin"),
@@ -241,3 +243,9 @@ def polygons(spark: SparkSession) -> DataFrame:
 def segments(spark: SparkSession) -> DataFrame:
     schema = "name string, x1 double, y1 double, x2 double, y2 double"
     return spark.createDataFrame([tuple(s) for s in SEGMENTS], schema)
+
+
+def persons_on_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person rows with the two network flags derived from their points."""
+    from ..operators.spatial import network_flags
+    return network_flags(persons(spark, sf_dir), segments(spark), SEGMENT_DISTANCE, NETWORK_MAX_Y)

@@ -2,6 +2,7 @@
 (DuckDB over the same parquet tables) at sf0.001."""
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -49,15 +50,18 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_only_training_data_queries_lack_an_oracle():
+    """Those are tested against brute force, beside their code."""
+    rest = set(E.queries()) - set(E.oracle_sql())
+    assert all(re.fullmatch(r"op\d+_\w+|pipeline", k) for k in rest)
+
+
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, key):
+    sql = E.oracle_sql().get(key)
     df = E.queries()[key](spark, SF)
     cols = df.columns
     srows = rows_of(cols, [tuple(r) for r in df.collect()])
-    sql = E.oracle_sql().get(key)
-    if sql is None:
-        assert len(srows) >= 0
-        return
     rel = duck.execute(sql)
     ocols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(ocols)

@@ -100,9 +100,9 @@ def test_geojson_scan_to_edges(spark, tmp):
 
 
 def test_geojson_point_features(spark):
-    from __spark_entry__ import queries
-    df = queries()["geojson_points"](spark, "/root/testdata/sf0.001")
-    rows = df.collect()
+    from cubewright.sources import sinks as SK
+    s = SK.hin_points(A.points(spark, "/root/testdata/sf0.001"), A.segments(spark), 100, A.SEGMENT_DISTANCE)
+    rows = SK.point_features(s, "lng", "lat", ["vec_id", "on_hin", "stname", "hover_text"]).collect()
     assert rows
     for r in rows:
         f = json.loads(r["feature"])
@@ -174,7 +174,7 @@ def test_polygon_features_with_flags(spark):
     assert docs["092"]["geometry"]["coordinates"][0][1] == [0.25, 0.0]
 
 
-def test_planned_entries_are_exact(spark):
+def test_planned_entries_bound_the_built_ones(spark):
     edges = SP.polygon_edges(A.polygons(spark))
     for band in (None, 0.05, 0.013):
         size, entries = SP._plan_keys(edges, [("y1", "y2")], band)
@@ -184,4 +184,57 @@ def test_planned_entries_are_exact(spark):
     for cell in (None, 0.05):
         size, entries = SP._plan_keys(segs, [("x1", "x2"), ("y1", "y2")], cell, grow=0.02, minimum=0.08)
         built = SP._cells(segs, size, 0.02).agg(F.sum(F.size("segs"))).collect()[0][0]
-        assert entries == built
+        assert built <= entries <= 4 * built
+
+
+def test_planner_uses_no_single_partition_over_shapes(spark):
+    from cubewright.sources import analog as A
+    import contextlib
+    import io
+    pts = spark.createDataFrame([(1, 0.1, 0.1)], "k int, x double, y double")
+    for df in (SP.point_in_polygon(pts, SP.polygon_edges(A.polygons(spark))),
+               SP.points_near_lines(pts, A.segments(spark), 0.02)):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        assert "SinglePartition" not in out.getvalue()
+
+
+def test_long_segment_entries_follow_its_length(spark):
+    segs = spark.createDataFrame([("diag", 0.0, 0.0, 0.3, 0.3), ("dot", 0.1, 0.2, 0.1, 0.2)],
+                                 "name string, x1 double, y1 double, x2 double, y2 double")
+    cells = SP._cells(segs, 0.0004, 0.0001)
+    n = cells.selectExpr("sum(size(segs))").first()[0]
+    assert n < 6 * (0.3 / 0.0004)
+    pts = spark.createDataFrame([(i, i * 0.003, i * 0.003 + (0.00005 if i % 2 else 0.0005)) for i in range(100)], "k int, x double, y double")
+    got = {r["k"]: r["on_line"] for r in SP.points_near_lines(pts, segs, 0.0001, cell=0.0004).collect()}
+    assert got == {i: bool(i % 2) for i in range(100)}
+
+
+def test_remap_through_the_shuffled_branch(spark, monkeypatch):
+    from cubewright.operators.remap import remap_districts
+    edges = SP.polygon_edges(spark.createDataFrame([(0, "X092", [[[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]])],
+                                                   "pos int, label string, rings array<array<array<double>>>"))
+    rows = [("12", "1", 0.1, 0.1)] * 500 + [("06", "3", 0.1, 0.1), ("09", "1", 5.0, 5.0), ("06", "2", None, None)]
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, districtoccur string, psa string, point_x double, point_y double")
+    want = sorted(map(tuple, remap_districts(p, edges).collect()))
+    monkeypatch.setattr(SP, "MAX_BROADCAST_SHAPE_ROWS", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = remap_districts(p, edges)
+        got = sorted(map(tuple, df.collect()))
+        sizes = [len(x) for x in df.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
+    assert [r[2] for r in got[500:]] == ["2", "-1", None]
+    assert max(sizes) < 0.6 * len(rows)          # rows without a key are spread
+
+
+def test_network_flags_guard(spark):
+    segs = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 0.0)], "name string, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([(1, 0.5, 0.01), (2, 0.5, 0.5), (3, 0.5, 50.0), (4, None, None), (5, 0.5, -0.01)], "k int, point_x double, point_y double")
+    f = SP.network_flags(p, segs, 0.02, 42.0)
+    assert {r["k"]: (r["n_stopped_locatable"], r["n_stopped_locatable_on_hin"]) for r in f.collect()} == {
+        1: (1, 1), 2: (1, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
