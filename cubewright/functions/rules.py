@@ -8,7 +8,7 @@ whole-stage codegen.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,31 +21,6 @@ def clean_code(code: Column) -> Column:
     return F.upper(F.translate(code, "i()- ", "1"))
 
 
-def _clause(code: Column, clause: dict) -> Column:
-    parts = []
-    if "exact" in clause:
-        parts.append(code == F.lit(clause["exact"]))
-    if "prefix" in clause:
-        parts.append(code.startswith(clause["prefix"]))
-    if "contains" in clause:
-        parts.append(code.contains(clause["contains"]))
-    if "not_prefix" in clause:
-        parts.append(~code.startswith(clause["not_prefix"]))
-    if "not_contains" in clause:
-        parts.append(~code.contains(clause["not_contains"]))
-    return reduce(and_, parts)
-
-
-def violation_category(clean: Column, rules=C.VIOLATION_RULES) -> Column:
-    """First matching rule wins; other non-null -> 'Other'; null -> 'None'."""
-    expr = None
-    for category, clauses in rules:
-        cond = reduce(or_, [_clause(clean, c) for c in clauses])
-        expr = F.when(cond, F.lit(category)) if expr is None else expr.when(cond, F.lit(category))
-    return (expr.when(clean.isNotNull(), F.lit(C.VIOLATION_OTHER))
-                .otherwise(F.lit(C.VIOLATION_NONE)))
-
-
 def _q(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -66,8 +41,9 @@ def _clause_sql(col: str, clause: dict) -> str:
 
 
 def violation_category_of(col: str, rules=C.VIOLATION_RULES) -> Column:
-    """:func:`violation_category` over a column *name*, compiled to one SQL
-    ``CASE`` (one expression for the planner instead of hundreds of calls)."""
+    """Category of a cleaned code, by column *name*: the first matching rule
+    wins, another code is 'Other', null is 'None'; one SQL ``CASE`` (one
+    expression for the planner instead of hundreds of calls)."""
     c = f"`{col}`"
     whens = " ".join(f"WHEN {' OR '.join(_clause_sql(c, cl) for cl in clauses)} THEN {_q(cat)}"
                      for cat, clauses in rules)
@@ -86,26 +62,12 @@ def lookup_of(col: str, mapping, default: str | None = None, keep: bool = False)
 
 
 def age_band_of(col: str) -> Column:
-    """:func:`age_band` over a column name as one SQL ``CASE``."""
+    """Age band over a column name as one SQL ``CASE``; null is in the last."""
     c = f"`{col}`"
     whens = " ".join(f"WHEN {c} < {up} THEN {_q(lab)}" for up, lab in C.AGE_BANDS)
     return F.expr(f"CASE {whens} ELSE {_q(C.AGE_BAND_ELSE)} END")
 
 
-def recode_race(race: Column) -> Column:
-    expr = None
-    for raw, model in C.RACE_RECODE.items():
-        expr = F.when(race == raw, F.lit(model)) if expr is None else expr.when(race == raw, F.lit(model))
-    return expr.otherwise(race)
-
-
-def age_band(age: Column) -> Column:
-    expr = None
-    for upper, label in C.AGE_BANDS:
-        expr = F.when(age < upper, F.lit(label)) if expr is None else expr.when(age < upper, F.lit(label))
-    return expr.otherwise(F.lit(C.AGE_BAND_ELSE))
-
-
 def any_positive(*sums: Column) -> Column:
     """1 when any of the (possibly null) sums is > 0, else 0."""
     return F.when(reduce(or_, [s > 0 for s in sums]), F.lit(1)).otherwise(F.lit(0))

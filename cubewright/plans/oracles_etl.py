@@ -139,7 +139,10 @@ FROM new FULL JOIN old ON new.year = old.year""",
     UNION ALL SELECT 'hin', max(make_date(CAST(substr(quarter,1,4) AS INTEGER), CAST(substr(quarter, 7, 1) AS INTEGER) * 3 - 2, 1)), count(*) FROM hin_cube)
 SELECT "table", {B.quarter_label('m')} AS max_quarter, n_rows,
        {B.quarter_label('m')} = '{_MRQ}' AS ok
-FROM parts""",
+FROM parts
+UNION ALL SELECT 'empty', NULL, 0, false
+UNION ALL SELECT 'agreement', '{_MRQ}', count(DISTINCT districtoccur), false FROM o_cube
+UNION ALL SELECT 'seed', NULL, CAST(sum(n_stopped) AS BIGINT), false FROM o_cube""",
 
     "null_rate": _W(B.A_PERSONS) + """
 , w AS (SELECT count(*) AS n_rows,

@@ -97,12 +97,12 @@ def q_recode_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.persons(spark, sf_dir)
     return (p.groupBy("race").agg(F.count(F.lit(1)).alias("n_people"))
              .select(F.col("race").alias("raw_race"),
-                     R.recode_race(F.col("race")).alias("race"), "n_people"))
+                     R.lookup_of("race", C.RACE_RECODE.items(), keep=True).alias("race"), "n_people"))
 
 
 def q_age_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.persons(spark, sf_dir)
-    return (p.withColumn("age_range", R.age_band(F.col("age")))
+    return (p.withColumn("age_range", R.age_band_of("age"))
              .groupBy("age_range")
              .agg(F.count(F.lit(1)).alias("n_people"),
                   F.min("age").alias("min_age"), F.max("age").alias("max_age")))
@@ -146,15 +146,15 @@ def q_shootings_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_merge_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-file cubes (one per source year, built in one pass) folded into one.
+    """Cubes of the earlier and of the later source files merged into one.
 
     Equals the one-pass cube; the fold is the same ``merge_cubes`` used to
     add a new batch to an existing cube table.
     """
     t = _t(spark, sf_dir)
-    per_file = CU.stop_cube_reason(t.stops(), t.most_recent_quarter,
-                                   extra_keys=["source_year"])
-    return CU.merge_cubes([per_file], C.REASON_KEYS, C.STOP_MEASURES)
+    late = F.col("source_year") >= 1996
+    cubes = [CU.stop_cube_reason(t.stops().where(c), t.most_recent_quarter) for c in (~late, late)]
+    return CU.merge_cubes(cubes, C.REASON_KEYS, C.STOP_MEASURES)
 
 
 def q_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +166,19 @@ def q_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarter gate of the cubes and of an empty one, the agreement gate
+    where a table lacks its quarter, and the seed check (Q1-Q3)."""
     t = _t(spark, sf_dir)
-    return QU.quarter_gate_report({"stop_cube": t.cube(), "shootings": t.shootings_cube(),
-                                   "hin": t.hin_cube()}, t.most_recent_quarter)
+    q = QU.quarter_gate_report({"stop_cube": t.cube(), "shootings": t.shootings_cube(),
+                                "hin": t.hin_cube(), "empty": t.cube().where("year < 0")}, t.most_recent_quarter)
+    latest = t.cube().groupBy("districtoccur").agg(F.max("quarter").alias("quarter"))
+    short = F.when(F.col("districtoccur") != "07", F.lit(t.most_recent_quarter))
+    agree = QU.agree_report(latest.select(short.alias("quarter")))
+    seed = QU.total_report(t.cube(), "n_stopped", 1)
+    return (q.unionByName(agree.select(F.lit("agreement").alias("table"), F.col("quarter").alias("max_quarter"),
+                                       F.col("n_tables").alias("n_rows"), "ok"))
+            .unionByName(seed.select(F.lit("seed").alias("table"), F.lit(None).cast("string").alias("max_quarter"),
+                                     F.col("total").alias("n_rows"), "ok")))
 
 
 def q_null_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,9 +68,12 @@ class ReportCtx:
         names = {"cube": "stop_cube", "reason_cube": "stop_cube_reason", "hin_cube": "hin_cube",
                  "shootings_cube": "shootings_cube"}
         tables = {k: spark.read.parquet(f"{path}/{v}") for k, v in names.items()}
+        # written only where the build had network lines
+        lazy = {"hin_sample": lambda: spark.read.parquet(f"{path}/hin_sample")}
         if cache:
             tables = {k: v.cache() for k, v in tables.items()}
         tables["population"] = population if population is not None else spark.read.parquet(f"{path}/population")
+        tables |= lazy
         return cls(tables, divisions, TQ.quarters_between_py(first_quarter, mrq), strict=strict)
 
     def loc(self, df: DataFrame, location: str) -> DataFrame:
@@ -436,6 +439,19 @@ def r_compare_districts(ctx: ReportCtx, districts: Sequence[str], measure: str =
 # safety
 # ---------------------------------------------------------------------------
 
+def r_hin_points(ctx: ReportCtx) -> DataFrame:
+    """The sampled stops of a build with their label, one row per stop
+    and network line near it."""
+    return ctx.hin_sample.select("*", F.when(F.col("on_hin"), F.lit("Traffic stop on the HIN"))
+                                 .otherwise(F.lit("Traffic stop not on the HIN")).alias("hover_text"))
+
+
+def r_map_extent(ctx: ReportCtx) -> DataFrame:
+    """Centre of the map and the distinct years of the sample."""
+    return ctx.hin_sample.agg(F.percentile("lat", 0.5).alias("median_lat"), F.percentile("lng", 0.5).alias("median_lng"),
+                              F.count(F.lit(1)).alias("n_rows"), F.sort_array(F.collect_set("year")).alias("years"))
+
+
 def r_hin(ctx: ReportCtx, location: str = "*", grain: str = "year", before=C.BEFORE_WINDOW,
           after=C.AFTER_WINDOW) -> DataFrame:
     """Percent of locatable stops on the network by grain; change of the

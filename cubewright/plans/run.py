@@ -22,9 +22,12 @@ from . import build as BL
 from . import reports as RP
 
 
-def _report_ctx(spark, tables: str, population: str, first: str) -> RP.ReportCtx:
-    counts = ["total", "white", "black", "asian", "hispanic_or_latino", "american_indian", "unknown"]
-    if population.endswith(".csv"):
+def _report_ctx(spark, tables: str, population: str, first: str, geographies: str | None = None) -> RP.ReportCtx:
+    counts = list(RP.POP_COUNTS)
+    if geographies is not None:             # a population row per PSA
+        geo = FS.scan_dim_csv(spark, geographies, ["full_psa_num", "district", "division"])
+        pop = RP.population_rollup(FS.scan_dim_csv(spark, population, ["PSA_NUM"], counts), geo)
+    elif population.endswith(".csv"):
         pop = FS.scan_dim_csv(spark, population, ["district"], counts)
     else:                                   # a written population table
         pop = spark.read.parquet(population).select("district", *counts)
@@ -50,6 +53,8 @@ def main(argv=None) -> None:
     r.add_argument("--tables", required=True)
     r.add_argument("--population", required=True,
                    help="district population: CSV (district,total,white,...) or a written table")
+    r.add_argument("--geographies", help="CSV full_psa_num,district,division; the population CSV then has a "
+                                         "row per PSA_NUM")
     r.add_argument("--name", required=True)
     r.add_argument("--params", default="{}", help="JSON keyword arguments")
     r.add_argument("--first-quarter", default=C.FIRST_QUARTER)
@@ -71,7 +76,7 @@ def main(argv=None) -> None:
     elif args.cmd == "analog":
         BL.write_build(BL.build_analog(spark, args.sf_dir), args.out, C.ANALOG["most_recent_quarter"])
     else:
-        ctx = _report_ctx(spark, args.tables, args.population, args.first_quarter)
+        ctx = _report_ctx(spark, args.tables, args.population, args.first_quarter, args.geographies)
         fn = getattr(RP, args.name)
         SK.export_report({args.name: fn(ctx, **json.loads(args.params))}, args.out)
 

@@ -228,3 +228,27 @@ def test_folder_and_archive_agree_on_any_header(spark, tmp, layout):
     a = BL.build_from_archive(spark, f"{tmp}/h.zip", f"{tmp}/ha")["stop_cube_reason"]
     assert sorted(a.select(f.columns).collect()) == sorted(f.collect())
     assert f.where("age_range = '45-54'").count() == 1        # the driver of the quoted place
+
+
+def test_cli_report_of_points_and_psa_population(spark, tmp, layout):
+    from cubewright.plans import run
+    root, psa_map = layout
+    lines = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"street_name": "MAIN"},
+             "geometry": {"type": "LineString", "coordinates": [[0.0, 0.0], [0.2, 0.2]]}}]}
+    with open(f"{tmp}/hin.geojson", "w") as fh:
+        json.dump(lines, fh)
+    run.main(["build", "--csv-root", root, "--out", f"{tmp}/r14", "--psa-map", psa_map,
+              "--hin-lines", f"{tmp}/hin.geojson", "--sample-year", "2022", "--seed-total", "2022=1"])
+    with open(f"{tmp}/pop.csv", "w") as fh:
+        fh.write("PSA_NUM,total,white,black,asian,hispanic_or_latino,american_indian,unknown\n"
+                 "091,10,4,3,2,1,0,0\n092,5,1,1,1,1,1,0\n121,7,7,0,0,0,0,0\n")
+    with open(f"{tmp}/geo.csv", "w") as fh:
+        fh.write("full_psa_num,district,division\n091,09,X\n092,09,X\n121,12,Y\n")
+    pop = ["--population", f"{tmp}/pop.csv", "--geographies", f"{tmp}/geo.csv"]
+    run.main(["report", "--tables", f"{tmp}/r14", *pop, "--name", "r_hin_points", "--out", f"{tmp}/points"])
+    got = {(r["location"], r["hover_text"]) for r in spark.read.json(f"{tmp}/points/r_hin_points").collect()}
+    assert got == {("b", "Traffic stop on the HIN"), ("d", "Traffic stop not on the HIN")}
+    run.main(["report", "--tables", f"{tmp}/r14", *pop, "--name", "r_map_extent", "--out", f"{tmp}/extent"])
+    assert spark.read.json(f"{tmp}/extent/r_map_extent").first()["years"] == [2022]
+    ctx = run._report_ctx(spark, f"{tmp}/r14", f"{tmp}/pop.csv", "2021-Q1", f"{tmp}/geo.csv")
+    assert {r["district"]: r["total"] for r in ctx.population.collect()} == {"09": 15, "12": 7}

@@ -9,8 +9,13 @@ from cubewright.functions import rules as R
 from cubewright.functions import timeq as TQ
 
 
-def one(spark, col):
-    return spark.range(1).select(col.alias("v")).collect()[0]["v"]
+RACES = C.RACE_RECODE.items()
+
+
+def one(spark, col, value=None, kind=None):
+    """The value of an expression, over a column v where one is given."""
+    kind = kind or {float: "double"}.get(type(value), "string")
+    return spark.createDataFrame([(value,)], f"v {kind}").select(col.alias("v")).collect()[0]["v"]
 
 
 def test_half_even_rounding(spark):
@@ -38,17 +43,17 @@ def test_every_rule_category(spark):
              "1301A": "Registration", "3714": "Speeding/Reckless/Careless Driving",
              "4524E1": "Tint", "4524A": "Windshield Obstruction", "9999": "Other", "": "Other"}
     for code, cat in cases.items():
-        assert one(spark, R.violation_category(F.lit(code))) == cat, code
-    assert one(spark, R.violation_category(F.lit(None).cast("string"))) == "None"
+        assert one(spark, R.violation_category_of("v"), code) == cat, code
+    assert one(spark, R.violation_category_of("v"), None) == "None"
 
 
 def test_race_and_age(spark):
-    assert one(spark, R.recode_race(F.lit("White - Latino"))) == "Latino"
-    assert one(spark, R.recode_race(F.lit("Unknown"))) == "All Other Races"
-    assert one(spark, R.recode_race(F.lit("Something"))) == "Something"
-    assert one(spark, R.age_band(F.lit(24.9))) == "Under 25"
-    assert one(spark, R.age_band(F.lit(65.0))) == "65+"
-    assert one(spark, R.age_band(F.lit(None).cast("double"))) == "65+"
+    assert one(spark, R.lookup_of("v", RACES, keep=True), "White - Latino") == "Latino"
+    assert one(spark, R.lookup_of("v", RACES, keep=True), "Unknown") == "All Other Races"
+    assert one(spark, R.lookup_of("v", RACES, keep=True), "Something") == "Something"
+    assert one(spark, R.age_band_of("v"), 24.9) == "Under 25"
+    assert one(spark, R.age_band_of("v"), 65.0) == "65+"
+    assert one(spark, R.age_band_of("v"), None, "double") == "65+"
 
 
 def test_pad_and_remap(spark):
