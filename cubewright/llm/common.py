@@ -209,3 +209,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
     if held:
         whole = merged()
         yield whole, np.append(starts(whole), len(whole))
+
+
+def roots(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Least row reachable by pairs."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, pairs[:, 0], label[pairs[:, 1]])
+        np.minimum.at(new, pairs[:, 1], label[pairs[:, 0]])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, n_parts, stage, whole_groups
+from .common import components, n_parts, roots, stage, whole_groups
 
 BLOCK = 1024
 
@@ -97,19 +97,6 @@ def linked(x: np.ndarray, home: np.ndarray, probed: np.ndarray, block: np.ndarra
     return np.stack([i[ok], j[ok]], axis=1)
 
 
-def roots(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Least row reachable by pairs."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, pairs[:, 0], label[pairs[:, 1]])
-        np.minimum.at(new, pairs[:, 1], label[pairs[:, 0]])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9,
                     tables: int = 6, probes: int = 6, k: int | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) of every row.  Without ``k``, a table

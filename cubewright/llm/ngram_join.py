@@ -13,12 +13,14 @@ blocks of n-grams, only where two documents can reach the bound:
    by the number of classes that hold them; two sets that reach the bound meet
    in the first n - ceil(p * n) + 1 n-grams of each (the prefix), so only
    these columns are multiplied.
-3. Overlaps are accumulated per pair and pairs below the bounds derived from
-   sizes and positions are discarded; what is left is counted exactly.  First
-   each class is held against the neighbour in its columns it shares most
-   with, a few times under other orders.  Classes then connected need no more
-   pairs, and the last round takes every remaining pair of unconnected classes.
-   So a large group of near copies costs its size, not its square.
+3. Each class is first held against the neighbour, by size, in the columns it
+   shares most with.  Columns whose classes are now all connected are done,
+   which most groups of near copies are at the cost of their size.
+4. Classes that the other columns connect form clusters.  A cluster is cut
+   into blocks of classes, and each pair of blocks is a task's matter: it adds
+   up the product of their incidence rows over blocks of n-grams and keeps the
+   pairs that reach the bound that follows from both sizes.  It returns links
+   that connect the same classes, never pairs.
 
 Nulls: a null or empty text, or one without words, has the empty set and links
 with nothing; a row of null id links with nothing and has a null component.
@@ -33,9 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix64, n_parts, shingle_hashes, small_batches, stage, string_slices, whole_groups, word_hashes
+from .common import components, mix64, n_parts, roots, shingle_hashes, small_batches, stage, string_slices, whole_groups, word_hashes
 
 CHUNK = 1_500_000
+#: Classes of a block, n-grams of a block.
+BLOCK, COLUMNS = 512, 8192
 #: A list of ids goes to all executors up to this length, else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -204,41 +208,78 @@ def sizes_fit(na: Column, nb: Column, percent: int) -> Column:
     return (100 * na >= percent * nb) & (100 * nb >= percent * na)
 
 
-def links(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def block_links(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """(id, id) links that connect what the links of a pair of blocks connect."""
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    u, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df[col] > 1
+    row, col = row[keep], (np.cumsum(df > 1) - 1)[col[keep]]
+    o = np.argsort(col, kind="stable")
+    row, col = row[o], col[o]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, [lo, lo + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, int(col[-1]) + 1 - lo)), dtype=np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        common += part @ part.T
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    linked &= component[:, None] != component[None, :]
+    if len(np.unique(own)) > 1:
+        linked &= own[:, None] != own[None, :]
+    i, j = np.nonzero(np.triu(linked, 1))
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    # classes of a component count as one
+    _, comp = np.unique(component, return_inverse=True)
+    root = roots(np.stack([comp[i], comp[j]], axis=1), int(comp.max()) + 1)
+    first = np.full(int(comp.max()) + 1, -1)
+    first[comp[::-1]] = np.arange(len(comp))[::-1]
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([ids[first[some]], ids[first[root[some]]]], axis=1)
+
+
+def links(sets: DataFrame, percent: int, stars: bool = True) -> DataFrame:
     """Edges (a, b) between sets with distinct contents that connect all that
     links connect."""
+    spark = sets.sparkSession
     cols = stage(prefixes(sets, percent), "ngram-prefix")
-    found = None
-    label = cols.select("id").distinct().withColumn("component", F.col("id"))
-    for r in range(rounds + 1):
-        marked = cols.join(label, "id")
-        # columns that still hold unconnected sets
-        mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-        open_ = stage(marked.join(mixed, "h"), "ngram-open")
-        if open_.isEmpty():
-            break
-        if r < rounds:
-            by = [F.col("n"), F.col("id")] if r == 0 else [F.xxhash64(F.lit(r), "component"), F.col("n"), F.col("id")] if r == 1 else [F.xxhash64(F.lit(r), "id")]
-            w = Window.partitionBy("h").orderBy(*by)
-            near = open_.select("id", "n", "component", *[F.lag(c).over(w).alias(f"{c}2") for c in ("id", "n", "component")])
-            pairs = (near.where((F.col("component") != F.col("component2")) & sizes_fit(F.col("n"), F.col("n2"), percent))
-                     .select(F.col("id").alias("a"), F.col("id2").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
-                     .groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
-        else:
-            x, y = open_.alias("x"), open_.alias("y")
-            rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-            need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-            pairs = (x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-                                                                & sizes_fit(F.col("x.n"), F.col("y.n"), percent))
-                     .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-                     # the first column where both meet, and what can follow it
-                     .agg(F.max(rest).alias("rest"), F.first(need).alias("need")).where("rest >= need"))
-        new = stage(verified(pairs, sets, percent), "ngram-links")
-        found = new if found is None else found.unionByName(new)
-        if r < rounds:
-            label = stage(cols.select("id").distinct().join(components(found, "ngram-cc"), "id", "left")
-                          .select("id", F.coalesce("component", "id").alias("component")), "ngram-label")
-    return found if found is not None else cols.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    marked, found = cols.withColumn("component", F.col("id")), None
+    if stars:
+        w = Window.partitionBy("h").orderBy("n", "id")
+        near = cols.select("id", "n", *[F.lag(c).over(w).alias(f"{c}2") for c in ("id", "n")])
+        pairs = (near.where(sizes_fit(F.col("n"), F.col("n2"), percent)).groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
+                 .agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
+        found = stage(verified(pairs, sets, percent), "ngram-links")
+        label = stage(components(found, "ngram-cc"), "ngram-label")
+        marked = cols.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # columns that still hold unconnected sets, and what they connect
+    columns = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("b")).where("lo < hi")
+    open_ = stage(marked.join(columns.select("h", "b"), "h").select("id", "component", "b").distinct(), "ngram-open")
+    cluster = stage(components(open_.select(F.col("id").alias("a"), "b"), "ngram-clusters"), "ngram-cluster")
+    blocks = cluster.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = (cluster.select("id", F.col("component").alias("cluster")).join(blocks, "cluster")
+            .join(open_.select("id", "component").distinct(), "id")
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("cluster", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "component"))
+
+    def multiply(batches):
+        for b, cuts in whole_groups(batches, ["cluster", "bi", "bj"], 2000):
+            own, ids, comp = (b.column(c).to_numpy() for c in ("own", "id", "component"))
+            col = b.column("hashes")
+            flat, off = col.flatten().to_numpy(), col.offsets.to_numpy()
+            off = off - off[0]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                got = block_links(ids[lo:hi], [flat[off[i]:off[i + 1]] for i in range(lo, hi)], comp[lo:hi], own[lo:hi], percent)
+                if len(got):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    small_batches(spark, 500)
+    dealt = (rows.join(sets.select("id", "hashes"), "id").select("cluster", "bi", "bj", "own", "id", "component", "hashes")
+             .repartition(n_parts(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "id"))
+    more = stage(dealt.mapInArrow(multiply, "a long, b long"), "ngram-blocks")
+    return more if found is None else found.unionByName(more)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:

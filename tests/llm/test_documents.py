@@ -53,11 +53,13 @@ def test_ngram_join(spark, rows, folder):
     assert len({c for _, _, c in got}) <= len(got) - 20
 
 
-def test_ngram_join_without_broadcast_or_rounds(spark, rows, folder, monkeypatch):
+def test_ngram_join_without_broadcast_or_stars_in_small_blocks(spark, rows, folder, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     monkeypatch.setattr(ngram_join, "CHUNK", 500)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
     keep = ngram_join.links
-    monkeypatch.setattr(ngram_join, "links", lambda s, p: keep(s, p, rounds=0))
+    monkeypatch.setattr(ngram_join, "links", lambda s, p: keep(s, p, stars=False))
     got = ngram_join.jaccard_components(documents(spark, folder), k=5, percent=80).collect()
     assert sorted(map(tuple, got)) == sorted(classes(rows, 5, 80))
 
