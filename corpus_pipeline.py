@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 FAR = 0.99
 #: Words and per cent of near duplicates; bytes of a repeated passage, which
 #: 50 words have, and of its samples.
-WORDS, PERCENT, PASSAGE, GRAM = 5, 80, 200, 80
+WORDS, PERCENT, PASSAGE, GRAM = 5, 80, 200, 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

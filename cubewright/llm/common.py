@@ -28,8 +28,9 @@ def n_parts(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, since texts may be long."""
+    """Bound the rows and bytes of an Arrow batch, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -48,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def string_slices(col: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def string_slices(col: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of runs of rows of a string or binary
     column, each run up to max_bytes or one longer row.  Null rows are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -82,7 +83,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             return np.multiply.accumulate(a)
         got = row(BASE), row(pow(BASE, -1, 2**64))
-        if size > 1 << 23:
+        if size > 1 << 21:
             return got
         _POWERS[size] = got
     return _POWERS[size]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import components, mix64, n_parts, roots, shingle_hashes, small_batches, stage, string_slices, whole_groups, word_hashes
 
-CHUNK = 1_500_000
+CHUNK = 500_000
 #: Classes of a block, n-grams of a block.
 BLOCK, COLUMNS = 512, 8192
 #: A list of ids goes to all executors up to this length, else by a shuffle.

@@ -82,10 +82,20 @@ def row_samples(data: np.ndarray, off: np.ndarray, length: int, gram: int):
 
 
 def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, cid, first, many, at) of the samples of (cid, text)."""
+    """(h, cid, first, many, at) of the samples of (cid, text); a task passes
+    over texts that it has had."""
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            for at, data, off in string_slices(b.column(1), 1 << 20):
+            new = []
+            for i, c in enumerate(b.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    new.append(i)
+            if len(seen) > 500_000:
+                seen.clear()
+            b = b.take(pa.array(new, pa.int64()))
+            for at, data, off in string_slices(b.column(1)):
                 r, a, n, p, h = row_samples(data, off, length, gram)
                 if len(r):
                     yield pa.RecordBatch.from_arrays(
@@ -163,9 +173,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, big_rows: int) -> tu
     parts = n_parts(spark)
     left = length - gram
     all_ = stage(sampled(docs, length, gram), "suffix-samples")
-    place = F.xxhash64("cid", "first")
-    shared = (all_.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"))
-              .where("lo < hi").select("h", (F.col("n") > big_rows).alias("big")))
+    shared = all_.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > big_rows).alias("big"))
     mine = stage(all_.join(shared, "h").groupBy("cid").agg(F.collect_set(F.struct("first", "many", "at", "h", "big")).alias("s")), "suffix-shared")
     some = mine.count()
     ids = mine.select("cid")
@@ -189,7 +197,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, big_rows: int) -> tu
                     if s["big"]:
                         continue
                     seg, x, sid = around(s, data)
-                    if len(sent) > 500_000:
+                    if len(sent) > 100_000:
                         sent.clear()
                     known = (s["h"], sid) in sent  # this task has sent its bytes
                     sent.add((s["h"], sid))
@@ -205,7 +213,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, big_rows: int) -> tu
 
     def bucket(batches):
         again: list[tuple] = []
-        for b, _ in whole_groups(distinct(batches, again), ["h"], 16000):
+        for b, _ in whole_groups(distinct(batches, again), ["h"], 6000):
             h, x, many, seg = b.column("h").to_numpy(), b.column("x").to_numpy(), b.column("many").to_numpy(), b.column("seg").to_pylist()
             cid, at, twice = b.column("cid").to_numpy(), b.column("at").to_numpy().astype(np.int64), b.column("twice").to_numpy(zero_copy_only=False)
             lines = np.zeros((len(h), left + length), dtype=np.uint8)
@@ -346,11 +354,20 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     gone = copies.select(F.col("_cid").alias("cid"), F.lit(True).alias("gone"))
     told = gone.join(changed, "cid", "full").select(F.col("cid").alias("_cid"), F.coalesce("gone", F.lit(False)).alias("_gone"),
                                                     *[F.col(c).alias(f"_{c}") for c in ("n_removed", "n_spans", "kept", "left")])
-    met = rows.join(told, "_cid", "left")
+    told = stage(told, "suffix-told")
+    ids = told.select("_cid")
+    small = told.count() <= BROADCAST_IDS
+    side = F.broadcast(ids) if small else ids
+    # texts that keep all their bytes are not moved, while the others' list is short
+    met = (rows.join(side, "_cid", "left_semi") if small else rows).join(told, "_cid", "inner" if small else "left")
     whole = F.coalesce("_gone", F.lit(False))
     out = met.select(*keep, F.col("_bytes").alias("n_bytes"),
                      F.when(whole, F.col("_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).cast("long").alias("n_removed"),
                      F.when(whole, 1).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("long").alias("n_spans"),
                      F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept", "_sha")).alias("kept_sha256"),
                      *([F.when(whole, F.lit("")).otherwise(F.coalesce("_left", "_text")).alias("kept_text")] if texts else []))
-    return out
+    if not small:
+        return out
+    return out.unionByName(rows.join(side, "_cid", "left_anti").select(
+        *keep, F.col("_bytes").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.col("_sha").alias("kept_sha256"), *([F.col("_text").alias("kept_text")] if texts else [])))
