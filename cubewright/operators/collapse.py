@@ -2,8 +2,8 @@
 
 The reproduced system finds each stop's driver with a self-join
 (``min(id)`` per stop joined back to the persons) and joins the driver to
-the stop aggregate.  Here both joins disappear: one hash aggregate per stop
-key computes the counts, flags, minimum district/PSA, maximum code and the
+the stop aggregate.  Here both joins disappear: one aggregate per stop
+key (sort-based: string minima and the driver struct have no fixed width) computes the counts, flags, minimum district/PSA, maximum code and the
 driver's attributes through ``min_by(struct, ordinal)``.  Every aggregate
 used is partial-aggregatable, so a stop key holding a third of all rows is
 combined map-side before the single shuffle on the stop key.

@@ -1,7 +1,7 @@
 """Quarterly cubes (A3-A7, A21) and their merge.
 
 Cubes are small (keys: place x quarter x demographics x reason), the input
-is not: every builder is one hash aggregate with map-side partial
+is not: every builder is one aggregate with map-side partial
 aggregation, so the shuffle carries at most one row per key per task.
 Rows with a null key are dropped *before* grouping (the reproduced system
 drops them when it regroups; filtering first gives the same cube and

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import collapse as CO
+from ..functions import timeq as TQ
+from ..functions.wkb import with_point
 from ..operators import cube as CU
+from ..operators import quality as QU
+from ..operators import spatial as SP
+from ..operators.remap import remap_districts
 from ..session import scratch_dir
 from ..sources import analog as A
 from ..sources import files as FS
@@ -125,7 +130,45 @@ def q_incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
 
 
+def q_json_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries written as JSON per table and scanned back: last date, last
+    complete quarter, and whether the tables agree (S6, Q2)."""
+    root = scratch_dir(spark, "summaries")
+    for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+        (A.table(spark, sf_dir, t).agg(F.max(c).cast("date").cast("string").alias("last_dt"))
+         .write.json(f"{root}/{t}/summary.json"))
+    s = FS.read_summaries(spark, f"{root}/*/summary.json")
+    s = s.withColumn("quarter", TQ.previous_full_quarter(F.to_date("last_dt")))
+    agree = QU.agree_report(s)
+    return s.select("table", "last_dt", "quarter").unionByName(
+        agree.select(F.lit("*").alias("table"), F.lit(None).cast("string").alias("last_dt"),
+                     F.when(F.col("ok"), F.col("quarter")).alias("quarter")))
+
+
+def q_wkb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test points written as hex EWKB, decoded in SQL."""
+    import struct
+
+    def encode(batches):
+        for pdf in batches:
+            hexes = [struct.pack("<BIIdd", 1, 1 | 0x20000000, 4326, x, y).hex() for x, y in zip(pdf["x"], pdf["y"])]
+            yield pdf[["vec_id"]].assign(the_geom=hexes)
+
+    pts = A.points(spark, sf_dir).select("vec_id", "x", "y").mapInPandas(encode, "vec_id long, the_geom string")
+    pts = pts.withColumn("point_x", F.lit(None).cast("double")).withColumn("point_y", F.lit(None).cast("double"))
+    return with_point(pts).select("vec_id", F.col("point_x").alias("x"), F.col("point_y").alias("y"))
+
+
+def q_unknown_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons whose PSA is unknown after the district merge."""
+    edges = SP.polygon_edges(A.polygons(spark))
+    return QU.unknown_geometry(remap_districts(A.persons(spark, sf_dir), edges), "persons")
+
+
 QUERIES = {
+    "json_summaries": q_json_summaries,
+    "wkb_points": q_wkb_points,
+    "unknown_geometry": q_unknown_geometry,
     "scan_typed": q_scan_typed,
     "row_ordinal": q_row_ordinal,
     "scan_override": q_scan_override,

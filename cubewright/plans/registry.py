@@ -37,5 +37,12 @@ def all_oracles() -> dict:
         "sink_roundtrip": e["stop_cube_reason"],
         "dim_population_csv": oracles_reports.ORACLES["dim_population"],
         "scan_override": oracles_reports.SCAN_OVERRIDE,
+        "json_summaries": oracles_reports.ORACLES["latest_full_quarter"],
+        "wkb_points": f"WITH {oracles_reports.PTS} SELECT vec_id, x, y FROM o_pts",
+        "unknown_geometry": f"""
+SELECT 'persons' AS "table", CAST(sum(CASE WHEN psa IS NULL THEN n_people ELSE 0 END) AS BIGINT) AS n_unknown,
+  CAST(sum(n_people) AS BIGINT) AS n_rows,
+  100.0 * CAST(sum(CASE WHEN psa IS NULL THEN n_people ELSE 0 END) AS DOUBLE) / CAST(sum(n_people) AS DOUBLE) AS pct_unknown
+FROM ({oracles_reports.ORACLES["remap_district"]})""",
     })
     return out

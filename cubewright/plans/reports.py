@@ -116,6 +116,12 @@ def kpi(df: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
     return wide.selectExpr(f"stack({len(names)}, {stack}) as (metric, value)")
 
 
+def by_quarter(df: DataFrame, measure: str = "n_stopped") -> DataFrame:
+    """At most one row per quarter: distinct quarters are then plain counts,
+    and no cube row is expanded for them."""
+    return df.groupBy("quarter").agg(F.sum(measure).alias(measure))
+
+
 def grain_label(grain: str) -> Column:
     if grain == "quarter":
         return TQ.year_season(F.col("quarter"))
@@ -149,8 +155,8 @@ def r_num_stops(ctx: ReportCtx, location: str = "*", grain: str = "year",
     metrics = {"total": F.sum("n_stopped")}
     for i, (s, e) in enumerate(eras, 1):
         c = ctx.in_window(s, e)
-        metrics[f"avg_monthly_era{i}"] = ME.avg_monthly_expr(_sum_if(c, "n_stopped"), _quarters_if(c))
-    k = kpi(d, metrics).select(F.col("metric").alias("series"), F.lit(None).cast("string").alias("x"),
+        metrics[f"avg_monthly_era{i}"] = ME.avg_monthly_expr(_sum_if(c, "n_stopped"), F.count(F.when(c, F.col("quarter"))))
+    k = kpi(by_quarter(d), metrics).select(F.col("metric").alias("series"), F.lit(None).cast("string").alias("x"),
                                F.lit(None).cast("string").alias("x_label"), "value")
     return trend.unionByName(k)
 
@@ -158,8 +164,8 @@ def r_num_stops(ctx: ReportCtx, location: str = "*", grain: str = "year",
 def r_time_slice(ctx: ReportCtx, start: str, end: str, location: str = "*") -> DataFrame:
     """R2: total and average per month in a quarter range."""
     d = ctx.window(ctx.loc(ctx.cube, location), start, end)
-    return kpi(d, {"total": F.sum("n_stopped"),
-                   "avg_monthly": ME.avg_monthly_expr(F.sum("n_stopped"), F.countDistinct("quarter"))})
+    return kpi(by_quarter(d), {"total": F.sum("n_stopped"),
+                               "avg_monthly": ME.avg_monthly_expr(F.sum("n_stopped"), F.count("quarter"))})
 
 
 def r_seasonal(ctx: ReportCtx, quarters: Sequence[str], location: str = "*",
@@ -521,14 +527,17 @@ def compare_windows(ctx: ReportCtx, start: tuple[str, str], end: tuple[str, str]
 
 def r_window_map(ctx: ReportCtx, start, end, decrease_col: str, increase_col: str,
                  k: int = 5) -> DataFrame:
-    """The k most increased and the k most decreased districts (duplicates kept)."""
+    """The k most increased and the k most decreased districts (duplicates
+    kept).  Both orders are ranked over the one frame of at most a row per
+    district; a district in both comes out twice."""
     j = compare_windows(ctx, start, end, decrease_col, increase_col)
-    inc = RK.top_k(j, k, [F.col(f"_key_{increase_col}").desc_nulls_last()], ["districtoccur"]) \
-        .withColumn("source", F.lit("most_increased"))
-    dec = RK.top_k(j, k, [F.col(f"_key_{decrease_col}").asc_nulls_last()], ["districtoccur"]) \
-        .withColumn("source", F.lit("most_decreased"))
-    out = dec.unionByName(inc)
-    return out.drop(*[c for c in out.columns if c.startswith("_key_")])
+    inc = F.row_number().over(Window.orderBy(F.col(f"_key_{increase_col}").desc_nulls_last(), "districtoccur"))
+    dec = F.row_number().over(Window.orderBy(F.col(f"_key_{decrease_col}").asc_nulls_last(), "districtoccur"))
+    out = (j.withColumn("_inc", inc).withColumn("_dec", dec)
+            .withColumn("source", F.explode(F.array_compact(F.array(
+                F.when(F.col("_dec") <= k, F.lit("most_decreased")),
+                F.when(F.col("_inc") <= k, F.lit("most_increased")))))))
+    return out.drop("_inc", "_dec", *[c for c in out.columns if c.startswith("_key_")])
 
 
 # ---------------------------------------------------------------------------

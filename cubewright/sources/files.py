@@ -200,7 +200,8 @@ def read_summaries(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     df = spark.read.option("multiLine", True).json(paths)
     if "last_dt" not in df.columns:
         df = df.withColumn("last_dt", F.lit(None).cast("string"))
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/summary\.json$", 1)
+    # a summary may be a file or a folder that Spark wrote
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/summary\.json(?:/[^/]+)?$", 1)
     return df.select(folder.alias("table"), F.col("last_dt").cast("string").alias("last_dt"))
 
 
