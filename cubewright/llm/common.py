@@ -38,7 +38,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     cut, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
     path = scratch_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
