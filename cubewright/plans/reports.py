@@ -116,10 +116,10 @@ def kpi(df: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
     return wide.selectExpr(f"stack({len(names)}, {stack}) as (metric, value)")
 
 
-def by_quarter(df: DataFrame, measure: str = "n_stopped") -> DataFrame:
+def by_quarter(df: DataFrame, measures: Sequence[str] = ("n_stopped",)) -> DataFrame:
     """At most one row per quarter: distinct quarters are then plain counts,
     and no cube row is expanded for them."""
-    return df.groupBy("quarter").agg(F.sum(measure).alias(measure))
+    return ME.sums(df, ["quarter"], measures)
 
 
 def grain_label(grain: str) -> Column:
@@ -133,7 +133,8 @@ def _sum_if(cond: Column, col: str) -> Column:
 
 
 def _quarters_if(cond: Column) -> Column:
-    return F.countDistinct(F.when(cond, F.col("quarter")))
+    """Quarters of a frame of :func:`by_quarter` that meet a condition."""
+    return F.count(F.when(cond, F.col("quarter")))
 
 
 def pct_change_key(start: Column, end: Column) -> Column:
@@ -155,7 +156,7 @@ def r_num_stops(ctx: ReportCtx, location: str = "*", grain: str = "year",
     metrics = {"total": F.sum("n_stopped")}
     for i, (s, e) in enumerate(eras, 1):
         c = ctx.in_window(s, e)
-        metrics[f"avg_monthly_era{i}"] = ME.avg_monthly_expr(_sum_if(c, "n_stopped"), F.count(F.when(c, F.col("quarter"))))
+        metrics[f"avg_monthly_era{i}"] = ME.avg_monthly_expr(_sum_if(c, "n_stopped"), _quarters_if(c))
     k = kpi(by_quarter(d), metrics).select(F.col("metric").alias("series"), F.lit(None).cast("string").alias("x"),
                                F.lit(None).cast("string").alias("x_label"), "value")
     return trend.unionByName(k)
@@ -253,7 +254,7 @@ def r_snapshot(ctx: ReportCtx, last_n: int = 4, before=C.BEFORE_WINDOW,
     cube = ctx.cube.where(in_last | in_b | in_a)
     if years is not None:
         cube = cube.where(F.col("year").isin(years))
-    k = kpi(cube, {
+    k = kpi(by_quarter(cube, ["n_stopped", "n_contraband", "n_intruded"]), {
         "n_total": _sum_if(in_last, "n_stopped"),
         "avg_monthly": ME.avg_monthly_expr(_sum_if(in_last, "n_stopped"), _quarters_if(in_last)),
         "pct_not_found": (F.lit(1.0) - M.ratio(_sum_if(in_last, "n_contraband"),
