@@ -104,7 +104,6 @@ _ESC = r"""regexp_replace(replace({0}, '\', '\\'), '([<\[])(""" + "|".join(
     c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROL) + r""")', '\1\\\2', 'g')"""
 
 ORACLES: dict[str, str] = {
-    "op4_warc": op4_warc,
     "op5_chat": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations

@@ -236,3 +236,8 @@ def test_warc_bodies():
     two = [*warc.records_of(gzip.compress(source + b"\r\n\r\n") + gzip.compress(meta + b"\r\n\r\n"))]
     assert two == [source, meta]
     assert warc.derivatives(meta) is None and warc.derivatives(b"") is None
+
+
+def test_oracles_are_sql_of_registered_queries():
+    assert set(ORACLES) <= set(QUERIES) and all(isinstance(x, str) for x in ORACLES.values())
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
