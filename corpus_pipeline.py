@@ -12,18 +12,23 @@ from cubewright.llm.common import documents, stage
 from cubewright.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document as far from every language as this has none of their n-grams.
-FAR = 0.99
+#: A document as far from every language as this is in none of them: clean
+#: documents reach 0.59, unlearned Latin-script ones begin at 0.63.  Distances
+#: of fewer different n-grams than FEW scatter more, and clean ones reach 0.67.
+FAR, FAR_SHORT, FEW = 0.62, 0.75, 200
+#: Less than this share of letters is no text; clean documents have 0.29 on.
+LETTERS = 0.1
 #: Words and per cent of near duplicates; bytes of a repeated passage, which
 #: 50 words have, and of its samples.
 WORDS, PERCENT, PASSAGE, GRAM = 5, 80, 200, 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or with n-grams of no known language, go."""
+    """Documents with next to no letters, or far from every known language, go."""
     docs = docs.select(*COLUMNS)
     found = langid.predict(docs, langid.profiles(docs), keep=tuple(COLUMNS))
-    return found.where((F.col("lang_pred") != "und") & (F.col("distance") < FAR)).select(*COLUMNS)
+    far = F.when(F.col("n_grams") < FEW, FAR_SHORT).otherwise(FAR)
+    return found.where((F.col("lang_pred") != "und") & (F.col("letters") >= LETTERS) & (F.col("distance") < far)).select(*COLUMNS)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,17 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
+@cache
+def spaces() -> np.ndarray:
+    return np.fromiter((chr(c).isspace() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+
+
+def letter_share(text: str) -> float:
+    """Letters as a share of the characters that are no white space."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return float(letters()[raw].sum() / max(1, len(raw) - int(spaces()[raw].sum())))
+
+
 def grams(text: str) -> np.ndarray:
     """Codes of the 1-, 2- and 3-grams of the text's letters, lower-cased.
     Anything else stands as one pad, and no gram has a pad inside."""
@@ -100,27 +111,30 @@ def distance(mine: np.ndarray, profile_sorted: np.ndarray, rank: np.ndarray, mos
 
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", most: int = PROFILE,
             keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, ``lang_pred``, ``score`` and ``distance`` (the
-    nearest language's, as a share of the greatest; 1 for ``und``)."""
+    """The columns of ``keep``, ``lang_pred``, ``score``, ``distance`` (the
+    nearest language's, as a share of the greatest; 1 for ``und``), ``n_grams``
+    (those held against the profiles) and ``letters`` (their share of the
+    characters that are no white space)."""
     small_batches(docs.sparkSession, 500)
     order = {x: np.argsort(g, kind="stable") for x, g in learned.items()}
     table = {x: (g[order[x]], order[x]) for x, g in learned.items()}
 
-    def one(t: str | None) -> tuple[str, float, float]:
+    def one(t: str | None) -> tuple[str, float, float, int, float]:
         mine = top_grams(t, most) if t else ()
+        share = letter_share(t) if t else 0.0
         if not len(mine) or not table:
-            return "und", 0.0, 1.0
+            return "und", 0.0, 1.0, len(mine), share
         d = sorted((distance(mine, *table[x], most), x) for x in table)
         second = d[1][0] if len(d) > 1 else 1.0
-        return d[0][1], max(0.0, min(1.0, 1 - d[0][0] / second)) if second > 0 else 0.0, d[0][0]
+        return d[0][1], max(0.0, min(1.0, 1 - d[0][0] / second)) if second > 0 else 0.0, d[0][0], len(mine), share
 
     def run(batches):
         for b in batches:
             got = [one(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in got], pa.string()), *[pa.array([x[i] for x in got], pa.float64()) for i in (1, 2)]],
-                                             names=[*names, "lang_pred", "score", "distance"])
+            found = [pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], names=[*names, "lang_pred", "score", "distance", "n_grams", "letters"])
 
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("_text"))
     shape = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(run, f"{shape}, lang_pred string, score double, distance double").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return rows.mapInArrow(run, f"{shape}, lang_pred string, score double, distance double, n_grams long, letters double").withColumnsRenamed(dict(zip(names, keep, strict=True)))

@@ -322,3 +322,31 @@ def test_pipeline(spark, rows, folder, empty):
         docs = spark.createDataFrame(kept, docs.select(*p.COLUMNS).schema)
     assert p.pack_sequences(spark, docs, folder).count() >= docs.count()
     assert p.run(spark, empty).collect() == []
+
+
+def test_pipeline_rejects_unlearned_text(spark, folder):
+    """Unlearned Latin-script languages, gibberish, mixed scripts and digits go;
+    clean texts, short ones too, stay."""
+    import base64
+    import random
+    import string
+
+    import corpus_pipeline as p
+    rng = random.Random(9)
+    dutch = ("De mensen in het dorp wisten al lang dat de oude molen aan de rivier niet meer gebruikt werd, maar niemand had ooit gevraagd waarom de "
+             "molenaar zo plotseling was vertrokken. Op een koude ochtend vond een jongen een brief onder de deur, in een handschrift dat hij niet herkende.")
+    polish = ("Mieszkańcy wsi od dawna wiedzieli, że stary młyn nad rzeką nie jest już używany, ale nikt nigdy nie zapytał, dlaczego młynarz odszedł tak "
+              "nagle. Pewnego zimnego poranka chłopiec znalazł pod drzwiami list napisany nieznanym mu pismem.")
+    russian = "Жители деревни давно знали, что старая мельница у реки больше не работает, но никто не спрашивал, почему мельник ушёл так внезапно. "
+    gibberish = " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(300))
+    bad = [dutch, polish, russian * 3 + "the", russian + "the of and to in that was for with this have from " * 2, gibberish,
+           base64.b64encode(rng.randbytes(2000)).decode(), rng.randbytes(1000).hex(), "12345 " * 500 + "a"]
+    tongues = ("the of and to in that was for with this have from", "le la les des que pour dans une est avec sur pas", "der die und nicht ein das mit auch sich auf für ist")
+    good = [" ".join(rng.sample(t.split(), n)) for t in tongues for n in (1, 2, 5, 12) for _ in range(5)]
+    planted = [{"doc_id": 10000 + i, "text": t, "lang": None, "source": "planted", "n_chars": len(t)} for i, t in enumerate([*bad, *good])]
+    docs = documents(spark, folder).select(*p.COLUMNS)
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = {r["doc_id"] for r in p.identify_language(spark, docs, "").collect()}
+    assert [t for i, t in enumerate(bad) if 10000 + i in kept] == []
+    assert [t for i, t in enumerate(good) if 10000 + len(bad) + i not in kept] == []
+    assert langid.letter_share(" a1é\t\u3000-") == 0.5 and langid.letter_share(" ") == 0
