@@ -3,8 +3,9 @@
 Vectors are scaled to length one, and each hash rotates them by three rounds
 of random signs and a fast Hadamard transform; the hash is the axis, with its
 sign, that the rotated vector is nearest to.  A table joins ``k`` hashes;
-every vector is stored in its home bucket and also looks into its ``probes``
-next nearest ones.  Vectors that meet in a bucket are compared in blocks by a
+every vector is in its home bucket and in its ``probes`` next nearest ones.
+Tables and probes grow with ``k`` (``REACH``), so that links are found as often
+in a large table as in a small one.  Vectors that meet in a bucket are compared in blocks by a
 matrix product in double precision, and linked from ``cosine`` on.
 
 Equal vectors are hashed once and counted as often as they occur.  Buckets of
@@ -31,6 +32,16 @@ from pyspark.sql import functions as F
 from .common import components, n_parts, roots, stage, whole_groups
 
 BLOCK = 1024
+#: Pairs whose buckets are compared at a time.
+PAIRS = 1 << 16
+#: {hashes a table: (tables, probes)}.
+REACH = {1: (6, 6), 2: (6, 6), 3: (10, 8), 4: (16, 12)}
+
+
+def hashes(n: int, d: int) -> int:
+    """As many hashes a table as make buckets outnumber ``n`` vectors, as far
+    as ``REACH`` goes; beyond, buckets grow."""
+    return min(max(REACH), max(1, round(math.log(max(n, 2)) / math.log(2 * max(2, d)) + 0.2)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -79,28 +90,40 @@ def codes(x: np.ndarray, tables: int, k: int, probes: int, seed: int = 11) -> np
     return out
 
 
-def linked(x: np.ndarray, home: np.ndarray, probed: np.ndarray, block: np.ndarray, table: int, code: int, cosine: float) -> np.ndarray:
-    """(row, row) pairs of a group that link and that no earlier bucket has."""
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least code that rows of both have, or the greatest integer."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(a), none)
+    for w in range(a.shape[1]):
+        out = np.where((a[:, w, None] == b).any(axis=1), np.minimum(out, a[:, w]), out)
+    return out
+
+
+def linked(x: np.ndarray, codes: np.ndarray, block: np.ndarray, table: int, code: int, cosine: float) -> np.ndarray:
+    """(row, row) pairs of a group that link and that no earlier bucket has:
+    neither an earlier table, nor a lesser code of this one."""
     sim = x @ x.T
     i, j = np.nonzero(np.triu(sim >= cosine, 1))
     if len(np.unique(block)) > 1:
         other = block[i] != block[j]
         i, j = i[other], j[other]
-    same = home[i] == home[j]  # rows: pairs, columns: tables
-    via_i = (probed[j] == home[i][:, :, None]).any(axis=2)
-    via_j = (probed[i] == home[j][:, :, None]).any(axis=2)
-    met = same | via_i | via_j
-    first = met.argmax(axis=1)
-    at = np.arange(len(i))
-    where = np.where(same[at, first] | via_i[at, first], home[i, first], home[j, first])
-    ok = met[at, first] & (first == table) & (where == code)
-    return np.stack([i[ok], j[ok]], axis=1)
+    out = []
+    for lo in range(0, len(i), PAIRS):
+        p, q = i[lo:lo + PAIRS], j[lo:lo + PAIRS]
+        first = shared(codes[p, table], codes[q, table]) == code
+        p, q = p[first], q[first]
+        for t in range(table):
+            fresh = shared(codes[p, t], codes[q, t]) == np.iinfo(np.int64).max
+            p, q = p[fresh], q[fresh]
+        out.append(np.stack([p, q], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9,
-                    tables: int = 6, probes: int = 6, k: int | None = None) -> DataFrame:
+                    tables: int | None = None, probes: int | None = None, k: int | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) of every row.  Without ``k``, a table
-    joins as many hashes as make buckets outnumber vectors."""
+    joins as many hashes as make buckets outnumber vectors; without ``tables``
+    or ``probes``, they are those of ``k``."""
     v = F.col(vector).cast("array<double>")
     good = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
                       & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -110,7 +133,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                     .agg(F.min("id").alias("id"), F.count("*").alias("m")), "vec-classes")
     at = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if k is None:
-        k = max(1, round(math.log(max(at[0], 2)) / math.log(2 * max(2, at[1] or 2)) + 0.2))
+        k = hashes(at[0], at[1] or 2)
+    reach = REACH[min(k, max(REACH))]
+    tables, probes = reach[0] if tables is None else tables, reach[1] if probes is None else probes
 
     def hashed(batches):
         for b in batches:
@@ -125,30 +150,29 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 t = pa.array(take)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(t), b.column(2).take(t), pa.array([r.tobytes() for r in x], pa.binary()),
-                     pa.array([r.tobytes() for r in np.ascontiguousarray(c[:, :, 0])], pa.binary()),
-                     pa.array([r.tobytes() for r in np.ascontiguousarray(c[:, :, 1:])], pa.binary()),
+                     pa.array([r.tobytes() for r in c], pa.binary()),
                      pa.array(list(c.reshape(len(take), -1)), pa.list_(pa.int64()))],
-                    names=["id", "m", "x", "home", "probed", "codes"])
+                    names=["id", "m", "x", "all", "codes"])
 
     h = stage(classes.select("id", "v", "m").mapInArrow(
-        hashed, "id long, m long, x binary, home binary, probed binary, codes array<long>"), "vec-codes")
-    # of each class: its buckets, the home ones first in their table
+        hashed, "id long, m long, x binary, all binary, codes array<long>"), "vec-codes")
+    # of each class: its buckets, by table
     spots = (h.select("id", F.posexplode("codes").alias("p", "code"), (F.size("codes") / tables).cast("int").alias("w"))
-             .select("id", (F.col("p") / F.col("w")).cast("int").alias("t"), "code", (F.col("p") % F.col("w") == 0).alias("is_home")))
-    full = (spots.groupBy("t", "code").agg(F.count("*").alias("n"), F.max("is_home").alias("any"))
-            .where("n > 1 and any").select("t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+             .select("id", (F.col("p") / F.col("w")).cast("int").alias("t"), "code"))
+    full = (spots.groupBy("t", "code").agg(F.count("*").alias("n"))
+            .where("n > 1").select("t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     placed = (spots.join(full, ["t", "code"]).withColumn("own", own)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
               .select("id", "t", "code", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")))
-    met = (placed.join(h.select("id", "m", "x", "home", "probed"), "id")
+    met = (placed.join(h.select("id", "m", "x", "all"), "id")
            .repartition(n_parts(spark), "t", "code", "bi", "bj").sortWithinPartitions("t", "code", "bi", "bj", "id"))
 
     def compare(batches):
         for b, cuts in whole_groups(batches, ["t", "code", "bi", "bj"], 4000):
             ids, m = b.column("id").to_numpy(), b.column("m").to_numpy()
             t, code, block = (b.column(c).to_numpy() for c in ("t", "code", "own"))
-            raw = [b.column(c).to_pylist() for c in ("x", "home", "probed")]
+            raw = [b.column(c).to_pylist() for c in ("x", "all")]
             out: list[tuple] = []
             for lo, hi in itertools.pairwise(cuts.tolist()):
                 if hi - lo < 2:
@@ -157,9 +181,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 if min(sizes) != max(sizes):
                     continue  # codes hold the length: never met
                 x = np.frombuffer(b"".join(raw[0][lo:hi])).reshape(hi - lo, -1)
-                home = np.frombuffer(b"".join(raw[1][lo:hi]), np.int64).reshape(hi - lo, tables)
-                probed = np.frombuffer(b"".join(raw[2][lo:hi]), np.int64).reshape(hi - lo, tables, -1)
-                pairs = linked(x, home, probed, block[lo:hi], int(t[lo]), int(code[lo]), cosine)
+                every = np.frombuffer(b"".join(raw[1][lo:hi]), np.int64).reshape(hi - lo, tables, -1)
+                pairs = linked(x, every, block[lo:hi], int(t[lo]), int(code[lo]), cosine)
                 if not len(pairs):
                     continue
                 links = np.zeros(hi - lo, np.int64)
@@ -171,7 +194,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "links"])
 
-    found = stage(met.select("t", "code", "bi", "bj", "own", "id", "m", "x", "home", "probed")
+    found = stage(met.select("t", "code", "bi", "bj", "own", "id", "m", "x", "all")
                   .mapInArrow(compare, "a long, b long, links long"), "vec-links")
     labels = components(found.select("a", "b"), "vec-cc")
     of_class = (classes.join(found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")), "id", "left")

@@ -168,6 +168,31 @@ def test_recall_at_the_threshold():
         assert met.mean() >= (0.9 if k == 2 else 0.6), (d, k, met.mean())
 
 
+def test_recall_does_not_fall_with_the_table():
+    rng = np.random.default_rng(6)
+    for d in (8, 64, 128, 256, 512):
+        for k in (1, 2, 3, 4):
+            a = embed_dedup.unit(rng.normal(size=(400, d)))
+            b = rng.normal(size=a.shape)
+            b = embed_dedup.unit(b - (a * b).sum(1)[:, None] * a)
+            b = 0.9 * a + math.sqrt(1 - 0.81) * b
+            x, y = (embed_dedup.codes(v, embed_dedup.REACH[k][0], k, embed_dedup.REACH[k][1]) for v in (a, b))
+            met = np.zeros(len(a), bool)
+            for t in range(x.shape[1]):
+                met |= embed_dedup.shared(x[:, t], y[:, t]) < np.iinfo(np.int64).max
+            assert met.mean() >= 0.9, (d, k, met.mean())
+    assert {embed_dedup.hashes(n, d) for n in (2, 10**5, 10**7, 10**13) for d in (1, 64, 256)} == set(embed_dedup.REACH)
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_vectors_by_more_hashes(spark, k):
+    vs = vectors()
+    df = spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, k=k).collect()}
+    links = brute(vs)
+    assert 0.97 * sum(map(len, links.values())) <= sum(got.values()) and all(got[i] <= len(x) for i, x in links.items())
+
+
 def test_vectors_with_repeated_and_null_ids(spark):
     v = [1.0, 2.0, 3.0]
     df = spark.createDataFrame([(1, v), (1, v), (None, v), (4, v)], "vec_id long, embedding array<double>")
