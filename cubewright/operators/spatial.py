@@ -44,10 +44,20 @@ def polygon_edges(polys: DataFrame, rings_col: str = "rings") -> DataFrame:
                     F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
-def _maybe_broadcast(shapes: DataFrame, entries: int) -> DataFrame:
-    """Broadcast the keyed shape table only if its (key, shape) entries are
-    within the bound."""
-    return F.broadcast(shapes) if entries <= MAX_BROADCAST_SHAPE_ROWS else shapes
+def _fits(entries: int) -> bool:
+    """Whether the keyed shape table is small enough to be broadcast."""
+    return entries <= MAX_BROADCAST_SHAPE_ROWS
+
+
+def _probe(key: Column, only: Column | None, small: bool) -> Column:
+    """The key that a point is looked up by; null, which meets nothing, where
+    ``only`` does not hold.  In a shuffled join, points without a key get one
+    out of range by their row number, so that they do not all meet in one
+    task; no other column is read for it."""
+    key = key if only is None else F.when(only, key)
+    if small:
+        return key
+    return F.coalesce(key, F.lit(-(1 << 60)) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)))
 
 
 TARGET_CELLS = 2048       # auto sizing: bands / cells across the map's extent
@@ -106,10 +116,9 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
     one failed hash probe.
     """
     band, entries = _plan_keys(edges, [("y1", "y2")], band)
-    bands = _maybe_broadcast(_bands(edges, band), entries)
-    key = F.floor(F.col(y) / F.lit(band)).cast("long")
-    salt = [c for c, t in points.dtypes if not t.startswith("map")]
-    pts = points.withColumn("_band", _spread(key if only is None else F.when(only, key), *salt))
+    small = _fits(entries)
+    bands = F.broadcast(_bands(edges, band)) if small else _bands(edges, band)
+    pts = points.withColumn("_band", _probe(F.floor(F.col(y) / F.lit(band)).cast("long"), only, small))
     j = pts.join(bands, pts["_band"] == bands["band"], "left")
     px, py = f"`{x}`", f"`{y}`"
     crossing = G.crossing_sql(px, py, "e")
@@ -149,27 +158,23 @@ def _cells(segments: DataFrame, cell: float, d: float) -> DataFrame:
                  .agg(F.collect_list(F.struct("name", "x1", "y1", "x2", "y2")).alias("segs")))
 
 
-def _spread(key: Column, *salt: str) -> Column:
-    """A row without a key gets one far out of range, by a hash, so that such
-    rows do not meet in one partition of a shuffled join."""
-    return F.coalesce(key, F.lit(-(1 << 60)) + F.pmod(F.xxhash64(*salt), F.lit(1 << 20)))
-
-
 def points_near_lines(points: DataFrame, segments: DataFrame, d: float, x: str = "x",
-                      y: str = "y", cell: float | None = None, mode: str = "any") -> DataFrame:
+                      y: str = "y", cell: float | None = None, mode: str = "any",
+                      only: Column | None = None) -> DataFrame:
     """Points within distance ``d`` of any line segment.
 
     ``mode='any'``: every point once, with ``on_line`` (bool), ``n_lines`` and
     ``line_name`` (smallest matching name).  ``mode='all'``: a left join, one
     row per (point, matching segment); points with no match keep one row with
-    a null ``line_name`` (so rows multiply where lines cross).
+    a null ``line_name`` (so rows multiply where lines cross).  ``only``
+    restricts the lookup to some points; the others are near no line.
     """
     # cells never below 4 d, so a segment's grown box spans few cells
     cell, entries = _plan_keys(segments, [("x1", "x2"), ("y1", "y2")], cell, grow=d, minimum=4 * d)
-    cells = _maybe_broadcast(_cells(segments, cell, d), entries)
-    salt = [c for c, t in points.dtypes if not t.startswith("map")]
-    pts = (points.withColumn("_cx", _spread(F.floor(F.col(x) / F.lit(cell)).cast("long"), *salt))
-                 .withColumn("_cy", _spread(F.floor(F.col(y) / F.lit(cell)).cast("long"), *salt)))
+    small = _fits(entries)
+    cells = F.broadcast(_cells(segments, cell, d)) if small else _cells(segments, cell, d)
+    pts = (points.withColumn("_cx", _probe(F.floor(F.col(x) / F.lit(cell)).cast("long"), only, small))
+                 .withColumn("_cy", _probe(F.floor(F.col(y) / F.lit(cell)).cast("long"), only, small)))
     j = pts.join(cells, (pts["_cx"] == cells["cx"]) & (pts["_cy"] == cells["cy"]), "left")
     dist = G.seg_distance_sql(f"`{x}`", f"`{y}`", "s")
     near = F.expr(f"filter(coalesce(segs, array()), s -> {dist} <= {d!r})")
@@ -192,7 +197,7 @@ def network_flags(persons: DataFrame, segments: DataFrame, d: float, max_y: floa
     (P13): 1 where the point is known and lies below ``max_y``, and where such a
     point is within ``d`` of the network; else 0."""
     known = F.coalesce(F.col(x).isNotNull() & (F.col(y) < F.lit(max_y)), F.lit(False))
-    j = points_near_lines(persons, segments, d, x, y, mode="any")
+    j = points_near_lines(persons, segments, d, x, y, mode="any", only=known)
     return (j.withColumn("n_stopped_locatable", known.cast("int"))
-             .withColumn("n_stopped_locatable_on_hin", (known & F.col("on_line")).cast("int"))
+             .withColumn("n_stopped_locatable_on_hin", F.col("on_line").cast("int"))
              .drop("on_line", "n_lines", "line_name"))

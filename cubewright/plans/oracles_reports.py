@@ -723,6 +723,24 @@ _add("geojson_points", _hin_points() + """
 SELECT 'Feature' AS type, vec_id, stname IS NOT NULL AS on_hin, stname,
   CASE WHEN stname IS NOT NULL THEN 'Traffic stop on the HIN' ELSE 'Traffic stop not on the HIN' END AS hover_text,
   'Point' AS geometry, lng, lat FROM o_j""")
+_YEARLY = "\nUNION ALL\n".join(
+    f"""SELECT * FROM (SELECT vec_id, x, y, {y} AS year FROM o_pts WHERE vec_id % 3 = {y - 2020} AND y < {C.LOCATABLE_MAX_Y}
+ORDER BY md5('42|' || vec_id || '|' || vec_id || '|{y}-05-01 00:00:00|P' || vec_id) LIMIT {n})""" for y, n in ((2021, 60), (2022, 40)))
+_REPORT_SAMPLE = f"""WITH {PTS}, o_yearly AS ({_YEARLY}),
+  o_segs AS (SELECT * FROM {_segs_values()}),
+  o_rows AS (SELECT p.y AS lat, p.x AS lng, CAST(p.year AS INTEGER) AS year, s.name IS NOT NULL AS on_hin,
+               CAST(p.vec_id AS VARCHAR) AS stops_objectid, 'P' || p.vec_id AS location, s.name AS stname
+             FROM o_yearly p LEFT JOIN o_segs s ON {_dist('p.x', 'p.y')} <= {A.SEGMENT_DISTANCE!r})
+"""
+_add("hin_report_points", _REPORT_SAMPLE + """SELECT *,
+  CASE WHEN on_hin THEN 'Traffic stop on the HIN' ELSE 'Traffic stop not on the HIN' END AS hover_text FROM o_rows""")
+_add("hin_report_extent", _REPORT_SAMPLE + """SELECT quantile_cont(lat, 0.5) AS median_lat, quantile_cont(lng, 0.5) AS median_lng,
+  count(*) AS n_rows, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years FROM o_rows""")
+_add("geojson_polygons", ORACLES["point_in_polygon"])
+_add("geojson_lines", ORACLES["points_near_lines"])
+_add("archive_summaries", f"""
+WITH t AS (SELECT max(o_orderdate) AS last_dt FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT 'car_ped_stops' AS "table", CAST(CAST(last_dt AS DATE) AS VARCHAR) AS last_dt, {_pfq} AS quarter FROM t""")
 _add("baseline_label", "\nUNION ALL\n".join(
     f"SELECT * FROM ({_baseline('gender', 'Female', q, q, location=loc_, label_only=True)})"
     for loc_, q in BASELINE_SLICES))

@@ -491,6 +491,65 @@ def q_map_extent(spark, sf_dir):
                  F.sum(F.col("on_hin").cast("int")).cast("long").alias("n_on_hin"))
 
 
+SAMPLE_YEARS = ((2021, 60), (2022, 40))
+
+
+def _sample_ctx(spark, sf_dir) -> RP.ReportCtx:
+    """Reports over a network sample of two years, drawn as a build does from
+    the test points (their year by their id)."""
+    from .build import hin_sample
+    day = F.make_date(F.lit(2020) + (F.col("vec_id") % 3).cast("int"), F.lit(5), F.lit(1)).cast("timestamp")
+    p = A.points(spark, sf_dir).select(
+        F.col("vec_id").alias("cartodb_id"), F.col("vec_id").alias("objectid"), day.alias("datetimeoccur"),
+        F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("location"), F.col("x").alias("point_x"), F.col("y").alias("point_y"))
+    parts = [hin_sample(p, A.segments(spark), year, n, A.SEGMENT_DISTANCE) for year, n in SAMPLE_YEARS]
+    return RP.ReportCtx({"hin_sample": parts[0].unionByName(parts[1])}, {}, SPINE)
+
+
+def q_hin_report_points(spark, sf_dir):
+    """R14's rows through the report over a drawn sample."""
+    return RP.r_hin_points(_sample_ctx(spark, sf_dir))
+
+
+def q_hin_report_extent(spark, sf_dir):
+    """R14's centre and the sample's distinct years through the report."""
+    r = RP.r_map_extent(_sample_ctx(spark, sf_dir))
+    return r.select("median_lat", "median_lng", "n_rows", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
+
+
+def _write_collection(features: DataFrame, path: str) -> None:
+    """One GeoJSON document of a map's features (their number is the map's)."""
+    (features.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.sort_array(F.collect_list("feature")), ", "), F.lit("]}")).alias("value"))
+     .write.text(path))
+
+
+def q_geojson_polygons(spark, sf_dir):
+    """Polygons written as a GeoJSON map, read back and looked up."""
+    from ..session import scratch_dir
+    from ..sources import files as FS
+    from ..sources.sinks import polygon_features
+    path = scratch_dir(spark, "map")
+    _write_collection(polygon_features(A.polygons(spark), ["pos", "label"]), path)
+    # features come back in the order of the document
+    back = FS.read_geojson(spark, path, "label")
+    r = SP.point_in_polygon(A.points(spark, sf_dir), SP.polygon_edges(back), "x", "y", out="psa_num", default=None)
+    return r.select("vec_id", "psa_num", F.coalesce(F.substring("psa_num", -1, 1), F.lit(C.UNKNOWN_PSA)).alias("psa"))
+
+
+def q_geojson_lines(spark, sf_dir):
+    """Lines written as a GeoJSON map, read back and joined by distance."""
+    from ..session import scratch_dir
+    from ..sources import files as FS
+    path = scratch_dir(spark, "map")
+    line = F.array(F.array("x1", "y1"), F.array("x2", "y2"))
+    f = A.segments(spark).select(F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("name").alias("street_name")).alias("properties"),
+        F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("geometry"))).alias("feature"))
+    _write_collection(f, path)
+    r = SP.points_near_lines(A.points(spark, sf_dir), FS.read_geojson_lines(spark, path, "street_name"), A.SEGMENT_DISTANCE, mode="all")
+    return r.select("vec_id", "line_name")
+
+
 def q_geojson_points(spark, sf_dir):
     from ..sources.sinks import hin_points, point_features
     s = hin_points(A.points(spark, sf_dir), A.segments(spark), 100, A.SEGMENT_DISTANCE)
@@ -572,4 +631,8 @@ QUERIES = {
     "sample_n": q_sample_n,
     "map_extent": q_map_extent,
     "geojson_points": q_geojson_points,
+    "geojson_polygons": q_geojson_polygons,
+    "geojson_lines": q_geojson_lines,
+    "hin_report_points": q_hin_report_points,
+    "hin_report_extent": q_hin_report_extent,
 }

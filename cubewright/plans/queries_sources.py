@@ -9,6 +9,7 @@ these keys reuse the oracles of the parquet path.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,13 @@ from ..operators import spatial as SP
 from ..operators.remap import remap_districts
 from ..session import scratch_dir
 from ..sources import analog as A
+from ..sources import archive as AR
 from ..sources import files as FS
 from ..sources import sinks as SK
 
+#: Persons of a written archive, which is one task's work.
+ARCHIVE_ROWS = 1_000_000
+
 TABLE = "car_ped_stops"
 STOP_KEY = ["source_year", "datetimeoccur", "location"]
 FILE_ORDER = [*STOP_KEY, *A.PERSON_ORDER]
@@ -49,11 +54,23 @@ def _routed_files(spark: SparkSession, path: str) -> list[str]:
     return routed[TABLE]
 
 
+def _after_blank_lines(spark: SparkSession, file: str, out: str) -> list[str]:
+    """A copy of a file that begins with blank lines."""
+    def lead(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["", "  "])], names=["value"])
+        yield from batches
+
+    spark.read.text(file).coalesce(1).mapInArrow(lead, "value string").write.text(out)
+    return list(spark.read.text(out).inputFiles())
+
+
 def q_scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly person CSVs -> typed scan -> file-order drivers -> reason cube."""
+    """Yearly person CSVs, one of which begins with blank lines -> typed scan ->
+    file-order drivers -> reason cube."""
     root = scratch_dir(spark, "csv")
     path, schema = _persons_text(spark, sf_dir, root)
-    persons = _scan(spark, _routed_files(spark, path), schema)
+    first, *rest = sorted(_routed_files(spark, path))
+    persons = _scan(spark, [*_after_blank_lines(spark, first, f"{root}/blank"), *rest], schema)
     stops = CO.classify_stops(CO.collapse_stops(persons, ["_ordinal"]))
     cube = CU.stop_cube_reason(stops, C.ANALOG["most_recent_quarter"])
     return cube.select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
@@ -97,6 +114,50 @@ def q_scan_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persons.groupBy("source_year", "stoptype").agg(F.count(F.lit(1)).alias("n_people"))
 
 
+def _zipped(spark: SparkSession, persons: DataFrame, root: str) -> list[str]:
+    """Person rows as zip archives of yearly CSV members with a summary each;
+    the persons of a stop stay in one member."""
+    n = persons.count()
+    archives = max(2, -(-n // ARCHIVE_ROWS))
+    columns = [c for c in persons.columns if c not in FILE_ORDER[1:]] + FILE_ORDER[1:]
+    columns = sorted(columns, reverse=True)
+    rows = persons.withColumn("archive", F.pmod(F.xxhash64(*STOP_KEY), F.lit(archives)).cast("int"))
+    name = F.concat(F.lit(f"csvs/{TABLE}/{TABLE}_year_"), F.col("source_year").cast("string"), F.lit("_"), F.col("archive").cast("string"), F.lit(".csv"))
+    rows = rows.withColumn("member", name)
+    line = F.to_csv(F.struct(*columns), {"escape": '"', "quote": '"'})
+    shape = rows.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(FILE_ORDER)])
+    kinds = {f"o{i}": shape.schema[f"o{i}"].dataType for i in range(len(FILE_ORDER))}
+    place = lambda values: F.struct(*values)
+    body = rows.select("archive", "member", place([F.lit(1).alias("k"), *[F.col(c).alias(o) for o, c in zip(kinds, FILE_ORDER)]]).alias("place"), line.alias("line"))
+    nothing = [F.lit(None).cast(t).alias(o) for o, t in kinds.items()]
+    head = rows.select("archive", "member").distinct().select("archive", "member", place([F.lit(0).alias("k"), *nothing]).alias("place"), F.lit(",".join(columns)).alias("line"))
+    last = persons.agg(F.max("datetimeoccur").cast("date").cast("string").alias("last_dt"))
+    summary = spark.range(archives).select(F.col("id").cast("int").alias("archive")).join(F.broadcast(last)).select(
+        "archive", F.lit(f"csvs/{TABLE}/summary.json").alias("member"), place([F.lit(0).alias("k"), *nothing]).alias("place"),
+        F.to_json(F.struct("last_dt")).alias("line"))
+    return AR.write_archives(body.unionByName(head).unionByName(summary), root, archives)
+
+
+def q_scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Person rows written as zip archives, listed, routed and scanned back ->
+    file-order drivers -> reason cube (S2)."""
+    p = A.persons(spark, sf_dir).drop("l_orderkey")
+    archives = _zipped(spark, p, f"{scratch_dir(spark, 'zip')}/backup")
+    members = FS.archive_members(spark, archives)
+    FS.route_files([r["member"] for r in members.select("member").collect()], [TABLE])  # names only
+    persons = FS.read_members(members, FS.schema_of(p))
+    stops = CO.classify_stops(CO.collapse_stops(persons, ["_ordinal"]))
+    return CU.stop_cube_reason(stops, C.ANALOG["most_recent_quarter"]).select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
+
+
+def q_archive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries inside the archives: last date and last full quarter."""
+    p = A.persons(spark, sf_dir).drop("l_orderkey")
+    archives = _zipped(spark, p, f"{scratch_dir(spark, 'zip')}/backup")
+    return FS.read_archive_summaries(spark, archives).select(
+        "table", "last_dt", TQ.previous_full_quarter(F.to_date("last_dt")).alias("quarter")).distinct()
+
+
 def q_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reason cube written partitioned by year, read back."""
     from .analog_tables import AnalogTables
@@ -172,6 +233,8 @@ QUERIES = {
     "scan_typed": q_scan_typed,
     "row_ordinal": q_row_ordinal,
     "scan_override": q_scan_override,
+    "scan_archive": q_scan_archive,
+    "archive_summaries": q_archive_summaries,
     "sink_roundtrip": q_sink_roundtrip,
     "dim_population_csv": q_dim_population_csv,
     "incremental_fold": q_incremental_fold,

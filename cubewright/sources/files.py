@@ -11,24 +11,28 @@ summary files, dimension CSVs and GeoJSON maps (S1-S4, S6-S8).
   monotonically increasing id).  Within one split the id follows the file;
   splits of one file are ordered by their start; so the tuple orders all
   rows of all files the way they appear on disk.
-* Zip archives are read by the executors: one task per member streams the
-  member in chunks (bounded memory) and yields rows with their ordinal.
+* Headers are found by one job over the files' beginnings (the first line that
+  is not blank), whatever the number of files.
+* Zip archives are read by the executors (``archive``): one task per member
+  streams the member in chunks and yields rows with their ordinal.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import zipfile
+import re
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import timeq as TQ
+from . import archive as AR
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: strings the reproduced CSV reader treats as missing
@@ -56,25 +60,59 @@ def _typed(c: Column, dt: T.DataType) -> Column:
 
 
 CSV_OPTIONS = {"header": True, "mode": "FAILFAST", "quote": '"', "escape": '"'}
+_BLANK = "".join(map(chr, range(33)))
+
+
+def _first_records(spark: SparkSession, paths: str | Sequence[str], multi_line: bool) -> DataFrame:
+    """(file, start, record) of every split of the files: its first line that
+    is not blank, or null.  A task has one split and stops reading there; a
+    session of its own holds the settings for that."""
+    own = spark.newSession()
+    for k, v in (("spark.sql.files.maxPartitionBytes", 1 << 30), ("spark.sql.files.openCostInBytes", 1 << 30),
+                 ("spark.sql.files.minPartitionNum", 1), ("spark.sql.execution.arrow.maxRecordsPerBatch", 64)):
+        own.conf.set(k, str(v))
+
+    def first(batches):
+        at, lines = None, []
+        for b in batches:
+            for file, start, line in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                at = file, start
+                if lines or line.strip(_BLANK):
+                    lines.append(line)
+                    # a quoted name may go on in the next line
+                    if not multi_line or sum(x.count('"') for x in lines) % 2 == 0:
+                        yield row(at, "\n".join(lines))
+                        return
+        if at:
+            yield row(at, "\n".join(lines) or None)
+
+    def row(at, record):
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([record], pa.string())], names=["file", "start", "record"])
+
+    return (own.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+            .mapInArrow(first, "file string, start long, record string"))
 
 
 def csv_headers(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> dict[tuple[str, ...], list[str]]:
-    """Column names -> the files that have them, in that order.  Each file's
-    first line is read by Spark; the driver holds names only."""
-    files = sorted(set(spark.read.text(paths).inputFiles()))
-
-    def names(f: str) -> tuple[str, ...]:
-        reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-        first = reader.csv(f, header=False).head(1) if multi_line else spark.read.text(f).head(1)
-        if not first:
-            return ()
-        return tuple(first[0]) if multi_line else tuple(next(csv.reader([first[0][0]]), ()))
-
+    """Column names -> the files that have them, in that order: one job over
+    the files' beginnings.  The header is the first line that is not blank; a
+    file that holds blank lines only is an error, an empty file has no rows.
+    The driver holds names only."""
+    found = (_first_records(spark, paths, multi_line).groupBy("file").agg(F.min_by("record", F.when(F.col("record").isNotNull(), F.col("start"))).alias("record"),
+                                                                          F.min(F.when(F.col("record").isNotNull(), F.col("start"))).alias("start"))
+             .groupBy("record").agg(F.sort_array(F.collect_list(F.struct("file", "start"))).alias("files")).collect())
+    files = {AR.path_key(f): unquote(f) for f in spark.read.text(paths).inputFiles()}
     out: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for f, n in zip(files, pool.map(names, files), strict=True):
-            if n:
-                out.setdefault(tuple(x or "" for x in n), []).append(f)
+    for r in sorted(found, key=lambda r: r["files"][0]["file"]):
+        astray = [f["file"] for f in r["files"] if f["start"]]
+        if r["record"] is None or astray:
+            raise ValueError(f"no header at the beginning of {astray or [f['file'] for f in r['files']]}")
+        names = tuple(x or "" for x in next(csv.reader(io.StringIO(r["record"].lstrip("\ufeff"), newline=""))))
+        out.setdefault(names, []).extend(files.pop(AR.path_key(f["file"])) for f in r["files"])
+    if files:  # without a line: empty
+        full = [r["path"] for r in spark.read.format("binaryFile").load(sorted(files.values())).where("length > 0").select("path").collect()]
+        if full:
+            raise ValueError(f"no header found in {full}")
     return out
 
 
@@ -130,17 +168,9 @@ def route_files(files: Iterable[str], tables: Sequence[str]) -> dict[str, list[s
 # ---------------------------------------------------------------------------
 
 def archive_members(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
-    """(archive, member, base) for every CSV member of every archive.
-
-    Only the zip directories are read here (names, no data).
-    """
-    rows = []
-    for a in archives:
-        with zipfile.ZipFile(a) as z:
-            for name in sorted(z.namelist()):
-                if name.endswith(".csv"):
-                    rows.append((a, name, name.rsplit("/", 1)[-1]))
-    return spark.createDataFrame(rows, "archive string, member string, base string")
+    """(archive, member, base) and the place of every CSV member of every
+    archive.  Only the zip directories are read here (names, no data)."""
+    return spark.createDataFrame([r for r in AR.list_members(spark, archives) if r[1].endswith(".csv")], AR.MEMBER)
 
 
 def override_members(members: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -154,9 +184,7 @@ def override_members(members: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def read_members(members: DataFrame, schema: T.StructType, chunk_rows: int = 200_000) -> DataFrame:
-    """Executors read the listed archive members, by Python's zipfile and so
-    from a mount that all nodes share (one task per member: members are dealt
-    by their number).
+    """Rows of the listed archive members (one task per member).
 
     Each member is streamed in chunks of ``chunk_rows`` rows; every row gets
     ``_member`` and ``_row`` (its position in the member, i.e. file order).
@@ -168,23 +196,18 @@ def read_members(members: DataFrame, schema: T.StructType, chunk_rows: int = 200
                               [T.StructField("_member", T.StringType()),
                                T.StructField("_row", T.LongType())])
 
-    def read(batches):
-        for pdf in batches:
-            for archive, member in zip(pdf["archive"], pdf["member"]):
-                with zipfile.ZipFile(archive) as z, z.open(member) as fh:
-                    pos = 0
-                    for chunk in pd.read_csv(io.TextIOWrapper(fh, encoding="utf-8"), dtype=str,
-                                             keep_default_na=False, chunksize=chunk_rows):
-                        chunk = chunk.reindex(columns=names).astype(object)
-                        chunk = chunk.where(chunk.notna(), None)      # absent columns are null
-                        chunk["_member"] = member
-                        chunk["_row"] = range(pos, pos + len(chunk))
-                        pos += len(chunk)
-                        yield chunk
-
-    names_only = [tuple(r) for r in members.select("archive", "member").sort("archive", "member").collect()]
-    dealt = members.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(names_only)], "part int, archive string, member string")
-    raw = dealt.repartitionById(max(1, len(names_only)), "part").select("archive", "member").mapInPandas(read, out_schema)
+    def read(archive, member, stream):
+        pos = 0
+        for chunk in pd.read_csv(io.TextIOWrapper(stream, encoding="utf-8"), dtype=str,
+                                 keep_default_na=False, chunksize=chunk_rows):
+            chunk = chunk.reindex(columns=names).astype(object)
+            chunk = chunk.where(chunk.notna(), None)      # absent columns are null
+            chunk["_member"] = member
+            chunk["_row"] = range(pos, pos + len(chunk))
+            pos += len(chunk)
+            yield chunk
+
+    raw = AR.map_members(members, read, out_schema)
     cols = [_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields]
     return raw.select(*cols, F.struct(F.col("_member").alias("file"),
                                       F.col("_row").alias("row")).alias("_ordinal"),
@@ -212,31 +235,22 @@ def read_archive_summaries(spark: SparkSession, archives: Sequence[str]) -> Data
     members.  A table folder without a summary gets a row with a null date,
     which :func:`check_latest_full_quarter` rejects.
     """
+    import json
+
     import pandas as pd
 
-    rows = []
-    for a in archives:
-        with zipfile.ZipFile(a) as z:
-            names = z.namelist()
-        folders = sorted({n.split("/")[1] for n in names if n.startswith("csvs/") and n.count("/") >= 2})
-        for t in folders:
-            member = f"csvs/{t}/summary.json"
-            rows.append((a, t, member if member in names else None))
-    listing = spark.createDataFrame(rows, "archive string, table string, member string")
-
-    def read(batches):
-        import json as _json
-        for pdf in batches:
-            out = []
-            for a, t, m in zip(pdf["archive"], pdf["table"], pdf["member"]):
-                last = None
-                if m is not None:
-                    with zipfile.ZipFile(a) as z:
-                        last = _json.loads(z.read(m)).get("last_dt")
-                out.append((t, None if last is None else str(last)))
-            yield pd.DataFrame(out, columns=["table", "last_dt"])
-
-    return listing.mapInPandas(read, "table string, last_dt string")
+    listed = AR.list_members(spark, archives)
+    summaries = [r for r in listed if re.fullmatch(r"csvs/[^/]+/summary\.json", r[1])]
+    have = {(r[0], r[1].split("/")[1]) for r in summaries}
+    lacking = sorted({(r[0], r[1].split("/")[1]) for r in listed if r[1].startswith("csvs/") and r[1].count("/") >= 2} - have)
+
+    def read(archive, member, stream):
+        last = json.loads(stream.read()).get("last_dt")
+        yield pd.DataFrame([(member.split("/")[1], None if last is None else str(last))], columns=["table", "last_dt"])
+
+    shape = "table string, last_dt string"
+    return AR.map_members(spark.createDataFrame(summaries, AR.MEMBER), read, shape).unionByName(
+        spark.createDataFrame([(t, None) for _, t in lacking], shape))
 
 
 def check_latest_full_quarter(summaries: DataFrame) -> str:

@@ -150,3 +150,107 @@ def test_override_that_matches_nothing_fails(spark):
     m = spark.createDataFrame([("a.zip", "x/y.csv", "y.csv")], "archive string, member string, base string")
     with pytest.raises(ValueError):
         FS.override_members(m, spark.createDataFrame([("b.zip", "x/z.csv", "z.csv")], m.schema))
+
+
+def test_headers_after_blank_lines_in_one_job(spark, tmp):
+    """A file's header is its first line that is not blank; a file of blank
+    lines is an error; as many jobs for many files as for few."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in "ab"])
+    os.makedirs(f"{tmp}/blank")
+    for i in range(14):
+        with open(f"{tmp}/blank/with space {i}.csv", "w", newline="\r\n" if i % 2 else "\n") as fh:
+            fh.write("\n" * (i % 4) + ("  \n" if i % 5 == 0 else "") + ("a,b\n" if i % 3 else "b,a\n") + f"{i},x\n\n{i},y\n")
+
+    def jobs(what):
+        spark.sparkContext.setJobGroup(what, what)
+        FS.csv_headers(spark, f"{tmp}/blank/{what}.csv")
+        spark.sparkContext.setJobGroup("none", "none")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(what))
+
+    got = sorted((r["a"], r["b"]) for r in FS.scan_typed(spark, f"{tmp}/blank/*.csv", schema).collect())
+    assert got == sorted(((str(i), x) if i % 3 else (x, str(i))) for i in range(14) for x in "xy")
+    assert jobs("*") == jobs("with space 1")
+    with open(f"{tmp}/blank/only.csv", "w") as fh:
+        fh.write("\n  \n\n")
+    with pytest.raises(ValueError, match="only.csv"):
+        FS.scan_typed(spark, f"{tmp}/blank/*.csv", schema)
+    with open(f"{tmp}/blank.csv", "w") as fh:
+        fh.write('\n\n"a","b\nc"\n1,2\n')
+    names = FS.csv_headers(spark, f"{tmp}/blank.csv", multi_line=True)
+    assert list(names) == [("a", "b\nc")]
+
+
+def test_header_of_a_file_of_many_splits(spark, tmp):
+    """One split a task, and each stops at its first line."""
+    p = f"{tmp}/split.csv"
+    write(p, [f"2022-05-01T12:00:00Z,L{i},vehicle,12,1,Asian,Male,20,0,3111" for i in range(5000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert FS.csv_headers(spark, p) == {tuple(f.name for f in SCHEMA.fields): [f"file://{p}"]}
+        assert FS.scan_typed(spark, p, SCHEMA).count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _big_zip(path, method):
+    """Members of more than a block, stored or deflated, with line feeds at will."""
+    import random
+    rng = random.Random(1)
+    members = {f"csvs/car_ped_stops/car_ped_stops_year_{y}.csv": [f"2022-05-01T12:00:00Z,L{rng.random()},vehicle,12,1,Asian,Male,{20 + i % 50},0,{y}" for i in range(n)]
+               for y, n in ((2019, 9000), (2020, 1), (2021, 6000), (2022, 0))}
+    with zipfile.ZipFile(path, "w", method) as z:
+        z.comment = b"not the end PK\x05\x06"[:11]
+        for name, lines in members.items():
+            z.writestr(name, "\n\n" + HEADER + "\n" + "".join(x + "\n" for x in lines))
+        z.writestr("csvs/car_ped_stops/summary.json", json.dumps({"last_dt": "2024-12-05"}))
+        z.writestr("notes/", b"")
+    return members
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_archive_of_many_splits_and_blocks(spark, tmp, method, monkeypatch):
+    from cubewright.sources import archive as AR
+    monkeypatch.setattr(AR, "BLOCK", 5000)
+    want = _big_zip(f"{tmp}/big.zip", method)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        rows = FS.read_members(FS.archive_members(spark, [f"{tmp}/big.zip"]), SCHEMA, chunk_rows=1000).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["_file"], r["_ordinal"]["row"])):
+        got.setdefault(r["_file"], []).append(r["location"])
+    assert got == {k: [x.split(",")[1] for x in v] for k, v in want.items() if v}
+    assert FS.check_latest_full_quarter(FS.read_archive_summaries(spark, [f"{tmp}/big.zip"])) == "2024-Q3"
+
+
+def test_damaged_archive_fails(spark, tmp):
+    _big_zip(f"{tmp}/whole.zip", zipfile.ZIP_STORED)
+    with open(f"{tmp}/whole.zip", "rb") as fh:
+        data = bytearray(fh.read())
+    at = data.index(b"vehicle", 5000)
+    data[at:at + 7] = b"VEHICLE"
+    with open(f"{tmp}/broken.zip", "wb") as fh:
+        fh.write(data)
+    with pytest.raises(Exception, match="damaged"):
+        FS.read_members(FS.archive_members(spark, [f"{tmp}/broken.zip"]), SCHEMA).collect()
+    with pytest.raises(zipfile.BadZipFile):
+        with open(f"{tmp}/none.zip", "wb") as fh:
+            fh.write(b"no archive")
+        FS.archive_members(spark, [f"{tmp}/none.zip"])
+
+
+def test_written_archives_are_zip_files(spark, tmp):
+    from cubewright.sources import archive as AR
+    lines = spark.createDataFrame([(a, f"m{m}.csv", i, f"{a},{m},{i},é\r") for a in (0, 2) for m in range(3) for i in range(2000)],
+                                  "archive int, member string, place int, line string").repartition(5)
+    paths = AR.write_archives(lines, f"{tmp}/zips", 3)
+    assert len(paths) == 3
+    seen = {}
+    for p in paths:
+        with zipfile.ZipFile(p.removeprefix("file://")) as z:
+            assert z.testzip() is None
+            for n in z.namelist():
+                text = z.read(n).decode()
+                seen[text.split(",")[0], n] = text
+    assert seen == {(str(a), f"m{m}.csv"): "".join(f"{a},{m},{i},é\r\n" for i in range(2000)) for a in (0, 2) for m in range(3)}

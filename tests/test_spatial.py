@@ -238,3 +238,30 @@ def test_network_flags_guard(spark):
     f = SP.network_flags(p, segs, 0.02, 42.0)
     assert {r["k"]: (r["n_stopped_locatable"], r["n_stopped_locatable_on_hin"]) for r in f.collect()} == {
         1: (1, 1), 2: (1, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
+
+
+def _read_columns(df):
+    """The columns of every file scan of the plan."""
+    import contextlib
+    import io
+    import re
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return [set(re.findall(r"(\w+):", x)) for x in re.findall(r"ReadSchema: struct<([^>]*)>", out.getvalue())]
+
+
+def test_probes_read_needed_columns_only(spark, tmp):
+    """The lookups read keys, coordinates and what the result uses, whether the
+    shapes are broadcast or not."""
+    from cubewright.operators.remap import remap_districts
+    from cubewright.sources import analog as A
+    spark.range(50).selectExpr("id as k", "'06' as districtoccur", "'1' as psa", "id / 100 as point_x", "id / 90 as point_y",
+                               "'much text' as other", "map(1, id) as further").write.parquet(f"{tmp}/p")
+    p = spark.read.parquet(f"{tmp}/p")
+    flags = SP.network_flags(p, A.segments(spark), 0.02, 42.0).groupBy("districtoccur").sum("n_stopped_locatable_on_hin")
+    psas = remap_districts(p, SP.polygon_edges(A.polygons(spark))).groupBy("districtoccur", "psa").count()
+    assert _read_columns(flags) == [{"districtoccur", "point_x", "point_y"}]
+    assert _read_columns(psas) == [{"districtoccur", "psa", "point_x", "point_y"}]
+    near = SP.points_near_lines(p, A.segments(spark), 0.02, "point_x", "point_y", only=p.k % 2 == 0)
+    all_ = {r["k"]: r["on_line"] for r in SP.points_near_lines(p, A.segments(spark), 0.02, "point_x", "point_y").collect()}
+    assert {r["k"]: r["on_line"] for r in near.collect()} == {k: v and k % 2 == 0 for k, v in all_.items()}
