@@ -138,8 +138,11 @@ def scan_typed(spark: SparkSession, paths: str | Sequence[str], schema: T.Struct
         return raw.select(*cols)
 
     parts = [one(n, f) for n, f in csv_headers(spark, paths, multi_line).items()]
-    if parts:
-        return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else no_rows(spark, schema, with_ordinal)
+
+
+def no_rows(spark: SparkSession, schema: T.StructType, with_ordinal: bool = True) -> DataFrame:
+    """A scan of no files."""
     none = spark.createDataFrame([], schema)
     if with_ordinal:
         none = none.select("*", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"),
