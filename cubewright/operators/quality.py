@@ -8,11 +8,55 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeq as TQ
 
+# ---------------------------------------------------------------------------
+# gates from the writing pass: the metrics of an observed write, so nothing is
+# read a second time.  They are observed after the last shuffle of a write,
+# where every row is counted once however often tasks are retried.
+# ---------------------------------------------------------------------------
+
+
+def observed_quarter(cube: DataFrame, name: str, seed_before: int | None = None, measure: str = "n_stopped") -> tuple[DataFrame, Observation]:
+    """The cube with its latest quarter and rows (Q1) and, if asked for, the
+    measure's total before a year (Q3) observed as it is written."""
+    obs = Observation(name)
+    seed = F.lit(None).cast("long") if seed_before is None else F.coalesce(F.sum(F.when(F.col("year") < seed_before, F.col(measure))), F.lit(0)).cast("long")
+    return cube.observe(obs, F.max("quarter_date").alias("max_quarter_date"), F.count(F.lit(1)).alias("n_rows"), seed.alias("seed")), obs
+
+
+def check_observed_quarters(metrics: Mapping[str, Mapping], most_recent_quarter: str) -> None:
+    """Raise unless every written cube ends with the given quarter (Q1); an
+    empty cube has no latest quarter and does not pass."""
+    def label(d):
+        return None if d is None else f"{d.year}-Q{(d.month + 2) // 3}"
+
+    bad = {n: label(m["max_quarter_date"]) for n, m in metrics.items() if label(m["max_quarter_date"]) != most_recent_quarter}
+    if bad:
+        raise ValueError(f"most recent quarter mismatch (want {most_recent_quarter}): " + ", ".join(f"{n}={q}" for n, q in sorted(bad.items())))
+
+
+def check_observed_total(metrics: Mapping, expected: int, measure: str = "n_stopped") -> None:
+    """Raise unless the known total before the seed year is met (Q3)."""
+    if metrics["seed"] != int(expected):
+        raise ValueError(f"{measure} total {metrics['seed']} != expected {expected}")
+
+
+def observed_unknown(remapped: DataFrame, name: str, psa_col: str = "psa") -> tuple[DataFrame, Observation]:
+    """The rows with their number and that of unknown PSAs (C6) observed."""
+    obs = Observation(name)
+    return remapped.observe(obs, F.sum(F.col(psa_col).isNull().cast("long")).alias("n_unknown"), F.count(F.lit(1)).alias("n_rows")), obs
+
+
+def unknown_row(spark: SparkSession, metrics: Mapping, table: str) -> DataFrame:
+    """The row of :func:`unknown_geometry` from observed numbers."""
+    n, total = metrics["n_unknown"], metrics["n_rows"]
+    return spark.createDataFrame([(table, n, total, None if not total else n / total * 100.0)],
+                                 "table string, n_unknown long, n_rows long, pct_unknown double")
+
 
 def quarter_gate_report(cubes: Mapping[str, DataFrame], most_recent_quarter: str) -> DataFrame:
     """Per cube: its latest quarter and whether it equals the requested one (Q1)."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,14 @@ from ..operators.remap import remap_districts
 from ..sources import sinks as SK
 
 
+#: Cubes whose latest quarter is gated.
+GATED = ("stop_cube", "shootings_cube")
+#: What cube, flags and sample use of a person row; the rest isn't staged.
+PERSON_COLUMNS = ["stoptype", "datetimeoccur", "location", "districtoccur", "psa", "race", "gender", "age", "mvc_code",
+                  "individual_searched", "vehicle_searched", "individual_arrested", "individual_contraband", "vehicle_contraband",
+                  "individual_frisked", "vehicle_frisked", "cartodb_id", "objectid", "point_x", "point_y",
+                  "n_stopped_locatable", "n_stopped_locatable_on_hin", "_ordinal", "_file"]
+
 SAMPLE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
     ("lat", T.DoubleType()), ("lng", T.DoubleType()), ("year", T.IntegerType()),
     ("on_hin", T.BooleanType()), ("stops_objectid", T.StringType()), ("location", T.StringType()),
@@ -57,10 +65,10 @@ def build_all(persons: DataFrame, order_cols: Sequence[str], most_recent_quarter
 def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter: str,
                 gate: bool = True, parallel: int = 4,
                 seed_total: tuple[int, int] | None = None) -> dict[str, DataFrame]:
-    """Write every cube (partitioned by year) to a folder of its own, read them
-    back, gate them (Q1, Q3), and only then publish the build; a failed gate
-    leaves the build before as it was.  ``seed_total`` is (year, stops known
-    before that year).
+    """Write every cube (partitioned by year) to a folder of its own, gate them
+    by what their writes observed (Q1, Q3), and only then publish the build; a
+    failed gate leaves the build before as it was.  ``seed_total`` is (year,
+    stops known before that year).
 
     The reason cube is written first and the stop cube is rolled up from the
     written table, so the person-level plan runs once for both.  The other
@@ -76,8 +84,12 @@ def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter:
     name = f"builds/{uuid.uuid4().hex}"
     folder = f"{path}/{name}"
 
-    def write_one(name, df):
-        SK.write_tables({name: df}, folder)
+    observed: dict[str, Observation] = {}
+
+    def write_one(table, df):
+        if table in GATED:
+            df, observed[table] = QU.observed_quarter(df, f"{table}-{name}", seed_total[0] if seed_total and table == "stop_cube" else None)
+        SK.write_tables({table: df}, folder)
 
     def reason_then_cube():
         write_one("stop_cube_reason", rest_reason)
@@ -93,11 +105,11 @@ def write_build(tables: Mapping[str, DataFrame], path: str, most_recent_quarter:
         for f in [pool.submit(j) for j in jobs]:
             f.result()                                  # re-raise any failure
     back = {t: spark.read.parquet(f"{folder}/{t}") for t in tables}
+    metrics = {t: o.get for t, o in observed.items()}
     if gate:
-        QU.check_quarter({k: v for k, v in back.items() if k in ("stop_cube", "shootings_cube")},
-                         most_recent_quarter)
+        QU.check_observed_quarters(metrics, most_recent_quarter)
     if seed_total is not None:
-        QU.check_total(back["stop_cube"], "n_stopped", seed_total[1], F.col("year") < seed_total[0])
+        QU.check_observed_total(metrics["stop_cube"], seed_total[1])
     SK.publish(spark, path, name, most_recent_quarter)
     return back
 
@@ -136,6 +148,7 @@ def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], ou
     """Shared tail of the folder and archive builds: ``scan(table)`` returns
     the typed person / shooting rows with ``_ordinal`` and ``_file``."""
     from ..operators import spatial as SP
+    from ..session import remove_path, scratch_dir
     from ..sources import files as FS
 
     edges = None
@@ -143,24 +156,33 @@ def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], ou
         edges = SP.polygon_edges(FS.read_geojson(spark, psa_map, psa_label))
     stop_key = ("_file", "datetimeoccur", "location")
     tables = {}
+    staged = None
     if present["car_ped_stops"]:
+        segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name) if hin_lines is not None else None
+        # no flagged files: the flags follow from the points and the network
+        derive = segs is not None and not present["car_ped_stops_on_hin"]
+        draw = segs is not None and sample_year is not None
         persons = scan("car_ped_stops")
-        tables.update(build_all(persons, ["_ordinal"], most_recent_quarter,
-                                psa_edges=edges, stop_key=stop_key))
-        if hin_lines is not None and sample_year is not None:
-            segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name)
+        if edges is not None or derive or draw:
+            # several tables come from the persons: one pass scans, remaps and
+            # flags them, and observes the share of unknown places
+            staged = scratch_dir(spark, "persons")
+            if edges is not None:
+                persons = remap_districts(persons, edges)
+            if derive:
+                persons = SP.network_flags(persons, segs, C.HIN_DISTANCE, C.LOCATABLE_MAX_Y)
+            persons, unknown = QU.observed_unknown(persons, staged)
+            persons.select(*[c for c in PERSON_COLUMNS if c in persons.columns]).write.parquet(staged)
+            persons = spark.read.parquet(staged)
+            if edges is not None:
+                tables["quality_unknown_geometry"] = QU.unknown_row(spark, unknown.get, "car_ped_stops")
+        tables.update(build_all(persons, ["_ordinal"], most_recent_quarter, stop_key=stop_key))
+        if draw:
             tables["hin_sample"] = hin_sample(persons, segs, sample_year, sample_rows)
-        if edges is not None:
-            tables["quality_unknown_geometry"] = QU.unknown_geometry(
-                remap_districts(persons, edges), "car_ped_stops")
+        if derive:
+            tables["hin_cube"] = CU.hin_cube(persons, most_recent_quarter)
     if sample_table is not None:
         tables["hin_sample"] = sample_table
-    if hin_lines is not None and present["car_ped_stops"] and not present["car_ped_stops_on_hin"]:
-        # no flagged files: the flags follow from the points and the network
-        segs = FS.read_geojson_lines(spark, hin_lines, hin_line_name)
-        h = SP.network_flags(scan("car_ped_stops"), segs, C.HIN_DISTANCE, C.LOCATABLE_MAX_Y)
-        h = remap_districts(h, edges) if edges is not None else h
-        tables["hin_cube"] = CU.hin_cube(h, most_recent_quarter)
     if present["car_ped_stops_on_hin"]:
         h = scan("car_ped_stops_on_hin")
         h = remap_districts(h, edges) if edges is not None else h
@@ -170,7 +192,10 @@ def _build_from_scans(spark: SparkSession, scan, present: Mapping[str, bool], ou
         if edges is not None:
             sh = remap_districts(sh, edges, district_col="dist", psa_col=None)
         tables["shootings_cube"] = CU.shootings_cube(sh, most_recent_quarter)
-    return write_build(tables, out, most_recent_quarter, gate=gate, seed_total=seed_total)
+    built = write_build(tables, out, most_recent_quarter, gate=gate, seed_total=seed_total)
+    if staged is not None:
+        remove_path(spark, staged)
+    return built
 
 
 def build_from_files(spark: SparkSession, csv_root: str, out: str, psa_map: str | None = None,

@@ -33,6 +33,7 @@ from .. import config as C
 from ..operators import collapse as CO
 from ..operators import cube as CU
 from ..functions import timeq as TQ
+from ..session import remove_path
 from ..sources import files as FS
 
 #: Versions kept: the newest, and the one that a replay of its batch starts from.
@@ -76,11 +77,6 @@ def latest_version(spark: SparkSession, table: str, before: int | None = None,
     return spark.read.parquet(*[f"{table}/{f}" for f in chosen]) if chosen else None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def remove_old(spark: SparkSession, table: str, keep: int = KEEP) -> list[str]:
     """Remove all but the newest ``keep`` versions and the folders that none of
     those names; returns what was removed."""
@@ -93,9 +89,9 @@ def remove_old(spark: SparkSession, table: str, keep: int = KEEP) -> list[str]:
         # the data first: a version without its manifest would never be found again
         gone += [f for f in folders(spark, table, v).values() if f not in used and f not in gone]
     for f in gone:
-        _remove(spark, f"{table}/{f}")
+        remove_path(spark, f"{table}/{f}")
     for v in have[:-keep]:
-        _remove(spark, _manifest_path(table, v))
+        remove_path(spark, _manifest_path(table, v))
     return gone
 
 
@@ -138,7 +134,7 @@ def fold_batch(files: DataFrame, batch_id: int, table: str, schema: T.StructType
         merged.withColumn("year", year).repartition("year").write.mode("overwrite").partitionBy("year").parquet(f"{table}/{data}")
     named |= {y: f"{data}/year={y}" for y in years}
     spark.createDataFrame(sorted(named.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(_manifest_path(table, batch_id))
-    _remove(spark, brought)
+    remove_path(spark, brought)
     remove_old(spark, table, keep)
 
 

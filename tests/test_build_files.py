@@ -252,3 +252,55 @@ def test_cli_report_of_points_and_psa_population(spark, tmp, layout):
     assert spark.read.json(f"{tmp}/extent/r_map_extent").first()["years"] == [2022]
     ctx = run._report_ctx(spark, f"{tmp}/r14", f"{tmp}/pop.csv", "2021-Q1", f"{tmp}/geo.csv")
     assert {r["district"]: r["total"] for r in ctx.population.collect()} == {"09": 15, "12": 7}
+
+
+def test_gates_and_unknown_share_come_from_the_writing_pass(spark, tmp, layout, monkeypatch):
+    """One point-in-polygon and one scan of the persons; no table is read again
+    for its gate; the share equals the operator's own."""
+    from cubewright.operators import quality as QU
+    from cubewright.operators import remap as RM
+    from cubewright.sources import files as FS
+    root, psa_map = layout[0], layout[1]
+    calls = {"pip": 0, "scan": []}
+    pip, scan = RM.point_in_polygon, FS.scan_typed
+    monkeypatch.setattr(RM, "point_in_polygon", lambda *a, **k: (calls.__setitem__("pip", calls["pip"] + 1), pip(*a, **k))[1])
+
+    def counted(sp, paths, *a, **k):
+        calls["scan"].append(sorted(paths)[0].rsplit("/", 1)[-1].split("_year")[0])
+        return scan(sp, paths, *a, **k)
+
+    monkeypatch.setattr(FS, "scan_typed", counted)
+    for gate in ("quarter_gate_report", "total_report", "unknown_geometry"):
+        monkeypatch.setattr(QU, gate, lambda *a, **k: pytest.fail("read again"))
+    t = BL.build_from_files(spark, root, f"{tmp}/once", psa_map=psa_map)
+    assert calls["scan"].count("car_ped_stops") == 1
+    persons_pips = calls["pip"] - (1 if "car_ped_stops_on_hin" in calls["scan"] else 0)
+    assert persons_pips == 1
+    monkeypatch.undo()
+    got = t["quality_unknown_geometry"].first()
+    persons = FS.scan_typed(spark, f"{root}/car_ped_stops/*.csv", SC.TABLES["car_ped_stops"][0])
+    from cubewright.functions.wkb import with_point
+    from cubewright.operators import spatial as SP
+    edges = SP.polygon_edges(FS.read_geojson(spark, psa_map, "PSA_NUM"))
+    want = QU.unknown_geometry(RM.remap_districts(with_point(persons) if "the_geom" in persons.columns else persons, edges), "car_ped_stops").first()
+    assert tuple(got) == tuple(want)
+
+
+def test_observed_gates(spark, tmp):
+    """The observed metrics are those of the rows written; an empty cube fails."""
+    from cubewright.operators import quality as QU
+    cube = spark.sql("select date'2020-01-01' as quarter_date, 2020 as year, id as n_stopped from range(10) "
+                     "union all select date'2021-10-01', 2021, 5")
+    df, obs = QU.observed_quarter(cube, "a", 2021)
+    df.repartition(3).write.parquet(f"{tmp}/a")
+    assert (obs.get["n_rows"], obs.get["seed"]) == (11, 45)
+    QU.check_observed_quarters({"a": obs.get}, "2021-Q4")
+    QU.check_observed_total(obs.get, 45)
+    with pytest.raises(ValueError):
+        QU.check_observed_quarters({"a": obs.get}, "2021-Q3")
+    with pytest.raises(ValueError):
+        QU.check_observed_total(obs.get, 46)
+    df, obs = QU.observed_quarter(cube.where("year = 0"), "b")
+    df.write.parquet(f"{tmp}/b")
+    with pytest.raises(ValueError):
+        QU.check_observed_quarters({"b": obs.get}, "2021-Q4")
