@@ -27,8 +27,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of all documents in strings of 400 bytes that occur elsewhere."""
-    return suffix_dedup.dedup(documents(spark, sf_dir), length=400)
+    """Bytes of all documents in strings of 400 bytes that occur elsewhere, and
+    those in passages of 200, which 50 words have."""
+    return suffix_dedup.dedup(documents(spark, sf_dir), length=400, gram=50, also=200)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

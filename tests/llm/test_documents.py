@@ -91,6 +91,27 @@ def test_suffix_dedup(spark, rows, folder, big):
     assert 0 < sum(x[2] for x in want) < sum(x[1] for x in want)
 
 
+@pytest.mark.parametrize("big", [suffix_dedup.BIG, 5, 1])
+def test_suffix_dedup_of_two_lengths(spark, rows, folder, big):
+    texts = [r["text"] for r in rows]
+    got = suffix_dedup.dedup(documents(spark, folder), length=400, gram=50, also=200, big_rows=big).collect()
+    want = [(r["doc_id"], *x, *y[1:3]) for r, x, y in zip(rows, removed(texts, 400), removed(texts, 200), strict=True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(x[5] > x[2] for x in want) > 3
+
+
+def test_suffix_dedup_of_two_lengths_at_the_ends_of_texts(spark):
+    """Texts that end within the longer string; runs of one letter."""
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("ab"), 60))
+    texts = [base[:n] + t for n in (12, 18, 25, 31, 60) for t in ("", "c", "abab")] + [base[i:] for i in range(0, 50, 7)] + ["a" * n for n in (5, 11, 12, 19, 20, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for big in (suffix_dedup.BIG, 1):
+        got = suffix_dedup.dedup(df, length=20, gram=4, also=11, big_rows=big).collect()
+        want = [(i, *x, *y[1:3]) for i, (x, y) in enumerate(zip(removed(texts, 20), removed(texts, 11), strict=True))]
+        assert sorted(map(tuple, got)) == want
+
+
 def test_suffix_dedup_short_strings_and_shuffled_list(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
