@@ -4,7 +4,7 @@ it kept, from Parquet in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubewright.llm import langid, mixing, ngram_join, packing, suffix_dedup
@@ -33,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays, that of least
-    id; of rows that share an id, one.  Rows of null id stay."""
+    id; of rows that share it, each text once.  Rows of null id stay."""
     docs = docs.select(*COLUMNS)
     comps = stage(ngram_join.jaccard_components(docs, k=WORDS, percent=PERCENT), "pipeline-components")
     ids = comps.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
@@ -43,7 +43,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(side, docs["doc_id"] == side["_id"], "left_anti")
     again = off.where("not gone")
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.unionByName(docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*COLUMNS)
 
 
@@ -59,11 +59,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it; those taken
-    no time go."""
-    docs = docs.select(*COLUMNS)
-    times = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"))
-    return (docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).where("copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS))
+    no time go.  Documents go by their contents, so that each row of a null or
+    repeated id is taken as often as the mix takes it."""
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "source", "text"))
+    times = mixing.mix(docs, key="_row").groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_times"))
+    place = F.row_number().over(Window.partitionBy("_row").orderBy("n_chars", "lang"))
+    return (docs.join(times, docs["_row"] == times["_of"]).withColumn("_times", F.element_at("_times", place)).where("_times > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
