@@ -24,8 +24,8 @@ blocks of n-grams, only where two documents can reach the bound:
 
 Nulls: a null or empty text, or one without words, has the empty set and links
 with nothing; a row of null id links with nothing and has a null component.
-Rows that share an id count as one document: they take the least component of
-theirs.  Repeated rows are equal sets.  Other columns are ignored."""
+Rows that share an id count as one document: its links are those of all its
+texts, and they connect what they link with.  Repeated rows are equal sets.  Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -282,6 +282,27 @@ def links(sets: DataFrame, percent: int, stars: bool = True) -> DataFrame:
     return more if found is None else found.unionByName(more)
 
 
+def class_labels(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2, n, c) of every class of equal sets: the least id of its
+    component.  A class goes by its least id, unless an id has several sets:
+    then by a number of its own, and the classes of an id are linked."""
+    content = ["s1", "s2", "n"]
+    one = F.struct(*content)
+    several = stage(sets.groupBy("id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("id"), "ngram-several")
+    if several.isEmpty():
+        own = sets.join(classes.select(F.col("rep").alias("id"), *content), ["id", *content]).select("id", "n", "hashes").dropDuplicates(["id"])
+        of_rep = components(links(stage(own, "ngram-reps"), percent), "ngram-cc").select(F.col("id").alias("rep"), "component")
+        return classes.join(of_rep, "rep", "left").select(*content, F.coalesce("component", "rep").alias("c"))
+    numbered = stage(classes.withColumn("class", F.monotonically_increasing_id()), "ngram-numbered")
+    own = sets.join(numbered.select(F.col("rep").alias("id"), *content, "class"), ["id", *content]).select(F.col("class").alias("id"), "n", "hashes").dropDuplicates(["id"])
+    held = sets.join(several, "id", "left_semi").select("id", *content).distinct().join(numbered, content).select("id", "class")
+    tied = held.join(held.groupBy("id").agg(F.min("class").alias("b")), "id").select(F.col("class").alias("a"), "b").where("a <> b")
+    of_class = components(links(stage(own, "ngram-reps"), percent).unionByName(tied), "ngram-cc").select(F.col("id").alias("class"), "component")
+    label = stage(numbered.join(of_class, "class", "left").withColumn("component", F.coalesce("component", "class")), "ngram-label")
+    least = label.groupBy("component").agg(F.min("rep").alias("c"))
+    return label.join(least, "component").select(*content, "c")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -293,11 +314,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     some = docs.join(side, docs[key].cast("long") == side["_id"], "left_semi")
     sets = stage(sets_of(some, key, text, k).where("n > 0"), "ngram-sets")
     classes = stage(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "ngram-classes")
-    own = (sets.join(classes.select(F.col("rep").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"]).select("id", "n", "hashes")
-           .dropDuplicates(["id", "n"]))
-    reps = stage(own, "ngram-reps")
-    of_rep = components(links(reps, percent), "ngram-cc").select(F.col("id").alias("rep"), "component")
-    label = classes.join(of_rep, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
+    label = class_labels(sets, classes, percent)
     of_id = sets.select("id", "s1", "s2", "n").join(label, ["s1", "s2", "n"]).groupBy("id").agg(F.min("c").alias("c"))
     return counts.join(of_id, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                                                    F.coalesce("c", "id").alias("component_id"))

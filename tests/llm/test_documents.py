@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cubewright.llm import fingerprints, langid, ngram_join, packing, suffix_dedup
+from cubewright.llm import fingerprints, langid, mixing, ngram_join, packing, suffix_dedup
 from cubewright.llm.common import components, documents
 from cubewright.llm.queries import QUERIES, tokenizer_path
 
@@ -69,6 +69,37 @@ def test_null_id(spark):
     assert sorted(map(tuple, got), key=str) == [(3, 2, 3), (5, 2, 3), (None, 2, None)]
 
 
+def test_ids_with_several_texts(spark):
+    """An id's texts all keep their links, of whatever size, and connect them."""
+    rng = np.random.default_rng(4)
+    w, u, v = (" ".join(f"{c}{i}" for i in rng.integers(0, 9999, 60)) for c in "wuv")
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, w), (1, u), (2, near(w)), (3, near(u)), (9, v), (8, near(v)), (5, u + " x"), (5, v + " y"), (7, w), (7, w), (6, "alone here"), (6, "and here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r[0], r[2]) for r in ngram_join.jaccard_components(df).collect()}
+    want = {(i, c) for i, _, c in classes([{"doc_id": i, "text": t} for i, t in rows], 4, 85)}
+    assert got == want == {(i, 1) for i in (1, 2, 3, 5, 7, 8, 9)} | {(6, 6)}
+    alone = [r for r in rows if r[0] != 5]
+    got = {(r[0], r[2]) for r in ngram_join.jaccard_components(spark.createDataFrame(alone, df.schema)).collect()}
+    assert got == {(i, 1) for i in (1, 2, 3, 7)} | {(6, 6), (8, 8), (9, 8)}
+
+
+def test_pipeline_keeps_texts_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+    rng = np.random.default_rng(6)
+    rows = [(i if i % 5 else None, " ".join(f"w{x}" for x in rng.integers(0, 99999, int(rng.integers(3, 40)))), "en", ("a", "b", None)[i % 3], 7) for i in range(150)]
+    rows += [(500, "the first of three texts", "en", "a", 7), (500, "an altogether different second one", "en", "a", 7), (500, "one more that is like no other", "en", "a", 7),
+             (500, "the first of three texts", "en", "a", 7), (501, "a text with a copy of it", "en", "b", 7), (502, "a text with a copy of it", "en", "b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.join_near_duplicates(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(r[0], r[1]) for r in rows if r[0] != 502})
+    taken = Counter()
+    for r in p.mix_sources(spark, docs, "").collect():
+        taken[r["source"]] += len(r["text"].split())
+    targets = {r["source"]: (r["target"], r["most"]) for r in mixing.mix(docs).groupBy("source").agg({"target": "max", "size": "max"}).toDF("source", "target", "most").collect()}
+    assert all(abs(taken[s] - t) <= most for s, (t, most) in targets.items())
+
+
 def removed(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(x[i:i + length] for x in data for i in range(len(x) - length + 1))
