@@ -101,8 +101,9 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return path_key(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
 
 
-def _blocks(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
-    """(file, place, data): the bytes of files in blocks."""
+def file_blocks(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
+    """(file, place, data): the bytes of files in blocks, and where in the file
+    they are.  A file that does not end in a line feed gets one."""
     raw = spark.read.option("lineSep", "\n").text(list(archives)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
 
@@ -120,7 +121,7 @@ def _blocks(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
                     if held:
                         yield out()
                     key, held, size, number = (file, start), [], 0, 0
-                held += (line, b"\n")  # a file that does not end in one gets it, past its directory
+                held += (line, b"\n")
                 size += len(line) + 1
                 if size >= BLOCK:
                     yield out()
@@ -225,7 +226,7 @@ def map_members(members: DataFrame, each: Callable, schema: T.StructType | str)
             archive, member, _, _, _, method, packed, size, crc = rows[i]
             yield from each(archive, member, io.BufferedReader(_Pipe(_inflated((bytes(d) for _, d in group), f"{archive}: {member}", method, packed, size, crc)), BLOCK))
 
-    return (_blocks(spark, archives).mapInArrow(cut, "task int, i int, place long, data binary")
+    return (file_blocks(spark, archives).mapInArrow(cut, "task int, i int, place long, data binary")
             .repartitionById(tasks, "task").sortWithinPartitions("i", "place").mapInPandas(run, schema))
 
 
