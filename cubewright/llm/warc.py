@@ -2,8 +2,7 @@
 plain-text conversion record that refer to it.
 
 ``responses`` writes pages as WARC/1.0 response records; ``read`` takes the
-records of WARC files, plain or gzip, by Spark's binary reader; ``derive``
-makes the two derivatives of each response, with no shuffle:
+records of WARC files, plain or gzip, as a stream of blocks; ``derive`` the two derivatives of each response, with no shuffle:
 
 * metadata (JSON): the source's WARC headers and HTTP headers as they stand,
   its payload digest as given and as computed, title and links;
@@ -26,25 +25,36 @@ import base64
 import gzip
 import hashlib
 import html
+import itertools
 import json
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from ..sources.archive import file_blocks
+from .common import n_parts, small_batches
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+#: Elements that are no text, with all they hold.
+HIDDEN = ("script", "style", "noscript", "template")
+CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*HIDDEN, "title")}
 BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|blockquote|pre|hr)\b[^>]*>", re.I)
 TAG = re.compile(r"<[^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TITLE = re.compile(r"<title\b", re.I)
+ANCHOR = re.compile(r"<a\b", re.I)
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
+#: Bytes among which a record's header ends.
+HEADER = 1 << 20
+_BLANK, _LENGTH = re.compile(rb"\r?\n\r?\n"), re.compile(rb"(?im)^content-length:\s*(\d+)")
 
 
 def digest(data: bytes) -> str:
@@ -78,24 +88,58 @@ def split_at_blank(data: bytes) -> tuple[bytes, bytes]:
     return (data[:m.start()], data[m.end():]) if m else (data, b"")
 
 
-def records_of(data: bytes):
-    """The records of a file's bytes, gzip or not, one after the other."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(out)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        m = re.compile(rb"\r?\n\r?\n").search(data, at)
-        if not m:
+def _unzipped(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a file, gzip members one after the other, or as they are;
+    what follows the last member is dropped."""
+    parts = iter(parts)
+    data = b""
+    while len(data) < 2 and (got := next(parts, None)) is not None:
+        data += got
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        yield from parts
+        return
+    while True:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            while data and not member.eof:
+                out = member.decompress(data, HEADER)
+                data = member.unused_data if member.eof else member.unconsumed_tail
+                if out:
+                    yield out
+            if not member.eof and (data := next(parts, None)) is None:
+                return
+        while len(data) < 2 and (got := next(parts, None)) is not None:
+            data += got
+        if data[:2] != b"\x1f\x8b":
             return
-        n = re.search(rb"(?im)^content-length:\s*(\d+)", data[at:m.start()])
+
+
+def records_of(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a file's bytes, one after the other; memory holds one.
+    It ends at a header that does not end within ``HEADER`` bytes."""
+    held, parts = bytearray(), _unzipped(parts)
+
+    def more() -> bool:
+        got = next(parts, None)
+        held.extend(got or b"")
+        return got is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:max(0, len(held) - 4)]
+            if not more():
+                return
+        del held[:at]
+        while not (m := _BLANK.search(held)):
+            if len(held) > HEADER or not more():
+                return
+        n = _LENGTH.search(held, 0, m.start())
         end = m.end() + (int(n[1]) if n else 0)
-        yield data[at:end]
-        at = end
+        while len(held) < end and more():
+            pass
+        yield bytes(held[:end])
+        del held[:end]
 
 
 def body_of(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
@@ -121,8 +165,81 @@ def body_of(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
     return status, headers, raw, body
 
 
+@cache
+def _openings(kinds: tuple[str, ...]) -> re.Pattern:
+    """Where a comment ("") or an element of these names begins."""
+    return re.compile("|".join("<!--" if not k else rf"<(?:{k})\b" for k in kinds), re.I)
+
+
+def shown(page: str) -> str:
+    """The page with a blank for each comment and hidden element that ends.  An
+    end found ahead is kept, so that the page is read once."""
+    out, at, ends = [], 0, {}
+
+    def end_of(name: str, start: int, find) -> int:
+        """Where the next end from start on is; -1 where there is none."""
+        if name not in ends or -1 < ends[name][0] < start:
+            ends[name] = find(start)
+        return ends[name][1]
+
+    def closing(name: str, start: int) -> tuple[int, int]:
+        m = CLOSE[name].search(page, start)
+        return m.span() if m else (-1, -1)
+
+    def text(mark: str, start: int) -> tuple[int, int]:
+        i = page.find(mark, start)
+        return (i, i + len(mark)) if i >= 0 else (-1, -1)
+
+    look, kinds = 0, ("", *HIDDEN)
+    while kinds and (m := _openings(kinds).search(page, look)):
+        name = m[0][1:].lower() if m[0] != "<!--" else ""
+        if not name:
+            end = end_of("-->", m.end(), lambda i: text("-->", i))
+        else:
+            end = end_of(">", m.end(), lambda i: text(">", i))
+            if end >= 0:
+                end = end_of(name, end, lambda i, name=name: closing(name, i))
+        if end < 0:  # nor does any after it end
+            look, kinds = m.end(), tuple(k for k in kinds if k != name)
+            continue
+        out += (page[at:m.start()], " ")
+        at = look = end
+    return "".join([*out, page[at:]])
+
+
+def sub_tags(tag: re.Pattern, to: str, page: str) -> str:
+    """All tags replaced; a tag needs a >, so the search ends at the last."""
+    end = page.rfind(">") + 1
+    return tag.sub(to, page[:end]) + page[end:]
+
+
+def title_of(page: str) -> str:
+    m = TITLE.search(page)
+    begin = page.find(">", m.end()) + 1 if m else 0
+    end = CLOSE["title"].search(page, begin) if begin else None
+    return page[begin:end.start()] if end else ""
+
+
+def links_of(page: str) -> list[str]:
+    """The targets of anchors, each looked for up to the tag's end or the next
+    anchor."""
+    out, gt, done = [], -2, 0
+    starts = [m.start() for m in ANCHOR.finditer(page)]
+    for start, following in itertools.pairwise([*starts, len(page)]):
+        if start < done:  # within the value before
+            continue
+        if gt != -1 and gt < start:
+            gt = page.find(">", start)
+        m = HREF.search(page, start + 2, min(following, gt) if gt >= 0 else following)
+        m = VALUE.match(page, m.end()) if m else None
+        if m:
+            out.append(html.unescape(m[1] or m[2] or m[3] or ""))
+            done = m.end()
+    return out
+
+
 def plain_text(page: str) -> str:
-    text = TAG.sub("", BLOCK.sub("\n", DROP.sub(" ", page)))
+    text = sub_tags(TAG, "", sub_tags(BLOCK, "\n", shown(page)))
     lines = (re.sub(r"[ \t\f\v ]+", " ", x).strip() for x in re.split(r"[\r\n]+", html.unescape(text)))
     return "\n".join(x for x in lines if x)
 
@@ -141,10 +258,8 @@ def derivatives(source: bytes) -> tuple[dict, bytes, bytes] | None:
         page = body.decode("utf-8", "replace")
     source_id, target, date = value(headers, "WARC-Record-ID"), value(headers, "WARC-Target-URI"), value(headers, "WARC-Date", DATE)
     text = plain_text(page)
-    title = TITLE.search(page)
-    links = [html.unescape(a or b or c) for a, b, c in LINK.findall(DROP.sub(" ", page))]
     about = {"warc-headers": headers, "http-status": status, "http-headers": http, "payload-digest": value(headers, "WARC-Payload-Digest"),
-             "actual-digest": digest(raw), "payload-length": len(raw), "title": plain_text(title[1]) if title else "", "links": links}
+             "actual-digest": digest(raw), "payload-length": len(raw), "title": plain_text(title_of(page)), "links": links_of(shown(page))}
     out = []
     for kind, mime, data in (("metadata", "application/json", json.dumps(about, ensure_ascii=False).encode("utf-8", "replace")),
                              ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
@@ -176,20 +291,23 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record) of WARC files; one file is one task's work."""
+    """(path, record) of WARC files; one file is one task's work, a record at a
+    time."""
     def run(batches):
-        for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held = []
-                for r in records_of(data):
-                    held.append(r)
-                    if len(held) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(held)), pa.array(held, pa.binary())], names=["path", "record"])
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(held)), pa.array(held, pa.binary())], names=["path", "record"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+        flat = (r for b in batches for r in zip(b.column("file").to_pylist(), b.column("data").to_pylist(), strict=True))
+        for file, group in itertools.groupby(flat, key=lambda r: r[0]):
+            held, size = [], 0
+            for r in records_of(d for _, d in group):
+                held.append(r)
+                size += len(r)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array(held, pa.binary())], names=["path", "record"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array(held, pa.binary())], names=["path", "record"])
+
+    return (file_blocks(spark, [path]).repartition(n_parts(spark), "file").sortWithinPartitions("file", "place")
+            .mapInArrow(run, "path string, record binary"))
 
 
 SHAPE = ("source_id string, target string, date string, payload_digest string, digest_agrees boolean, title string, links array<string>, "

@@ -3,10 +3,12 @@
 import base64
 import gzip
 import hashlib
+import html
 import json
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -258,7 +260,7 @@ def test_warc_bodies():
     source = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Payload-Digest", "sha1:given")], block)
     about, meta, conv = warc.derivatives(source)
     assert about["text"] == "café" and about["payload-digest"] == "sha1:given" and ("X", "a b") in about["http-headers"]
-    two = [*warc.records_of(gzip.compress(source + b"\r\n\r\n") + gzip.compress(meta + b"\r\n\r\n"))]
+    two = [*warc.records_of([gzip.compress(source + b"\r\n\r\n") + gzip.compress(meta + b"\r\n\r\n")])]
     assert two == [source, meta]
     assert warc.derivatives(meta) is None and warc.derivatives(b"") is None
 
@@ -266,3 +268,50 @@ def test_warc_bodies():
 def test_oracles_are_sql_of_registered_queries():
     assert set(ORACLES) <= set(QUERIES) and all(isinstance(x, str) for x in ORACLES.values())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+
+
+# the markup rules as backtracking patterns, which hostile pages make quadratic
+DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+
+
+def test_markup_against_patterns():
+    rng = random.Random(1)
+    parts = ["<!--", "-->", "<script>", "</script>", "<SCRIPT a=b", "</script  >", "<style>", "</style>", "<a ", "<a href=x>", "<a href='y z'>", '<a href="q>r">', "</a>", ">", "<",
+             "text", "<p>", "<title>", "</title>", "<title a>", "&amp;", "\n", " ", "href=1", '"', "'", "<br/>", "<template>", "</template>", "<abbr href=n>", "<div"]
+    for _ in range(20000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        seen, title = DROP.sub(" ", page), TITLE.search(page)
+        assert warc.shown(page) == seen
+        assert warc.links_of(seen) == [html.unescape(a or b or c) for a, b, c in LINK.findall(seen)]
+        assert warc.title_of(page) == (title[1] if title else "")
+        assert warc.sub_tags(warc.TAG, "", seen) == warc.TAG.sub("", seen)
+
+
+@pytest.mark.parametrize("mark", ["<!--", "<script>", "<", "<p", "<title>", "<title", "<a ", "<a href='", "</script", "<style></style"])
+def test_hostile_pages_take_linear_time(mark):
+    def seconds(n):
+        page = mark * (n // len(mark))
+        begin = time.perf_counter()
+        warc.plain_text(page), warc.title_of(page), warc.links_of(warc.shown(page))
+        return time.perf_counter() - begin
+
+    seconds(10_000)
+    assert seconds(2_000_000) < 20 * max(seconds(400_000), 0.02)
+
+
+def test_records_as_a_stream(spark, tmp_path):
+    """Files of many gzip members or none, in blocks of a few bytes."""
+    pages = [warc.response(str(i), f"http://x/{i}", f"<p>{i}</p>" * (i * 50 % 997)) for i in range(200)]
+    plain = b"".join(p + b"\r\n\r\n" for p in pages)
+    members = b"".join(gzip.compress(p + b"\r\n\r\n") for p in pages)
+    for data in (plain, members, gzip.compress(plain)):
+        for step in (1000, 7777, len(data)):
+            assert list(warc.records_of(data[i:i + step] for i in range(0, len(data), step))) == pages
+    assert list(warc.records_of([])) == [] and list(warc.records_of([b"no record"])) == []
+    assert list(warc.records_of([plain[:len(pages[0]) // 2]])) in ([], [plain[:len(pages[0]) // 2]])
+    for name, data in (("a.warc", plain), ("b.warc.gz", members), ("c.warc", members), ("d.warc", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = [bytes(r["record"]) for r in warc.read(spark, f"{tmp_path}/*").collect()]
+    assert Counter(got) == Counter(pages * 3)
