@@ -736,6 +736,7 @@ _add("hin_report_points", _REPORT_SAMPLE + """SELECT *,
   CASE WHEN on_hin THEN 'Traffic stop on the HIN' ELSE 'Traffic stop not on the HIN' END AS hover_text FROM o_rows""")
 _add("hin_report_extent", _REPORT_SAMPLE + """SELECT quantile_cont(lat, 0.5) AS median_lat, quantile_cont(lng, 0.5) AS median_lng,
   count(*) AS n_rows, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years FROM o_rows""")
+_add("point_in_polygon_cover", ORACLES["point_in_polygon"])
 _add("geojson_polygons", ORACLES["point_in_polygon"])
 _add("geojson_lines", ORACLES["points_near_lines"])
 _add("archive_summaries", f"""

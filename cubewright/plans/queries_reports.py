@@ -452,6 +452,13 @@ def q_point_in_polygon(spark, sf_dir):
                     F.coalesce(F.substring("psa_num", -1, 1), F.lit(C.UNKNOWN_PSA)).alias("psa"))
 
 
+def q_point_in_polygon_cover(spark, sf_dir):
+    """The same by the map's cover of cells."""
+    edges = SP.polygon_edges(A.polygons(spark))
+    r = SP.point_in_polygon(A.points(spark, sf_dir), edges, "x", "y", out="psa_num", cover=True)
+    return r.select("vec_id", "psa_num", F.coalesce(F.substring("psa_num", -1, 1), F.lit(C.UNKNOWN_PSA)).alias("psa"))
+
+
 def q_points_near_lines(spark, sf_dir):
     pts = A.points(spark, sf_dir)
     r = SP.points_near_lines(pts, A.segments(spark), A.SEGMENT_DISTANCE, mode="all")
@@ -625,6 +632,7 @@ QUERIES = {
     "kpi_rows": q_kpi_rows,
     "chart_rows": q_chart_rows,
     "point_in_polygon": q_point_in_polygon,
+    "point_in_polygon_cover": q_point_in_polygon_cover,
     "points_near_lines": q_points_near_lines,
     "hin_points_any": q_hin_points_any,
     "remap_district": q_remap_district,

@@ -265,3 +265,34 @@ def test_probes_read_needed_columns_only(spark, tmp):
     near = SP.points_near_lines(p, A.segments(spark), 0.02, "point_x", "point_y", only=p.k % 2 == 0)
     all_ = {r["k"]: r["on_line"] for r in SP.points_near_lines(p, A.segments(spark), 0.02, "point_x", "point_y").collect()}
     assert {r["k"]: r["on_line"] for r in near.collect()} == {k: v and k % 2 == 0 for k, v in all_.items()}
+
+
+def _map(rng, n=9, vertices=90):
+    """Jagged polygons that overlap, one with a hole, one along cell borders."""
+    polys = [(f"P{i}", star_polygon(rng, rng.uniform(-1, 1), rng.uniform(-1, 1), vertices)) for i in range(n)]
+    return polys + [("square", [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]), ("thin", [(-1.2, 0.9), (1.2, 0.9001), (1.2, 0.9002), (-1.2, 0.9)])]
+
+
+def test_cover_equals_brute_force_and_saves_tests(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    polys = _map(rng)
+    shapes = [(i, lab, [[[float(x), float(y)] for x, y in ring]]) for i, (lab, ring) in enumerate(polys)]
+    edges = SP.polygon_edges(spark.createDataFrame(shapes, "pos int, label string, rings array<array<array<double>>>"))
+    xy = [*map(tuple, rng.uniform(-1.6, 1.6, (900, 2))), *map(tuple, rng.normal(0.2, 0.05, (600, 2)))]      # a hot place
+    xy += [(x, y) for _, ring in polys for x, y in ring[::17]]                                                  # vertices
+    xy += [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for _, ring in polys[-2:] for a, b in zip(ring[:-1], ring[1:])]  # on edges
+    xy += [(i / 64 - 1, j / 64 - 1) for i in range(0, 128, 12) for j in range(0, 128, 12)] + [(50.0, 0.0), (0.0, -50.0)]
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(len(xy), None, 0.1), (len(xy) + 1, 0.1, None)]
+    pts = spark.createDataFrame(rows, "vec_id long, x double, y double")
+    want = [*brute_pip([r[1] for r in rows[:-2]], [r[2] for r in rows[:-2]], polys), None, None]
+    with_cover = {r["vec_id"]: r["polygon_label"] for r in SP.point_in_polygon(pts, edges, cover=True).collect()}
+    assert [with_cover[r[0]] for r in rows] == want and len({*want}) > 6
+    some = {r["vec_id"]: r["polygon_label"] for r in SP.point_in_polygon(pts, edges, cover=True, only=F.col("vec_id") % 3 == 0, default="-").collect()}
+    assert [some[r[0]] for r in rows] == [(w or "-") if r[0] % 3 == 0 else "-" for r, w in zip(rows, want)]
+    r = SP.cover_report(pts, edges).first()
+    assert r["n_points"] == len(rows) and r["n_tested"] < 0.35 * len(rows) and r["edges_with_cover"] < 0.35 * r["edges_without"]
+    monkeypatch.setattr(SP, "COVER_ENTRIES", 0)
+    monkeypatch.setattr(SP, "MAX_BROADCAST_SHAPE_ROWS", 0)
+    shuffled = {r["vec_id"]: r["polygon_label"] for r in SP.point_in_polygon(pts, edges).collect()}
+    assert [shuffled[r[0]] for r in rows] == want
+    assert SP.point_in_polygon(pts, edges.where("pos < 0"), cover=True).where("polygon_label is not null").count() == 0
