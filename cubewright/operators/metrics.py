@@ -46,6 +46,30 @@ def avg_monthly_calendar(df: DataFrame, measure: str, n_quarters: int) -> DataFr
              .select(avg_monthly_expr(F.col("_t"), F.lit(n_quarters)).alias("value"))
 
 
+def quarter_sets(df: DataFrame, keys: Sequence[str], measures: Sequence[str], quarter_col: str = "quarter") -> DataFrame:
+    """Per key: the measures' sums and the set of quarters as a bitmap
+    (``quarters``; bit n is the n-th quarter from 1900 on), so that averages
+    over the quarters present need no second look at the rows (A10, A15)."""
+    year = F.substring(quarter_col, 1, 4).cast("long")
+    number = (year - 1900) * 4 + F.substring(quarter_col, -1, 1).cast("long")
+    return df.groupBy(*keys).agg(*[F.sum(m).cast("long").alias(m) for m in measures],
+                                 F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("quarters"))
+
+
+def merge_quarter_sets(parts: Sequence[DataFrame], keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Quarter sets of different rows as one: sums are added, sets united, so a
+    quarter that several parts hold counts once."""
+    u = parts[0].select(*keys, *measures, "quarters")
+    for p in parts[1:]:
+        u = u.unionByName(p.select(*keys, *measures, "quarters"))
+    return u.groupBy(*keys).agg(*[F.sum(m).cast("long").alias(m) for m in measures], F.bitmap_or_agg("quarters").alias("quarters"))
+
+
+def avg_monthly_of_sets(sets: DataFrame, measure: str, out: str = "value") -> DataFrame:
+    """A10 from quarter sets."""
+    return sets.withColumn(out, avg_monthly_expr(F.col(measure), F.bitmap_count("quarters"))).drop("quarters")
+
+
 def share_of_total(df: DataFrame, value_col: str, out: str = "percentage",
                    within: Sequence[str] = (), dp: int | None = 1) -> DataFrame:
     """value / sum(value) * 100 over the whole (grouped) frame or within groups."""

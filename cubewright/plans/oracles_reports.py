@@ -637,6 +637,10 @@ _add("total_and_rate", W() + _kpi([
 _add("avg_monthly", W() + f"""
 SELECT {avgm('sum(n_stopped)', 'count(DISTINCT quarter)')} AS value FROM o_cube
 WHERE {qin('1998-Q1', '1999-Q4')}""")
+_add("avg_monthly_merged", W() + f"""
+SELECT districtoccur, CAST(sum(n_stopped) AS BIGINT) AS n_stopped, {avgm('sum(n_stopped)', 'count(DISTINCT quarter)')} AS value,
+  count(DISTINCT quarter) AS n_quarters FROM o_cube
+WHERE {qin('1998-Q1', '1999-Q4')} GROUP BY districtoccur""")
 _nq = len(window_quarters(SPINE, "1998-Q1", "1999-Q4"))
 _add("avg_monthly_calendar", W(f"d AS (SELECT * FROM o_cube WHERE districtoccur = '07' AND psa = '1' "
                                f"AND {qin('1998-Q1', '1999-Q4')} AND race = 'Asian')") + _kpi([

@@ -226,6 +226,17 @@ def q_avg_monthly(spark, sf_dir):
     return ME.avg_monthly(FL.filter_quarters(c, SPINE, "1998-Q1", "1999-Q4"), "n_stopped")
 
 
+def q_avg_monthly_merged(spark, sf_dir):
+    """The average per district from the quarter sets of three parts of the
+    cube that share quarters, merged without the cube's rows (A10, A15, A4)."""
+    c = FL.filter_quarters(ctx(spark, sf_dir).cube, SPINE, "1998-Q1", "1999-Q4")
+    part = F.pmod(F.xxhash64("race", "gender", "psa"), F.lit(3))
+    parts = [ME.quarter_sets(c.where(part == i), ["districtoccur"], ["n_stopped"]) for i in range(3)]
+    merged = ME.merge_quarter_sets(parts, ["districtoccur"], ["n_stopped"])
+    n = merged.select("districtoccur", F.bitmap_count("quarters").alias("n_quarters"))
+    return ME.avg_monthly_of_sets(merged, "n_stopped").join(n, "districtoccur")
+
+
 def q_avg_monthly_calendar(spark, sf_dir):
     """Calendar average differs when a quarter of the range has no rows."""
     c = FL.filter_location(_cube(spark, sf_dir), "07-1")
@@ -600,6 +611,7 @@ QUERIES = {
     "rollup_prefix": q_rollup_prefix,
     "total_and_rate": q_total_and_rate,
     "avg_monthly": q_avg_monthly,
+    "avg_monthly_merged": q_avg_monthly_merged,
     "avg_monthly_calendar": q_avg_monthly_calendar,
     "share_by_demo": q_share_by_demo,
     "rate_by_demo": q_rate_by_demo,

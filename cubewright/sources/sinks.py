@@ -18,15 +18,51 @@ from ..operators import rank as RK
 from ..operators import spatial as SP
 
 
+#: Columns that reports select places and quarters by; tables are sorted by
+#: them within a file, and the places have Bloom filters.
+SKIP_BY, BLOOM = ("districtoccur", "psa", "quarter"), ("districtoccur", "psa")
+
+
 def write_tables(tables: Mapping[str, DataFrame], path: str, partition_by: str | None = "year") -> None:
-    """Replace each table under ``path/<name>``."""
+    """Replace each table under ``path/<name>`` (S9), laid out so that a report
+    on a place or a quarter skips most row groups: rows are sorted by place and
+    quarter within each file, so row groups hold narrow ranges (P1, P3)."""
     for name, df in tables.items():
+        by = [partition_by] if partition_by and partition_by in df.columns else []
+        skip = [c for c in SKIP_BY if c in df.columns]
+        if skip:
+            df = df.sortWithinPartitions(*by, *skip)
         w = df.write.mode("overwrite")
-        if partition_by and partition_by in df.columns:
-            w = w.partitionBy(partition_by)
+        for c in BLOOM:
+            if c in skip:
+                w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        if by:
+            w = w.partitionBy(*by)
         w.parquet(f"{path}/{name}")
 
 
+def row_groups(spark, path: str, name: str) -> DataFrame:
+    """(file, row_group, rows, column, least, most) of a written table's place
+    and quarter columns, from the files' footers: how much a location leaves to
+    read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def footers(batches):
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
+                rows = [(file, g, meta.row_group(g).num_rows, c.path_in_schema, c.statistics.min, c.statistics.max)
+                        for g in range(meta.num_row_groups) for c in (meta.row_group(g).column(i) for i in range(meta.num_columns))
+                        if c.path_in_schema in SKIP_BY and c.statistics is not None and c.statistics.has_min_max]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)],
+                                                     names=["file", "row_group", "rows", "column", "least", "most"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{published(spark, path)}/{name}")
+    return files.select("path", "content").mapInArrow(footers, "file string, row_group int, rows long, column string, least string, most string")
+
+
 def published(spark, path: str) -> str:
     """The folder of the newest published build under ``path``; ``path``
     itself where tables were written to it directly."""

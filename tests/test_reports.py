@@ -226,3 +226,33 @@ def test_baseline_default_member(spark):
                     ("12", "1", "2020-Q1", "Black", "Female", "25-34", 5, 0, 0, 0, 0, 0, 1)])
     got = {r["member"]: r["status"] for r in RP.r_baseline(c, "gender").collect()}
     assert got == {"Female": "Baseline", "Male": "ratio"}
+
+
+def test_tables_let_a_location_skip_row_groups(spark, tmp):
+    """Row groups of a written table hold narrow ranges of places: a location
+    leaves few of them; the rows are the same."""
+    from cubewright.sources import sinks as SK
+    df = spark.sql("""select lpad(cast(pmod(id * 37, 25) as string), 2, '0') as districtoccur, cast(pmod(id, 4) as string) as psa,
+                      concat('202', pmod(id, 2), '-Q', 1 + pmod(id, 4)) as quarter, int(2020 + pmod(id, 2)) as year, id as n_stopped from range(40000)""").repartition(4)
+    spark.conf.set("parquet.block.size", "8192")
+    spark.conf.set("parquet.page.size", "1024")
+    try:
+        SK.write_tables({"t": df}, tmp)
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.conf.unset("parquet.page.size")
+    assert sorted(map(tuple, SK.read_table(spark, tmp, "t").select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    g = SK.row_groups(spark, tmp, "t").where("column = 'districtoccur'")
+    n, left = g.count(), g.where("least <= '07' and most >= '07'").count()
+    assert n >= 24 and left <= 0.4 * n
+
+
+def test_quarter_sets_merge(spark):
+    """Averages over merged sets equal those over the rows, whichever parts hold
+    a quarter."""
+    from cubewright.operators import metrics as ME
+    rows = [(d, f"{2014 + i % 11}-Q{1 + i * 7 % 4}", i) for i in range(300) for d in ("01", "02")[: 1 + i % 2]]
+    df = spark.createDataFrame(rows, "d string, quarter string, n long")
+    parts = [ME.quarter_sets(df.where(F.col("n") % 5 == i), ["d"], ["n"]) for i in range(5)]
+    got = {r["d"]: r["value"] for r in ME.avg_monthly_of_sets(ME.merge_quarter_sets(parts, ["d"], ["n"]), "n").collect()}
+    assert got == {d: ME.avg_monthly(df.where(F.col("d") == d), "n").first()["value"] for d in ("01", "02")}
