@@ -40,15 +40,23 @@ SAMPLE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
 def build_all(persons: DataFrame, order_cols: Sequence[str], most_recent_quarter: str,
               persons_on_hin: DataFrame | None = None, shootings: DataFrame | None = None,
               psa_edges: DataFrame | None = None, stop_key=CO.DEFAULT_STOP_KEY,
-              cluster_keys: Sequence[str] = (), key_determined: bool = False) -> dict[str, DataFrame]:
+              cluster_keys: Sequence[str] = (), key_determined: bool = False,
+              coded: bool = False) -> dict[str, DataFrame]:
     """All cubes as lazy DataFrames.
 
+    ``coded`` aggregates stops by codes, where the persons are a stored table
+    with a scan's ordinal and their values are few; the README has figures.
+
     ``psa_edges`` (polygon edges of the PSA map) turns on the district merge
     and PSA re-derivation for all three inputs, as in the reproduced build.
     """
     p = remap_districts(persons, psa_edges) if psa_edges is not None else persons
-    stops = CO.classify_stops(CO.collapse_stops(p, order_cols, stop_key, cluster_keys=cluster_keys,
-                                                key_determined=key_determined))
+    codes = CO.find_codes(p) if coded else None
+    if codes is not None:
+        stops = CO.coded_stops(p, codes, stop_key, *order_cols)
+    else:
+        stops = CO.classify_stops(CO.collapse_stops(p, order_cols, stop_key, cluster_keys=cluster_keys,
+                                                    key_determined=key_determined))
     reason = CU.stop_cube_reason(stops, most_recent_quarter)
     out = {"stop_cube_reason": reason, "stop_cube": CU.stop_cube(reason)}
     if persons_on_hin is not None:

@@ -76,6 +76,17 @@ def q_scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
 
 
+def q_stop_cube_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly person CSVs -> typed scan -> stored table -> stops by codes, each
+    value classified once -> reason cube (A1, J2, C2)."""
+    root = scratch_dir(spark, "csv")
+    path, schema = _persons_text(spark, sf_dir, root)
+    _scan(spark, _routed_files(spark, path), schema).write.parquet(f"{root}/persons")
+    persons = spark.read.parquet(f"{root}/persons")
+    stops = CO.coded_stops(persons, CO.find_codes(persons), STOP_KEY)
+    return CU.stop_cube_reason(stops, C.ANALOG["most_recent_quarter"]).select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
+
+
 def q_row_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver of each stop = first person in file order."""
     root = scratch_dir(spark, "csv")
@@ -231,6 +242,7 @@ QUERIES = {
     "wkb_points": q_wkb_points,
     "unknown_geometry": q_unknown_geometry,
     "scan_typed": q_scan_typed,
+    "stop_cube_coded": q_stop_cube_coded,
     "row_ordinal": q_row_ordinal,
     "scan_override": q_scan_override,
     "scan_archive": q_scan_archive,

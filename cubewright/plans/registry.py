@@ -32,6 +32,7 @@ def all_oracles() -> dict:
     csv_nulls = oracles_etl.csv_variant
     out.update({
         "scan_typed": csv_nulls(e["stop_cube_reason"]),
+        "stop_cube_coded": csv_nulls(e["stop_cube_reason"]),
         "scan_archive": csv_nulls(e["stop_cube_reason"]),
         "row_ordinal": csv_nulls(e["stop_driver"]),
         "incremental_fold": csv_nulls(e["stop_cube_reason"]),

@@ -1,6 +1,8 @@
 """Person -> stop collapse and cube traps (FIXTURES.md §2)."""
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cubewright.operators import collapse as CO
@@ -125,3 +127,37 @@ def test_seed_total_gate(spark):
     CU_check(c, "n_stopped", 2)
     with pytest.raises(ValueError):
         CU_check(c, "n_stopped", 3, where=F.col("year") < 2024)
+
+
+def test_stops_by_codes_equal_the_string_aggregate(spark, tmp, monkeypatch):
+    """Rows, types and order of columns; nulls, empty strings, ties of place
+    across files, codes that differ in a suffix; a hash aggregate; a value
+    without a code fails; too many values are not coded."""
+    import random
+    from cubewright.operators import collapse as CO
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        f = i % 3
+        rows.append((f"file:/a/{f}.csv", (i // 300) * 4096, ((5 - i // 300) << 33) + i % 300 if f else i, f"2021-0{1 + i % 3}-01 1{i % 10}:00:00", rng.choice(["A", "B", "C", None]),
+                     rng.choice(["vehicle", "vehicle", "pedestrian", None]), rng.choice(["09", "9", "10", None, ""]), rng.choice(["1", "2", None]),
+                     rng.choice(["Asian", "White - Latino", "Odd", None]), rng.choice(["Male", "Female", None]), rng.choice([17.0, 25.0, 61.5, None]),
+                     rng.choice([0.0, 1.0, None]), rng.choice(["3111", "3111-(a)", "1332-a-i", "1332-A-I", "9999", "", None])))
+    cols = "file string, start long, row long, datetimeoccur string, location string, stoptype string, districtoccur string, psa string, race string, gender string, age double, individual_searched double, mvc_code string"
+    raw = spark.createDataFrame(rows, cols).withColumn("datetimeoccur", F.to_timestamp("datetimeoccur"))
+    raw.select(F.struct("file", "start", "row").alias("_ordinal"), F.col("file").alias("_file"), *[c for c in raw.columns if c not in ("file", "start", "row")]).write.parquet(f"{tmp}/p")
+    p = spark.read.parquet(f"{tmp}/p")
+    key = ("_file", "datetimeoccur", "location")
+    want = CO.classify_stops(CO.collapse_stops(p, ["_ordinal"], key))
+    codes = CO.find_codes(p)
+    got = CO.coded_stops(p, codes, key)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    members = p.withColumn("_ordinal", F.struct(F.col("_ordinal.file").alias("file"), (F.col("_ordinal.start") * 1000 + F.col("_ordinal.row")).alias("row")))
+    assert sorted(map(str, CO.coded_stops(members, codes, key).collect())) == sorted(map(str, CO.classify_stops(CO.collapse_stops(members, ["_ordinal"], key)).collect()))
+    with pytest.raises(Exception, match="no code"):
+        CO.coded_stops(p.withColumn("psa", F.lit("unheard of")), codes, key).collect()
+    monkeypatch.setattr(CO, "MAX_CODES", 3)
+    assert CO.find_codes(p) is None
