@@ -402,3 +402,54 @@ def test_pipeline_rejects_unlearned_text(spark, folder):
     assert [t for i, t in enumerate(bad) if 10000 + i in kept] == []
     assert [t for i, t in enumerate(good) if 10000 + len(bad) + i not in kept] == []
     assert langid.letter_share(" a1é\t\u3000-") == 0.5 and langid.letter_share(" ") == 0
+
+
+def test_mixing_rates_solve_the_dual(spark, rows, folder):
+    """Every source's rates are min(2, exp(lam * size / mean)) that meet its
+    target; lam by bisection, a source at a time."""
+    got = mixing.mix(documents(spark, folder)).collect()
+    by_source, want = {}, targets({s: sum(len(words(r["text"])) for r in rows if r["source"] == s) for s in {r["source"] for r in rows}})
+    for r in got:
+        by_source.setdefault(r["source"], []).append(r)
+    assert set(by_source) == set(want)
+    for s, docs in by_source.items():
+        size = np.array([r["size"] for r in docs], dtype=float)
+        rate = np.array([r["rate"] for r in docs])
+        if not size.sum():
+            assert (rate == 1).all()
+            continue
+        mean = (size ** 2).sum() / size.sum()
+        lo, hi = -2000.0, 2000.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            here = np.minimum(2, np.exp(np.minimum(lam * size / mean, 50)))
+            lo, hi = (lam, hi) if (here * size).sum() < want[s] else (lo, lam)
+        assert np.abs(rate - np.where(size > 0, here, 1))[size > 0].max() < 1e-5
+
+
+def test_langid_by_hand(spark, rows, folder):
+    """Profiles, distances, ties and scores by plain loops."""
+    def top(count):
+        return sorted(count, key=lambda g: (-count[g], g))[:langid.PROFILE]
+
+    def count(text):
+        c = [0, *[ord(x) if x.isalpha() else 0 for x in (text or "").lower()], 0]
+        return Counter([x for x in c if x] + [(a << 21 | b) - 2 ** 63 for a, b in zip(c, c[1:]) if a or b]
+                       + [a << 42 | b << 21 | d for a, b, d in zip(c, c[1:], c[2:]) if b])
+
+    learn = {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learn.setdefault(r["lang"], Counter()).update(count(r["text"]))
+    profile = {x: {g: i for i, g in enumerate(top(c))} for x, c in learn.items()}
+    docs = documents(spark, folder)
+    want = Counter()
+    for r in rows:
+        mine = top(count(r["text"]))
+        if not mine:
+            want[r["doc_id"], "und", 0.0] += 1
+            continue
+        d = sorted((sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(mine)) / (langid.PROFILE * len(mine)), x) for x, p in profile.items())
+        want[r["doc_id"], d[0][1], round(1 - d[0][0] / d[1][0], 9)] += 1
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs, langid.profiles(docs)).collect())
+    assert got == want
