@@ -74,10 +74,20 @@ def main():
     csv_reason = CU.stop_cube_reason(
         CO.classify_stops(CO.collapse_stops(csv_persons, ["_ordinal"], ("_file", "datetimeoccur", "location"))),
         C.ANALOG["most_recent_quarter"])
+    csv_persons.write.parquet(f"{out}/csv_persons")
+    # persons as the build stages them
+    persons.write.parquet(f"{out}/persons")
+    stored = spark.read.parquet(f"{out}/persons")
+    from cubewright.operators.remap import remap_districts
     jobs = {
         "build: persons -> stops -> reason cube": reason,
         "build (real layout): person CSVs -> stops -> reason cube": csv_reason,
-        "build: hin cube": CU.hin_cube(persons, C.ANALOG["most_recent_quarter"]),
+        "build: hin cube (derived flags)": CU.hin_cube(A.persons_on_network(spark, sf), C.ANALOG["most_recent_quarter"]),
+        "stored persons: derived flags -> hin cube": CU.hin_cube(SP.network_flags(
+            stored, A.segments(spark), A.SEGMENT_DISTANCE, A.NETWORK_MAX_Y), C.ANALOG["most_recent_quarter"]),
+        "stored persons: district remap": remap_districts(stored, edges).groupBy("districtoccur", "psa").count(),
+        "stored persons: stops by codes": CO.coded_stops(
+            spark.read.parquet(f"{out}/csv_persons"), CO.find_codes(spark.read.parquet(f"{out}/csv_persons")), ("_file", "datetimeoccur", "location")),
         "report r_reason_by_race (written cube)": RP.r_reason_by_race(ctx, C.ANALOG["report_year"]),
         "report r_snapshot (written cube)": RP.r_snapshot(ctx, 4, C.ANALOG["before"], C.ANALOG["after"]),
         "report r_surge_map (written cubes)": RP.r_window_map(ctx, ms, me, "n_shootings", "n_stopped"),
