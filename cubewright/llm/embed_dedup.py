@@ -9,7 +9,8 @@ in a large table as in a small one.  Vectors that meet in a bucket are compared
 matrix product in double precision, and linked from ``cosine`` on.
 
 Equal vectors are hashed once and counted as often as they occur.  Buckets of
-one vector go no further.  A bucket of more than ``BLOCK`` vectors is split
+one vector go no further.  What moves is the vector as it is given (floats as
+floats) and its codes in as few bytes as hold them.  A bucket of more than ``BLOCK`` vectors is split
 into blocks, each pair of blocks being a group of its own, so no pair is left
 out and no task holds a bucket.  A pair that meets in many buckets is counted
 in the first; groups return counts and a spanning star, never all pairs.
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, n_parts, roots, stage, whole_groups
 
@@ -90,6 +92,12 @@ def codes(x: np.ndarray, tables: int, k: int, probes: int, seed: int = 11) -> np
     return out
 
 
+def code_kind(d: int, k: int) -> type:
+    """The least type that holds the codes of k hashes of d dimensions."""
+    size = 1 << max(0, (d - 1).bit_length())
+    return np.int32 if (size + 1) * (2 * size) ** k < 1 << 31 else np.int64
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least code that rows of both have, or the greatest integer."""
     none = np.iinfo(np.int64).max
@@ -136,6 +144,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         k = hashes(at[0], at[1] or 2)
     reach = REACH[min(k, max(REACH))]
     tables, probes = reach[0] if tables is None else tables, reach[1] if probes is None else probes
+    held = np.float32 if vectors.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
 
     def hashed(batches):
         for b in batches:
@@ -145,12 +154,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             for d in np.unique(sizes):
                 take = np.flatnonzero(sizes == d)
                 begin = np.cumsum(sizes) - sizes
-                x = unit(flat[(begin[take][:, None] + np.arange(d)).ravel()].reshape(len(take), d))
-                c = codes(x, tables, k, probes)
+                x = flat[(begin[take][:, None] + np.arange(d)).ravel()].reshape(len(take), d)
+                c = codes(unit(x), tables, k, probes)
                 t = pa.array(take)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(t), b.column(2).take(t), pa.array([r.tobytes() for r in x], pa.binary()),
-                     pa.array([r.tobytes() for r in c], pa.binary()),
+                    [b.column(0).take(t), b.column(2).take(t), pa.array([r.tobytes() for r in x.astype(held)], pa.binary()),
+                     pa.array([r.tobytes() for r in c.astype(code_kind(int(d), k))], pa.binary()),
                      pa.array(list(c.reshape(len(take), -1)), pa.list_(pa.int64()))],
                     names=["id", "m", "x", "all", "codes"])
 
@@ -180,8 +189,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 sizes = [len(r) for r in raw[0][lo:hi]]
                 if min(sizes) != max(sizes):
                     continue  # codes hold the length: never met
-                x = np.frombuffer(b"".join(raw[0][lo:hi])).reshape(hi - lo, -1)
-                every = np.frombuffer(b"".join(raw[1][lo:hi]), np.int64).reshape(hi - lo, tables, -1)
+                x = np.frombuffer(b"".join(raw[0][lo:hi]), held).reshape(hi - lo, -1).astype(np.float64)
+                every = np.frombuffer(b"".join(raw[1][lo:hi]), code_kind(x.shape[1], k)).reshape(hi - lo, tables, -1).astype(np.int64)
+                x = unit(x)
                 pairs = linked(x, every, block[lo:hi], int(t[lo]), int(code[lo]), cosine)
                 if not len(pairs):
                     continue
