@@ -3,14 +3,22 @@
 A document's score is a weighted sum of features of its text alone.  Of two
 documents of which one is labelled good and the other bad, the good one wins
 with probability ``1 / (1 + exp(-(s_good - s_bad)))``: logistic loss on the
-difference of their features, fitted by Newton steps over preference pairs.
+difference of their features, fitted by Newton steps over all pairs of a good
+and a bad learning document.
 
 The cut is the quantile of the learning documents' scores at the share of bad
 labels, and the model's scores are laid so that a document at the cut has
 ``CUT``; from there on it is predicted good.
 
-The model is fitted on at most ``TRAIN_DOCS`` labelled rows of either label,
-chosen by a hash of the id, and ``PAIRS`` pairs; that is all the driver holds.
+No learning document and no pair is left out, yet pairs are never listed.  What
+a document adds up over all documents of the other label is a smooth function
+of its score alone.  Scores are laid in cells of ``CELL``, and in a cell such a
+function is its interpolant in ``NODES`` Chebyshev points (to some 1e-13, as
+near as the sums of doubles), so a step needs two passes over the documents:
+features summed by point, then the curvature.  Numbers of features are staged,
+in buckets of a fixed order; every bucket is summed in one task and buckets in
+their order, so reruns agree.  The driver holds sums by point.
+
 Every document is scored, whole, in its own task.
 
 Nulls and ties: a null text is empty, an empty text has the features zero and a
@@ -20,6 +28,7 @@ document has the score 0.5.  Further columns are ignored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_prefix, small_batches, span_hashes, stage, string_slices, words_of
+from .common import gram_prefix, n_parts, small_batches, span_hashes, stage, string_slices, whole_groups, words_of
 
-TRAIN_DOCS, PAIRS, CUT = 10_000, 200_000, 0.3
+PAIRS, CUT = 200_000, 0.3
 RIDGE, STEPS, WIDEST = 1e-3, 30, 4.0
+#: Learning documents of a bucket (about), and width and points of a cell.
+BUCKET_ROWS, CELL, NODES = 10_000, 2.0, 16
+#: Bins of a pass of the quantile, and the most scores that end its passes.
+BINS, FEW = 1024, 20_000
+
+_AT = np.cos((np.arange(NODES) + 0.5) * np.pi / NODES)
+_TO_NODES = np.polynomial.chebyshev.chebvander(_AT, NODES - 1).T * np.where(np.arange(NODES) == 0, 1, 2)[:, None] / NODES
+_POINTS = (_AT + 1) * CELL / 2
 
 _B = np.arange(256)
 _UPPER, _LOWER = (_B >= 65) & (_B <= 90), (_B >= 97) & (_B <= 122)
@@ -130,65 +147,222 @@ def preference_pairs(good: int, bad: int, pairs: int, seed: int = 7) -> tuple[np
     return draw(good), draw(bad)
 
 
+def _descend(size: int, moments: Callable) -> np.ndarray:
+    """Newton steps; ``moments(w)`` gives the mean gradient and curvature of
+    the pairs' loss."""
+    w = np.zeros(size)
+    for _ in range(STEPS):
+        grad, hess = moments(w)
+        step = np.linalg.solve(hess + RIDGE * np.eye(size), grad + RIDGE * w)
+        w = w - step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _blank(mean: np.ndarray, spread: np.ndarray) -> Model:
+    return Model(mean, np.where(spread > 0, spread, 1), np.zeros(3 * len(mean)), 0.0, 1.0)
+
+
 def fit(x: np.ndarray, y: np.ndarray, bad_share: float, pairs: int = PAIRS) -> Model:
-    """Weights by Newton steps on the pairs' logistic loss; the cut by the
-    quantile of the scores, labels weighed as in the whole table."""
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    blank = Model(mean, np.where(spread > 0, spread, 1), np.zeros(3 * x.shape[1]), 0.0, 1.0)
+    """The model of rows that one process holds, over drawn pairs: weights by
+    Newton steps on the pairs' logistic loss; the cut by the quantile of the
+    scores, labels weighed as in the whole table.  ``train`` fits tables."""
+    blank = _blank(x.mean(axis=0), x.std(axis=0))
     phi = blank.expand(x)
     win, lose = preference_pairs(int((y == 1).sum()), int((y == 0).sum()), pairs)
     d = phi[y == 1][win] - phi[y == 0][lose]
-    w = np.zeros(d.shape[1])
-    for _ in range(STEPS):
+
+    def moments(w):
         p = 1 / (1 + np.exp(np.clip(d @ w, -36, 36)))
-        grad = RIDGE * w - (d * p[:, None]).mean(axis=0)
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-8:
-            break
+        return -(d * p[:, None]).mean(axis=0), (d * (p * (1 - p))[:, None]).T @ d / len(d)
+
+    w = _descend(d.shape[1], moments)
     s = phi @ w
     share = np.where(y == 0, bad_share / max(1, (y == 0).sum()), (1 - bad_share) / max(1, (y == 1).sum()))
     order = np.argsort(s, kind="stable")
     at = int(np.searchsorted(np.cumsum(share[order]), bad_share - 1e-12, "left"))
     cut = float(s[order][at:at + 2].mean())
-    return Model(mean, blank.spread, w, cut, max(1e-9, float(s.std()) / 2))
+    return Model(blank.mean, blank.spread, w, cut, max(1e-9, float(s.std()) / 2))
+
+
+# ---------------------------------------------------------------------------
+# the fit of a table
+# ---------------------------------------------------------------------------
+
+def _totals(rows: DataFrame, part: Callable[[int, np.ndarray, np.ndarray], Iterable[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """{key: sum of vectors} of the (key, vector) that ``part(bucket, labels,
+    features)`` gives for every bucket, buckets summed in their order."""
+    def run(batches):
+        for b, at in whole_groups(batches, ["bucket"], 1):
+            y, x = b["y"].to_numpy(), b["x"].flatten().to_numpy().reshape(len(b), -1)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                bucket = b["bucket"][int(lo)].as_py()
+                out = list(part(bucket, y[lo:hi], x[lo:hi]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int64()),
+                                                      pa.array([np.asarray(v, np.float64) for _, v in out], pa.list_(pa.float64()))], names=["key", "bucket", "v"])
+
+    def add(t):
+        v = sorted(zip(t["bucket"].to_pylist(), t["v"].to_pylist(), strict=True))
+        total = np.zeros(len(v[0][1]))
+        for _, more in v:
+            total += more
+        return pa.table({"key": t["key"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+    got = rows.mapInArrow(run, "key long, bucket long, v array<double>").groupBy("key").applyInArrow(add, "key long, v array<double>")
+    return {r["key"]: np.array(r["v"]) for r in got.collect()}
+
+
+def _near(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of every score, and the points' parts in it."""
+    cell = np.floor(s / CELL).astype(np.int64)
+    return cell, np.polynomial.chebyshev.chebvander((s - cell * CELL) * 2 / CELL - 1, NODES - 1) @ _TO_NODES
+
+
+def _cells(cell: np.ndarray, y: np.ndarray) -> Iterable[tuple[int, np.ndarray]]:
+    """(cell and label in one number, its rows)."""
+    key = cell * 2 + y
+    for k in np.unique(key):
+        yield int(k), np.flatnonzero(key == k)
+
+
+def _all_pairs(rows: DataFrame, blank: Model) -> Callable:
+    """Mean gradient and curvature of the loss over every pair."""
+    d = len(blank.weight)
+
+    def moments(w):
+        def by_point(_, y, x):
+            phi = blank.expand(x)
+            cell, near = _near(phi @ w)
+            for k, at in _cells(cell, y):
+                yield k, (near[at].T @ np.concatenate([np.ones((len(at), 1)), phi[at]], axis=1)).ravel()
+
+        sums = _totals(rows, by_point)
+        keys = [sorted(k for k in sums if k % 2 == label) for label in (0, 1)]
+        (t_bad, m_bad), (t_good, m_good) = [(np.concatenate([(k // 2) * CELL + _POINTS for k in ks]), np.concatenate([sums[k].reshape(NODES, d + 1) for k in ks])) for ks in keys]
+        p = 1 / (1 + np.exp(np.clip(t_good[:, None] - t_bad, -700, 700)))
+        curve = p * (1 - p)
+        grad = (p @ m_bad[:, 0]) @ m_good[:, 1:] - (p.T @ m_good[:, 0]) @ m_bad[:, 1:]
+        cross = m_good[:, 1:].T @ curve @ m_bad[:, 1:]
+        bend = {k: v for ks, all_v in zip(keys, (curve.T @ m_good[:, 0], curve @ m_bad[:, 0]), strict=True) for k, v in zip(ks, all_v.reshape(-1, NODES), strict=True)}
+
+        def curvature(bucket, y, x):
+            phi = blank.expand(x)
+            cell, near = _near(phi @ w)
+            own = np.zeros(len(y))
+            for k, at in _cells(cell, y):
+                own[at] = near[at] @ bend[k]
+            # sums of so many buckets meet in a task
+            yield bucket % 32, ((phi * own[:, None]).T @ phi).ravel()
+
+        square = _totals(rows, curvature)
+        pairs = m_good[:, 0].sum() * m_bad[:, 0].sum()
+        return -grad / pairs, (sum(square[k] for k in sorted(square)).reshape(d, d) - cross - cross.T) / pairs
+
+    return moments
+
+
+def _quantile(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray], lo: float, hi: float, weight: np.ndarray, share: float) -> float:
+    """Mean of the first score up to which rows of ``weight`` by label hold
+    ``share``, and the one after it.  Passes narrow its place by counts."""
+    below = np.zeros(2)
+    while True:
+        width = (hi - lo) / BINS
+        edges = lo + width * np.arange(1, BINS)  # bin i: edges[i - 1] <= score < edges[i]
+
+        def count(_, y, x, lo=lo, hi=hi, edges=edges):
+            s = score(x)
+            here = (s >= lo) & (s <= hi)
+            n = np.zeros((BINS, 2))
+            np.add.at(n, (np.searchsorted(edges, s[here], "right"), y[here]), 1)
+            if here.any():
+                yield 0, n.ravel()
+
+        n = _totals(rows, count)[0].reshape(BINS, 2)
+        full = (below + np.cumsum(n, axis=0)) @ weight >= share - 1e-12
+        at = int(np.argmax(full)) if full.any() else int(np.flatnonzero(n.sum(axis=1))[-1])
+        a, b = (lo if at == 0 else edges[at - 1]), (hi if at == BINS - 1 else np.nextafter(edges[at], -np.inf))
+        below = below + n[:at].sum(axis=0)
+        if n[at].sum() <= FEW or (a, b) == (lo, hi) or a >= b:
+            break
+        lo, hi = float(a), float(b)
+
+    def different(bucket, y, x):
+        s = score(x)
+        here = (s >= a) & (s <= b)
+        v, i = np.unique(s[here], return_inverse=True)
+        n = np.zeros((len(v), 2))
+        np.add.at(n, (i, y[here]), 1)
+        above = s[s > b]
+        yield bucket, np.concatenate([[above.min() if len(above) else np.inf], np.column_stack([v, n]).ravel()])
+
+    got = _totals(rows, different)
+    inside = np.concatenate([v[1:].reshape(-1, 3) for v in got.values()])
+    inside = inside[np.argsort(inside[:, 0], kind="stable")]
+    full = (below + np.cumsum(inside[:, 1:], axis=0)) @ weight >= share - 1e-12
+    at = int(np.argmax(full)) if full.any() else len(inside) - 1
+    first = inside[at, 0]
+    # rows of equal scores stand one after the other
+    but_last = (below + inside[:at + 1, 1:].sum(axis=0)) @ weight - weight[inside[at, 1:] > 0].max()
+    if but_last >= share - 1e-12:
+        return float(first)
+    after = inside[at + 1, 0] if at + 1 < len(inside) else min(v[0] for v in got.values())
+    return float((first + after) / 2) if np.isfinite(after) else float(first)
 
 
 def held_out(key: str | Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-          train_docs: int = TRAIN_DOCS, pairs: int = PAIRS) -> Model | None:
-    """The model of the labelled documents that are not held out; None without
-    both labels."""
+def learning_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, dict[int, int]]:
+    """(bucket, y, x) of every labelled document that is not held out, staged,
+    and the number of labels of either kind."""
     small_batches(docs.sparkSession, 500)
     told = stage(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_k"))
                  .agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").select("_k", F.col("_y").cast("int").alias("_y")), "quality-labels")
     n = {r[0]: r[1] for r in told.groupBy("_y").count().collect()}
-    if len(n) < 2:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "_k"), F.lit(1 << 20))
-    chosen = told.where(F.when(F.col("_y") == 0, draw < int((1 << 20) * min(1.0, train_docs / n[0]))).otherwise(draw < int((1 << 20) * min(1.0, train_docs / n[1]))))
 
     def measure(batches):
         for b in batches:
             for at, data, off in string_slices(b.column(1)):
                 f = features(data, off)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(f)), pa.array(list(f), pa.list_(pa.float64()))], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(f)), pa.array(list(f), pa.list_(pa.float64()))], names=["_k", "x"])
+
+    # texts are measured where they lie, only numbers are joined
+    mine = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    buckets = max(1, -(-sum(n.values()) // BUCKET_ROWS))
+    rows = (mine.mapInArrow(measure, f"_k {mine.schema['_k'].dataType.simpleString()}, x array<double>").join(told, "_k")
+            .select(F.pmod(F.xxhash64("_k"), F.lit(buckets)).alias("bucket"), F.col("_y").alias("y"), "x")
+            .repartition(min(buckets, n_parts(docs.sparkSession)), "bucket").sortWithinPartitions("bucket", "y", "x"))
+    return stage(rows, "quality-rows"), n
 
-    # at most about twice train_docs rows of some 25 numbers
-    rows = (docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_k")
-            .select("_y", "_text").mapInArrow(measure, "y int, x array<double>").toArrow())
-    if not rows.num_rows:
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
+    """The model of all labelled documents that are not held out; None without
+    both labels."""
+    rows, n = learning_rows(docs, labels, key, text, label)
+    if len(n) < 2:
         return None
-    y, x = rows["y"].to_numpy(), np.array(rows["x"].to_pylist())
-    order = np.lexsort((*x.T, y))  # the same fit in whichever order rows come
-    x, y = x[order], y[order]
-    if len(np.unique(y)) < 2:
+    sums = _totals(rows, lambda _, y, x: [(0, np.concatenate([[len(y), y.sum()], x.sum(axis=0)]))])
+    if not sums or not 0 < sums[0][1] < sums[0][0]:
         return None
-    return fit(x, y, n[0] / (n[0] + n[1]), pairs)
+    (size, good), mean = sums[0][:2], sums[0][2:] / sums[0][0]
+    spread = np.sqrt(_totals(rows, lambda _, y, x: [(0, ((x - mean) ** 2).sum(axis=0))])[0] / size)
+    blank = _blank(mean, spread)
+    w = _descend(len(blank.weight), _all_pairs(rows, blank))
+    score = lambda x: blank.expand(x) @ w
+
+    def reach(bucket, _, x):
+        s = score(x)
+        yield bucket, np.array([s.min(), s.max(), s.sum()])
+
+    span = np.array([v for _, v in sorted(_totals(rows, reach).items())])
+    lo, hi, middle = span[:, 0].min(), span[:, 1].max(), span[:, 2].sum() / size
+    deviation = np.sqrt(_totals(rows, lambda _, y, x: [(0, [((score(x) - middle) ** 2).sum()])])[0][0] / size)
+    bad_share = n[0] / (n[0] + n[1])
+    cut = _quantile(rows, score, float(lo), float(hi), np.array([bad_share / (size - good), (1 - bad_share) / good]), bad_share)
+    return Model(mean, blank.spread, w, cut, max(1e-9, float(deviation) / 2))
 
 
 def classify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

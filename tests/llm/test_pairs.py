@@ -105,6 +105,48 @@ def test_the_cut_is_the_quantile():
     assert abs(0.25 * below[:300].mean() + 0.75 * below[300:].mean() - 0.25) < 0.01
 
 
+def test_the_model_is_of_every_pair_and_its_cut_of_every_row(spark, tmp_path, monkeypatch):
+    """The fit of a table is the minimum of the loss over all pairs of its
+    learning documents, in whatever buckets, and the cut their quantile."""
+    docs, labels = quality_rows()
+    folder = pairs_folder(tmp_path, docs, labels)
+    d, told = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    monkeypatch.setattr(pair_quality, "BUCKET_ROWS", 60)
+    monkeypatch.setattr(pair_quality, "FEW", 5)
+    monkeypatch.setattr(pair_quality, "BINS", 16)
+    m = pair_quality.train(d, told)
+    kinds = defaultdict(set)
+    for i, q in labels:
+        kinds[i] |= {q} - {None}
+    kinds = {i: q.pop() for i, q in kinds.items() if i is not None and len(q) == 1 and zlib.crc32(str(i).encode()) % 5}
+    mine = [((t or "").encode(), kinds[i]) for i, t in docs if i in kinds]
+    off = np.concatenate([[0], np.cumsum([len(t) for t, _ in mine])])
+    x, y = pair_quality.features(np.frombuffer(b"".join(t for t, _ in mine), np.uint8), off), np.array([q for _, q in mine])
+    assert np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.spread, np.where(x.std(axis=0) > 0, x.std(axis=0), 1))
+    phi = m.expand(x)
+    every = (phi[y == 1][:, None] - phi[y == 0][None]).reshape(-1, phi.shape[1])
+    p = 1 / (1 + np.exp(every @ m.weight))
+    assert np.abs(pair_quality.RIDGE * m.weight - (every * p[:, None]).mean(axis=0)).max() < 1e-9
+    s = np.sort(phi @ m.weight)
+    told_bad = sum(q == 0 for q in kinds.values())
+    share = np.where(y[np.argsort(phi @ m.weight)] == 0, told_bad / len(kinds) / (y == 0).sum(), (1 - told_bad / len(kinds)) / (y == 1).sum())
+    at = int(np.searchsorted(np.cumsum(share), told_bad / len(kinds) - 1e-12))
+    assert abs(m.cut - s[at:at + 2].mean()) < 1e-9 and abs(m.scale - s.std() / 2) < 1e-9
+
+
+def test_the_quantile_of_many_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(pair_quality, "FEW", 3)
+    monkeypatch.setattr(pair_quality, "BINS", 16)
+    rng = np.random.default_rng(5)
+    for values in ([2.0] * 40, [1.0] * 10 + [2.0] * 30, list(rng.integers(0, 6, 200).astype(float)), list(rng.normal(size=300))):
+        y = rng.permutation(np.arange(len(values)) % 4 > 0).astype(int)
+        rows = spark.createDataFrame([(i % 3, int(q), [float(v)]) for i, (v, q) in enumerate(zip(values, y))], "bucket long, y int, x array<double>").repartition(2, "bucket").sortWithinPartitions("bucket")
+        s = np.sort(values)
+        at = int((y == 0).sum()) - 1
+        got = pair_quality._quantile(rows, lambda x: x[:, 0], float(s[0]), float(s[-1]), np.full(2, 1 / len(y)), (y == 0).mean())
+        assert got == s[at:at + 2].mean()
+
+
 def test_features_of_rows_do_not_depend_on_their_neighbours():
     texts = [b"One two two. Three!\nOne two two. Three!\n", b"", b"\n\n", "é ü *** $$ 12".encode(), b"a" * 100]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
