@@ -34,6 +34,8 @@ from ..session import scratch_dir
 
 BLOCK = 1 << 18
 MAX_TASKS = 4096
+#: Lines handed to a compressor at once.
+PACK_LINES = 1000
 MEMBER = T.StructType([T.StructField(n, t) for n, t in [
     ("archive", T.StringType()), ("member", T.StringType()), ("base", T.StringType()), ("first", T.LongType()), ("end", T.LongType()),
     ("method", T.IntegerType()), ("packed", T.LongType()), ("size", T.LongType()), ("crc", T.LongType())]])
@@ -239,14 +241,23 @@ class _Sink(io.RawIOBase):
 
     def __init__(self):
         self.held: list[bytes] = []
+        self.size = 0
 
     def writable(self) -> bool:
         return True
 
     def write(self, b) -> int:
-        self.held.append(bytes(b))
+        if len(b):  # a compressor mostly has nothing to hand on yet
+            self.held.append(bytes(b))
+            self.size += len(b)
         return len(b)
 
+    def take(self) -> bytes:
+        data = b"".join(self.held)
+        self.held.clear()
+        self.size = 0
+        return data
+
 
 def write_archives(lines: DataFrame, path: str, archives: int) -> list[str]:
     """Write (archive int, member, place, line) as the zip archives 0 to
@@ -261,18 +272,24 @@ def write_archives(lines: DataFrame, path: str, archives: int) -> list[str]:
             *whole, left = data.split(b"\n")
             return left, pa.RecordBatch.from_arrays([pa.array(whole, pa.binary())], names=["value"])
 
+        def runs():
+            for b in batches:
+                for at in range(0, len(b), PACK_LINES):
+                    part = b.slice(at, PACK_LINES)
+                    lines = zip(part.column("member").to_pylist(), part.column("line").to_pylist(), strict=True)
+                    for member, group in itertools.groupby(lines, key=lambda r: r[0]):
+                        yield member, "".join([f"{line}\n" for _, line in group]).encode()
+
         with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
             z.comment = b"\n"
-            flat = (r for b in batches for r in zip(b.column("member").to_pylist(), b.column("line").to_pylist(), strict=True))
-            for member, group in itertools.groupby(flat, key=lambda r: r[0]):
+            for member, group in itertools.groupby(runs(), key=lambda r: r[0]):
                 with z.open(member, "w", force_zip64=True) as out:
-                    for _, line in group:
-                        out.write(line.encode() + b"\n")
-                        if sum(map(len, sink.held)) > BLOCK:
-                            rest, done = rows(rest + b"".join(sink.held))
-                            sink.held.clear()
+                    for _, data in group:
+                        out.write(data)
+                        if sink.size > BLOCK:
+                            rest, done = rows(rest + sink.take())
                             yield done
-        rest, done = rows(rest + b"".join(sink.held))
+        rest, done = rows(rest + sink.take())
         yield done
 
     packed = (lines.select("archive", "member", "place", "line").repartitionById(archives, "archive")
