@@ -35,12 +35,12 @@ STOP_KEY = ["source_year", "datetimeoccur", "location"]
 FILE_ORDER = [*STOP_KEY, *A.PERSON_ORDER]
 
 
-def _persons_text(spark: SparkSession, sf_dir: str, root: str) -> tuple[str, object]:
+def _persons_text(spark: SparkSession, sf_dir: str, root: str, compression: str = "gzip") -> tuple[str, object]:
     p = A.persons(spark, sf_dir).drop("l_orderkey")
     # the files' columns stand in another order than the schema's: a scan binds
     # them by name
     path = FS.write_member_csvs(p, root, TABLE, "source_year", FILE_ORDER, group_cols=STOP_KEY,
-                                columns=sorted(p.columns, reverse=True))
+                                columns=sorted(p.columns, reverse=True), compression=compression)
     return path, FS.schema_of(p)
 
 
@@ -112,7 +112,7 @@ def q_scan_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.persons(spark, sf_dir).drop("l_orderkey")
     repl = p.where((F.col("source_year") == OVERRIDE_YEAR) & (F.col("stoptype") == "vehicle"))
     over_path = FS.write_member_csvs(repl, f"{root}/override", TABLE, "source_year", FILE_ORDER,
-                                     group_cols=STOP_KEY)
+                                     group_cols=STOP_KEY, compression="gzip")
 
     def members(path):
         files = spark.read.text(path).inputFiles()
@@ -193,7 +193,8 @@ def q_incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     (Structured Streaming, A4); equals the one-pass build."""
     from ..streaming import fold as SF
     root = scratch_dir(spark, "fold")
-    path, schema = _persons_text(spark, sf_dir, f"{root}/landing")
+    # a batch is few files: plain ones are split among the tasks
+    path, schema = _persons_text(spark, sf_dir, f"{root}/landing", "none")
     q = SF.start_fold(spark, f"{path}/*", f"{root}/cube", f"{root}/_checkpoint", schema,
                       C.ANALOG["most_recent_quarter"], stop_key=("source_year", "datetimeoccur", "location"),
                       files_per_batch=8, available_now=True)

@@ -330,7 +330,7 @@ def read_geojson_lines(spark: SparkSession, path: str, name_prop: str) -> DataFr
 
 def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
                       order_cols: Sequence[str], group_cols: Sequence[str] | None = None,
-                      columns: Sequence[str] | None = None) -> str:
+                      columns: Sequence[str] | None = None, compression: str = "none") -> str:
     """Write ``df`` as yearly CSV members ``<root>/<table>/member=<table>_year_<Y>/``.
 
     Rows are range-partitioned by ``group_cols`` (a prefix of ``order_cols``,
@@ -338,7 +338,8 @@ def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
     stop spans two files) and sorted by ``order_cols`` within each file, so
     the file order on disk *is* that order (part files are numbered in range
     order).  The session decides on the number of ranges.  ``columns`` is the
-    order of the columns in the files.
+    order of the columns in the files.  A file packed by ``compression`` is read
+    by one task; it holds no more than a range.
     """
     out = f"{root}/{table}"
     member = F.concat(F.lit(f"{table}_year_"), F.col(year_col).cast("string"))
@@ -349,7 +350,7 @@ def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
               .sortWithinPartitions("member", *order_cols))
     (rows.select(*(columns or df.columns), "member")
        .write.mode("overwrite").option("header", True).option("escape", '"')
-       .partitionBy("member").csv(out))
+       .option("compression", compression).partitionBy("member").csv(out))
     return out
 
 
