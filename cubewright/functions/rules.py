@@ -7,6 +7,7 @@ whole-stage codegen.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -25,30 +26,36 @@ def _q(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _clause_sql(col: str, clause: dict) -> str:
+def _literal(v: str) -> str:
+    return re.sub(r"([^0-9A-Za-z ])", r"\\\1", v)
+
+
+def _clause_pattern(clause: dict) -> str:
+    """A clause as a pattern that is tried at the beginning of a text."""
     parts = []
-    if "exact" in clause:
-        parts.append(f"{col} = {_q(clause['exact'])}")
     if "prefix" in clause:
-        parts.append(f"startswith({col}, {_q(clause['prefix'])})")
-    if "contains" in clause:
-        parts.append(f"contains({col}, {_q(clause['contains'])})")
+        parts.append(f"(?={_literal(clause['prefix'])})")
     if "not_prefix" in clause:
-        parts.append(f"NOT startswith({col}, {_q(clause['not_prefix'])})")
+        parts.append(f"(?!{_literal(clause['not_prefix'])})")
+    if "contains" in clause:
+        parts.append(f"(?=.*{_literal(clause['contains'])})")
     if "not_contains" in clause:
-        parts.append(f"NOT contains({col}, {_q(clause['not_contains'])})")
-    return "(" + " AND ".join(parts) + ")"
+        parts.append(f"(?!.*{_literal(clause['not_contains'])})")
+    if "exact" in clause:
+        parts.append(f"{_literal(clause['exact'])}\\z")
+    return "".join(parts)
 
 
 def violation_category_of(col: str, rules=C.VIOLATION_RULES) -> Column:
     """Category of a cleaned code, by column *name*: the first matching rule
-    wins, another code is 'Other', null is 'None'; one SQL ``CASE`` (one
-    expression for the planner instead of hundreds of calls)."""
-    c = f"`{col}`"
-    whens = " ".join(f"WHEN {' OR '.join(_clause_sql(c, cl) for cl in clauses)} THEN {_q(cat)}"
-                     for cat, clauses in rules)
-    return F.expr(f"CASE {whens} WHEN {c} IS NOT NULL THEN {_q(C.VIOLATION_OTHER)} "
-                  f"ELSE {_q(C.VIOLATION_NONE)} END")
+    wins, another code is 'Other', null is 'None'.  A rule is one pattern: with
+    a test per clause the generated code of a stage that classifies and
+    aggregates was too long for the JVM to compile."""
+    c = F.col(f"`{col}`")
+    found = F.when(c.isNull(), F.lit(C.VIOLATION_NONE))
+    for cat, clauses in rules:
+        found = found.when(c.rlike("(?s)\\A(?:" + "|".join(map(_clause_pattern, clauses)) + ")"), F.lit(cat))
+    return found.otherwise(F.lit(C.VIOLATION_OTHER))
 
 
 def lookup_of(col: str, mapping, default: str | None = None, keep: bool = False) -> Column:

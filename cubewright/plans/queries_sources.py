@@ -36,12 +36,14 @@ FILE_ORDER = [*STOP_KEY, *A.PERSON_ORDER]
 
 
 def _persons_text(spark: SparkSession, sf_dir: str, root: str, compression: str = "gzip") -> tuple[str, object]:
-    p = A.persons(spark, sf_dir).drop("l_orderkey")
+    sources = A.person_sources(spark, sf_dir)
+    schema = FS.schema_of(A.as_persons(sources).drop("l_orderkey"))
     # the files' columns stand in another order than the schema's: a scan binds
     # them by name
-    path = FS.write_member_csvs(p, root, TABLE, "source_year", FILE_ORDER, group_cols=STOP_KEY,
-                                columns=sorted(p.columns, reverse=True), compression=compression)
-    return path, FS.schema_of(p)
+    path = FS.write_member_csvs(sources, root, TABLE, "source_year", FILE_ORDER, group_cols=STOP_KEY,
+                                columns=sorted(schema.names, reverse=True), compression=compression,
+                                derive=lambda rows: A.as_persons(rows, "member"))
+    return path, schema
 
 
 def _scan(spark: SparkSession, paths, schema) -> DataFrame:
@@ -125,46 +127,41 @@ def q_scan_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persons.groupBy("source_year", "stoptype").agg(F.count(F.lit(1)).alias("n_people"))
 
 
-def _zipped(spark: SparkSession, persons: DataFrame, root: str) -> list[str]:
-    """Person rows as zip archives of yearly CSV members with a summary each;
-    the persons of a stop stay in one member."""
-    n = persons.count()
+def _zipped(spark: SparkSession, sources: DataFrame, root: str) -> list[str]:
+    """Person rows, of their sources, as zip archives of yearly CSV members with
+    a summary each; the persons of a stop stay in one member."""
+    n, last = sources.agg(F.count(F.lit(1)), F.max("datetimeoccur").cast("date").cast("string")).first()
     archives = max(2, -(-n // ARCHIVE_ROWS))
-    columns = [c for c in persons.columns if c not in FILE_ORDER[1:]] + FILE_ORDER[1:]
-    columns = sorted(columns, reverse=True)
-    rows = persons.withColumn("archive", F.pmod(F.xxhash64(*STOP_KEY), F.lit(archives)).cast("int"))
+    columns = sorted(A.as_persons(sources).drop("l_orderkey").columns, reverse=True)
+    rows = sources.withColumn("archive", F.pmod(F.xxhash64(*STOP_KEY), F.lit(archives)).cast("int"))
     name = F.concat(F.lit(f"csvs/{TABLE}/{TABLE}_year_"), F.col("source_year").cast("string"), F.lit("_"), F.col("archive").cast("string"), F.lit(".csv"))
     rows = rows.withColumn("member", name)
-    line = F.to_csv(F.struct(*columns), {"escape": '"', "quote": '"'})
-    shape = rows.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(FILE_ORDER)])
-    kinds = {f"o{i}": shape.schema[f"o{i}"].dataType for i in range(len(FILE_ORDER))}
-    place = lambda values: F.struct(*values)
-    body = rows.select("archive", "member", place([F.lit(1).alias("k"), *[F.col(c).alias(o) for o, c in zip(kinds, FILE_ORDER)]]).alias("place"), line.alias("line"))
-    nothing = [F.lit(None).cast(t).alias(o) for o, t in kinds.items()]
-    head = rows.select("archive", "member").distinct().select("archive", "member", place([F.lit(0).alias("k"), *nothing]).alias("place"), F.lit(",".join(columns)).alias("line"))
-    last = persons.agg(F.max("datetimeoccur").cast("date").cast("string").alias("last_dt"))
-    summary = spark.range(archives).select(F.col("id").cast("int").alias("archive")).join(F.broadcast(last)).select(
-        "archive", F.lit(f"csvs/{TABLE}/summary.json").alias("member"), place([F.lit(0).alias("k"), *nothing]).alias("place"),
-        F.to_json(F.struct("last_dt")).alias("line"))
-    return AR.write_archives(body.unionByName(head).unionByName(summary), root, archives)
+    # one line an archive, so each archive has rows
+    summary = spark.range(archives).select(F.col("id").cast("int").alias("archive"), F.lit(f"csvs/{TABLE}/summary.json").alias("member"),
+                                           F.to_json(F.struct(F.lit(last).cast("string").alias("last_dt"))).alias("text"))
+
+    def lines(rows):
+        line = F.to_csv(F.struct(*columns), {"escape": '"', "quote": '"'})
+        return A.as_persons(rows, "member", "text").select("member", F.coalesce("text", line).alias("line"))
+
+    return AR.write_archives(rows.unionByName(summary, allowMissingColumns=True), root, archives, FILE_ORDER[1:], lines, ",".join(columns))
 
 
 def q_scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person rows written as zip archives, listed, routed and scanned back ->
     file-order drivers -> reason cube (S2)."""
-    p = A.persons(spark, sf_dir).drop("l_orderkey")
-    archives = _zipped(spark, p, f"{scratch_dir(spark, 'zip')}/backup")
+    sources = A.person_sources(spark, sf_dir)
+    archives = _zipped(spark, sources, f"{scratch_dir(spark, 'zip')}/backup")
     members = FS.archive_members(spark, archives)
     FS.route_files([r["member"] for r in members.select("member").collect()], [TABLE])  # names only
-    persons = FS.read_members(members, FS.schema_of(p))
+    persons = FS.read_members(members, FS.schema_of(A.as_persons(sources).drop("l_orderkey")))
     stops = CO.classify_stops(CO.collapse_stops(persons, ["_ordinal"]))
     return CU.stop_cube_reason(stops, C.ANALOG["most_recent_quarter"]).select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")
 
 
 def q_archive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries inside the archives: last date and last full quarter."""
-    p = A.persons(spark, sf_dir).drop("l_orderkey")
-    archives = _zipped(spark, p, f"{scratch_dir(spark, 'zip')}/backup")
+    archives = _zipped(spark, A.person_sources(spark, sf_dir), f"{scratch_dir(spark, 'zip')}/backup")
     return FS.read_archive_summaries(spark, archives).select(
         "table", "last_dt", TQ.previous_full_quarter(F.to_date("last_dt")).alias("quarter")).distinct()
 

@@ -117,8 +117,10 @@ def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("r_name").alias("division")))
 
 
-def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per person involved in an incident (FIXTURES ``a_persons``)."""
+def person_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person row is made of, one row per person: half the columns, so
+    writers deal and sort these and make the person rows (``as_persons``)
+    afterwards."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
@@ -127,8 +129,6 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = order_places(spark, sf_dir)
     j = (li.join(part_codes, li.l_partkey == part_codes.p_partkey)
            .join(places, li.l_orderkey == places.o_orderkey))
-    q = F.col("l_quantity")
-    sk = F.col("l_suppkey")
     return j.select(
         # the raw order key: the join output is partitioned by it, and a stop
         # (one order date + one location) never spans two orders
@@ -138,6 +138,18 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("datetimeoccur"),
         F.when(F.col("l_orderkey") % 97 == 0, F.lit(None).cast("long"))
          .otherwise(F.col("l_orderkey")).alias("location"),
+        "l_quantity", "l_discount", "l_tax", "l_linestatus", "c_custkey", "c_nationkey", "division", "mvc_code",
+    )
+
+
+def as_persons(sources: DataFrame, *more: str) -> DataFrame:
+    """The person rows of ``person_sources``, with ``more`` of its columns."""
+    q = F.col("l_quantity")
+    sk = F.col("l_suppkey")
+    return sources.select(
+        "l_orderkey", "source_year",
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
+        "datetimeoccur", "location",
         F.when(F.col("l_linenumber") <= 6, F.lit("vehicle")).otherwise(F.lit("pedestrian"))
          .alias("stoptype"),
         F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("districtoccur"),
@@ -165,9 +177,15 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((F.col("l_partkey") * 7 + sk) % 800 - 400) / 1000.0).alias("point_x"),
         (((F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 800 - 400) / 1000.0)
          .alias("point_y"),
+        *more,
     )
 
 
+def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per person involved in an incident (FIXTURES ``a_persons``)."""
+    return as_persons(person_sources(spark, sf_dir))
+
+
 PERSON_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 # grouping column by which the person rows are hash-partitioned and sorted
 # after the order join; once rows without a location are dropped it alone

@@ -259,11 +259,16 @@ class _Sink(io.RawIOBase):
         return data
 
 
-def write_archives(lines: DataFrame, path: str, archives: int) -> list[str]:
+def write_archives(lines: DataFrame, path: str, archives: int, order: Sequence[str] = ("place",),
+                   derive: Callable[[DataFrame], DataFrame] | None = None, head: str = "") -> list[str]:
     """Write (archive int, member, place, line) as the zip archives 0 to
     ``archives`` - 1, lines by their place in a member; returns the archives'
     paths.  The text sink ends a file in a line feed: it is the archive's
-    comment."""
+    comment.
+
+    Rows of other columns are dealt and sorted (by ``order`` in a member) as they
+    are, and ``derive`` makes (member, line) of them; ``head`` is the first line
+    of every CSV member."""
     def pack(batches):
         sink = _Sink()
         rest = b""
@@ -284,6 +289,8 @@ def write_archives(lines: DataFrame, path: str, archives: int) -> list[str]:
             z.comment = b"\n"
             for member, group in itertools.groupby(runs(), key=lambda r: r[0]):
                 with z.open(member, "w", force_zip64=True) as out:
+                    if head and member.endswith(".csv"):
+                        out.write(f"{head}\n".encode())
                     for _, data in group:
                         out.write(data)
                         if sink.size > BLOCK:
@@ -292,7 +299,8 @@ def write_archives(lines: DataFrame, path: str, archives: int) -> list[str]:
         rest, done = rows(rest + sink.take())
         yield done
 
-    packed = (lines.select("archive", "member", "place", "line").repartitionById(archives, "archive")
-              .sortWithinPartitions("member", "place").mapInArrow(pack, "value binary"))
+    dealt = lines.repartitionById(archives, "archive").sortWithinPartitions("member", *order)
+    made = derive(dealt) if derive else dealt
+    packed = made.select("member", "line").mapInArrow(pack, "value binary")
     packed.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
     return sorted(lines.sparkSession.read.text(path).inputFiles())

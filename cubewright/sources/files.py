@@ -22,7 +22,7 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
@@ -330,7 +330,8 @@ def read_geojson_lines(spark: SparkSession, path: str, name_prop: str) -> DataFr
 
 def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
                       order_cols: Sequence[str], group_cols: Sequence[str] | None = None,
-                      columns: Sequence[str] | None = None, compression: str = "none") -> str:
+                      columns: Sequence[str] | None = None, compression: str = "none",
+                      derive: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """Write ``df`` as yearly CSV members ``<root>/<table>/member=<table>_year_<Y>/``.
 
     Rows are range-partitioned by ``group_cols`` (a prefix of ``order_cols``,
@@ -339,7 +340,8 @@ def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
     the file order on disk *is* that order (part files are numbered in range
     order).  The session decides on the number of ranges.  ``columns`` is the
     order of the columns in the files.  A file packed by ``compression`` is read
-    by one task; it holds no more than a range.
+    by one task; it holds no more than a range.  ``derive`` makes the files'
+    rows of the dealt and sorted ones, row by row; it keeps ``member``.
     """
     out = f"{root}/{table}"
     member = F.concat(F.lit(f"{table}_year_"), F.col(year_col).cast("string"))
@@ -348,7 +350,10 @@ def write_member_csvs(df: DataFrame, root: str, table: str, year_col: str,
     rows = (df.withColumn("member", member)
               .repartitionByRange(*(group_cols or order_cols))
               .sortWithinPartitions("member", *order_cols))
-    (rows.select(*(columns or df.columns), "member")
+    columns = columns or df.columns
+    if derive:
+        rows = derive(rows)
+    (rows.select(*columns, "member")
        .write.mode("overwrite").option("header", True).option("escape", '"')
        .option("compression", compression).partitionBy("member").csv(out))
     return out

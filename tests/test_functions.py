@@ -80,3 +80,32 @@ def test_calendar(spark):
 
 def test_enum_constants():
     assert C.RACE_ORDER[-1] == "All Other Races" and len(C.AGE_ORDER) == 6
+
+
+def test_classification_fits_the_compiler(spark, capsys):
+    """The JVM compiles no method of 8000 bytes or more: a stage that classifies
+    and aggregates stays below."""
+    import re
+    from cubewright.operators import collapse as CO
+    from cubewright.operators import cube as CU
+    stops = spark.range(1).selectExpr(
+        "timestamp'2020-01-01' as datetimeoccur", "1L as n_people_in_car", "'a' as districtoccur", "'a' as psa", "string(id) as mvc_code_max",
+        "struct('a' as race, 'b' as gender, double(id) as age) as driver", "1 as was_searched", "1 as was_arrested", "1 as was_found_with_contraband",
+        "1 as was_frisked", "1 as was_intruded")
+    cube = CU.stop_cube_reason(CO.classify_stops(stops), "2022-Q4")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cube.select("*").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_rules_as_patterns(spark):
+    """A rule's pattern says what its clauses say, at any length and line end."""
+    rules = [("x", [{"prefix": "1.2", "contains": "A", "not_prefix": "1.2AI"}]), ("y", [{"exact": "3(1"}, {"prefix": "4", "not_contains": "B"}])]
+    cases = {"1.2A": "x", "1.2\nA": "x", "112A": "Other", "1.2AI": "Other", "1.2": "Other", "3(1": "y", "3(1\n": "Other", "3(12": "Other",
+             "4": "y", "4\nB": "Other", "54": "Other", "": "Other"}
+    for code, cat in cases.items():
+        assert one(spark, R.violation_category_of("v", rules), code) == cat, code

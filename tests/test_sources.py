@@ -291,3 +291,19 @@ def test_packed_member_files_keep_their_order(spark, tmp):
     assert size["gzip"] * 3 < size["none"]
     path, _ = Q._persons_text(spark, "/root/testdata/sf0.001", f"{tmp}/persons")
     assert all(f.endswith(".csv.gz") for f in spark.read.text(path).inputFiles())
+
+
+def test_archives_of_rows_made_into_lines_after_dealing(spark, tmp):
+    """Archives are dealt narrow rows and make the lines themselves; every CSV
+    member begins with the head, every archive holds its summary."""
+    from cubewright.sources import archive as AR
+    rows = spark.createDataFrame([(a, f"m{m}.csv", i) for a in (0, 2) for m in range(2) for i in range(300)], "archive int, member string, i int").repartition(5)
+    notes = spark.range(3).selectExpr("cast(id as int) as archive", "'z.json' as member", "concat('note ', id) as text")
+    paths = AR.write_archives(rows.unionByName(notes, allowMissingColumns=True), f"{tmp}/zips", 3, ["i"],
+                              lambda d: d.selectExpr("member", "coalesce(text, concat(archive, ',', i)) as line"), "a,i")
+    seen = []
+    for p in paths:
+        with zipfile.ZipFile(p.removeprefix("file://")) as z:
+            seen.append({n: z.read(n).decode() for n in z.namelist()})
+    members = lambda a: {f"m{m}.csv": "a,i\n" + "".join(f"{a},{i}\n" for i in range(300)) for m in range(2)}
+    assert sorted(seen, key=lambda x: x["z.json"]) == [{**(members(a) if a != 1 else {}), "z.json": f"note {a}\n"} for a in range(3)]
