@@ -11,8 +11,9 @@ summary files, dimension CSVs and GeoJSON maps (S1-S4, S6-S8).
   monotonically increasing id).  Within one split the id follows the file;
   splits of one file are ordered by their start; so the tuple orders all
   rows of all files the way they appear on disk.
-* Headers are found by one job over the files' beginnings (the first line that
-  is not blank), whatever the number of files.
+* Headers (the first line that is not blank) are read from the files' beginnings
+  through Spark's file system on the driver; one job finds those further on,
+  whatever the number of files.
 * Zip archives are read by the executors (``archive``): one task per member
   streams the member in chunks and yields rows with their ordinal.
 """
@@ -23,6 +24,7 @@ import csv
 import io
 import re
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -43,12 +45,15 @@ NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-
                 "nan", "null"]
 
 
-def _null_marker(c: Column) -> Column:
-    return F.when(c.isin(NULL_MARKERS), F.lit(None).cast("string")).otherwise(c)
+def _text(name: str) -> Column:
+    """A column of a file without the null markers; one SQL expression, since
+    the driver makes one a column of every batch."""
+    c = "`" + name.replace("`", "``") + "`"
+    markers = ", ".join(f"'{m}'" for m in NULL_MARKERS)
+    return F.expr(f"CASE WHEN {c} IN ({markers}) THEN NULL ELSE {c} END")
 
 
 def _typed(c: Column, dt: T.DataType) -> Column:
-    c = _null_marker(c)
     if isinstance(dt, T.StringType):
         return c
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -61,6 +66,8 @@ def _typed(c: Column, dt: T.DataType) -> Column:
 
 CSV_OPTIONS = {"header": True, "mode": "FAILFAST", "quote": '"', "escape": '"'}
 _BLANK = "".join(map(chr, range(33)))
+#: Bytes of a file in which the driver looks for its header.
+BEGINNING = 1 << 13
 
 
 def _first_records(spark: SparkSession, paths: str | Sequence[str], multi_line: bool) -> DataFrame:
@@ -93,24 +100,66 @@ def _first_records(spark: SparkSession, paths: str | Sequence[str], multi_line:
             .mapInArrow(first, "file string, start long, record string"))
 
 
+def _first_record(data: bytes, whole: bool, multi_line: bool) -> str | None:
+    """The first record of a file's beginning; None where it is not all there."""
+    text = data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+    *lines, last = re.split(r"\r\n|\n|\r", text)
+    if whole:
+        lines.append(last)
+    got: list[str] = []
+    for line in lines:
+        if got or line.strip(_BLANK):
+            got.append(line)
+            # a quoted name may go on in the next line
+            if not multi_line or sum(x.count('"') for x in got) % 2 == 0:
+                return "\n".join(got)
+    return None
+
+
+def _beginnings(spark: SparkSession, files: Iterable[str], multi_line: bool) -> list[str | None]:
+    """The first record of each file, where it lies within the first ``BEGINNING``
+    bytes: read by Spark's file system, several files at once."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(file: str) -> str | None:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        codec = codecs.getCodec(path)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            data = (codec.createInputStream(stream) if codec else stream).readNBytes(BEGINNING)
+        finally:
+            stream.close()
+        return _first_record(data, len(data) < BEGINNING, multi_line)
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(first, files))
+
+
 def csv_headers(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> dict[tuple[str, ...], list[str]]:
-    """Column names -> the files that have them, in that order: one job over
-    the files' beginnings.  The header is the first line that is not blank; a
-    file that holds blank lines only is an error, an empty file has no rows.
-    The driver holds names only."""
-    found = (_first_records(spark, paths, multi_line).groupBy("file").agg(F.min_by("record", F.when(F.col("record").isNotNull(), F.col("start"))).alias("record"),
-                                                                          F.min(F.when(F.col("record").isNotNull(), F.col("start"))).alias("start"))
-             .groupBy("record").agg(F.sort_array(F.collect_list(F.struct("file", "start"))).alias("files")).collect())
+    """Column names -> the files that have them, in that order.  The header is
+    the first line that is not blank; a file that holds blank lines only is an
+    error, an empty file has no rows.  The driver reads the files' beginnings;
+    one job reads the files whose header is not within them.  The driver holds
+    names only."""
     files = {AR.path_key(f): unquote(f) for f in spark.read.text(paths).inputFiles()}
+    records = {k: r for k, r in zip(files, _beginnings(spark, files.values(), multi_line), strict=True) if r is not None}
+    late = {k: f for k, f in files.items() if k not in records}
+    if late:
+        found = (_first_records(spark, sorted(late.values()), multi_line).groupBy("file")
+                 .agg(F.min_by("record", F.when(F.col("record").isNotNull(), F.col("start"))).alias("record"),
+                      F.min(F.when(F.col("record").isNotNull(), F.col("start"))).alias("start")).collect())
+        astray = sorted(r["file"] for r in found if r["record"] is None or r["start"])
+        if astray:
+            raise ValueError(f"no header at the beginning of {astray}")
+        records |= {AR.path_key(r["file"]): r["record"] for r in found}
     out: dict[tuple[str, ...], list[str]] = {}
-    for r in sorted(found, key=lambda r: r["files"][0]["file"]):
-        astray = [f["file"] for f in r["files"] if f["start"]]
-        if r["record"] is None or astray:
-            raise ValueError(f"no header at the beginning of {astray or [f['file'] for f in r['files']]}")
-        names = tuple(x or "" for x in next(csv.reader(io.StringIO(r["record"].lstrip("\ufeff"), newline=""))))
-        out.setdefault(names, []).extend(files.pop(AR.path_key(f["file"])) for f in r["files"])
-    if files:  # without a line: empty
-        full = [r["path"] for r in spark.read.format("binaryFile").load(sorted(files.values())).where("length > 0").select("path").collect()]
+    for k in sorted(records):
+        names = tuple(x or "" for x in next(csv.reader(io.StringIO(records[k].lstrip("\ufeff"), newline=""))))
+        out.setdefault(names, []).append(files[k])
+    empty = sorted(f for k, f in files.items() if k not in records)   # without a line
+    if empty:
+        full = [r["path"] for r in spark.read.format("binaryFile").load(empty).where("length > 0").select("path").collect()]
         if full:
             raise ValueError(f"no header found in {full}")
     return out
@@ -128,7 +177,7 @@ def scan_typed(spark: SparkSession, paths: str | Sequence[str], schema: T.Struct
         text = T.StructType([T.StructField(c, T.StringType()) for c in own])
         raw = spark.read.schema(text).options(**CSV_OPTIONS).option("multiLine", multi_line).csv(files)
         at = {n: c for n, c in reversed(list(zip(names, own, strict=True)))}
-        cols = [_typed(F.col(at[f.name]) if f.name in at else F.lit(None).cast("string"), f.dataType).alias(f.name)
+        cols = [_typed(_text(at[f.name]) if f.name in at else F.lit(None).cast("string"), f.dataType).alias(f.name)
                 for f in schema.fields]
         if with_ordinal:
             cols.append(F.struct(F.col("_metadata.file_path").alias("file"),
@@ -211,7 +260,7 @@ def read_members(members: DataFrame, schema: T.StructType, chunk_rows: int = 200
             yield chunk
 
     raw = AR.map_members(members, read, out_schema)
-    cols = [_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields]
+    cols = [_typed(_text(f.name), f.dataType).alias(f.name) for f in schema.fields]
     return raw.select(*cols, F.struct(F.col("_member").alias("file"),
                                       F.col("_row").alias("row")).alias("_ordinal"),
                       F.col("_member").alias("_file"))

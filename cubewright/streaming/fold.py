@@ -22,7 +22,7 @@ no version left names.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -77,17 +77,19 @@ def latest_version(spark: SparkSession, table: str, before: int | None = None,
     return spark.read.parquet(*[f"{table}/{f}" for f in chosen]) if chosen else None
 
 
-def remove_old(spark: SparkSession, table: str, keep: int = KEEP) -> list[str]:
+def remove_old(spark: SparkSession, table: str, keep: int = KEEP, known: Mapping[int, Mapping[int, str]] | None = None) -> list[str]:
     """Remove all but the newest ``keep`` versions and the folders that none of
-    those names; returns what was removed."""
+    those names; returns what was removed.  ``known`` holds what ``folders`` gives
+    for versions already read."""
     have = versions(spark, table)
     if len(have) <= keep:
         return []
-    used = {f for v in have[-keep:] for f in folders(spark, table, v).values()}
+    named = {v: (known or {}).get(v) or folders(spark, table, v) for v in have}
+    used = {f for v in have[-keep:] for f in named[v].values()}
     gone = []
     for v in have[:-keep]:
         # the data first: a version without its manifest would never be found again
-        gone += [f for f in folders(spark, table, v).values() if f not in used and f not in gone]
+        gone += [f for f in named[v].values() if f not in used and f not in gone]
     for f in gone:
         remove_path(spark, f"{table}/{f}")
     for v in have[:-keep]:
@@ -118,24 +120,25 @@ def fold_batch(files: DataFrame, batch_id: int, table: str, schema: T.StructType
     cube = CU.stop_cube_reason(stops, most_recent_quarter).select(*C.REASON_KEYS, *C.STOP_MEASURES, "year")
     brought = f"{table}/incoming/v={batch_id}"
     cube.write.mode("overwrite").parquet(brought)
-    batch = spark.read.parquet(brought)
+    # the shape of a cube is known: no job looks for it in the files
+    batch = spark.read.schema(cube.schema).parquet(brought)
     years = sorted(r["year"] for r in batch.select("year").distinct().collect())
 
     have = [v for v in versions(spark, table) if v < batch_id]
-    named = folders(spark, table, have[-1]) if have else {}
+    before = folders(spark, table, have[-1]) if have else {}
     data = f"data/v={batch_id}"
     if years:
         parts = [batch]
-        same = latest_version(spark, table, before=batch_id, years=years)
-        if same is not None:
-            parts.append(same)
+        same = [f"{table}/{before[y]}" for y in years if y in before]
+        if same:
+            parts.append(spark.read.schema(cube.drop("year").schema).parquet(*same))
         merged = CU.merge_cubes(parts, C.REASON_KEYS, C.STOP_MEASURES)
         year = F.substring("quarter", 1, 4).cast("int")
         merged.withColumn("year", year).repartition("year").write.mode("overwrite").partitionBy("year").parquet(f"{table}/{data}")
-    named |= {y: f"{data}/year={y}" for y in years}
+    named = before | {y: f"{data}/year={y}" for y in years}
     spark.createDataFrame(sorted(named.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(_manifest_path(table, batch_id))
     remove_path(spark, brought)
-    remove_old(spark, table, keep)
+    remove_old(spark, table, keep, {batch_id: named} | ({have[-1]: before} if have else {}))
 
 
 def start_fold(spark: SparkSession, landing: str, table: str, checkpoint: str,

@@ -307,3 +307,34 @@ def test_archives_of_rows_made_into_lines_after_dealing(spark, tmp):
             seen.append({n: z.read(n).decode() for n in z.namelist()})
     members = lambda a: {f"m{m}.csv": "a,i\n" + "".join(f"{a},{i}\n" for i in range(300)) for m in range(2)}
     assert sorted(seen, key=lambda x: x["z.json"]) == [{**(members(a) if a != 1 else {}), "z.json": f"note {a}\n"} for a in range(3)]
+
+
+def test_headers_are_read_from_the_beginnings(spark, tmp):
+    """Without a job where the header lies in a file's first bytes, packed or
+    not; by one where it does not; with quotes, a byte order mark and no line end."""
+    import gzip
+    texts = {"plain": "a,b\n1,2\n", "marked": "\ufeffa,b\r\n1,2\r\n", "short": "a,b", "quoted": '\n"b","a"\n2,1\n'}
+    os.makedirs(f"{tmp}/near")
+    for n, x in texts.items():
+        with open(f"{tmp}/near/{n} 1.csv", "w", newline="") as fh:
+            fh.write(x)
+    with gzip.open(f"{tmp}/near/packed.csv.gz", "wt") as fh:
+        fh.write(texts["plain"] * 2000)
+
+    def headers(path):
+        spark.sparkContext.setJobGroup(path, path)
+        found = FS.csv_headers(spark, path)
+        spark.sparkContext.setJobGroup("none", "none")
+        return {k: sorted(f.rsplit("/", 1)[-1] for f in v) for k, v in found.items()}, len(spark.sparkContext.statusTracker().getJobIdsForGroup(path))
+
+    assert headers(f"{tmp}/near") == ({("a", "b"): ["marked 1.csv", "packed.csv.gz", "plain 1.csv", "short 1.csv"], ("b", "a"): ["quoted 1.csv"]}, 0)
+    with open(f"{tmp}/near/far.csv", "w") as fh:
+        fh.write("\n" * (2 * FS.BEGINNING) + texts["plain"])
+    with open(f"{tmp}/near/none.csv", "w"):
+        pass
+    found, jobs = headers(f"{tmp}/near/*")
+    assert jobs and found == {("a", "b"): ["far.csv", "marked 1.csv", "packed.csv.gz", "plain 1.csv", "short 1.csv"], ("b", "a"): ["quoted 1.csv"]}
+    long = ",".join(f"column {i}" for i in range(FS.BEGINNING // 8))
+    with open(f"{tmp}/long.csv", "w") as fh:
+        fh.write(long + "\n")
+    assert list(FS.csv_headers(spark, f"{tmp}/long.csv")) == [tuple(long.split(","))]

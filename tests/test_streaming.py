@@ -135,3 +135,17 @@ def test_damaged_version_raises(spark, tmp):
     with pytest.raises(Exception):
         SF.latest_version(spark, f"{tmp}/cube").collect()
     assert SF.latest_version(spark, f"{tmp}/cube", before=0) is None
+
+
+def test_a_batch_starts_few_jobs(spark, tmp):
+    """Headers, shapes and manifests that are known cost a batch no job."""
+    files = [f"{tmp}/land/car_ped_stops_year_{y}.csv" for y in (2019, 2020, 2021)]
+    for y, p in zip((2019, 2020, 2021), files, strict=True):
+        write(p, rows_for(y, 20) + rows_for(2018, 20))
+    jobs = []
+    for i, p in enumerate(files):
+        spark.sparkContext.setJobGroup(f"batch {i} {tmp}", "batch")
+        SF.fold_batch(batch(spark, p), i, f"{tmp}/cube", SCHEMA, "2022-Q4", ("datetimeoccur", "location"))
+        spark.sparkContext.setJobGroup("none", "none")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch {i} {tmp}")))
+    assert max(jobs) <= 14, jobs
