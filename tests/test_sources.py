@@ -338,3 +338,22 @@ def test_headers_are_read_from_the_beginnings(spark, tmp):
     with open(f"{tmp}/long.csv", "w") as fh:
         fh.write(long + "\n")
     assert list(FS.csv_headers(spark, f"{tmp}/long.csv")) == [tuple(long.split(","))]
+
+
+def test_person_files_of_dealt_sources(spark, tmp):
+    """Files made of narrow rows after dealing hold the person rows, in order."""
+    from cubewright.plans import queries_sources as Q
+    from cubewright.sources import analog as A
+    sf = "/root/testdata/sf0.001"
+    p = A.persons(spark, sf).drop("l_orderkey")
+    kw = dict(group_cols=Q.STOP_KEY, columns=sorted(p.columns, reverse=True))
+    wide = FS.write_member_csvs(p, f"{tmp}/wide", "t", "source_year", Q.FILE_ORDER, **kw)
+    narrow = FS.write_member_csvs(A.person_sources(spark, sf), f"{tmp}/narrow", "t", "source_year", Q.FILE_ORDER, **kw,
+                                  derive=lambda rows: A.as_persons(rows, "member"))
+
+    def lines(path):
+        files = sorted((f for f in spark.read.text(path).inputFiles()), key=lambda f: f.split("/")[-2:])
+        return [x for f in files for x in open(f.removeprefix("file://")).read().splitlines() if not x.startswith("vehicle_searched")]
+
+    assert len(A.person_sources(spark, sf).columns) * 3 < 2 * len(p.columns)
+    assert lines(wide) == lines(narrow) and len(lines(wide)) == p.count()
