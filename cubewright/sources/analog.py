@@ -91,16 +91,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def _case_index(idx_sql: str, labels: list[str]) -> Column:
-    """label[idx] for idx in 0..n-2, else the last label (one SQL CASE)."""
-    whens = " ".join(f"WHEN {i} THEN '{lab}'" for i, lab in enumerate(labels[:-1]))
-    return F.expr(f"CASE {idx_sql} {whens} ELSE '{labels[-1]}' END")
+def _entry(labels: list[str | None], no: Column) -> Column:
+    return F.get(F.array(*[F.lit(x).cast("string") for x in labels]), no)
 
 
-def brand_code(brand_col: str = "p_brand") -> Column:
+# ``marks`` of a person's sources: bits 0 to 2 are tests of the line's tax,
+# discount and status, bits 3 to 5 the place in RAW_RACES, the bits from 6 on the
+# place in _CODES
+_CODES = [None, *[code for _, code in BRAND_CODES]]
+
+
+def _line_marks() -> Column:
+    tests = [F.col("l_tax") >= 0.08, F.col("l_discount") >= 0.09, F.col("l_linestatus") == "F"]
+    return sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0))
+
+
+def _code_marks(brand_col: str = "p_brand") -> Column:
     """The fixed brand -> code list as one CASE expression (no join)."""
     from ..functions.rules import lookup_of
-    return lookup_of(brand_col, BRAND_CODES)
+    return lookup_of(brand_col, [(b, str(i << 6)) for i, (b, _) in enumerate(BRAND_CODES, 1)], default="0").cast("int")
+
+
+def _race_marks(idx: Column) -> Column:
+    """Another index than those of the first races, or none, is the last race's."""
+    last = len(RAW_RACES) - 1
+    return F.when(idx.between(0, last - 1), idx).otherwise(last).cast("int") * 8
 
 
 def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,26 +134,30 @@ def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def person_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person row is made of, one row per person: half the columns, so
-    writers deal and sort these and make the person rows (``as_persons``)
-    afterwards."""
+    joins and writers deal and sort these and make the person rows
+    (``as_persons``) afterwards.  What has few values is one number, ``marks``;
+    an order's columns stand together, as do those whose numbers are short, so
+    that the rows pack well."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
-    part_codes = (table(spark, sf_dir, "part")
-                  .select("p_partkey", brand_code("p_brand").alias("mvc_code")))
+        "l_orderkey", "l_shipdate", "l_linenumber", _line_marks().alias("line_marks"), "l_partkey", "l_suppkey",
+        "l_quantity", "l_extendedprice")
+    codes = table(spark, sf_dir, "part").select("p_partkey", _code_marks("p_brand").alias("code_marks"))
+    coded = (li.join(codes, li.l_partkey == codes.p_partkey)
+               .select("l_orderkey", "l_shipdate", "l_linenumber", (F.col("line_marks") + F.col("code_marks")).alias("coded_marks"),
+                       "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     places = order_places(spark, sf_dir)
-    j = (li.join(part_codes, li.l_partkey == part_codes.p_partkey)
-           .join(places, li.l_orderkey == places.o_orderkey))
+    j = coded.join(places, coded.l_orderkey == places.o_orderkey)
     return j.select(
         # the raw order key: the join output is partitioned by it, and a stop
         # (one order date + one location) never spans two orders
         "l_orderkey",
         F.year("o_orderdate").cast("long").alias("source_year"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
         F.col("o_orderdate").alias("datetimeoccur"),
         F.when(F.col("l_orderkey") % 97 == 0, F.lit(None).cast("long"))
          .otherwise(F.col("l_orderkey")).alias("location"),
-        "l_quantity", "l_discount", "l_tax", "l_linestatus", "c_custkey", "c_nationkey", "division", "mvc_code",
+        "c_nationkey", "division", "l_shipdate", "l_linenumber",
+        (F.col("coded_marks") + _race_marks((F.col("c_custkey") + F.col("l_partkey")) % 8)).alias("marks"),
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
 
 
@@ -146,6 +165,7 @@ def as_persons(sources: DataFrame, *more: str) -> DataFrame:
     """The person rows of ``person_sources``, with ``more`` of its columns."""
     q = F.col("l_quantity")
     sk = F.col("l_suppkey")
+    marks = F.col("marks")
     return sources.select(
         "l_orderkey", "source_year",
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
@@ -156,19 +176,19 @@ def as_persons(sources: DataFrame, *more: str) -> DataFrame:
         "division",
         F.when(sk % 11 == 0, F.lit(None).cast("string"))
          .otherwise((sk % 4).cast("string")).alias("psa"),
-        _case_index("(c_custkey + l_partkey) % 8", RAW_RACES).alias("race"),
+        _entry(RAW_RACES, F.shiftright(marks, 3).bitwiseAND(7)).alias("race"),
         F.when(sk % 9 <= 4, F.lit("Male")).when(sk % 9 <= 7, F.lit("Female"))
          .alias("gender"),
         F.when(q == 50, F.lit(None).cast("double")).otherwise(q + 17).alias("age"),
         F.when(q > 45, 1.0).otherwise(0.0).alias("individual_searched"),
-        F.when(F.col("l_tax") >= 0.08, 1.0).otherwise(0.0).alias("vehicle_searched"),
-        F.when(F.col("l_discount") >= 0.09, 1.0).otherwise(0.0).alias("individual_frisked"),
+        F.when(marks.bitwiseAND(1) > 0, 1.0).otherwise(0.0).alias("vehicle_searched"),
+        F.when(marks.bitwiseAND(2) > 0, 1.0).otherwise(0.0).alias("individual_frisked"),
         F.lit(None).cast("double").alias("vehicle_frisked"),
         F.when(q == 1, 1.0).otherwise(0.0).alias("individual_arrested"),
-        F.when((F.col("l_linestatus") == "F") & (q > 42), 1.0).otherwise(0.0)
+        F.when((marks.bitwiseAND(4) > 0) & (q > 42), 1.0).otherwise(0.0)
          .alias("individual_contraband"),
         F.lit(None).cast("double").alias("vehicle_contraband"),
-        "mvc_code",
+        _entry(_CODES, F.shiftright(marks, 6)).alias("mvc_code"),
         # flags as a flagged file brings them; persons_on_network derives them
         F.when(sk % 7 != 0, 1).otherwise(0).alias("n_stopped_locatable"),
         F.when((sk % 7 != 0) & (F.col("l_partkey") % 3 == 0), 1).otherwise(0)

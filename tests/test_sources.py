@@ -357,3 +357,34 @@ def test_person_files_of_dealt_sources(spark, tmp):
 
     assert len(A.person_sources(spark, sf).columns) * 3 < 2 * len(p.columns)
     assert lines(wide) == lines(narrow) and len(lines(wide)) == p.count()
+
+
+def test_dealt_sources_are_narrow_and_hold_odd_values(spark, tmp):
+    """Few columns, one of them text, are dealt; persons of negative keys, missing
+    values and unknown brands are those of the oracle's SQL."""
+    import duckdb
+    from cubewright.plans.oracle_base import A_PERSONS
+    from cubewright.sources import analog as A
+    src = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    odd = {"region": "*", "nation": "*",
+           "orders": "* REPLACE (CASE WHEN o_custkey % 2 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey)",
+           "customer": "* REPLACE (CASE WHEN c_custkey % 2 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey)",
+           "part": """* REPLACE (CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END AS p_partkey,
+                      CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Brand#99' ELSE p_brand END AS p_brand)""",
+           "lineitem": """* REPLACE (CASE WHEN l_partkey % 3 = 0 THEN -l_partkey ELSE l_partkey END AS l_partkey,
+                          CASE WHEN l_orderkey % 5 > 0 THEN l_tax END AS l_tax, CASE WHEN l_orderkey % 7 > 0 THEN l_discount END AS l_discount,
+                          CASE WHEN l_orderkey % 3 > 0 THEN l_linestatus END AS l_linestatus, CASE WHEN l_orderkey % 11 > 0 THEN l_quantity END AS l_quantity)"""}
+    for t, cols in odd.items():
+        con.execute(f"COPY (SELECT {cols} FROM '{src}/{t}.parquet') TO '{tmp}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp}/{t}.parquet'")
+    p = A.persons(spark, tmp)
+    cols = [c for c in p.columns if c != "l_orderkey" and not c.startswith("n_stopped")]
+    names = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in ("vehicle_searched", "individual_searched", "individual_frisked", "individual_arrested", "individual_contraband") else c
+                      for c in cols)
+    want = con.execute(f"WITH {A_PERSONS.strip()} SELECT {names} FROM a_persons").fetchall()
+    got = [tuple(r) for r in p.select(*cols).collect()]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len({r[cols.index("race")] for r in got}) == 8
+    sources = A.person_sources(spark, tmp).schema
+    assert len(sources) <= 14 and [f.name for f in sources if f.dataType.simpleString() == "string"] == ["division"]
