@@ -83,7 +83,7 @@ def q_stop_cube_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     value classified once -> reason cube (A1, J2, C2)."""
     root = scratch_dir(spark, "csv")
     path, schema = _persons_text(spark, sf_dir, root)
-    _scan(spark, _routed_files(spark, path), schema).write.parquet(f"{root}/persons")
+    _scan(spark, _routed_files(spark, path), schema).write.option("compression", "zstd").parquet(f"{root}/persons")
     persons = spark.read.parquet(f"{root}/persons")
     stops = CO.coded_stops(persons, CO.find_codes(persons), STOP_KEY)
     return CU.stop_cube_reason(stops, C.ANALOG["most_recent_quarter"]).select(*C.REASON_KEYS, *C.STOP_MEASURES, "year", "q_str")

@@ -388,3 +388,12 @@ def test_dealt_sources_are_narrow_and_hold_odd_values(spark, tmp):
     assert sorted(map(key, got)) == sorted(map(key, want)) and len({r[cols.index("race")] for r in got}) == 8
     sources = A.person_sources(spark, tmp).schema
     assert len(sources) <= 14 and [f.name for f in sources if f.dataType.simpleString() == "string"] == ["division"]
+
+
+@pytest.mark.parametrize("query, folder, ending", [("q_stop_cube_coded", "persons", ".zstd.parquet")])
+def test_files_between_steps_are_packed(spark, tmp, monkeypatch, query, folder, ending):
+    from cubewright.plans import queries_sources as Q
+    monkeypatch.setattr(Q, "scratch_dir", lambda spark, tag: f"{tmp}/{tag}")
+    rows = getattr(Q, query)(spark, "/root/testdata/sf0.001").count()
+    files = [f for f in os.listdir(f"{tmp}/csv/{folder}") if f.startswith("part-")]
+    assert rows and files and all(f.endswith(ending) for f in files)
