@@ -57,12 +57,12 @@ def _routed_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def _after_blank_lines(spark: SparkSession, file: str, out: str) -> list[str]:
-    """A copy of a file that begins with blank lines."""
+    """A copy of a file, packed as it is, that begins with blank lines."""
     def lead(batches):
         yield pa.RecordBatch.from_arrays([pa.array(["", "  "])], names=["value"])
         yield from batches
 
-    spark.read.text(file).coalesce(1).mapInArrow(lead, "value string").write.text(out)
+    spark.read.text(file).coalesce(1).mapInArrow(lead, "value string").write.option("compression", "gzip").text(out)
     return list(spark.read.text(out).inputFiles())
 
 

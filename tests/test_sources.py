@@ -390,7 +390,7 @@ def test_dealt_sources_are_narrow_and_hold_odd_values(spark, tmp):
     assert len(sources) <= 14 and [f.name for f in sources if f.dataType.simpleString() == "string"] == ["division"]
 
 
-@pytest.mark.parametrize("query, folder, ending", [("q_stop_cube_coded", "persons", ".zstd.parquet")])
+@pytest.mark.parametrize("query, folder, ending", [("q_stop_cube_coded", "persons", ".zstd.parquet"), ("q_scan_typed", "blank", ".txt.gz")])
 def test_files_between_steps_are_packed(spark, tmp, monkeypatch, query, folder, ending):
     from cubewright.plans import queries_sources as Q
     monkeypatch.setattr(Q, "scratch_dir", lambda spark, tag: f"{tmp}/{tag}")
